@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geopatch.llm import byte_bpe, simhash, token_counts
+from geopatch.llm import byte_bpe, language_id, secrets, simhash, token_counts
 from geopatch.llm.common import read
 
 #: Documents of more tokens than this are reported as over the limit.
@@ -35,8 +35,25 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read(spark, sf_dir, "documents"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda x: x["rank"] == secrets.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        count("assign"),
+        count("access"),
+        count("hex"),
+        F.sha2(secrets.named(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        secrets.named(F.concat("base", "random")).alias("spans"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op4_byte_bpe, op5_token_counts)}
+    return {f.__name__: f for f in (op2_simhash, op4_byte_bpe, op5_token_counts, op8_language_id, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
