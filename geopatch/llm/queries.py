@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geopatch.llm import byte_bpe, language_id, secrets, simhash, token_counts
+from geopatch.llm import byte_bpe, language_id, secrets, simhash, spot_signatures, token_counts
 from geopatch.llm.common import read
 
 #: Documents of more tokens than this are reported as over the limit.
@@ -21,6 +21,10 @@ def vocabulary(name: str) -> bytes:
         return f.read()
 
 
+def op1_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spot_signatures.compare_with_next(read(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, radius=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "copies")
@@ -53,7 +57,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op4_byte_bpe, op5_token_counts, op8_language_id, op10_secrets)}
+    return {f.__name__: f for f in (op1_spot_signatures, op2_simhash, op4_byte_bpe, op5_token_counts, op8_language_id, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
