@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geopatch.llm import byte_bpe, language_id, secrets, simhash, spot_signatures, token_counts
+from geopatch.llm import byte_bpe, language_id, licenses, secrets, simhash, spot_signatures, token_counts
 from geopatch.llm.common import read
 
 #: Documents of more tokens than this are reported as over the limit.
@@ -30,6 +30,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "copies")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(read(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -57,7 +61,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_spot_signatures, op2_simhash, op4_byte_bpe, op5_token_counts, op8_language_id, op10_secrets)}
+    return {f.__name__: f for f in (op1_spot_signatures, op2_simhash, op3_licenses, op4_byte_bpe, op5_token_counts, op8_language_id, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
