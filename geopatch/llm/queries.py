@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geopatch.llm import byte_bpe, language_id, licenses, secrets, simhash, spot_signatures, token_counts
+from geopatch.llm import byte_bpe, decontamination, language_id, licenses, secrets, simhash, spot_signatures, token_counts
 from geopatch.llm.common import read
 
 #: Documents of more tokens than this are reported as over the limit.
@@ -43,6 +43,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents"))
 
@@ -61,7 +65,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_spot_signatures, op2_simhash, op3_licenses, op4_byte_bpe, op5_token_counts, op8_language_id, op10_secrets)}
+    return {f.__name__: f for f in (op1_spot_signatures, op2_simhash, op3_licenses, op4_byte_bpe, op5_token_counts, op6_decontamination, op8_language_id, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
