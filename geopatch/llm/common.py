@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,3 +52,13 @@ def text_key(text: Column) -> list[Column]:
 def sha256_of(text: Column) -> Column:
     """Lowercase hex SHA-256 of a text's UTF-8 bytes."""
     return F.sha2(text.cast("binary"), 256)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Computes the rows once and cuts the lineage with a table in the shared folder, which goes when the session's JVM ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.parquet(path)

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geopatch.llm import byte_bpe, decontamination, language_id, licenses, secrets, simhash, spot_signatures, token_counts
-from geopatch.llm.common import read
+from geopatch.llm import byte_bpe, decontamination, language_id, licenses, line_dedup, secrets, simhash, spot_signatures, token_counts
+from geopatch.llm.common import read, sha256_of
 
 #: Documents of more tokens than this are reported as over the limit.
 TOKEN_LIMIT = 4096
@@ -47,6 +47,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.dedup(read(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_exact", "n_near", sha256_of(F.col("text")).alias("kept_sha256"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents"))
 
@@ -65,7 +70,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_spot_signatures, op2_simhash, op3_licenses, op4_byte_bpe, op5_token_counts, op6_decontamination, op8_language_id, op10_secrets)}
+    return {f.__name__: f for f in (op1_spot_signatures, op2_simhash, op3_licenses, op4_byte_bpe, op5_token_counts, op6_decontamination, op7_line_dedup, op8_language_id, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
