@@ -44,6 +44,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lowers the rows of an Arrow batch from Spark's own 10,000, which are many for long texts; a session's other choice stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def text_key(text: Column) -> list[Column]:
     """128 bits that stand for a text."""
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2")]

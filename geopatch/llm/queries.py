@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geopatch.llm import byte_bpe, decontamination, language_id, licenses, line_dedup, secrets, simhash, spot_signatures, token_counts
+from geopatch.llm import byte_bpe, decontamination, language_id, licenses, line_dedup, secrets, simhash, spot_signatures, suffix_dedup, token_counts
 from geopatch.llm.common import read, sha256_of
 
 #: Documents of more tokens than this are reported as over the limit.
@@ -56,6 +56,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"])
+    return left.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(read(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda x: x["rank"] == secrets.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
@@ -69,8 +75,14 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_spot_signatures, op2_simhash, op3_licenses, op4_byte_bpe, op5_token_counts, op6_decontamination, op7_line_dedup, op8_language_id, op10_secrets)}
+    return {f.__name__: f for f in (op1_spot_signatures, op2_simhash, op3_licenses, op4_byte_bpe, op5_token_counts, op6_decontamination, op7_line_dedup, op8_language_id, op9_suffix_dedup, op10_secrets, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

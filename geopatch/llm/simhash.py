@@ -126,6 +126,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 2) -> DataFrame:
     Of repeated rows with that id one stays; rows with a null id all stay.
     Columns are those of ``docs``.
     """
-    kept = near_duplicates(docs, shingle=shingle, radius=radius).where("doc_id = component_id").select("doc_id").distinct()
-    once = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.where("doc_id is null"))
+    found = cut(near_duplicates(docs, shingle=shingle, radius=radius).where("doc_id = component_id").select("doc_id"))
+    once = docs.join(found.distinct(), "doc_id", "left_semi")
+    if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        once = once.dropDuplicates(["doc_id"])
+    return once.select(*docs.columns).unionByName(docs.where("doc_id is null"))
