@@ -1,0 +1,38 @@
+"""Gradient-boosted regression on feature tables."""
+
+from __future__ import annotations
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from geopatch.operators.statistics import error_aggregates
+
+
+def fit(train: DataFrame, features: list[str], label: str, seed: int, rounds: int = 20, depth: int = 5, validation: str | None = None) -> PipelineModel:
+    """A boosted model: step 0.1, half of the rows a round, at least 20 rows a leaf; rows with null features are left out."""
+    model = GBTRegressor(featuresCol="features", labelCol=label, seed=seed, maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.5, minInstancesPerNode=20)
+    if validation:
+        model = model.setValidationIndicatorCol(validation)
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip"), model]).fit(train)
+
+
+def fit_seeds(train: DataFrame, features: list[str], label: str, seeds: int = 5, **options) -> list[PipelineModel]:
+    return [fit(train, features, label, 3 + k, **options) for k in range(1, seeds + 1)]
+
+
+def evaluate(models: list[PipelineModel], rows: DataFrame, label: str, by: list[str]) -> DataFrame:
+    """``seed, .., n, rmse, mae, me, mse`` of each model by group."""
+    out = None
+    for k, model in enumerate(models, 1):
+        errors = model.transform(rows).groupBy(F.lit(k).alias("seed"), *by).agg(*error_aggregates(F.col("prediction"), F.col(label)))
+        out = errors if out is None else out.unionByName(errors)
+    return out
+
+
+def importance(spark: SparkSession, model: PipelineModel, features: list[str]) -> DataFrame:
+    """``feature, gain``: one row a feature."""
+    gains = model.stages[-1].featureImportances.toArray().tolist()
+    return spark.createDataFrame(list(zip(features, gains, strict=True)), "feature string, gain double")
