@@ -148,7 +148,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     stays null, with no lines.  Columns of the names of the three counts are
     replaced; the others are kept.
     """
-    plain = docs.drop("n_lines", "n_exact", "n_near")
     hashed = F.hash(F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.select(F.col(id_col).alias("doc_id"), hashed.alias("row"), F.coalesce(text_col, F.lit("")).alias("text"))
     place = F.struct("doc_id", "line", "row").alias("place")
@@ -164,10 +163,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     exact = (F.col("first") < F.col("place")).alias("exact")
     removed = out.select("place.*", exact).distinct().groupBy(F.col("doc_id").alias("own_id"), F.col("row").alias("own_row"))
     removed = removed.agg(F.collect_list("line").alias("gone"), F.count_if("exact").alias("n_exact"), F.count_if(~F.col("exact")).alias("n_near"))
-    both = plain.withColumn("own_hash", hashed).join(removed, plain[id_col].eqNullSafe(removed["own_id"]) & (F.col("own_hash") == removed["own_row"]), "left")
-    lines = F.split(F.col(text_col), "\n")
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")]
+    whole = docs.select(F.struct(*columns).alias("doc"), hashed.alias("hash"))
+    text = F.col("doc")[text_col]
+    both = whole.join(removed, F.col("doc")[id_col].eqNullSafe(removed["own_id"]) & (whole["hash"] == removed["own_row"]), "left")
+    lines = F.split(text, "\n")
     left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("gone", i)), "\n")
     total = F.coalesce(F.size(F.filter(lines, lambda x: F.btrim(x, F.lit(" \t\r\x0b\x0c")) != "")), F.lit(0)).cast("long")
     counts = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("n_exact", "n_near")]
-    text = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(left)
-    return both.select(*[text.alias(c) if c == text_col else F.col(c) for c in plain.columns], total.alias("n_lines"), *counts)
+    kept_text = F.when(F.col("gone").isNull(), text).otherwise(left)
+    return both.select(*[(kept_text if c == text_col else F.col("doc")[c]).alias(c) for c in columns], total.alias("n_lines"), *counts)
