@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -24,12 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geopatch.llm.common import source
+from geopatch.llm.common import small_batches, source
 
 #: Characters of text in a chunk; bounds the memory of a task.
-CHUNK = 24 << 20
+CHUNK = 8 << 20
+#: Rows that are decoded at once.
+ROWS = 512
 #: Distinct words whose ids a task remembers at a time.
-REMEMBER = 1 << 18
+REMEMBER = 1 << 17
 
 
 def ranks_of(vocabulary: bytes) -> dict[bytes, int]:
@@ -59,41 +63,45 @@ def ragged(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def encode(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, ids array<int>`` for every row, as the tiktoken library encodes ordinary text.
+    """``doc_id, ids array<int>, ids_sha256`` for every row, as the tiktoken library encodes ordinary text.
 
     Null and empty texts have an empty array.  Repeated rows give repeated
     results.  ``vocabulary`` is the content of a rank file, ``pattern`` what
-    splits texts before merging.
+    splits texts before merging.  ids_sha256 is the lowercase hex digest of the
+    ids as little-endian unsigned 32-bit integers.
+
+    One shuffle places the documents by chunk and the lists of words by word;
+    encoding reads its words from it, and putting together its documents.
     """
     rows = source(docs, id_col, text_col)
-    kind = rows.schema["doc_id"].dataType
-    spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    names = ["chunk", "bucket", "words", "slots", "lengths", "ids", "doc_id", "seq"]
-    columns = f"chunk string, bucket int, words array<string>, slots binary, lengths binary, ids binary, doc_id {kind.simpleString()}, seq binary"
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    small_batches(docs.sparkSession)
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = ["place", "chunk", "words", "sizes", "slots", "doc_id", "seq"]
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, part, ordinal = regex.compile(pattern).findall, TaskContext.get().partitionId(), 0
         slots: dict[str, int] = {}
-        seqs: list[np.ndarray] = []
+        seqs: list[bytes] = []
         owners: list[pa.Array] = []
         size = check = 0
 
         def close() -> pa.RecordBatch:
-            chunk = f"{part}-{ordinal}-{check}"
-            of = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets for w in slots), np.int32, len(slots))
-            order, listed = np.argsort(of, kind="stable"), np.array(list(slots), object)
+            chunk = f"chunk {part} {ordinal} {check}"
+            listed = [w.encode("utf-8", "surrogatepass") for w in slots]
+            of = np.fromiter((zlib.crc32(w) % buckets for w in listed), np.int32, len(listed))
+            order = np.argsort(of, kind="stable")
             groups = np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(order) else []
+            own = [[listed[i] for i in g] for g in groups]
             n, m = len(groups), len(seqs)
             ids = pa.concat_arrays(owners)
             return pa.RecordBatch.from_arrays(
                 [
+                    pa.array([f"words {of[g[0]]}" for g in groups] + [chunk] * m),
                     pa.array([chunk] * (n + m)),
-                    pa.array([int(of[g[0]]) for g in groups] + [(ordinal + i) % buckets for i in range(m)], pa.int32()),
-                    pa.array([listed[g].tolist() for g in groups] + [None] * m, pa.list_(pa.string())),
+                    pa.array([zlib.compress(b"".join(g), 1) for g in own] + [None] * m, pa.binary()),
+                    pa.array([pack(np.fromiter(map(len, g), np.uint32, len(g))) for g in own] + [None] * m, pa.binary()),
                     pa.array([pack(np.diff(g, prepend=0)) for g in groups] + [None] * m, pa.binary()),
-                    pa.nulls(n + m, pa.binary()),
-                    pa.nulls(n + m, pa.binary()),
                     pa.concat_arrays([pa.nulls(n, ids.type), ids]),
                     pa.array([None] * n + seqs, pa.binary()),
                 ],
@@ -116,45 +124,41 @@ def encode(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_
         if seqs:
             yield close()
 
-    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merge = functools.lru_cache(maxsize=REMEMBER)(lambda word: encoder(vocabulary, pattern)._encode_single_piece(word.encode("utf-8", "surrogatepass")))
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merge = functools.lru_cache(maxsize=REMEMBER)(encoder(vocabulary, pattern)._encode_single_piece)
         for batch in batches:
+            batch = batch.filter(pc.is_valid(batch.column(2)))
             lengths, found = [], []
-            for own in batch.column(2):
-                got = None if not own.is_valid else [merge(w) for w in own.as_py()]
-                lengths.append(None if got is None else pack(np.fromiter(map(len, got), np.uint32, len(got))))
-                found.append(None if got is None else pack(np.fromiter((t for g in got for t in g), np.uint32)))
-            done = [batch.column(0), batch.column(1), pa.nulls(batch.num_rows, pa.list_(pa.string())), batch.column(3), pa.array(lengths, pa.binary()), pa.array(found, pa.binary()), batch.column(6), batch.column(7)]
-            yield pa.RecordBatch.from_arrays(done, names=names)
-
-    def together(table: pa.Table) -> pa.Table:
-        is_doc = pc.is_valid(table["seq"])
-        listed, own = table.filter(pc.invert(is_doc)), table.filter(is_doc)
-        if listed.num_rows:
-            slots = np.concatenate([np.cumsum(unpack(x.as_py())).astype(np.int64) for x in listed["slots"]])
-            lengths = np.concatenate([unpack(x.as_py()) for x in listed["lengths"]]).astype(np.int64)
-            flat = np.concatenate([unpack(x.as_py()) for x in listed["ids"]]).astype(np.int32)
-        else:
-            slots, lengths, flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        count = np.zeros(len(slots), np.int64)
-        start = np.zeros(len(slots), np.int64)
+            for own, sizes in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                own, ends = zlib.decompress(own), np.cumsum(unpack(sizes)).tolist()
+                got = [merge(own[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+                lengths.append(pack(np.fromiter(map(len, got), np.uint32, len(got))))
+                found.append(pack(np.fromiter(itertools.chain.from_iterable(got), np.uint32)))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(4), pa.array(lengths, pa.binary()), pa.array(found, pa.binary())], names=["place", "slots", "lengths", "ids"])
+
+    def together(own: pa.Table, listed: pa.Table) -> pa.Table:
+        own = own.filter(pc.is_valid(own["seq"]))
+        join = lambda column: np.concatenate([np.zeros(0, np.uint32), *map(unpack, column)]).astype(np.int64)
+        slots = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(unpack(x), dtype=np.int64) for x in listed["slots"].to_pylist())])
+        lengths, flat = join(listed["lengths"].to_pylist()), join(listed["ids"].to_pylist()).astype(np.uint32)
+        count, start = np.zeros(len(slots), np.int64), np.zeros(len(slots), np.int64)
         count[slots], start[slots] = lengths, np.cumsum(lengths) - lengths
-        ends, parts = [0], []
-        for x in own["seq"]:
-            seq = unpack(x.as_py())
+        ends, parts, sums = [0], [flat[:0]], []
+        for x in own["seq"].to_pylist():
+            seq = unpack(x)
             parts.append(flat[ragged(count[seq], start[seq])])
             ends.append(ends[-1] + len(parts[-1]))
-        tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else flat[:0], pa.int32()))
-        return pa.table([own["doc_id"], tokens], names=["doc_id", "ids"])
+            sums.append(hashlib.sha256(parts[-1].astype("<u4").tobytes()).hexdigest())
+        tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts).view(np.int32)))
+        return pa.table([own["doc_id"], tokens, pa.array(sums, pa.string())], names=["doc_id", "ids", "ids_sha256"])
 
-    return (
+    placed = (
         rows.sortWithinPartitions("doc_id", F.xxhash64("text"))
-        .mapInArrow(words, columns)
-        .repartition("bucket")
-        .mapInArrow(ids, columns)
-        .groupBy("chunk")
-        .applyInArrow(together, f"doc_id {kind.simpleString()}, ids array<int>")
+        .mapInArrow(words, f"place string, chunk string, words binary, sizes binary, slots binary, doc_id {kind}, seq binary")
+        .repartition("place")
     )
+    ids = placed.mapInArrow(merged, "place string, slots binary, lengths binary, ids binary")
+    return placed.groupBy("place").cogroup(ids.groupBy("place")).applyInArrow(together, f"doc_id {kind}, ids array<int>, ids_sha256 string")
 
 
 def decode(encoded: DataFrame, vocabulary: bytes, ids_col: str = "ids") -> DataFrame:
@@ -174,7 +178,7 @@ def decode(encoded: DataFrame, vocabulary: bytes, ids_col: str = "ids") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.array(by_id, pa.binary())
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             ids = batch.column(at)
             tokens = table.take(ids.flatten())
             if tokens.null_count:
@@ -190,23 +194,4 @@ def decode(encoded: DataFrame, vocabulary: bytes, ids_col: str = "ids") -> DataF
 def round_trip(docs: DataFrame, vocabulary: bytes, pattern: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` for every row: digests of the ids and of the bytes decoded from them."""
     coded = decode(encode(docs, vocabulary, pattern), vocabulary)
-    kind = dict(coded.dtypes)["doc_id"]
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from hashlib import sha256
-
-        for batch in batches:
-            ids = batch.column(1)
-            sums = [sha256(x.values.to_numpy().astype("<u4").tobytes()).hexdigest() for x in ids]
-            lengths = pc.list_value_length(ids).cast(pa.int64())
-            whole = [sha256(x.as_buffer()).hexdigest() for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), lengths, pa.array(sums), pa.array(whole)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return coded.mapInArrow(digest, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
-
-def store(docs: DataFrame, vocabulary: bytes, pattern: str) -> DataFrame:
-    """``doc_id, lang, source, n_tokens, ids, text`` of documents: the ids, and the text decoded from them."""
-    kept = docs.select("doc_id", F.xxhash64("text").alias("key"), "lang", "source")
-    coded = decode(encode(docs, vocabulary, pattern), vocabulary)
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.decode("decoded", F.lit("UTF-8")).alias("text"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
