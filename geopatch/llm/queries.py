@@ -85,5 +85,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_spot_signatures, op2_simhash, op3_licenses, op4_byte_bpe, op5_token_counts, op6_decontamination, op7_line_dedup, op8_language_id, op9_suffix_dedup, op10_secrets, pipeline)}
 
 
+def licenses_sql() -> str:
+    """The license report, with every line against every notice."""
+    word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    spots = [f"list_transform(list_filter(range(len(ws)), lambda i: ws[i + 1:i + {len(p.split())}] = {quoted(p.split())}), lambda i: {{'at': i, 'label': '{label}'}})" for p, label in licenses.PHRASES.items()]
+    places = spots[0]
+    for spot in spots[1:]:
+        places = f"list_concat({places}, {spot})"
+    notices = ", ".join(f"('{label}', {quoted(sorted(set(t.split())))})" for t, label in licenses.TEMPLATES.items())
+    return f"""with d as (select row_number() over () r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents),
+w as (select r, doc_id, regexp_extract_all(t, {word}) ws from d),
+p as (select r, doc_id, len(ws) n_words, {places} places from w),
+n(label, members) as (values {notices}),
+l as (select distinct r, list_distinct(regexp_extract_all(line, {word})) own from (select r, unnest(string_split(t, chr(10))) line from d)),
+m as (select r, list(distinct label) labels, max(shared / cast(size as double)) best
+      from (select r, label, len(list_intersect(own, members)) shared, len(members) size from l, n) where shared >= ceil({licenses.THRESHOLD} * size - 1e-9) group by r)
+select doc_id, cast(n_words as bigint) n_words, cast(len(places) as bigint) n_base, cast(list_min(list_transform(places, lambda x: x['at'])) as bigint) first_word, cast(list_max(list_transform(places, lambda x: x['at'])) as bigint) last_word,
+  array_to_string(list_sort(list_distinct(list_transform(places, lambda x: x['label']))), ',') base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(list_transform(places, lambda x: x['label']), coalesce(labels, [])))), ',') labels,
+  case when len(places) > 0 then cast(1 as double) else coalesce(best, cast(0 as double)) end score
+from p left join m using (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express a query; the others are held against plain versions in the tests."""
+    return {"op3_licenses": licenses_sql()}
