@@ -103,14 +103,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
         met = part if met is None else met.union(part)
     found = met.groupBy("doc_id", "k1", "k2").agg(F.collect_set("met").alias("met"))
     keyed = found.select(F.col("doc_id").alias("own_id"), "k1", "k2", "met")
-    both = tokenised.join(keyed, (tokenised["doc_id"].eqNullSafe(keyed["own_id"])) & (tokenised["k1"] == keyed["k1"]) & (tokenised["k2"] == keyed["k2"]))
+    both = rows.join(keyed, rows["doc_id"].eqNullSafe(keyed["own_id"]) & (rows["k1"] == keyed["k1"]) & (rows["k2"] == keyed["k2"]))
+    both = both.select("doc_id", tokens_of(F.col("text")).alias("tokens"), "met")
 
     def compared(m: Column) -> Column:
         here = F.slice("tokens", m["pos"] + 1, m["size"])
         pairs = F.filter(F.zip_with(m["item_tokens"], here, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: is_slot(x["a"]))
         return F.struct(m["item_id"].alias("item_id"), m["item_pos"].alias("item_pos"), m["n_windows"].alias("n_windows"), (m["item_tokens"] == here).alias("exact"), pairs.alias("pairs"))
 
-    marked = both.select(tokenised["doc_id"], F.transform("met", compared).alias("met"))
+    marked = both.select("doc_id", F.transform("met", compared).alias("met"))
     of = lambda item: F.filter("met", lambda m: m["item_id"] == item)
     items = F.transform(F.array_distinct(F.transform("met", lambda m: m["item_id"])), lambda i: of(i))
     each = marked.select("doc_id", F.explode(items).alias("own"))
