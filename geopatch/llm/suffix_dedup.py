@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geopatch.llm.common import source
+from geopatch.llm.common import kept, source
 
 #: Bytes in a passage, and in the grams whose hashes are anchors.
 PASSAGE, GRAM = 200, 32
@@ -228,7 +228,6 @@ def stretches(rows: DataFrame, asked: DataFrame) -> DataFrame:
             for text, own in zip(batch.column(0), batch.column(1), strict=True):
                 data, own = text.as_buffer().to_pybytes(), own.values
                 a, b = own.field("a").to_pylist(), own.field("b").to_pylist()
-                own = own.slice(0)
                 part = [data[x : y + PASSAGE - 1] for x, y in zip(a, b, strict=True)]
                 yield pa.RecordBatch.from_arrays([own.field("h"), own.field("c"), own.field("single"), pa.array(part, pa.binary())], names=["h", "c", "single", "bytes"])
 
@@ -286,14 +285,17 @@ def repeats(rows: DataFrame, hot: int = HOT) -> DataFrame:
     """
     table = anchor_table(rows)
     again = table.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    met = table.join(again, "h")
-    kinds = met.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "a", "b")).alias("at"))
+    met = kept(table.join(again, "h"))
+    any_place = [F.first(c).alias(c) for c in ("doc_id", "row", "a", "b")]
+    kinds = kept(met.groupBy("h", "c").agg(F.count("*").alias("n"), *any_place))
     several = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    asked = kinds.join(several, "h").select("h", "c", (F.col("n") == 1).alias("single"), "kinds", "at.*")
-    few = by_suffixes(stretches(rows, asked.where(F.col("kinds") <= hot).drop("kinds")))
-    many = by_hashes(stretches(rows, asked.where(F.col("kinds") > hot).drop("kinds")))
-    whole = kinds.where("n > 1").select("h", "c", F.array(F.struct(F.lit(0).alias("s"), (F.col("at.b") - F.col("at.a")).alias("e"))).alias("spans"))
-    found = met.join(few.unionByName(many).unionByName(whole), ["h", "c"])
+    asked = kept(kinds.join(several, "h").select("h", "c", (F.col("n") == 1).alias("single"), "kinds", "doc_id", "row", "a", "b"))
+    whole = kinds.where("n > 1").select("h", "c", F.array(F.struct(F.lit(0).alias("s"), (F.col("b") - F.col("a")).alias("e"))).alias("spans"))
+    spans = whole.unionByName(by_suffixes(stretches(rows, asked.where(F.col("kinds") <= hot).drop("kinds"))))
+    hotter = asked.where(F.col("kinds") > hot)
+    if not hotter.isEmpty():
+        spans = spans.unionByName(by_hashes(stretches(rows, hotter.drop("kinds"))))
+    found = met.join(spans, ["h", "c"])
     return found.select("doc_id", "row", "a", F.inline("spans")).groupBy("doc_id", "row").agg(F.collect_list(F.struct((F.col("a") + F.col("s")).alias("s"), (F.col("a") + F.col("e")).alias("e"))).alias("starts"))
 
 
