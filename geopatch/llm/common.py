@@ -51,6 +51,19 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
+#: Bytes of computed rows up to which they are broadcast; beyond, both sides of a join are shuffled.
+BROADCAST_BYTES = 64 << 20
+
+
+def few(df: DataFrame) -> DataFrame:
+    """``df``, marked to be broadcast if all its rows, measured as JSON, take at most BROADCAST_BYTES.
+
+    Wants rows that are cheap to read twice, as those of ``kept`` and ``cut`` are.
+    """
+    wide = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    return F.broadcast(df) if (df.agg(F.sum(wide + 32)).first()[0] or 0) <= BROADCAST_BYTES else df
+
+
 def text_key(text: Column) -> list[Column]:
     """128 bits that stand for a text."""
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2")]

@@ -2,135 +2,172 @@
 
 Numbers, names and units become typed placeholders, so that a benchmark item
 whose parameters were changed has the same windows as the original.  Windows
-are joined by their hashes; where placeholders stand for other values than in
-the item, the values must correspond one to one throughout the passage.
-Everything is built from DataFrame functions.
+are joined by their hashes, once word for word and once with placeholders;
+where placeholders stand for other values than in the item, the values must
+correspond one to one throughout the passage.  Everything is built from
+DataFrame functions.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geopatch.llm.common import cut, source, text_key
+from geopatch.llm.common import few, kept, source
 
-#: Tokens in a window; tokens that an item needs to be identified by; literal tokens that a window needs.
-WINDOW, FEWEST, LITERAL = 8, 5, 4
-#: Share of an item's windows that a document must hold.
-COVERAGE = 0.3
-#: Benchmark windows up to which they are broadcast (about 200 MB); beyond, both sides are shuffled.
-BROADCAST_WINDOWS = 1_000_000
-#: Marks a capitalised word within a sentence.
-NAME = "\x02"
+#: Tokens in a window; an item of fewer tokens is one window of its own length.
+WINDOW = 8
+#: Share of an item's windows that a document must hold, or as many windows of it as this in one passage.
+COVERAGE, RUN = 0.3, 24
+#: Marks a word that begins with a capital.
+MARK = "\x02"
 #: Words that are units when they follow a number.
 UNITS = (
     "mm cm m km mg g kg t ml cl l s ms min h hour hours minute minutes second seconds day days week weeks month months year years "
     "meter meters metre metres kilometer kilometers mile miles foot feet inch inches yard yards gram grams kilogram kilograms pound pounds ounce ounces "
     "liter liters litre litres gallon gallons dollar dollars cent cents euro euros percent degree degrees"
 ).split()
+#: Words that are no names where they begin a sentence.
+OPENERS = (
+    "a an the this that these those there here it its he she they we you i my your our his her their in on at by for from to of with as if when while where who what which why how "
+    "is are was were be do does did can could will would should may might has have had not no yes and or but so then than after before since because each every all some any one "
+    "let suppose assume given find compute calculate show prove write name list choose "
+    "der die das ein eine in im am um wenn wie was wer wo und oder el la los las un una en de si y o le les des du et ou que qui"
+).split()
 
 
 def tokens_of(text: Column) -> Column:
-    """Runs of letters and digits in lower case; names keep a mark in front."""
-    marked = F.regexp_replace(text, r"(?<=[\p{Ll},] )(\p{Lu})", NAME + "$1")
-    return F.filter(F.split(F.lower(marked), r"[^\p{L}\p{N}\x02]+"), lambda t: (t != "") & (t != NAME))
+    """Runs of letters and digits in lower case, numbers with their points and commas; a mark stands before capitals."""
+    marked = F.regexp_replace(text, r"(?<![\p{L}\p{N}])(?=\p{Lu})", MARK)
+    return F.filter(F.split(F.lower(marked), r"(?:[^\p{L}\p{N}\x02.,]|[.,](?!\p{N})|(?<!\p{N})[.,])+"), lambda t: (t != "") & (t != MARK))
+
+
+def plain(token: Column) -> Column:
+    return F.when(F.ascii(token) == 2, F.substring(token, 2, 1 << 30)).otherwise(token)
 
 
 def is_number(token: Column) -> Column:
     return F.ascii(token).between(48, 57)
 
 
-def canonical(tokens: str) -> Column:
-    """The hashes of a column of tokens with placeholders for numbers, names and units."""
+def is_name(token: Column) -> Column:
+    return (F.ascii(token) == 2) & ~F.substring(token, 2, 1 << 30).isin(OPENERS)
 
-    def of(token: Column, i: Column) -> Column:
-        unit = token.isin(UNITS) & F.coalesce(is_number(F.get(F.col(tokens), i - 1)), F.lit(False))
-        return F.xxhash64(F.when(is_number(token), "<number>").when(F.ascii(token) == 2, "<name>").when(unit, "<unit>").otherwise(token))
 
-    return F.transform(tokens, of)
+def is_slot(token: Column) -> Column:
+    return is_number(token) | is_name(token) | token.isin(UNITS)
+
 
+def coded(rows: DataFrame) -> DataFrame:
+    """Adds ``exact``, the hashes of a column of tokens, and ``typed``, the same with placeholders, which alone are odd."""
 
-def windows(hashes: str, size: int) -> Column:
-    """The hash of every run of ``size`` values of an array; none if there are fewer."""
-    starts = F.sequence(F.lit(0), F.size(hashes) - size)
-    hashed = F.transform(starts, lambda i: F.xxhash64(*[F.get(F.col(hashes), i + k) for k in range(size)]))
-    return F.when(F.size(hashes) >= size, hashed).otherwise(F.array().cast("array<bigint>"))
+    def of(token: Column, i: Column) -> Column:
+        unit = token.isin(UNITS) & F.coalesce(is_number(F.get("tokens", i - 1)), F.lit(False))
+        return F.when(is_number(token), 1).when(is_name(token), 3).when(unit, 5).otherwise(F.get("exact", i).bitwiseAND(F.lit(-2).cast("long")))
 
+    rows = rows.withColumn("exact", F.transform("tokens", lambda t: F.xxhash64(plain(t))))
+    return rows.withColumn("typed", F.transform("tokens", of))
 
-def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``hash, size, item_id, item_pos, item_tokens, n_windows`` of a benchmark's items.
 
-    Items shorter than a window are one window of their own length; items of
-    fewer than FEWEST tokens have none, and so have stretches of placeholders.
+def windows(size: int) -> Column:
+    """An array of ``pos, key`` of every run of ``size`` tokens; none if there are fewer.
+
+    Each has a key word for word.  Runs with placeholders have another one with
+    these, if at least half of the tokens are literal.
     """
-    items = benchmark.select(benchmark[id_col].alias("item_id"), tokens_of(F.coalesce(benchmark[text_col], F.lit(""))).alias("tokens")).distinct()
-    items = items.where(F.size("tokens") >= FEWEST).withColumn("hashes", canonical("tokens")).withColumn("size", F.least(F.size("tokens"), F.lit(WINDOW)))
-    sized = [windows("hashes", k) for k in range(FEWEST, WINDOW + 1)]
-    hashed = F.element_at(F.array(*sized), F.col("size") - FEWEST + 1)
-    rows = items.select("item_id", "tokens", "size", F.posexplode(hashed).alias("item_pos", "hash"))
-    rows = rows.select("hash", "size", "item_id", "item_pos", F.slice("tokens", F.col("item_pos") + 1, F.col("size")).alias("item_tokens"))
-    literal = F.size(F.filter("item_tokens", lambda t: ~is_slot(t)))
-    kept = rows.where(literal >= LITERAL)
-    totals = kept.groupBy("item_id").agg(F.countDistinct("item_pos").alias("n_windows"))
-    return cut(kept.join(totals, "item_id"))
 
+    def of(i: Column) -> Column:
+        exact, typed = ([F.get(c, i + k) for k in range(size)] for c in ("exact", "typed"))
+        slots = reduce(lambda a, b: a + b, [x.bitwiseAND(F.lit(1).cast("long")) for x in typed])
+        whole = F.struct(i.alias("pos"), F.xxhash64(F.lit(0), *exact).alias("key"))
+        return F.when((slots > 0) & (2 * slots <= size), F.array(whole, F.struct(i.alias("pos"), F.xxhash64(F.lit(1), *typed).alias("key")))).otherwise(F.array(whole))
 
-def is_slot(token: Column) -> Column:
-    return is_number(token) | (F.ascii(token) == 2) | token.isin(UNITS)
+    found = F.flatten(F.transform(F.sequence(F.lit(0), F.size("tokens") - size), of))
+    return F.when(F.size("tokens") >= size, found)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document and benchmark item it holds: ``doc_id, item_id, n_windows, n_exact, n_matched, consistent``.
+def sized_windows(size: int) -> Column:
+    """The same as ``pos, key, size``, empty where there are none."""
+    marked = F.transform(windows(size), lambda w: F.struct(w["pos"].alias("pos"), w["key"].alias("key"), F.lit(size).alias("size")))
+    return F.coalesce(marked, F.array().cast("array<struct<pos:int,key:bigint,size:int>>"))
 
-    n_windows counts the item's windows, n_exact those that stand in the
-    document word for word, n_matched also those with other numbers, names or
-    units, provided that every value of the item has one counterpart in the
-    document and the other way round (``consistent``).  A document holds an
-    item if n_matched reaches ``coverage`` of n_windows.  Null and empty texts,
-    and an empty benchmark, match nothing; repeated rows give repeated results.
-    """
-    rows = source(docs, id_col, text_col).select("doc_id", "text", *text_key(F.col("text")))
+
+def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """``key, word_for_word, size, item, item_id, item_pos, item_tokens, n_windows`` of a benchmark's items; items without words have none."""
+    items = benchmark.select(benchmark[id_col].alias("item_id"), F.coalesce(benchmark[text_col], F.lit("")).alias("text")).distinct()
+    items = items.select(F.xxhash64("item_id", "text").alias("item"), "item_id", tokens_of(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
+    items = coded(items).withColumn("size", F.least(F.size("tokens"), F.lit(WINDOW)))
+    sized = F.coalesce(*[F.when(F.col("size") == k, windows(k)) for k in range(1, WINDOW + 1)])
+    rows = items.select("item", "item_id", "tokens", "exact", "size", F.inline(sized)).withColumnRenamed("pos", "item_pos")
+    own = F.coalesce(*[F.when(F.col("size") == k, F.xxhash64(F.lit(0), *[F.get("exact", F.col("item_pos") + i) for i in range(k)])) for k in range(1, WINDOW + 1)])
+    total = (F.size("tokens") - F.col("size") + 1).cast("long")
+    return kept(rows.select("key", (F.col("key") == own).alias("word_for_word"), "size", "item", "item_id", "item_pos", F.slice("tokens", F.col("item_pos") + 1, F.col("size")).alias("item_tokens"), total.alias("n_windows")))
+
+
+def found_items(docs: DataFrame, benchmark: DataFrame, coverage: float, run: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``contaminated`` with ``k1, k2``, 128 bits that stand for a document's id and text."""
+    rows = source(docs, id_col, text_col).select(*row_key(F.col("doc_id"), F.col("text")), "doc_id", "text")
     right = benchmark_windows(benchmark)
-    sizes = [r["size"] for r in right.select("size").distinct().collect()]
-    if right.count() <= BROADCAST_WINDOWS:
-        right = F.broadcast(right)
-    tokenised = rows.select("doc_id", "k1", "k2", tokens_of(F.col("text")).alias("tokens"))
-    hashed = tokenised.select("doc_id", "k1", "k2", canonical("tokens").alias("hashes"))
-    met = None
-    for size in sizes or [WINDOW]:
-        own = hashed.select("doc_id", "k1", "k2", F.posexplode(windows("hashes", size)).alias("pos", "hash")).withColumn("size", F.lit(size))
-        part = own.join(right, ["hash", "size"]).select("doc_id", "k1", "k2", F.struct("pos", "size", "item_id", "item_pos", "item_tokens", "n_windows").alias("met"))
-        met = part if met is None else met.union(part)
-    found = met.groupBy("doc_id", "k1", "k2").agg(F.collect_set("met").alias("met"))
-    keyed = found.select(F.col("doc_id").alias("own_id"), "k1", "k2", "met")
-    both = rows.join(keyed, rows["doc_id"].eqNullSafe(keyed["own_id"]) & (rows["k1"] == keyed["k1"]) & (rows["k2"] == keyed["k2"]))
-    both = both.select("doc_id", tokens_of(F.col("text")).alias("tokens"), "met")
-
-    def compared(m: Column) -> Column:
-        here = F.slice("tokens", m["pos"] + 1, m["size"])
-        pairs = F.filter(F.zip_with(m["item_tokens"], here, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: is_slot(x["a"]))
-        return F.struct(m["item_id"].alias("item_id"), m["item_pos"].alias("item_pos"), m["n_windows"].alias("n_windows"), (m["item_tokens"] == here).alias("exact"), pairs.alias("pairs"))
-
-    marked = both.select("doc_id", F.transform("met", compared).alias("met"))
-    of = lambda item: F.filter("met", lambda m: m["item_id"] == item)
-    items = F.transform(F.array_distinct(F.transform("met", lambda m: m["item_id"])), lambda i: of(i))
-    each = marked.select("doc_id", F.explode(items).alias("own"))
-    pairs = F.array_distinct(F.flatten(F.transform("own", lambda m: m["pairs"])))
-    places = lambda rows: F.size(F.array_distinct(F.transform(rows, lambda m: m["item_pos"])))
-    each = each.withColumn("pairs", pairs)
-    one_to_one = (F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))) == F.size("pairs")) & (F.size(F.array_distinct(F.transform("pairs", lambda p: p["b"]))) == F.size("pairs"))
-    counted = each.select(
-        "doc_id",
-        F.get("own", F.lit(0))["item_id"].alias("item_id"),
-        F.get("own", F.lit(0))["n_windows"].alias("n_windows"),
-        places(F.filter("own", lambda m: m["exact"])).cast("long").alias("n_exact"),
-        places(F.col("own")).cast("long").alias("n_all"),
-        one_to_one.alias("consistent"),
-    )
-    result = counted.withColumn("n_matched", F.when(F.col("consistent"), F.col("n_all")).otherwise(F.col("n_exact")))
-    return result.where(F.col("n_matched") >= F.greatest(F.lit(1), F.ceil(coverage * F.col("n_windows")))).select("doc_id", "item_id", "n_windows", "n_exact", "n_matched", "consistent")
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with their columns; rows with a null id stay."""
-    return docs.join(contaminated(docs, benchmark, coverage).select("doc_id").distinct(), "doc_id", "left_anti")
+    sizes = sorted(r["size"] for r in right.select("size").distinct().collect())
+    hashed = coded(rows.select("k1", "k2", "doc_id", tokens_of(F.col("text")).alias("tokens")))
+    every = F.concat(*[sized_windows(k) for k in sizes or [WINDOW]])
+    own = hashed.select("k1", "k2", "doc_id", F.inline(every))
+    hits = kept(own.join(few(right.drop("item_tokens", "item_id")), ["key", "size"]).select("k1", "k2", "doc_id", "pos", "size", "item", "item_pos", "word_for_word", "n_windows").distinct())
+
+    spots = ["k1", "k2", "item", "shift"]
+    hits = hits.withColumn("shift", F.col("pos") - F.col("item_pos"))
+    alike = hits.where("not word_for_word")
+    asked = alike.groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "size")).alias("asked"))
+    texts = rows.select("k1", "k2", "text").join(few(kept(asked)), ["k1", "k2"]).select("k1", "k2", "asked", tokens_of(F.col("text")).alias("tokens"))
+    slices = F.transform("asked", lambda a: F.struct(a["pos"].alias("pos"), a["size"].alias("size"), F.slice("tokens", a["pos"] + 1, a["size"]).alias("here")))
+    there = texts.select("k1", "k2", F.inline(slices)).distinct()
+    items = right.where("not word_for_word").select("item", "item_pos", "item_tokens")
+    both = alike.join(there, ["k1", "k2", "pos", "size"]).join(few(items), ["item", "item_pos"])
+    pairs = F.filter(F.zip_with("item_tokens", "here", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: is_slot(x["a"]))
+    slots = both.select(*spots, pairs.alias("pairs")).groupBy(*spots).agg(F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    kinds = lambda side: F.size(F.array_distinct(F.col("pairs")[side]))
+    one_to_one = slots.where((kinds("a") == F.size("pairs")) & (kinds("b") == F.size("pairs"))).select(*spots)
+    held = ["k1", "k2", "doc_id", "item", "n_windows", "shift", "item_pos", "word_for_word"]
+    marks = hits.where("word_for_word").select(*held).unionByName(alike.join(one_to_one, spots).select(*held))
+
+    of_item = ["k1", "k2", "doc_id", "item", "n_windows"]
+    places = marks.groupBy(*of_item, "item_pos").agg(F.max("word_for_word").alias("exact")).groupBy(*of_item).agg(F.count_if("exact").alias("n_exact"), F.count("*").alias("n_matched"))
+    longest = marks.select("k1", "k2", "item", "shift", "item_pos").distinct().groupBy("k1", "k2", "item", "shift").count().groupBy("k1", "k2", "item").agg(F.max("count").alias("n_run"))
+    enough = (F.col("n_matched") >= F.greatest(F.lit(1), F.ceil(coverage * F.col("n_windows") - 1e-9))) | (F.col("n_run") >= run)
+    result = places.join(longest, ["k1", "k2", "item"]).where(enough)
+    named = result.join(few(right.select("item", "item_id").distinct()), "item")
+    return named.select("k1", "k2", "doc_id", "item_id", "n_windows", "n_exact", "n_matched", "n_run")
+
+
+def row_key(doc_id: Column, text: Column) -> list[Column]:
+    return [F.xxhash64(doc_id, text).alias("k1"), F.xxhash64(F.lit(7), doc_id, text).alias("k2")]
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, run: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each document and benchmark item it holds: ``doc_id, item_id, n_windows, n_exact, n_matched, n_run``.
+
+    n_windows counts the item's windows; n_exact those that stand in the
+    document word for word, whatever their case; n_matched also those with
+    other numbers, names or units.  A passage is what stands at one distance
+    from the item's words: within a passage, every value of the item must have
+    one counterpart in the document and the other way round, else only its
+    exact windows count; so two copies of an item with different values do not
+    spoil each other.  n_run is the most windows of one passage.  A document
+    holds an item if n_matched reaches ``coverage`` of n_windows, or n_run
+    reaches ``run``.  An item of fewer than WINDOW words is one window.
+    Windows of which less than half is literal are found word for word only.
+
+    Null and empty texts, items without words and an empty benchmark match
+    nothing; null ids are reported as null; rows with the same id and text
+    give one result, and so do repeated items.
+    """
+    return found_items(docs, benchmark, coverage, run, id_col, text_col).drop("k1", "k2")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, run: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item, with their columns; rows with a null id are judged like any others."""
+    gone = few(kept(found_items(docs, benchmark, coverage, run, id_col, text_col).select("k1", "k2").distinct()))
+    k1, k2 = row_key(docs[id_col], F.coalesce(docs[text_col], F.lit("")))
+    return docs.join(gone, (k1 == gone["k1"]) & (k2 == gone["k2"]), "left_anti")

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from geopatch.llm import decontamination, licenses, secrets, spot_signatures
+from geopatch.llm import licenses, secrets, spot_signatures
 
 KEY = "q7ZbT0vKx3LwR9nYc5HfJ2mUeG8sDaP4iVoWt6Xk"
 
@@ -121,24 +121,3 @@ def test_secrets_stand_where_the_patterns_match(spark, odd):
         assert [(x["start"], x["rank"], x["end"]) for x in rows[d["doc_id"]]["base"]] == brute_secrets(d["text"])
     assert [x["token"] for x in rows[103]["random"]] == [KEY]
     assert secrets.scan(docs.limit(0)).count() == 0
-
-
-def test_reparameterised_questions_are_caught(spark):
-    item = "If Maria buys 12 apples and gives 5 apples to Peter on the market, how many of the 12 apples does Maria still have in her basket then?"
-    other = "The capital of the old kingdom was moved three times before the river changed its course and the harbour fell dry."
-    benchmark = spark.createDataFrame([(1, item), (2, other), (3, None), (4, "too short")], "item_id long, text string")
-    changed = item.replace("12", "31").replace("5 ", "8 ").replace("Maria", "Olga")
-    mixed = item.replace("buys 12", "buys 31").replace("5 ", "8 ")
-    rows = [(10, "Some words first. " + item + " And more."), (11, "intro, " + changed), (12, mixed), (13, "Nothing of the kind stands in this clean text about apples and markets."), (14, None), (15, ""), (16, other.upper()), (10, "Some words first. " + item + " And more.")]
-    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, hash int")
-    df = decontamination.contaminated(docs, benchmark)
-    native(df)
-    got = sorted((r["doc_id"], r["item_id"], r["consistent"], r["n_exact"] == r["n_matched"]) for r in df.collect())
-    assert got[:3] == [(10, 1, True, True), (10, 1, True, True), (11, 1, True, False)]
-    assert all(not g[2] for g in got if g[0] == 12)
-    assert {g[0] for g in got} <= {10, 11, 12, 16}
-    left = decontamination.clean(docs, benchmark)
-    assert left.columns == docs.columns
-    assert {13, 14, 15} <= {r["doc_id"] for r in left.collect()}
-    assert decontamination.contaminated(docs, benchmark.limit(0)).count() == 0
-    assert decontamination.contaminated(docs.limit(0), benchmark).count() == 0
