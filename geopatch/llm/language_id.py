@@ -2,29 +2,39 @@
 
 Text is read as runs of letters in lower case, each between a start and an end
 mark; contexts do not reach over a word's start.  Four symbols of 16 bits make
-one 64-bit n-gram code.  Spark counts the codes of all training texts; the
-model of a language is a few sorted arrays of codes with log probabilities and
-back-off weights, searched by bisection.
+one 64-bit n-gram code.  Spark counts the codes of all training texts and
+estimates all orders of the models in tables.
+
+A model is stored as sorted arrays of codes with weights that add up: each
+order adds the log back-off weight of the context, if it is known, and for a
+known n-gram what its own log probability has beyond that.  So a model of any
+size can be cut into shards, of which each text is scored by one after the
+other, and the sums are the same.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
+
+from geopatch.llm.common import few, kept, row_key
 
 ORDER, START, END = 4, 1, 2
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{L}+")
 UNKNOWN = "und"
 #: Characters of text whose words a task counts before it passes them on.
 TEXT_HELD = 32 << 20
+#: Entries of a shard, of 16 bytes each; bounds what is sent to the driver and the workers at a time.
+SHARD = 1 << 24
+#: Labelled rows of which one is set aside to calibrate the rejection, and rows that a language needs for limits of its own.
+ASIDE, OWN_LIMITS = 16, 20
 
 
 def letters(text: str) -> list[str]:
@@ -51,60 +61,69 @@ def weighted(words: Counter) -> tuple[np.ndarray, np.ndarray]:
     return found, np.bincount(where, times, len(found)).astype(np.int64)
 
 
-@dataclass
-class Level:
-    """One order of a model: grams with log probabilities, contexts with log back-off weights, both sorted."""
-
-    grams: np.ndarray
-    log_p: np.ndarray
-    contexts: np.ndarray
-    log_back: np.ndarray
-
-
-@dataclass
-class Model:
-    levels: list[Level]
-    floor: float
-
-    def log_prob(self, codes: np.ndarray) -> np.ndarray:
-        """Natural log of the probability of each code's last symbol after the others."""
-        out, left = np.zeros(len(codes)), np.arange(len(codes))
-        for k, level in zip(range(ORDER, 0, -1), self.levels, strict=True):
-            own = codes[left] if k == ORDER else codes[left] & np.uint64((1 << 16 * k) - 1)
-            at = np.minimum(np.searchsorted(level.grams, own), len(level.grams) - 1)
-            hit = level.grams[at] == own
-            out[left[hit]] += level.log_p[at[hit]]
-            left, context = left[~hit], own[~hit] >> np.uint64(16)
-            at = np.minimum(np.searchsorted(level.contexts, context), len(level.contexts) - 1)
-            known = level.contexts[at] == context
-            out[left[known]] += level.log_back[at[known]]
-        out[left] += self.floor
+def kneser_ney(counted: DataFrame) -> DataFrame:
+    """``lang, level, grams, code, weight``: the interpolated models of distinct n-grams with their counts, ``counted(lang, code, n)``.
+
+    Lower orders count the distinct symbols before.  A row is an n-gram or,
+    where ``grams`` is false, a context; orders have their discounts for each
+    language from all n-grams that stand once and twice.  Level 0 holds the
+    log probability of a symbol that was never seen.
+    """
+    raw = {ORDER: counted}
+    for k in range(ORDER - 1, 0, -1):
+        own = F.col("code").bitwiseAND(F.lit((1 << 16 * k) - 1))
+        raw[k] = kept(raw[k + 1].groupBy("lang", own.alias("code")).agg(F.count("*").alias("n")))
+    floor = kept(raw[1].groupBy("lang").agg((-F.log(F.count("*") + 1.0)).alias("floor")))
+    found = floor.select("lang", F.lit(0).alias("level"), F.lit(True).alias("grams"), F.lit(0).cast("long").alias("code"), F.col("floor").alias("weight"))
+    lower = floor.select("lang", F.lit(0).cast("long").alias("suffix"), F.col("floor").alias("below"))
+    for k in range(1, ORDER + 1):
+        ones, twos = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
+        discounts = raw[k].groupBy("lang").agg(F.when((ones > 0) & (twos > 0), ones / (ones + 2 * twos)).otherwise(0.5).alias("discount"))
+        grams = raw[k].withColumns({"context": F.shiftrightunsigned("code", 16), "suffix": F.col("code").bitwiseAND(F.lit((1 << 16 * (k - 1)) - 1))}).join(few(kept(discounts)), "lang")
+        back = F.first("discount") * F.count("*") / F.sum("n")
+        contexts = kept(grams.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.log(back).alias("back")))
+        joined = grams.join(few(contexts), ["lang", "context"]).join(few(lower), ["lang", "suffix"])
+        p = F.greatest(F.col("n") - F.col("discount"), F.lit(0.0)) / F.col("total") + F.exp(F.col("back") + F.col("below"))
+        level = kept(joined.select("lang", "code", F.log(p).alias("log_p"), (F.log(p) - F.col("back") - F.col("below")).alias("weight")))
+        lower = level.select("lang", F.col("code").alias("suffix"), F.col("log_p").alias("below"))
+        for part, is_gram in ((level.select("lang", "code", "weight"), True), (contexts.select("lang", F.col("context").alias("code"), F.col("back").alias("weight")), False)):
+            found = found.unionByName(part.withColumns({"level": F.lit(k), "grams": F.lit(is_gram)}))
+    return kept(found)
+
+
+class Shard:
+    """A part of all models: for each language, level and kind sorted codes with their weights."""
+
+    def __init__(self, rows: pa.Table, names: list[str]):
+        langs = rows["lang"].combine_chunks().dictionary_encode()
+        number = np.array([names.index(x) for x in langs.dictionary.to_pylist()], np.int64)[langs.indices.to_numpy()]
+        kind = (number * (ORDER + 1) + rows["level"].to_numpy()) * 2 + rows["grams"].to_numpy(zero_copy_only=False)
+        codes, weights = rows["code"].to_numpy().view(np.uint64), rows["weight"].to_numpy()
+        order = np.lexsort((codes, kind))
+        ends = np.searchsorted(kind[order], np.arange(2 * (ORDER + 1) * len(names) + 1))
+        self.parts = [(codes[own], weights[own]) for own in (order[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))]
+        self.n = len(names)
+
+    def log_probs(self, codes: np.ndarray) -> np.ndarray:
+        """This shard's part of the natural log of the probability of each code's last symbol after the others, for each language."""
+        out = np.zeros((self.n, len(codes)))
+        for level in range(ORDER + 1):
+            for grams in range(2):
+                keys = codes & np.uint64((1 << 16 * level) - 1)
+                own, where = np.unique(keys if grams else keys >> np.uint64(16), return_inverse=True)
+                for k in range(self.n):
+                    known, weights = self.parts[(k * (ORDER + 1) + level) * 2 + grams]
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                        out[k] += np.where(known[at] == own, weights[at], 0.0)[where]
         return out
 
 
-def kneser_ney(codes: np.ndarray, counts: np.ndarray) -> Model:
-    """The interpolated model of sorted distinct n-grams with their counts."""
-    raw, alphabet = [], len(np.unique(codes & np.uint64(0xFFFF))) + 1
-    for k in range(ORDER, 0, -1):
-        raw.append((codes, counts))
-        codes, counts = np.unique(codes & np.uint64((1 << 16 * (k - 1)) - 1), return_counts=True)
-    levels: list[Level] = []
-    lower: Level | None = None
-    for k, (grams, n) in zip(range(1, ORDER + 1), reversed(raw), strict=True):
-        ones, twos = int((n == 1).sum()), int((n == 2).sum())
-        discount = ones / (ones + 2 * twos) if ones and twos else 0.5
-        contexts, first, kinds = np.unique(grams >> np.uint64(16), return_index=True, return_counts=True)
-        total = np.add.reduceat(n, first).astype(float)
-        back = discount * kinds / total
-        if lower is None:
-            below = np.full(len(grams), 1 / alphabet)
-        else:
-            below = np.exp(lower.log_p[np.searchsorted(lower.grams, grams & np.uint64((1 << 16 * (k - 1)) - 1))])
-        which = np.repeat(np.arange(len(contexts)), kinds)
-        p = np.maximum(n - discount, 0) / total[which] + back[which] * below
-        lower = Level(grams, np.log(p), contexts, np.log(back))
-        levels.insert(0, lower)
-    return Model(levels, -float(np.log(alphabet)))
+def shards(models: DataFrame, size: int) -> Iterator[pa.Table]:
+    """The rows of all models in parts of about ``size``, one after the other; a single empty one if there are none."""
+    n = max(1, -(-models.count() // size))
+    for k in range(n):
+        yield models.where(F.pmod(F.xxhash64("lang", "level", "grams", "code"), F.lit(n)) == k).toArrow()
 
 
 def count_ngrams(labelled: DataFrame) -> DataFrame:
@@ -134,113 +153,101 @@ def count_ngrams(labelled: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
-def fit(labelled: DataFrame, max_ngrams: int = 1_000_000) -> dict[str, Model]:
-    """One model for each label, from the counts over all training texts.
+def fit(labelled: DataFrame) -> DataFrame:
+    """The models of all labels, from the counts over all rows of ``labelled(lang, text)``."""
+    return kneser_ney(kept(count_ngrams(labelled)))
 
-    ``max_ngrams`` bounds what a language's model holds, and so what is sent to
-    the driver and the workers: where a language has more distinct n-grams, the
-    counts below the least power of two that fits are left out of the model.
-    """
-    counted = count_ngrams(labelled).withColumn("size", F.floor(F.log2("n")).cast("int")).cache()
-    sizes: dict[str, dict[int, int]] = {}
-    for r in counted.groupBy("lang", "size").count().collect():
-        sizes.setdefault(r["lang"], {})[r["size"]] = r["count"]
-    least = {lang: next(s for s in range(65) if sum(n for k, n in own.items() if k >= s) <= max_ngrams) for lang, own in sizes.items()}
-    if not least:
-        return {}
-    fits = F.coalesce(F.create_map(*[F.lit(x) for pair in least.items() for x in pair])[F.col("lang")], F.lit(0))
-    table = counted.where(F.col("size") >= fits).select("lang", "code", "n").toArrow()
-    counted.unpersist()
-    models = {}
-    langs = np.array(table["lang"].to_pylist(), object)
-    for lang in sorted(least):
-        own = langs == lang
-        codes, n = table["code"].to_numpy()[own].view(np.uint64), table["n"].to_numpy()[own]
-        order = np.argsort(codes)
-        models[lang] = kneser_ney(codes[order], n[order])
-    return models
-
-
-def score(docs: DataFrame, models: dict[str, Model], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The ``keep`` columns (else doc_id alone) and ``lang_pred, score, bits, n_symbols`` of every row, over whole texts.
 
-    lang_pred is the label with the lowest cross-entropy per symbol (``bits``;
-    of equal ones the first by name); score is its share under a softmax of the
-    languages' log probabilities, over at most 64 symbols' worth.  A null text
-    or one without letters is ``und`` with score 0 and null bits, and so is
-    every text if there are no models.
-    """
-    keep = ["doc_id"] if keep is None else keep
-    rows = docs.select(docs[text_col].alias("scored"), *keep)
-    fields = [*rows.schema.fields[1:], *(StructField(c, t()) for c, t in (("lang_pred", StringType), ("score", DoubleType), ("bits", DoubleType), ("n_symbols", LongType)))]
-    held = docs.sparkSession.sparkContext.broadcast(models)
+def sums_of(rows: DataFrame, part: pa.Table, names: list[str]) -> DataFrame:
+    """Adds to ``rows`` one shard's ``sums`` of log probabilities by language, and ``n_symbols``, for the whole texts in the first column, which goes."""
+    held = rows.sparkSession.sparkContext.broadcast(Shard(part, names))
+    fields = [*rows.schema.fields[1:], StructField("sums", ArrayType(DoubleType())), StructField("n_symbols", LongType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = held.value
-        names = np.array([*models, UNKNOWN], object)
+        shard = held.value
         for batch in batches:
             slots: dict[str, int] = {}
-            owned = [np.fromiter((slots.setdefault(w, len(slots)) for w in letters(t or "")), np.int64) if models else np.zeros(0, np.int64) for t in batch.column(0).to_pylist()]
+            owned = [np.fromiter((slots.setdefault(w, len(slots)) for w in letters(t or "")), np.int64) for t in batch.column(0).to_pylist()]
             size = np.fromiter(map(len, owned), np.int64, len(owned))
-            sums, symbols = np.zeros((len(models), len(owned))), np.zeros(len(owned), np.int64)
+            sums, symbols = np.zeros((len(owned), len(names))), np.zeros(len(owned), np.int64)
             if slots:
                 codes, lengths = codes_of(list(slots))
                 unique, where = np.unique(codes, return_inverse=True)
                 starts, flat, full = np.cumsum(lengths) - lengths, np.concatenate(owned), size > 0
                 firsts = (np.cumsum(size) - size)[full]
-                for k, model in enumerate(models.values()):
-                    of_words = np.add.reduceat(model.log_prob(unique)[where], starts)
-                    sums[k, full] = np.add.reduceat(of_words[flat], firsts)
+                for k, own in enumerate(shard.log_probs(unique)):
+                    sums[full, k] = np.add.reduceat(np.add.reduceat(own[where], starts)[flat], firsts)
                 symbols[full] = np.add.reduceat(lengths[flat], firsts)
-            known = symbols > 0
-            if models:
-                cross = -sums / np.maximum(symbols, 1)
-                best = cross.argmin(axis=0)
-                low = cross.min(axis=0)
-                share = 1 / np.exp(-(cross - low) * np.minimum(symbols, 64)).sum(axis=0)
-            else:
-                best = low = share = np.zeros(len(owned))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns[1:],
-                    pa.array(names[np.where(known, best, len(models)).astype(int)], pa.string()),
-                    pa.array(np.where(known, share, 0.0)),
-                    pa.array(low / np.log(2), mask=~known),
-                    pa.array(symbols),
-                ],
-                names=[f.name for f in fields],
-            )
+            ends = np.arange(len(owned) + 1, dtype=np.int32) * len(names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.ListArray.from_arrays(pa.array(ends), pa.array(sums.reshape(-1))), pa.array(symbols)], names=[f.name for f in fields])
 
     return rows.mapInArrow(run, StructType(fields))
 
 
+def score(docs: DataFrame, models: DataFrame, text_col: str = "text", keep: list[str] | None = None, shard: int = SHARD) -> DataFrame:
+    """The ``keep`` columns (else doc_id alone) and ``lang_pred, score, bits, n_symbols`` of every row, over whole texts.
+
+    lang_pred is the label with the lowest cross-entropy per symbol (``bits``;
+    of equal ones the first by name); score is its share under a softmax of the
+    languages' log probabilities, over at most 64 symbols' worth.  A null text
+    or one without letters is ``und`` with score 0 and null bits, and so is
+    every text if there are no models.  Models of more than one shard cost a
+    pass over the texts for each, and a join of the sums.
+    """
+    keep = ["doc_id"] if keep is None else keep
+    names = sorted(r["lang"] for r in models.select("lang").distinct().collect())
+    parts = list(shards(models, shard)) if models.count() <= shard else shards(models, shard)
+    rows = docs.select(docs[text_col].alias("scored"), *keep)
+    if isinstance(parts, list):
+        added = sums_of(rows, parts[0], names)
+    else:
+        key = docs.select(docs[text_col].alias("scored"), *row_key(F.lit(0), F.coalesce(docs[text_col], F.lit("")))).dropDuplicates(["k1", "k2"])
+        every = [kept(sums_of(key, part, names)) for part in parts]
+        total = every[0]
+        for more in every[1:]:
+            both = total.join(more.select("k1", "k2", F.col("sums").alias("more")), ["k1", "k2"])
+            total = kept(both.select("k1", "k2", F.zip_with("sums", "more", lambda a, b: a + b).alias("sums"), "n_symbols"))
+        k1, k2 = row_key(F.lit(0), F.coalesce(F.col("scored"), F.lit("")))
+        added = rows.join(total, (k1 == total["k1"]) & (k2 == total["k2"])).drop("scored", total["k1"], total["k2"])
+    known = (F.col("n_symbols") > 0) & F.lit(bool(names))
+    cross = F.transform("sums", lambda x: -x / F.col("n_symbols"))
+    low = F.array_min("cross")
+    share = 1 / F.aggregate("cross", F.lit(0.0), lambda a, x: a + F.exp(-(x - low) * F.least(F.col("n_symbols"), F.lit(64))))
+    found = added.withColumn("cross", F.when(known, cross))
+    best = F.get(F.array(*map(F.lit, [*names, UNKNOWN])), F.coalesce(F.array_position("cross", low) - 1, F.lit(len(names))).cast("int"))
+    return found.select(*keep, best.alias("lang_pred"), F.when(known, share).otherwise(0.0).alias("score"), (low / F.log(F.lit(2.0))).alias("bits"), "n_symbols")
+
+
 def excess_of(centre: Column) -> Column:
     """Bits above a centre, in units of a spread that falls with the length down to that of 500 symbols."""
     return (F.col("bits") - centre) / F.sqrt(1 / F.col("n_symbols") + 1 / 500)
 
 
-def calibrate(sample: DataFrame, models: dict[str, Model], tail: float = 0.999, slack: float = 2.0) -> dict[str, tuple[float, float]]:
+def calibrate(labelled: DataFrame, models: DataFrame, tail: float = 0.999, slack: float = 2.0) -> dict[str | None, tuple[float, float]]:
     """``lang -> (centre, reach)``: a text is rejected if its excess over the centre exceeds reach.
 
     The centre is the median of the bits of a language's own texts in
-    ``sample``; the reach is the ``tail`` quantile of the excess, times
-    ``slack``.
+    ``labelled``, which the models have not seen; the reach is the ``tail``
+    quantile of the excess, times ``slack``.  Under null stand the limits over
+    all languages, for those with fewer than OWN_LIMITS texts.
     """
-    scored = score(sample, models).where("bits is not null")
-    centres = scored.groupBy("lang_pred").agg(F.percentile_approx("bits", 0.5, 10000).alias("centre"))
-    excess = excess_of(F.col("centre"))
-    rows = scored.join(F.broadcast(centres), "lang_pred").groupBy("lang_pred", "centre").agg(F.percentile_approx(excess, tail, 10000).alias("reach"))
-    return {r["lang_pred"]: (r["centre"], max(r["reach"], 1.0) * slack) for r in rows.collect()}
+    scored = kept(score(labelled, models).where("bits is not null"))
+    both = scored.select(F.explode(F.array("lang_pred", F.lit(None))).alias("lang"), "bits", "n_symbols")
+    centres = both.groupBy("lang").agg(F.percentile_approx("bits", 0.5, 10000).alias("centre"), F.count("*").alias("n")).where(f"lang is null or n >= {OWN_LIMITS}")
+    centres = few(kept(centres.withColumnRenamed("lang", "own")))
+    rows = both.join(centres, both["lang"].eqNullSafe(centres["own"])).groupBy("own", "centre").agg(F.percentile_approx(excess_of(F.col("centre")), tail, 10000).alias("reach"))
+    return {r["own"]: (r["centre"], max(r["reach"], 1.0) * slack) for r in rows.collect()}
 
 
-def accepted(limits: dict[str, tuple[float, float]]) -> Column:
+def accepted(limits: dict[str | None, tuple[float, float]]) -> Column:
     """Whether a scored row is within its language's calibrated limit; never for ``und``.
 
-    Languages without a limit are accepted.
+    Without any limits, as where no text was set aside, all others are accepted.
     """
-    within = F.lit(True)
+    within = F.lit(True) if None not in limits else excess_of(F.lit(limits[None][0])) <= limits[None][1]
     for lang, (centre, reach) in limits.items():
-        within = F.when(F.col("lang_pred") == lang, excess_of(F.lit(centre)) <= reach).otherwise(within)
+        if lang is not None:
+            within = F.when(F.col("lang_pred") == lang, excess_of(F.lit(centre)) <= reach).otherwise(within)
     return (F.col("lang_pred") != UNKNOWN) & within
 
 
@@ -248,37 +255,35 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
 
 
-def bounded_sample(labelled: DataFrame, rows: int) -> DataFrame:
-    """About ``rows`` rows of a table, the same ones whenever it is read; all if there are no more."""
-    total = labelled.count()
-    return labelled.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, rows / max(total, 1))))
-
+def fitted(docs: DataFrame) -> tuple[DataFrame, Column]:
+    """Models of the labelled rows outside the held-out fold, and the column that tells whether a scored row is accepted.
 
-def fitted(docs: DataFrame, sample_rows: int) -> tuple[dict[str, Model], Column]:
-    """Models of the labelled rows outside the held-out fold, and the column that tells whether a scored row is accepted."""
+    One row in ASIDE of these is not learnt from but sets the rejection limits.
+    """
     labelled = docs.where((fold(docs["doc_id"]) != 1) & docs["lang"].isNotNull() & docs["text"].isNotNull()).select("doc_id", "lang", "text")
-    models = fit(labelled)
-    return models, accepted(calibrate(bounded_sample(labelled, sample_rows), models))
+    aside = F.pmod(F.xxhash64(F.lit("aside"), "doc_id"), F.lit(ASIDE)) == 0
+    models = fit(labelled.where(~aside))
+    return models, accepted(calibrate(labelled.where(aside), models))
 
 
-def identify(docs: DataFrame, sample_rows: int = 3000) -> DataFrame:
+def identify(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, lang_pred, score, bits, accepted`` for every row of ``docs(doc_id, text, lang)``.
 
-    Models learn from all rows outside the held-out fold that have a label; the
-    rejection limits come from at most about ``sample_rows`` of these.  held_out
-    is null for a null id, which is never learnt from.
+    Models and limits come from all rows outside the held-out fold that have a
+    label.  held_out is null for a null id, which is never learnt from.
+    Repeated rows are learnt from and reported as often as they stand.
     """
-    models, fits = fitted(docs, sample_rows)
+    models, fits = fitted(docs)
     return score(docs, models).select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "lang_pred", "score", "bits", fits.alias("accepted"))
 
 
-def known(docs: DataFrame, sample_rows: int = 3000) -> DataFrame:
+def known(docs: DataFrame) -> DataFrame:
     """The rows of ``docs(doc_id, text, lang)`` whose language is accepted, with their columns.
 
     Texts that are null or without letters go.  Columns named lang_pred, score,
     bits and n_symbols are not looked at and are kept as they are.
     """
-    models, fits = fitted(docs, sample_rows)
-    clash = {c: f"own {c}" for c in ("lang_pred", "score", "bits", "n_symbols") if c in docs.columns}
+    models, fits = fitted(docs)
+    clash = {c: f"own {c}" for c in ("lang_pred", "score", "bits", "n_symbols", "sums", "cross", "scored") if c in docs.columns}
     rows = docs.withColumnsRenamed(clash)
     return score(rows, models, keep=rows.columns).where(fits).select(*rows.columns).withColumnsRenamed({v: k for k, v in clash.items()})
