@@ -69,6 +69,11 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2")]
 
 
+def row_key(doc_id: Column, text: Column) -> list[Column]:
+    """128 bits that stand for a row's id, which may be null, and text."""
+    return [F.xxhash64(doc_id, text).alias("k1"), F.xxhash64(F.lit(7), doc_id, text).alias("k2")]
+
+
 def sha256_of(text: Column) -> Column:
     """Lowercase hex SHA-256 of a text's UTF-8 bytes."""
     return F.sha2(text.cast("binary"), 256)

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geopatch.llm.common import few, kept, source
+from geopatch.llm.common import few, kept, row_key, source
 
 #: Tokens in a window; an item of fewer tokens is one window of its own length.
 WINDOW = 8
@@ -141,10 +141,6 @@ def found_items(docs: DataFrame, benchmark: DataFrame, coverage: float, run: int
     return named.select("k1", "k2", "doc_id", "item_id", "n_windows", "n_exact", "n_matched", "n_run")
 
 
-def row_key(doc_id: Column, text: Column) -> list[Column]:
-    return [F.xxhash64(doc_id, text).alias("k1"), F.xxhash64(F.lit(7), doc_id, text).alias("k2")]
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, run: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document and benchmark item it holds: ``doc_id, item_id, n_windows, n_exact, n_matched, n_run``.
 

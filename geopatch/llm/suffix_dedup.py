@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geopatch.llm.common import kept, source
+from geopatch.llm.common import kept, row_key, source
 
 #: Bytes in a passage, and in the grams whose hashes are anchors.
 PASSAGE, GRAM = 200, 32
@@ -194,15 +194,14 @@ SPANS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 
 
 def anchor_table(rows: DataFrame) -> DataFrame:
-    """``doc_id, row, h, c, a, b``: anchor, stretch and starts of each run of passages."""
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    """``k1, k2, h, c, a, b``: anchor, stretch and starts of each run of passages of ``rows(k1, k2, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, text in enumerate(batch.column(2)):
                 for h, c, a, b in anchors(np.frombuffer(text.as_buffer(), np.uint8)):
                     at = pa.array(np.full(len(h), i, np.int32))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["doc_id", "row", "h", "c", "a", "b"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["k1", "k2", "h", "c", "a", "b"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -215,13 +214,12 @@ def anchor_table(rows: DataFrame) -> DataFrame:
         if held:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
-    return rows.select("doc_id", "row", "text").mapInArrow(joined, f"doc_id {kind}, row int, h long, c long, a int, b int")
+    return rows.select("k1", "k2", "text").mapInArrow(joined, "k1 long, k2 long, h long, c long, a int, b int")
 
 
 def stretches(rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """``h, c, single, bytes`` of the stretches at ``asked(h, c, single, doc_id, row, a, b)``."""
-    wanted = asked.groupBy(F.col("doc_id").alias("own_id"), F.col("row").alias("own_row")).agg(F.collect_list(F.struct("h", "c", "single", "a", "b")).alias("asked"))
-    both = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["own_id"]) & (rows["row"] == wanted["own_row"]))
+    """``h, c, copy, bytes`` of the stretches at ``asked(h, c, copy, k1, k2, a, b)``."""
+    wanted = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "c", "copy", "a", "b")).alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,31 +227,31 @@ def stretches(rows: DataFrame, asked: DataFrame) -> DataFrame:
                 data, own = text.as_buffer().to_pybytes(), own.values
                 a, b = own.field("a").to_pylist(), own.field("b").to_pylist()
                 part = [data[x : y + PASSAGE - 1] for x, y in zip(a, b, strict=True)]
-                yield pa.RecordBatch.from_arrays([own.field("h"), own.field("c"), own.field("single"), pa.array(part, pa.binary())], names=["h", "c", "single", "bytes"])
+                yield pa.RecordBatch.from_arrays([own.field("h"), own.field("c"), own.field("copy"), pa.array(part, pa.binary())], names=["h", "c", "copy", "bytes"])
 
-    found = both.select("text", "asked").mapInArrow(run, "h long, c long, single boolean, bytes binary")
-    return found
+    once = rows.join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    return once.select("text", "asked").mapInArrow(run, "h long, c long, copy int, bytes binary")
 
 
 def by_suffixes(parts: DataFrame) -> DataFrame:
-    """``h, c, spans``: the starts of repeated passages in stretches ``parts(h, c, single, bytes)``, by suffix arrays over whole anchors."""
+    """``h, c, spans``: the starts of repeated passages in stretches ``parts(h, c, copy, bytes)``, by suffix arrays over whole anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], tuple[bytes, bool]] = {}
+        held: list[tuple[int, int, int, bytes]] = []
         size, last = 0, None
 
         def flush() -> pa.RecordBatch:
-            flags = repeated([x[0] for x in held.values()])
-            out = [(k, runs(f)) for (k, (_, single)), f in zip(held.items(), flags, strict=True) if single and f.any()]
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in out], pa.int64()), pa.array([k[1] for k, _ in out], pa.int64()), pa.array([s for _, s in out], SPANS)], names=["h", "c", "spans"])
+            flags = repeated([x[3] for x in held])
+            out = [(h, c, runs(f)) for (h, c, copy, _), f in zip(held, flags, strict=True) if not copy and f.any()]
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], SPANS)], names=["h", "c", "spans"])
 
         for batch in batches:
-            for h, c, single, own in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if size >= BATCH and h != last:
+            for row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if size >= BATCH and row[0] != last:
                     yield flush()
-                    held, size = {}, 0
-                held[h, c] = own, single
-                size, last = size + len(own), h
+                    held, size = [], 0
+                held.append(row)
+                size, last = size + len(row[3]), row[0]
         if held:
             yield flush()
 
@@ -265,38 +263,42 @@ def by_hashes(parts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for h, c, single, own in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for h, c, copy, own in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 data = np.frombuffer(own, np.uint8)
                 s = np.arange(len(data) - PASSAGE + 1)
                 n = len(s)
                 one, two = (range_hashes(data, s, s + PASSAGE, base).view(np.int64) for base in (0x9FB21C651E98DF25, 0xD1342543DE82EF95))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, h)), pa.array(np.full(n, c)), pa.array(np.full(n, single)), pa.array(s.astype(np.int32)), pa.array(one), pa.array(two)], names=["h", "c", "single", "s", "w1", "w2"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, h)), pa.array(np.full(n, c)), pa.array(np.full(n, copy, np.int32)), pa.array(s.astype(np.int32)), pa.array(one), pa.array(two)], names=["h", "c", "copy", "s", "w1", "w2"])
 
-    every = parts.mapInArrow(run, "h long, c long, single boolean, s int, w1 long, w2 long")
+    every = parts.mapInArrow(run, "h long, c long, copy int, s int, w1 long, w2 long")
     shared = every.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    found = every.where("single").join(shared, ["w1", "w2"])
+    found = every.where("copy = 0").join(shared, ["w1", "w2"])
     return found.groupBy("h", "c").agg(F.collect_list(F.struct("s", (F.col("s") + 1).alias("e"))).alias("spans"))
 
 
 def repeats(rows: DataFrame, hot: int = HOT) -> DataFrame:
-    """``doc_id, row, starts`` of ``rows(doc_id, row, text)``: where repeated passages start, as an array of ranges ``s, e``.
+    """``k1, k2, starts`` of ``rows(k1, k2, text)``: where repeated passages start, as an array of ranges ``s, e``.
 
     Every row is a document of its own, so passages of repeated rows repeat.
+    Of stretches that seem the same, two are fetched and compared byte by byte
+    like all others.
     """
     table = anchor_table(rows)
-    again = table.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    again = kept(table.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     met = kept(table.join(again, "h"))
-    any_place = [F.first(c).alias(c) for c in ("doc_id", "row", "a", "b")]
-    kinds = kept(met.groupBy("h", "c").agg(F.count("*").alias("n"), *any_place))
-    several = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    asked = kept(kinds.join(several, "h").select("h", "c", (F.col("n") == 1).alias("single"), "kinds", "doc_id", "row", "a", "b"))
-    whole = kinds.where("n > 1").select("h", "c", F.array(F.struct(F.lit(0).alias("s"), (F.col("b") - F.col("a")).alias("e"))).alias("spans"))
-    spans = whole.unionByName(by_suffixes(stretches(rows, asked.where(F.col("kinds") <= hot).drop("kinds"))))
+    spot = ["k1", "k2", "a", "b"]
+    ends = [f(c).alias(f"{f.__name__}_{c}") for f in (F.first, F.last) for c in spot]
+    kinds = kept(met.groupBy("h", "c").agg(F.count("*").alias("n"), *ends))
+    several = kept(kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.max("n").alias("most")).where("kinds > 1 or most > 1").select("h", "kinds"))
+    place = lambda name, copy: F.struct(F.lit(copy).alias("copy"), *[F.col(f"{name}_{c}").alias(c) for c in spot])
+    places = F.filter(F.array(place("first", 0), F.when(F.col("n") > 1, place("last", 1))), lambda x: x.isNotNull())
+    asked = kept(kinds.join(several, "h").select("h", "c", "kinds", F.inline(places)))
+    spans = by_suffixes(stretches(rows, asked.where(F.col("kinds") <= hot)))
     hotter = asked.where(F.col("kinds") > hot)
     if not hotter.isEmpty():
-        spans = spans.unionByName(by_hashes(stretches(rows, hotter.drop("kinds"))))
+        spans = spans.unionByName(by_hashes(stretches(rows, hotter)))
     found = met.join(spans, ["h", "c"])
-    return found.select("doc_id", "row", "a", F.inline("spans")).groupBy("doc_id", "row").agg(F.collect_list(F.struct((F.col("a") + F.col("s")).alias("s"), (F.col("a") + F.col("e")).alias("e"))).alias("starts"))
+    return found.select("k1", "k2", "a", F.inline("spans")).groupBy("k1", "k2").agg(F.collect_set(F.struct((F.col("a") + F.col("s")).alias("s"), (F.col("a") + F.col("e")).alias("e"))).alias("starts"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
@@ -308,9 +310,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shorter than a passage lose nothing.  Every row counts as a text of its
     own, so repeated rows lose all their passages.
     """
-    rows = source(docs, id_col, text_col).select("doc_id", F.hash("text").alias("row"), "text")
-    found = repeats(rows, hot).withColumnsRenamed({"doc_id": "own_id", "row": "own_row"})
-    both = rows.join(found, rows["doc_id"].eqNullSafe(found["own_id"]) & (rows["row"] == found["own_row"]), "left")
+    rows = source(docs, id_col, text_col).select("doc_id", *row_key(F.col("doc_id"), F.col("text")), "text")
+    both = rows.join(repeats(rows.drop("doc_id"), hot), ["k1", "k2"], "left")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,4 +329,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 left.append(data[~covered].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(gone, SPANS), pa.array(left, pa.binary())], names=["doc_id", "n_bytes", "removed", "kept"])
 
-    return both.select(rows["doc_id"], "text", "starts").mapInArrow(run, f"doc_id {kind}, n_bytes long, removed array<struct<s:int,e:int>>, kept binary")
+    return both.select("doc_id", "text", "starts").mapInArrow(run, f"doc_id {kind}, n_bytes long, removed array<struct<s:int,e:int>>, kept binary")

@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from geopatch.llm import language_id, line_dedup, suffix_dedup
+from geopatch.llm import common, language_id, line_dedup, suffix_dedup
 
 WORDS = {"en": "the of and to in that it was for with his they at be this from have", "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein"}
 
@@ -49,15 +49,58 @@ def test_counts_are_of_all_texts(spark):
     assert {r["code"] % (1 << 64): r["n"] for r in language_id.count_ngrams(df).collect()} == want
 
 
-def test_probabilities_add_up():
-    codes, counts = language_id.weighted(Counter({"abc": 3, "abd": 2, "b": 5, "cab": 1, "dd": 1}))
-    model = language_id.kneser_ney(codes, counts)
-    alphabet = sorted({int(c) & 0xFFFF for c in codes})
-    for context in {int(c) >> 16 for c in codes} | {0x7A007A007A}:
-        own = np.array([(context << 16) | s for s in alphabet], np.uint64)
-        known = np.exp(model.log_prob(own)).sum()
-        unseen = np.exp(model.log_prob(np.array([(context << 16) | 0x7A7A], np.uint64)))[0]
-        assert known + unseen == pytest.approx(1, abs=1e-9)
+def plain_kneser_ney(words):
+    """Interpolated Kneser-Ney by its definition: the log probability of a symbol after the three before it."""
+    counts = {4: Counter()}
+    for w, n in words.items():
+        marked = [1, 1, 1, *map(ord, w), 2]
+        for i in range(len(marked) - 3):
+            counts[4][tuple(marked[i : i + 4])] += n
+    for k in (3, 2, 1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    ones, twos = ({k: sum(n == m for n in counts[k].values()) for k in counts} for m in (1, 2))
+    discount = {k: ones[k] / (ones[k] + 2 * twos[k]) if ones[k] and twos[k] else 0.5 for k in counts}
+
+    def p(gram):
+        k = len(gram)
+        if not k:
+            return 1 / (len(counts[1]) + 1)
+        own = {g: n for g, n in counts[k].items() if g[:-1] == gram[:-1]}
+        if not own:
+            return p(gram[1:])
+        total = sum(own.values())
+        return max(own.get(gram, 0) - discount[k], 0) / total + discount[k] * len(own) / total * p(gram[1:])
+
+    return p
+
+
+@pytest.mark.parametrize("shard", [language_id.SHARD, 7])
+def test_models_against_the_definition(spark, shard):
+    words = {"a": Counter({"abc": 3, "abd": 2, "b": 5, "cab": 1, "dd": 1, "abcd": 2, "dcba": 1}), "b": Counter({"xa": 2, "xx": 1, "aé": 4})}
+    rows = [(lang, " ".join(w for w, n in own.items() for _ in range(n))) for lang, own in words.items()]
+    models = language_id.fit(spark.createDataFrame(rows, "lang string, text string"))
+    texts = ["abc", "zebra abcd", "xaé", "ABC, x1x", "1 ²½", "", None, "dcb " * 3000, "dcb " * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k1 long, text string")
+    got = {r["k1"]: r for r in language_id.score(docs, models, keep=["k1"], shard=shard).collect()}
+    plain = {lang: plain_kneser_ney(own) for lang, own in words.items()}
+    assert len(got) == len(texts)
+    for k, text in enumerate(texts):
+        own = [w for w in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()]
+        if not own:
+            assert (got[k]["lang_pred"], got[k]["score"], got[k]["bits"]) == ("und", 0, None)
+            continue
+        grams = [tuple(m[i : i + 4]) for w in own[:6] for m in [[1, 1, 1, *map(ord, w), 2]] for i in range(len(m) - 3)]
+        cross = {lang: -sum(np.log(p(g)) for g in grams) / len(grams) for lang, p in plain.items()}
+        n = sum(len(w) + 1 for w in own)
+        assert got[k]["lang_pred"] == min(cross, key=cross.get) and got[k]["n_symbols"] == n
+        assert got[k]["bits"] == pytest.approx(min(cross.values()) / np.log(2), rel=1e-9)
+        assert got[k]["score"] == pytest.approx(1 / sum(np.exp(-(x - min(cross.values())) * min(n, 64)) for x in cross.values()), rel=1e-6)
+
+
+def test_texts_of_other_scripts_are_rejected(spark, labelled):
+    odd = spark.createDataFrame([(5000, "qzxv kwqj xxqz vvkq " * 20, None, "s"), (5001, "²½① 12", None, "s")], "doc_id long, text string, lang string, score string")
+    got = {r["doc_id"]: r for r in language_id.identify(labelled.unionByName(odd)).where("doc_id >= 5000").collect()}
+    assert not got[5000]["accepted"] and got[5001]["lang_pred"] == "und"
 
 
 def test_no_labels(spark):
@@ -75,6 +118,11 @@ def distance(a, b):
     return row[-1]
 
 
+def units(line):
+    words = line.split()
+    return (words, 1) if len(words) >= line_dedup.WORDS else (line, 2 * (len(line) >= line_dedup.CHARS))
+
+
 def brute_lines(rows):
     first = {}
     for i, text in rows:
@@ -84,8 +132,8 @@ def brute_lines(rows):
     near = set()
     for a, p in first.items():
         for b, q in first.items():
-            x, y = a.split(), b.split()
-            if q < p and min(len(x), len(y)) >= line_dedup.NEAR_WORDS and abs(len(x) - len(y)) < 2 and distance(x, y) <= 1:
+            (x, k), (y, m) = units(a), units(b)
+            if q < p and k == m and k and abs(len(x) - len(y)) < 2 and distance(x, y) <= 1:
                 near.add(a)
     out = {}
     for i, text in rows:
@@ -97,17 +145,21 @@ def brute_lines(rows):
 @pytest.mark.parametrize("shuffled", [False, True])
 def test_lines_against_all_pairs(spark, monkeypatch, shuffled):
     if shuffled:
-        monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
     rng = random.Random(3)
     lines = [sentence(rng, "en", rng.randint(1, 14)) for _ in range(25)] + ["a b c d e f g h i j", "b c d e f g h i j a", "page 1 of the long book that has ten words", "page 2 of the long book that has ten words", "page 3 of the long book that has ten words"]
     for _ in range(25):
         words = rng.choice(lines).split()
         k = rng.randrange(len(words))
         lines.append(" ".join(rng.choice([words[:k] + words[k + 1 :], [*words[:k], "new", *words[k + 1 :]], [*words[:k], "new", *words[k:]]])))
+    for _ in range(25):
+        line = rng.choice([x for x in lines if len(x.split()) < 10])
+        k = rng.randrange(len(line))
+        lines.append(rng.choice([line[:k] + line[k + 1 :], line[:k] + "é" + line[k + 1 :], line[:k] + "ß" + line[k:]]))
     rows = [(i, "\n".join(rng.choice(["", " ", "\t"]) + rng.choice(lines) if rng.random() < 0.9 else "" for _ in range(rng.randint(1, 8)))) for i in range(40)]
-    rows += [(100, None), (101, ""), (102, "\n\n"), (103, "w " * 20000 + "\n" + "v " + "w " * 19999)]
+    rows += [(100, None), (101, ""), (102, "\n\n"), (103, "w " * 2000 + "\n" + "v " + "w " * 1999)]
     docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, row int, gone int").repartition(4)
-    left = line_dedup.dedup(docs)
+    left = line_dedup.dedup(docs).cache()
     assert left.columns == ["doc_id", "text", "row", "gone", "n_lines", "n_exact", "n_near"]
     got = {r["doc_id"]: r for r in left.collect()}
     want = brute_lines(rows)
@@ -115,6 +167,30 @@ def test_lines_against_all_pairs(spark, monkeypatch, shuffled):
     assert got[103]["n_near"] == 1 and got[100]["n_lines"] == 0
 
 
+@pytest.mark.parametrize("kind", [1, 2])
+def test_lines_one_edit_apart_share_a_part(kind):
+    rng = random.Random(5)
+    for n in [*range(10, 80), 300]:
+        for _ in range(20):
+            a = [rng.choice("abcdefgh") for _ in range(n)]
+            k = rng.randrange(n)
+            b = rng.choice([a[:k] + a[k + 1 :], [*a[:k], "x", *a[k + 1 :]], [*a[:k], "x", *a[k:]]])
+            own = [[w.encode() for w in x] if kind == 1 else "".join(x) for x in (a, b)]
+            assert set(line_dedup.parts(own[0], kind)) & set(line_dedup.parts(own[1], kind))
+            assert set(line_dedup.variants(own[0], kind).tolist()) & set(line_dedup.variants(own[1], kind).tolist())
+
+
+def test_null_ids_with_the_same_short_hash(spark):
+    """Two texts without an id whose 32-bit hashes are equal stay apart."""
+    made = "concat(repeat(concat('word', id, ' '), 3), 'line of text\nshared line of text number one\nown ', id * id)"
+    pair = spark.range(300000).selectExpr(f"{made} as text").selectExpr("text", "hash(text) as h").groupBy("h").agg({"text": "collect_list"}).toDF("h", "texts").where("size(texts) > 1").first()["texts"][:2]
+    docs = spark.createDataFrame([(None, t) for t in pair] + [(None, pair[0] + "\n" + "abc " * 100), (None, "abc " * 100)], "doc_id long, text string")
+    got = sorted(r["text"] for r in line_dedup.dedup(docs).select("text").collect())
+    assert sum("shared line" in t for t in got) == 1 and sum(t.count("own") for t in got) == 2
+    sizes = sorted(r["n_bytes"] for r in suffix_dedup.remove_repeats(docs).collect())
+    assert sizes == sorted(len(r["text"].encode()) for r in docs.collect())
+
+
 def test_repeated_rows_keep_the_same_lines(spark):
     docs = spark.createDataFrame([(1, "one\ntwo"), (1, "one\ntwo"), (2, "two\nthree"), (None, "three"), (3, "four")], "doc_id long, text string")
     got = sorted((r["doc_id"] or -1, r["text"]) for r in line_dedup.dedup(docs).collect())
