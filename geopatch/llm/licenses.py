@@ -10,26 +10,38 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geopatch.llm.common import cut, source, text_key
+from geopatch.llm.common import few, kept, source, text_key
 
 #: Phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 #: The wording of common notices, and their labels.
 TEMPLATES = {
     "licensed under the apache license version 2 0": "apache-2.0",
-    "you may not use this file except in compliance with the license": "apache-2.0",
+    "you may not use this file except in compliance with the license you may obtain a copy of the license at": "apache-2.0",
     "this work is licensed under the gnu general public license version 3": "gpl-3.0",
     "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "gpl",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation": "lgpl",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation": "agpl",
+    "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license": "gfdl",
     "licensed under cc by 4 0": "cc-by-4.0",
     "licensed under cc by nc 4 0": "cc-by-nc-4.0",
     "licensed under cc by sa 4 0": "cc-by-sa-4.0",
     "this work is licensed under a creative commons attribution 4 0 international license": "cc-by-4.0",
-    "permission is hereby granted free of charge to any person obtaining a copy of this software": "mit",
+    "this work is licensed under a creative commons attribution sharealike 4 0 international license": "cc-by-sa-4.0",
+    "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "cc-by-nc-4.0",
+    "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work": "cc0-1.0",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files": "mit",
     "released under the mit license": "mit",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software": "bsd-3-clause",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl-2.0",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0": "epl-2.0",
+    "distributed under the boost software license version 1 0": "bsl-1.0",
+    "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software": "zlib",
+    "this is free and unencumbered software released into the public domain": "unlicense",
 }
-#: Share of a notice's distinct words that a block must hold.
+#: Share of a notice's distinct words that a block must hold; a block has as many words as the notice, divided by this.
 THRESHOLD = 0.8
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The Kelvin sign, which lower-casing would turn into an ASCII letter.
@@ -59,41 +71,55 @@ def _all(words, i: Column, rest: list[str]) -> Column:
     return same
 
 
+def block_words(template: str, threshold: float = THRESHOLD) -> int:
+    """Words in a block that is compared with a notice."""
+    return math.ceil(len(template.split()) / threshold - 1e-9)
+
+
 def notices(rows: DataFrame, templates: dict[str, str], threshold: float = THRESHOLD) -> DataFrame:
-    """``k1, k2, label, containment``: the notices that a line of a text holds to at least the threshold.
-
-    A block is a line of a text; both sides are sets of words.  Only the words
-    of some notice can be shared, so blocks are cut down to these.  Words are
-    ordered by how many blocks hold them, rarest first.  A pair that shares
-    enough words shares one among the first of each side, as many as either
-    can miss and one more; pairs that meet there are pruned by the sizes and by
-    what is left after the two places, and then compared.  A block may meet
-    several notices; the result has a row for each text, label and containment.
+    """``k1, k2, label, containment``: the notices that a block of a text holds to at least the threshold, with the best block of each.
+
+    A block is any run of ``block_words`` words, whatever the line breaks; it
+    and the notice are compared as sets of words.  Words are ordered by how
+    many texts hold them, rarest first.  A block that shares enough words with
+    a notice shares one of its rarest, as many as may be missing and one more.
+    So the places of these words are joined with their notices; there, the
+    runs around a place are pruned by how many different words of the notice
+    they hold (size), then by those left from the place of each start
+    (position), and the sets that remain are compared.
     """
     sets = {t: sorted(set(t.split())) for t in templates}
     if not sets:
         return rows.select("k1", "k2", F.lit("").alias("label"), F.lit(0.0).alias("containment")).limit(0)
     need = {t: max(1, math.ceil(threshold * len(s) - 1e-9)) for t, s in sets.items()}
     vocabulary, fewest = sorted({w for s in sets.values() for w in s}), min(need.values())
-    known = F.array_distinct(F.filter(words_of(F.col("line")), lambda w: w.isin(vocabulary)))
-    lines = rows.select("k1", "k2", F.explode(F.split("text", "\n")).alias("line")).select("k1", "k2", known.alias("own"))
-    blocks = cut(lines.where(F.size("own") >= fewest).distinct())
-    counts = {r["word"]: r["n"] for r in blocks.select(F.explode("own").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
-    ordered = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
-    rank = F.array(*map(F.lit, ordered))
-    place = {w: i + 1 for i, w in enumerate(ordered)}
-    prefixes = [(t, templates[t], place[w], i, len(s), need[t]) for t, s in sets.items() for i, w in enumerate(sorted(s, key=place.get)[: len(s) - need[t] + 1])]
-    spark = rows.sparkSession
-    firsts = spark.createDataFrame(prefixes, "template string, label string, word int, place int, size int, need int")
-    whole = spark.createDataFrame([(t, [place[w] for w in s]) for t, s in sets.items()], "template string, members array<int>")
-    blocks = blocks.select("k1", "k2", F.array_sort(F.transform("own", lambda w: F.array_position(rank, w).cast("int"))).alias("own"))
-    heads = F.slice("own", 1, F.size("own") - fewest + 1)
-    starts = F.filter(F.transform(heads, lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: x["word"].isin(sorted({p[2] for p in prefixes})))
-    met = blocks.select("k1", "k2", "own", F.inline(starts)).join(F.broadcast(firsts), "word")
-    room = 1 + F.least(F.size("own") - F.col("at") - 1, F.col("size") - F.col("place") - 1)
-    pairs = met.where((F.size("own") >= F.col("need")) & (room >= F.col("need"))).join(F.broadcast(whole), "template")
-    shared = F.size(F.array_intersect("own", "members"))
-    return pairs.where(shared >= F.col("need")).select("k1", "k2", "label", (shared / F.col("size")).alias("containment")).distinct()
+    number = {w: i + 1 for i, w in enumerate(vocabulary)}
+    listed = F.array(*map(F.lit, vocabulary))
+    own = F.transform(words_of(F.col("text")), lambda w: F.when(w.isin(vocabulary), F.array_position(listed, w).cast("int")).otherwise(0))
+    texts = rows.select("k1", "k2", own.alias("own")).where(F.size(F.array_distinct("own")) >= fewest)
+    texts = kept(texts)
+    each = texts.select(F.explode(F.array_distinct("own")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    counts = {vocabulary[r["word"] - 1]: r["n"] for r in each.where("word > 0").collect()}
+    rarest = {t: sorted(s, key=lambda w: (counts.get(w, 0), w))[: len(s) - need[t] + 1] for t, s in sets.items()}
+    reach = {t: block_words(t, threshold) for t in sets}
+    spark, most = rows.sparkSession, max(reach.values())
+    firsts = F.broadcast(
+        spark.createDataFrame(
+            [(number[w], templates[t], [number[x] for x in s], need[t], reach[t]) for t, s in sets.items() for w in rarest[t]],
+            "word int, label string, members array<int>, need int, reach int",
+        )
+    )
+    marks = sorted({number[w] for own in rarest.values() for w in own})
+    at = F.filter(F.transform("own", lambda w, i: F.when(w.isin(marks), i)), lambda i: i.isNotNull())
+    around = lambda i: F.slice("own", F.greatest(i - most + 2, F.lit(1)), i - F.greatest(i - most + 1, F.lit(0)) + most)
+    spots = F.transform(at, lambda i: F.struct(F.get("own", i).alias("word"), F.least(i, F.lit(most - 1)).alias("place"), around(i).alias("run")))
+    spots = F.filter(spots, lambda x: F.size(F.array_distinct(F.filter(x["run"], lambda w: w > 0))) >= fewest)
+    met = texts.select("k1", "k2", F.inline(spots)).join(firsts, "word")
+    met = met.where(F.size(F.array_intersect("run", "members")) >= F.col("need"))
+    starts = F.sequence(F.greatest(F.col("place") - F.col("reach") + 1, F.lit(0)), F.col("place"))
+    shared = F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("run", i + 1, F.col("reach")), F.col("members"))))
+    found = met.select("k1", "k2", "label", "need", F.size("members").alias("size"), F.array_max(shared).alias("shared")).where("shared >= need")
+    return found.groupBy("k1", "k2", "label").agg(F.max(F.col("shared") / F.col("size")).alias("containment"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -105,9 +131,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     """
     rows = source(docs, id_col, text_col).select("doc_id", "text", *text_key(F.col("text")))
     found = notices(rows, TEMPLATES if templates is None else templates, threshold)
-    held = found.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("label", "containment"))).alias("notices"))
+    held = kept(found.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("label", "containment"))).alias("notices")))
     none = F.array().cast("array<struct<label:string,containment:double>>")
-    return phrases(rows).drop("text").join(held, ["k1", "k2"], "left").select("doc_id", "n_words", "places", F.coalesce("notices", none).alias("notices"))
+    return phrases(rows).drop("text").join(few(held), ["k1", "k2"], "left").select("doc_id", "n_words", "places", F.coalesce("notices", none).alias("notices"))
 
 
 def report(docs: DataFrame) -> DataFrame:

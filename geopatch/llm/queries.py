@@ -86,21 +86,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def licenses_sql() -> str:
-    """The license report, with every line against every notice."""
+    """The license report, with every run of words against every notice."""
     word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
     quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
     spots = [f"list_transform(list_filter(range(len(ws)), lambda i: ws[i + 1:i + {len(p.split())}] = {quoted(p.split())}), lambda i: {{'at': i, 'label': '{label}'}})" for p, label in licenses.PHRASES.items()]
     places = spots[0]
     for spot in spots[1:]:
         places = f"list_concat({places}, {spot})"
-    notices = ", ".join(f"('{label}', {quoted(sorted(set(t.split())))})" for t, label in licenses.TEMPLATES.items())
+    notices = ", ".join(f"({k}, '{label}', '{w}', {len(set(t.split()))}, {licenses.block_words(t)})" for k, (t, label) in enumerate(licenses.TEMPLATES.items()) for w in sorted(set(t.split())))
     return f"""with d as (select row_number() over () r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents),
 w as (select r, doc_id, regexp_extract_all(t, {word}) ws from d),
 p as (select r, doc_id, len(ws) n_words, {places} places from w),
-n(label, members) as (values {notices}),
-l as (select distinct r, list_distinct(regexp_extract_all(line, {word})) own from (select r, unnest(string_split(t, chr(10))) line from d)),
-m as (select r, list(distinct label) labels, max(shared / cast(size as double)) best
-      from (select r, label, len(list_intersect(own, members)) shared, len(members) size from l, n) where shared >= ceil({licenses.THRESHOLD} * size - 1e-9) group by r)
+n(notice, label, word, size, reach) as (values {notices}),
+e as (select r, unnest(ws) word, unnest(range(len(ws))) pos from w),
+v as (select distinct r, word from e),
+u as (select r, notice from v join n using (word) group by r, notice, size having count(*) >= ceil({licenses.THRESHOLD} * size - 1e-9)),
+g as (select u.r, n.* from u join n using (notice)),
+c as (select g.*, e.pos from g join e on g.r = e.r and g.word = e.word),
+b as (select a.r, a.label, a.pos, a.size, count(distinct z.word) shared from c a join c z on a.r = z.r and a.notice = z.notice and z.pos between a.pos and a.pos + a.reach - 1 group by a.r, a.notice, a.label, a.pos, a.size),
+m as (select r, list(distinct label) labels, max(shared / cast(size as double)) best from b where shared >= ceil({licenses.THRESHOLD} * size - 1e-9) group by r)
 select doc_id, cast(n_words as bigint) n_words, cast(len(places) as bigint) n_base, cast(list_min(list_transform(places, lambda x: x['at'])) as bigint) first_word, cast(list_max(list_transform(places, lambda x: x['at'])) as bigint) last_word,
   array_to_string(list_sort(list_distinct(list_transform(places, lambda x: x['label']))), ',') base_labels,
   array_to_string(list_sort(list_distinct(list_concat(list_transform(places, lambda x: x['label']), coalesce(labels, [])))), ',') labels,

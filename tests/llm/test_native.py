@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from geopatch.llm import licenses, secrets, spot_signatures
 
@@ -67,12 +68,11 @@ def brute_licenses(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)
     places = [(k, label) for phrase, label in licenses.PHRASES.items() for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split()]
     found = {}
-    for line in text.split("\n"):
-        own = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line))
-        for template, label in licenses.TEMPLATES.items():
-            whole = set(template.split())
-            if len(own & whole) / len(whole) >= licenses.THRESHOLD:
-                found[label] = max(found.get(label, 0), len(own & whole) / len(whole))
+    for template, label in licenses.TEMPLATES.items():
+        whole, size = set(template.split()), licenses.block_words(template)
+        best = max((len(whole & set(words[k : k + size])) for k in range(len(words))), default=0) / len(whole)
+        if best >= licenses.THRESHOLD:
+            found[label] = max(found.get(label, 0), best)
     return len(words), len(places), ",".join(sorted({x for _, x in places})), ",".join(sorted({x for _, x in places} | set(found))), 1.0 if places else max(found.values(), default=0.0)
 
 
@@ -83,9 +83,13 @@ def test_licenses_against_every_template(spark, odd):
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this program",
         "you must not use this file except in compliance with a license",
         "MITK license mit licenses the mit-license éMIT license",
-        "license " * 20000,
+        "license " * 3000,
+        "Redistribution and use in source and binary forms, with or without\n// modification, are permitted provided that the following\n// conditions are met",
+        "Permission is hereby granted, free of charge,\nto any person obtaining a copy\nof this software and associated documentation\nfiles (the Software), to deal",
+        "this " + "word " * 40 + "source code " + "word " * 40 + "form is subject to the terms of the " + "word " * 40 + "mozilla public license v 2 0",
     ]
-    docs = odd.select("doc_id", "text").union(spark.createDataFrame(list(enumerate(texts, 100)), "doc_id long, text string"))
+    docs = odd.select("doc_id", F.col("text").substr(1, 9000).alias("text")).union(spark.createDataFrame(list(enumerate([*texts, texts[0]], 100)), "doc_id long, text string"))
+    docs = docs.withColumns({"k1": F.lit("a"), "words": F.lit(2), "label": F.lit(None).cast("string")})
     df = licenses.report(docs)
     native(df)
     rows = {r["doc_id"]: r for r in df.collect()}
@@ -93,7 +97,7 @@ def test_licenses_against_every_template(spark, odd):
     for d in docs.collect():
         r = rows[d["doc_id"]]
         assert (r["n_words"], r["n_base"], r["base_labels"], r["labels"], pytest.approx(r["score"])) == brute_licenses(d["text"])
-    assert rows[102]["labels"] == "mit" and rows[102]["n_base"] == 0
+    assert [rows[k]["labels"] for k in (106, 107, 108)] == ["bsd", "mit", ""]
     assert licenses.report(docs.limit(0)).count() == 0
 
 
