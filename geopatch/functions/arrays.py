@@ -81,11 +81,6 @@ def validity_score(a: Column, size: int, nodata: int) -> Column:
     return score(a, size, lambda x: x != nodata)
 
 
-def shares(a: Column, classes: list[int]) -> Column:
-    """The fraction of each class; other values count in the denominator only."""
-    return F.transform(F.array(*map(F.lit, classes)), lambda c: F.size(F.filter(a, lambda x: x == c)) / F.size(a))
-
-
 def one_hot(value: Column, classes: list[int]) -> Column:
     """1 for the value's class; a value of no class counts as the first."""
     known = value.isin(classes)
@@ -113,38 +108,81 @@ def filled(a: Column, height: int, width: int, nodata: Column, reach: int = 1) -
     return cells(height, width, of)
 
 
-def _source(k: Column, n_in: int, n_out: int) -> Column:
-    return (k + 0.5) * (n_in / n_out) - 0.5
+def nearest_fill(a: Column, width: int | Column, nodata: Column) -> Column:
+    """No-data pixels with the nearest valid value of the whole array, by distance, then row, then column; all no-data stays."""
+    spot = lambda k: (F.floor(k / width).cast("int"), (k % width).cast("int"))
+    valid = F.filter(F.transform(a, lambda v, k: F.struct(spot(k)[0].alias("r"), spot(k)[1].alias("c"), v.alias("v"))), lambda x: x["v"] != nodata)
 
+    def of(v: Column, k: Column) -> Column:
+        r, c = spot(k)
+        near = F.array_min(F.transform(valid, lambda x: F.struct(((x["r"] - r) * (x["r"] - r) + (x["c"] - c) * (x["c"] - c)).alias("d"), x["r"].alias("r"), x["c"].alias("c"), x["v"].alias("v"))))
+        return F.when(v != nodata, v).otherwise(F.coalesce(near["v"], nodata))
 
-def nearest(a: Column, h: int, w: int, to_h: int, to_w: int) -> Column:
-    """Each output pixel takes the input pixel that holds its centre; edges are repeated."""
-    y = lambda r: F.least(F.greatest(F.floor(_source(r, h, to_h) + 0.5), F.lit(0)), F.lit(h - 1))
-    x = lambda c: F.least(F.greatest(F.floor(_source(c, w, to_w) + 0.5), F.lit(0)), F.lit(w - 1))
-    return cells(to_h, to_w, lambda r, c: at(a, y(r), x(c), w))
+    return F.transform(a, of)
 
 
-def bilinear(a: Column, h: int, w: int, to_h: int, to_w: int) -> Column:
-    """Each output pixel is weighted from the four input pixels around its centre; edges are repeated."""
+def _axis(n_in: int | Column, n_out: int) -> Column:
+    """For each output pixel of an axis, the input pixels before and after its centre, the weight of the latter, and the one that holds the centre; edges are repeated."""
+    last = n_in - 1
+    if isinstance(n_in, int):
+        places = [(k + 0.5) * (n_in / n_out) - 0.5 for k in range(n_out)]
+        clamp = lambda k: min(max(k, 0), last)
+        rows = [(clamp(math.floor(s)), clamp(math.floor(s) + 1), s - math.floor(s), clamp(math.floor(s + 0.5))) for s in places]
+        return F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(f).alias("f"), F.lit(k).alias("k")) for i, j, f, k in rows])
+    place = lambda k: (k + 0.5) * (n_in / n_out) - 0.5
+    inside = lambda k: F.least(F.greatest(F.floor(k), F.lit(0)), last).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.lit(n_out - 1)), lambda k: F.struct(inside(place(k)).alias("i"), inside(place(k) + 1).alias("j"), (place(k) - F.floor(place(k))).alias("f"), inside(place(k) + 0.5).alias("k")))
+
+
+def _over(h: int | Column, w: int | Column, to_h: int, to_w: int, of: Callable[[Column, Column], Column]) -> Column:
+    """of(row axis, column axis) of each output pixel; the axes' places and weights are computed once, not for each pixel."""
+    return F.flatten(F.transform(_axis(h, to_h), lambda y: F.transform(_axis(w, to_w), lambda x: of(y, x))))
+
+
+def nearest(a: Column, h: int | Column, w: int | Column, to_h: int, to_w: int) -> Column:
+    """Each output pixel takes the input pixel that holds its centre."""
+    return _over(h, w, to_h, to_w, lambda y, x: at(a, y["k"], x["k"], w))
 
-    def of(r: Column, c: Column) -> Column:
-        y, x = _source(r, h, to_h), _source(c, w, to_w)
-        y0, x0 = F.floor(y), F.floor(x)
-        fy, fx = y - y0, x - x0
-        clamp = lambda k, n: F.least(F.greatest(k, F.lit(0)), F.lit(n - 1))
-        v = lambda dy, dx: at(a, clamp(y0 + dy, h), clamp(x0 + dx, w), w).cast("double")
-        return (1 - fy) * ((1 - fx) * v(0, 0) + fx * v(0, 1)) + fy * ((1 - fx) * v(1, 0) + fx * v(1, 1))
 
-    return cells(to_h, to_w, of)
+def bilinear(a: Column, h: int | Column, w: int | Column, to_h: int, to_w: int) -> Column:
+    """Each output pixel is weighted from the four input pixels around its centre."""
+
+    def of(y: Column, x: Column) -> Column:
+        v = lambda r, c: at(a, r, c, w).cast("double")
+        return (1 - y["f"]) * ((1 - x["f"]) * v(y["i"], x["i"]) + x["f"] * v(y["i"], x["j"])) + y["f"] * ((1 - x["f"]) * v(y["j"], x["i"]) + x["f"] * v(y["j"], x["j"]))
+
+    return _over(h, w, to_h, to_w, of)
 
 
 def resampled(full: Column, a: Column, h: int, w: int, to_h: int, to_w: int, nodata: Column, order: int) -> Column:
-    """``full`` (the array after ``filled``) resampled, with the no-data pixels of ``a`` put back by nearest resampling."""
+    """``full`` (the array after ``filled``) resampled, with the no-data pixels of ``a`` put back by nearest resampling; infinite values are an error."""
+    infinite = F.exists(full, lambda x: F.abs(x.cast("double")) == math.inf)
+    full = F.when(~infinite, full).otherwise(F.raise_error(F.lit("a raster to resample has infinite values")))
     values = bilinear(full, h, w, to_h, to_w) if order else nearest(full, h, w, to_h, to_w)
     holes = nearest(a, h, w, to_h, to_w)
     return F.zip_with(values, holes, lambda v, hole: F.when(hole == nodata, nodata).otherwise(v))
 
 
+def aligned(a: Column, height: int, width: int, grid: tuple[Column, Column, float], to: tuple[float, float, float, int, int], nodata: Column, order: int = 0) -> Column:
+    """An array on a grid ``(left, top, resolution)`` brought to the scene's grid ``(left, top, resolution, height, width)``.
+
+    The pixels of the array that hold the centres of the scene's corner pixels
+    bound a rectangle, which is cut out, with no-data beyond the array, and
+    resampled to the scene's size.
+    """
+    (left, top, step), (to_left, to_top, to_step, to_h, to_w) = grid, to
+    row = lambda y: F.floor((top - y) / step).cast("int")
+    col = lambda x: F.floor((x - left) / step).cast("int")
+    t, b = row(to_top - to_step / 2), row(to_top - to_step * (to_h - 0.5))
+    lo, hi = col(to_left + to_step / 2), col(to_left + to_step * (to_w - 0.5))
+    cut = crop_pad(a, height, width, t, b, lo, hi, nodata)
+    h, w = b - t + 1, hi - lo + 1
+    if not order:
+        return nearest(cut, h, w, to_h, to_w)
+    holes = nearest(cut, h, w, to_h, to_w)
+    return F.zip_with(bilinear(nearest_fill(cut, w, nodata), h, w, to_h, to_w), holes, lambda v, hole: F.when(hole == nodata, nodata).otherwise(v))
+
+
 def _gradient(a: Column, r: Column, c: Column, size: int, by_row: bool, step: float) -> Column:
     """Central differences inside, one-sided ones at the edges."""
     k = r if by_row else c

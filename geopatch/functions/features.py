@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geopatch.functions.geo import cyclic
-from geopatch.schema import GAMMA0_NODATA, NODATA, PREDICTION_NODATA, PRESETS
+from geopatch.schema import DERIVED, FEATURE_GROUPS, GAMMA0_NODATA, NODATA, PREDICTION_NODATA, PRESETS
 
 
 def reflectance(dn: Column, offset: Column) -> Column:
@@ -68,24 +68,20 @@ def encode_prediction(x: Column) -> Column:
     return F.when(x < 0, 0).when(undefined, PREDICTION_NODATA).otherwise(F.when(~undefined & (x >= 0), x).cast("int"))
 
 
-def feature_names(bands: list[str], latlon: bool = False, ch: bool = False, alos: bool = False, lc: bool = False, dem: bool = False, s2_dates: bool = False, s1: bool = False, gedi_dates: bool = False) -> list[str]:
-    """Feature columns in canonical order."""
-    dates = lambda name: [f"{name}_num_days", f"{name}_doy_cos", f"{name}_doy_sin"]
-    groups = [
-        (True, bands),
-        (s2_dates, dates("s2")),
-        (s1, ["s1_vv", "s1_vh", *dates("s1")]),
-        (True, ["lat_cos", "lat_sin"]),
-        (latlon, ["lon_cos", "lon_sin"]),
-        (gedi_dates, dates("gedi")),
-        (alos, ["alos_hh", "alos_hv"]),
-        (ch, ["ch", "ch_std"]),
-        (lc, ["lc_cos", "lc_sin", "lc_prob"]),
-        (dem, ["dem"]),
-    ]
-    return [name for on, names in groups if on for name in names]
+def feature_names(bands: list[str], **groups: bool) -> list[str]:
+    """Feature columns in canonical order: the bands, latitude, and the groups that are switched on."""
+    if unknown := set(groups) - set(FEATURE_GROUPS):
+        raise ValueError(f"unknown groups {sorted(unknown)}")
+    return [*bands, *(name for group, names in FEATURE_GROUPS.items() if group == "lat" or groups.get(group) for name in names)]
 
 
 def preset(name: str) -> list[str]:
     """The feature columns of a named preset."""
     return feature_names(**PRESETS[name])
+
+
+def record(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The stored columns of a footprint's record; those that are derived again when needed, and the scene, are refused."""
+    if wrong := set(columns) & {*DERIVED, "scene"}:
+        raise ValueError(f"not stored: {sorted(wrong)}")
+    return rows.select(*columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from geopatch.schema import MISSION_START, OFFSET_START
+from geopatch.schema import BAND_OF_ID, MISSION_START, OFFSET_START
 
 
 def _part(name: Column, k: int) -> Column:
@@ -78,3 +78,8 @@ def in_year(days: Column, year: int) -> Column:
     first = F.greatest(F.datediff(F.make_date(F.lit(year), F.lit(1), F.lit(1)), start), F.lit(0))
     last = F.datediff(F.make_date(F.lit(year), F.lit(12), F.lit(31)), start)
     return days.between(first, last)
+
+
+def band_of(number: Column) -> Column:
+    """The name of a band by its number in a product's metadata, null for another number."""
+    return F.get(F.array(*map(F.lit, BAND_OF_ID)), number.cast("int"))

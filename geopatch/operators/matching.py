@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,15 +29,18 @@ def in_ring(lon: Column, lat: Column, ring: Column) -> Column:
     return F.exists(edges, lambda e: e["on"]) | odd
 
 
-def spatial_join(points: DataFrame, tiles: DataFrame, cell: float = 4.0) -> DataFrame:
+def spatial_join(points: DataFrame, tiles: DataFrame, cell: float | None = None) -> DataFrame:
     """Points with every tile whose polygon holds them.
 
     Both sides are put on a grid of cells (a tile on all the cells its box
     touches), joined on the cell, and then tested against box and polygon, so
     that no point meets a tile that is not near.  ``points(lon, lat, ..)``;
     ``tiles(tile, ring, min_lon, max_lon, min_lat, max_lat)``; other columns of
-    the points are kept.
+    the points are kept.  Cells are as wide as the tiles are on average, unless
+    given.
     """
+    if cell is None:
+        cell = tiles.agg(F.avg(F.least(F.col("max_lon") - F.col("min_lon"), F.col("max_lat") - F.col("min_lat")))).first()[0] or 1.0
     cells = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell)))
     spread = tiles.select("tile", "ring", "min_lon", "max_lon", "min_lat", "max_lat", cells("min_lon", "max_lon").alias("cell_x"))
     spread = spread.withColumn("cell_y", cells("min_lat", "max_lat"))
@@ -98,7 +99,11 @@ def bounds_filter(points: DataFrame, box: tuple[Column, Column, Column, Column])
     return points.where(F.col("easting").between(left, right) & F.col("northing").between(bottom, top))
 
 
-def degrees_box(lon: float, lat: float, metres: float) -> tuple[float, float]:
-    """Half the sides, in degrees, of a box of so many metres around a point: for predicates that reach the scan."""
-    per_degree = math.pi * 6371000.0 / 180.0
-    return metres / per_degree / max(math.cos(math.radians(lat)), 1e-6), metres / per_degree
+def with_year_layer(points: DataFrame, layer: DataFrame, when: Column, values: list[str], nodata: int = 0) -> DataFrame:
+    """Points with a yearly layer's pixel values, of the mosaic of the two-digit year of ``when``; no-data where there is none.
+
+    ``points(tile, row, col, ..)``, ``layer(tile, yy, row, col, *values)``.
+    """
+    own = points.withColumn("yy", F.date_format(when, "yy"))
+    found = own.join(layer.select("tile", "yy", "row", "col", *values), ["tile", "yy", "row", "col"], "left")
+    return found.withColumns({v: F.coalesce(v, F.lit(nodata)) for v in values})

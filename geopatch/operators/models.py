@@ -32,6 +32,11 @@ def evaluate(models: list[PipelineModel], rows: DataFrame, label: str, by: list[
     return out
 
 
+def baseline(rows: DataFrame, label: str, by: list[str]) -> DataFrame:
+    """``.., n, spread``: the error of a prediction by the group's own mean."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.stddev_pop(label).alias("spread"))
+
+
 def importance(spark: SparkSession, model: PipelineModel, features: list[str]) -> DataFrame:
     """``feature, gain``: one row a feature."""
     gains = model.stages[-1].featureImportances.toArray().tolist()

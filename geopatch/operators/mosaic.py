@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +31,16 @@ def sliding_windows(tiles: DataFrame, height: int, width: int, size: int, overla
     return tiles.select("tile", axis(height, "wr", "top")).select("tile", "wr", "top", axis(width, "wc", "left"))
 
 
+def windows_of(pixels: DataFrame, height: int, width: int, size: int, overlap: int) -> DataFrame:
+    """Pixels ``(tile, row, col, ..)`` with ``wr, wc`` of every window that holds them, a row each."""
+
+    def holding(c: str, length: int) -> Column:
+        starts = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(s).alias("s")) for k, s in enumerate(axis_starts(length, size, overlap))])
+        return F.transform(F.filter(starts, lambda w: (F.col(c) >= w["s"]) & (F.col(c) < w["s"] + size)), lambda w: w["k"])
+
+    return pixels.withColumn("wr", F.explode(holding("row", height))).withColumn("wc", F.explode(holding("col", width)))
+
+
 def winner(pixel: Column, length: int, size: int, overlap: int, shrink: int = 1) -> Column:
     """The number of the window that last writes a pixel of an axis, null if none does.
 
@@ -71,12 +84,20 @@ def masked(rows: DataFrame, scl: str = "scl") -> DataFrame:
     return rows.withColumns({c: encode_prediction(F.when(clear, F.col(c))) for c in ("agb", "std") if c in rows.columns})
 
 
-def predict_windows(windows: DataFrame, fn: Callable[[pd.Series], pd.Series], column: str, name: str = "value") -> DataFrame:
-    """Windows with a supplied model's prediction, which maps a series of arrays to a series of floats, in Arrow batches."""
+def predict_pixels(models: list[PipelineModel], pixels: DataFrame) -> DataFrame:
+    """``tile, model, wr, wc, row, col, value``: every pixel of every window by every fitted model (models from 1), without Python workers."""
+    keys = ["tile", "wr", "wc", "row", "col"]
+    parts = [m.transform(pixels).select(*keys, F.lit(k).alias("model"), F.col("prediction").alias("value")) for k, m in enumerate(models, 1)]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def predict_windows(windows: DataFrame, fn: Callable[[np.ndarray], np.ndarray], column: str, name: str = "value") -> DataFrame:
+    """Windows with a supplied model's prediction, which maps stacked arrays, one a row, to a vector, in Arrow batches."""
     fields = ", ".join(f"`{c}` {t}" for c, t in windows.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(**{name: fn(batch[column]).astype("float64")})
+            if len(batch):
+                yield batch.assign(**{name: np.asarray(fn(np.stack(batch[column].to_numpy())), np.float64)})
 
     return windows.mapInPandas(run, f"{fields}, `{name}` double")

@@ -6,16 +6,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def exact_quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """``by`` and interpolated quantiles by name.
+
+    Distinct values are counted with a map-side combine and only the counts
+    are put in order, a sort that spills: at most 65,536 rows a group for
+    16-bit bands.  For measured values, see ``band_stats(exact=False)``.
+    """
+    counts = rows.groupBy(*by, F.col(value).cast("double").alias("x")).agg(F.count("*").alias("c"))
+    group = Window.partitionBy(*by)
+    upto = counts.withColumns({"upto": F.sum("c").over(group.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("c").over(group)})
+
+    def at(rank: Column) -> Column:
+        return F.min(F.when(F.col("upto") > rank, F.col("x")))
+
+    def quantile(p: float) -> Column:
+        place = (F.col("n") - 1) * p
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        return low + (high - low) * F.max(place - F.floor(place))
+
+    return upto.groupBy(*by).agg(*[quantile(p).alias(name) for name, p in shares.items()])
+
+
 def band_stats(rows: DataFrame, by: list[str], value: str, nodata: Column | None = None, exact: bool = True) -> DataFrame:
     """``mean, std, p1, p99, min, max`` of a value by group, without no-data.
 
-    ``exact=False`` takes approximate percentiles, whose state is bounded; the
-    exact ones hold the counts of all distinct values of a group.
+    ``exact=False`` takes approximate percentiles, whose state is bounded (a
+    rank is off by at most one in 10,000); the exact ones order the counts of
+    all distinct values of a group.
     """
     rows = rows if nodata is None else rows.where(F.col(value) != nodata)
-    q = (lambda p: F.percentile(value, F.lit(p))) if exact else (lambda p: F.percentile_approx(value, p, 10000).cast("double"))
     x = F.col(value).cast("double")
-    return rows.groupBy(*by).agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), q(0.01).alias("p1"), q(0.99).alias("p99"), F.min(x).alias("min"), F.max(x).alias("max"))
+    plain = [F.avg(x).alias("mean"), F.stddev_pop(x).alias("std")]
+    ends = [F.min(x).alias("min"), F.max(x).alias("max")]
+    if not exact:
+        return rows.groupBy(*by).agg(*plain, *[F.percentile_approx(value, p, 10000).cast("double").alias(name) for name, p in (("p1", 0.01), ("p99", 0.99))], *ends)
+    quantiles = exact_quantiles(rows, by, value, {"p1": 0.01, "p99": 0.99})
+    return rows.groupBy(*by).agg(*plain, *ends).join(quantiles, by).select(*by, "mean", "std", "p1", "p99", "min", "max")
 
 
 def error_aggregates(prediction: Column, target: Column, weight: Column | None = None, normalize_weights: bool = False) -> list[Column]:
@@ -71,10 +98,15 @@ def addresses(counts: DataFrame) -> DataFrame:
     return counts.withColumn("lo", F.coalesce(before, F.lit(0)))
 
 
-def locate(ordinals: DataFrame, counts: DataFrame) -> DataFrame:
-    """``ordinal, tile, row`` of global ordinals: a range join with the few tiles, by way of equal steps of ordinals."""
-    step = 1024
-    spans = addresses(counts).where("n > 0").select("tile", "lo", "n", F.explode(F.sequence(F.floor(F.col("lo") / step), F.floor((F.col("lo") + F.col("n") - 1) / step))).alias("step"))
+def locate(ordinals: DataFrame, counts: DataFrame, steps: int = 10_000) -> DataFrame:
+    """``ordinal, tile, row`` of global ordinals: a range join with the tiles, by way of equal steps of ordinals.
+
+    The steps are as long as it takes to have about ``steps`` of them, so the
+    tiles' side stays at that many rows and one a tile.
+    """
+    placed = addresses(counts).where("n > 0")
+    step = max(1024, (placed.agg(F.max(F.col("lo") + F.col("n"))).first()[0] or 0) // steps)
+    spans = placed.select("tile", "lo", "n", F.explode(F.sequence(F.floor(F.col("lo") / step), F.floor((F.col("lo") + F.col("n") - 1) / step))).alias("step"))
     asked = ordinals.select("ordinal", F.floor(F.col("ordinal") / step).alias("step"))
     met = asked.join(spans, "step").where("ordinal >= lo and ordinal < lo + n")
     return met.select("ordinal", "tile", (F.col("ordinal") - F.col("lo")).alias("row"))
@@ -85,23 +117,43 @@ def shards(tiles: DataFrame, n: int) -> DataFrame:
     return tiles.select("tile", F.ntile(n).over(Window.orderBy("tile")).alias("shard"))
 
 
-def representative_subset(rows: DataFrame, share: float, seed: int = 0, order: Column | None = None) -> DataFrame:
+#: Equal parts of the order's range in which rows are counted; only one part a tile and biome is ranked.
+PARTS = 4096
+
+
+def representative_subset(rows: DataFrame, share: float, seed: int = 0, order: Column | None = None, span: int = 1 << 40) -> DataFrame:
     """About ``share`` of each tile's rows, with the tile's distribution of ``biome``.
 
     Quotas are shared out among the biomes of a tile by largest remainder, and
-    each takes its rows by a hash of ``shot_number``, so that the choice does
-    not depend on the order of the rows.  Rows are ranked within tile and
-    biome.
+    each takes its rows by ``order``, a whole number below ``span`` (else a
+    hash of ``shot_number``), so that the choice does not depend on the order
+    of the rows.  Rows are counted by parts of the range; all of the parts that
+    fit the quota are taken, none of those beyond, and only the rows of the
+    part on the border are ranked.
     """
-    order = F.xxhash64("shot_number", F.lit(seed)) if order is None else order
+    order = F.pmod(F.xxhash64("shot_number", F.lit(seed)), F.lit(span)) if order is None else order
     sizes = rows.groupBy("tile", "biome").agg(F.count("*").alias("n"))
     totals = sizes.groupBy("tile").agg(F.floor(F.sum("n") * share + 0.5).alias("quota"))
     exact = sizes.join(totals, "tile").withColumns({"base": F.floor(F.col("n") * share), "rest": F.col("n") * share - F.floor(F.col("n") * share)})
     by_rest = Window.partitionBy("tile").orderBy(F.desc("rest"), "biome")
     spare = F.col("quota") - F.sum("base").over(Window.partitionBy("tile"))
     quotas = exact.withColumn("take", F.col("base") + (F.row_number().over(by_rest) <= spare).cast("int")).select("tile", "biome", "take")
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("tile", "biome").orderBy(order, "shot_number")))
-    return ranked.join(quotas, ["tile", "biome"]).where("rank <= take").drop("rank", "take")
+    placed = rows.withColumns({"_order": order, "_part": F.floor(order * PARTS / F.lit(span)).cast("int")})
+    parts = placed.groupBy("tile", "biome", "_part").agg(F.count("*").alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("tile", "biome").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wanted = parts.withColumn("before", before).join(quotas, ["tile", "biome"]).where("before < take")
+    wanted = wanted.select("tile", "biome", "_part", (F.col("take") - F.col("before")).alias("left"), (F.col("c") <= F.col("take") - F.col("before")).alias("whole"))
+    met = placed.join(wanted, ["tile", "biome", "_part"])
+    border = met.where("not whole").withColumn("rank", F.row_number().over(Window.partitionBy("tile", "biome").orderBy("_order", "shot_number"))).where("rank <= left")
+    return met.where("whole").select(*rows.columns).unionByName(border.select(*rows.columns))
+
+
+def shares(rows: DataFrame, by: str, value: str, classes: list[int]) -> DataFrame:
+    """``by, biome, share`` of every class: its fraction of the group's rows; other values count in the denominator only."""
+    counts = rows.groupBy(by, value).agg(F.count("*").alias("n"))
+    totals = counts.groupBy(by).agg(F.sum("n").alias("n"), *[F.sum(F.when(F.col(value) == c, F.col("n")).otherwise(0)).alias(str(c)) for c in classes])
+    pairs = F.array(*[F.struct(F.lit(c).alias("biome"), (F.col(str(c)) / F.col("n")).alias("share")) for c in classes])
+    return totals.select(by, F.inline(pairs))
 
 
 def subset_distance(rows: DataFrame, subset: DataFrame) -> DataFrame:

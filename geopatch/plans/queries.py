@@ -12,7 +12,7 @@ from geopatch.functions import arrays, features, geo, names
 from geopatch.operators import matching, models, mosaic, statistics, windows
 from geopatch.plans import sql
 from geopatch.plans.sql import using
-from geopatch.schema import BIOMES, LAND_COVER, PRESETS
+from geopatch.schema import BAND_OF_ID, BIOMES, PRESETS
 from geopatch.sources import adapters, chunks, scratch
 from geopatch.streaming import ingest
 
@@ -60,9 +60,9 @@ def pattern_parse(spark, sf_dir):
     return adapters.footprints(spark, sf_dir).select("shot_number", names.pattern_parts(F.col("pattern")).alias("p")).select("shot_number", "p.*")
 
 
-@query(using(sql.TILES) + "select tile, cast(case when substr(tile, 3, 1) between 'C' and 'M' then '327' else '326' end || substr(tile, 1, 2) as int) epsg from tiles")
+@query(using(sql.GRID) + "select tile, cast(case when substr(tile, 3, 1) between 'C' and 'M' then '327' else '326' end || substr(tile, 1, 2) as int) epsg from grid")
 def tile_epsg(spark, sf_dir):
-    return adapters.tiles(spark, sf_dir).select("tile", names.tile_epsg(F.col("tile")).alias("epsg"))
+    return adapters.grid_tiles(spark, sf_dir).select("tile", names.tile_epsg(F.col("tile")).alias("epsg"))
 
 
 @query(using(sql.FOOTPRINTS) + """select shot_number, cast(date_diff('day', date '2019-04-17', gedi_date) as int) gedi_days, gedi_date same_date from footprints
@@ -129,24 +129,25 @@ def _sql_utm() -> str:
     sinh, cosh = "((exp({0}) - exp(-({0}))) / 2)", "((exp({0}) + exp(-({0}))) / 2)"
     east = "eta" + "".join(f" + cast({a!r} as double) * cos({2 * k} * xi) * {sinh.format(f'{2 * k} * eta')}" for k, a in enumerate(series, 1))
     north = "xi" + "".join(f" + cast({a!r} as double) * sin({2 * k} * xi) * {cosh.format(f'{2 * k} * eta')}" for k, a in enumerate(series, 1))
-    return f"""a as (select f.*, t.zone, substr(f.tile, 3, 1) < 'N' south, sin(radians(lat)) s from footprints f join tiles t on f.tile = t.tile where abs(lon - (zone * 6 - 183)) <= 20),
+    return f"""a as (select *, cast(floor((lon + 180) / 6) as int) + 1 as zone, lat < 0 south, sin(radians(lat)) s from footprints),
 b as (select *, {sinh.format(f'(atanh(s) - cast({root!r} as double) * atanh(cast({root!r} as double) * s))')} t, radians(lon - (zone * 6 - 183)) turn from a),
 c as (select *, atan2(t, cos(turn)) xi, atanh(sin(turn) / sqrt(1 + t * t)) eta from b),
 projected as (select shot_number, cast({0.9996 * radius!r} as double) * ({east}) + 500000 easting, cast({0.9996 * radius!r} as double) * ({north}) + case when south then 10000000 else 0 end northing from c)"""
 
 
 def _projected(spark, sf_dir):
-    zones = adapters.tiles(spark, sf_dir).select("tile", "zone")
-    rows = adapters.footprints(spark, sf_dir).join(F.broadcast(zones), "tile").where(F.abs(F.col("lon") - (F.col("zone") * 6 - 183)) <= 20)
-    return rows.select("shot_number", geo.utm(F.col("lon"), F.col("lat"), F.col("zone"), F.substring("tile", 3, 1) < "N").alias("p")).select("shot_number", "p.*")
+    """Footprints in the UTM zone they lie in."""
+    zone = (F.floor((F.col("lon") + 180) / 6) + 1).cast("int")
+    rows = adapters.footprints(spark, sf_dir)
+    return rows.select("shot_number", geo.utm(F.col("lon"), F.col("lat"), zone, F.col("lat") < 0).alias("p")).select("shot_number", "p.*")
 
 
-@query(using(sql.FOOTPRINTS, sql.TILES, _sql_utm()) + "select shot_number, round(easting, 3) easting, round(northing, 3) northing from projected")
+@query(using(sql.FOOTPRINTS, _sql_utm()) + "select shot_number, round(easting, 3) easting, round(northing, 3) northing from projected")
 def utm_project(spark, sf_dir):
     return _projected(spark, sf_dir).select("shot_number", F.round("easting", 3).alias("easting"), F.round("northing", 3).alias("northing"))
 
 
-@query(using(sql.FOOTPRINTS, sql.TILES, _sql_utm()) + "select shot_number from projected where easting between 300000 and 700000 and northing between 1000000 and 9000000")
+@query(using(sql.FOOTPRINTS, _sql_utm()) + "select shot_number from projected where easting between 300000 and 700000 and northing between 1000000 and 9000000")
 def scene_bounds(spark, sf_dir):
     return matching.bounds_filter(_projected(spark, sf_dir), tuple(map(F.lit, (300000.0, 700000.0, 1000000.0, 9000000.0)))).select("shot_number")
 
@@ -156,24 +157,37 @@ def scene_of_year(spark, sf_dir):
     return matching.scene_of_year(adapters.scenes(spark, sf_dir))
 
 
-@query(using(sql.SCENES) + "select scene, tile from (select *, row_number() over (order by scene) k from scenes) where k % 10 = 0")
+@query(using(sql.SCENES) + "select scene, tile from scenes where (dayofyear(acq_date) + ti) % 10 = 0")
 def scene_quarantine(spark, sf_dir):
     scenes = adapters.scenes(spark, sf_dir)
-    numbered = scenes.selectExpr("*", "row_number() over (order by scene) as k")
-    return matching.quarantined(scenes, numbered.where("k % 10 <> 0")).select("scene", "tile")
+    readable = scenes.where((F.dayofyear("acq_date") + F.col("ti")) % 10 != 0)
+    return matching.quarantined(scenes, readable).select("scene", "tile")
+
+
+@query(using(sql.SCENES) + "select distinct tile, strftime(acq_date, '%y') yy from scenes")
+def scene_years(spark, sf_dir):
+    return adapters.scenes(spark, sf_dir).select("tile", names.two_digit_year(F.col("acq_date")).alias("yy")).distinct()
+
+
+@query(using(sql.FOOTPRINTS, sql.SCENES) + """select f.shot_number, s.scene from (select shot_number, tile, cast(year(gedi_date) as int) y from footprints) f
+  left join (select y, tile, arg_min(scene, (cloud, scene)) scene from (select *, cast(year(acq_date) as int) y from scenes) group by 1, 2) s on f.tile = s.tile and f.y = s.y""")
+def scene_lookup(spark, sf_dir):
+    rows = adapters.footprints(spark, sf_dir).select("shot_number", "tile", F.year("gedi_date").alias("year"))
+    return rows.join(matching.scene_of_year(adapters.scenes(spark, sf_dir)), ["tile", "year"], "left").select("shot_number", "scene")
 
 
 @query(using(sql.SCENES) + """select scene, band, reason from (
   select scene, band, case when ti = 3 then 'quantification' when acq_date >= date '2022-01-25' and band = 'B02' and ti = 5 then 'offset' end reason
-  from scenes, (values ('B02'), ('B03')) b(band)) where reason is not null""")
+  from scenes, (values ('B01'), ('B02'), ('B03'), ('B04'), ('B05'), ('B06'), ('B07'), ('B08'), ('B8A'), ('B09'), ('B10'), ('B11'), ('B12')) b(band)) where reason is not null""")
 def metadata_violations(spark, sf_dir):
     meta = adapters.scenes(spark, sf_dir).select(
         "scene",
         "ti",
         F.when(F.col("ti") == 3, 1000).otherwise(10000).alias("quantification"),
         names.offset_flag(F.col("acq_date")).alias("boa_offset"),
-        F.explode(F.array(F.lit("B02"), F.lit("B03"))).alias("band"),
+        F.explode(F.sequence(F.lit(0), F.lit(len(BAND_OF_ID) - 1))).alias("band_id"),
     )
+    meta = meta.withColumn("band", names.band_of(F.col("band_id")))
     meta = meta.withColumn("offset", F.when((F.col("ti") == 5) & (F.col("band") == "B02"), -1000).otherwise(1000))
     return matching.metadata_violations(meta, 10000, 1000)
 
@@ -212,17 +226,17 @@ def doy_encode(spark, sf_dir):
 
 
 @query(using(sql.FOOTPRINTS) + """select shot_number, cast(k as int) k, round(y, 6) lat, round(lon + (k % 3 - 1) * 10 / cast(6371000 as double) * (180 / pi()) / cos(radians(y)), 6) lon
-  from (select shot_number, lon, k, lat - (k // 3 - 1) * 10 / cast(6371000 as double) * (180 / pi()) y from footprints, range(9) r(k) where shot_number % 20 = 0)""")
+  from (select shot_number, lon, k, lat - (k // 3 - 1) * 10 / cast(6371000 as double) * (180 / pi()) y from footprints, range(9) r(k))""")
 def patch_coords(spark, sf_dir):
-    rows = adapters.footprints(spark, sf_dir).where("shot_number % 20 = 0")
+    rows = adapters.footprints(spark, sf_dir)
     grid = arrays.cells(3, 3, lambda i, j: geo.pixel_coordinate(F.col("lat"), F.col("lon"), i, j, 3))
     return rows.select("shot_number", F.posexplode(grid).alias("k", "p")).select("shot_number", "k", r6("p.lat").alias("lat"), r6("p.lon").alias("lon"))
 
 
-@query(using(sql.TILES, "g as (select ti, tile, min_lon, max_lon, min_lat, max_lat, i, j from tiles, range(16) a(i), range(16) b(j))") + """select tile, cast(i as int) as "row", cast(j as int) col,
+@query(using(sql.GRID, "g as (select ti, tile, min_lon, max_lon, min_lat, max_lat, i, j from grid, range(16) a(i), range(16) b(j))") + """select tile, cast(i as int) as "row", cast(j as int) col,
   round((cos(pi() * (max_lat + (min_lat - max_lat) * i / 15) / 90) + 1) / 2, 6) lat_cos, round((sin(pi() * (min_lon + (max_lon - min_lon) * j / 15) / 180) + 1) / 2, 6) lon_sin from g""")
 def tile_coords(spark, sf_dir):
-    rows = adapters.tiles(spark, sf_dir).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(15)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    rows = adapters.grid_tiles(spark, sf_dir).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(15)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(15))))
     lat = geo.interpolated(F.col("max_lat"), F.col("min_lat"), F.col("row"), F.lit(16))
     lon = geo.interpolated(F.col("min_lon"), F.col("max_lon"), F.col("col"), F.lit(16))
     code = geo.encode_lat_lon(lat, lon)
@@ -285,16 +299,35 @@ def lc_onehot(spark, sf_dir):
 
 @query(using(sql.LAND) + """select shot_number, cast(d as int) dim, round(case when lc in (50, 60) then 0 else lc end * cast(0.001 as double) + d * cast(0.1 as double), 6) as value from land, range(5) r(d)""")
 def lc_embed(spark, sf_dir):
-    table = {c: [c * 0.001 + d * 0.1 for d in range(5)] for c in LAND_COVER if c not in (50, 60)}
+    path, classes = scratch.folder(spark), adapters.land_cover_points(spark, sf_dir).where("lc not in (50, 60)").select("lc").union(spark.range(1).select(F.lit(0).alias("lc"))).distinct()
+    classes.select(*[(F.col("lc") * 0.001 + d * 0.1).alias(f"dim{d}") for d in range(5)], F.col("lc").alias("mapping")).write.csv(path, header=True)
+    table = chunks.read_embeddings(spark, path)
     return adapters.land_cover_points(spark, sf_dir).select("shot_number", F.posexplode(features.embedded(F.col("lc"), table)).alias("dim", "value")).withColumn("value", r6("value"))
 
 
 @query(using(sql.LAND, "t as (select ti, count(*) n from land group by ti)") + f"""select t.ti, b.biome, round(cast(count(land.lc) as double) / max(t.n), 6) share
   from t cross join (select unnest([{', '.join(map(str, BIOMES))}]) biome) b left join land on land.ti = t.ti and land.lc = b.biome group by 1, 2""")
 def biome_distribution(spark, sf_dir):
-    rows = adapters.land_cover_points(spark, sf_dir).groupBy("ti").agg(F.collect_list("lc").alias("lc"))
-    both = F.explode(F.arrays_zip(F.array(*map(F.lit, BIOMES)).alias("biome"), arrays.shares(F.col("lc"), BIOMES).alias("share"))).alias("b")
-    return rows.select("ti", both).select("ti", "b.biome", r6("b.share").alias("share"))
+    return statistics.shares(adapters.land_cover_points(spark, sf_dir), "ti", "lc", BIOMES).withColumn("share", r6("share"))
+
+
+@query(using(sql.FOOTPRINTS, "d as (select shot_number, cast(date_diff('day', date '2019-04-17', gedi_date) as int) gedi_days from footprints)") + "select shot_number, round((gedi_days - mn) / cast(mx - mn as double), 6) as value from d, (select min(gedi_days) mn, max(gedi_days) mx from d)")
+def normalize_dates(spark, sf_dir):
+    rows = adapters.footprints(spark, sf_dir).select("shot_number", names.mission_days(F.col("gedi_date")).alias("gedi_days"), F.lit(1).alias("one"))
+    stats = rows.groupBy("one").agg(F.min("gedi_days").alias("min"), F.max("gedi_days").alias("max"))
+    value = features.normalize(F.col("gedi_days"), {c: F.col(c) for c in ("min", "max")}, "pct", F.lit(None), date=True)
+    return rows.join(F.broadcast(stats), "one").select("shot_number", r6(value).alias("value"))
+
+
+@query(using(sql.FOOTPRINTS) + "select shot_number, cast(agbd as float) agbd, round(lon, 6) lon, gedi_date from footprints")
+def record_project(spark, sf_dir):
+    rows = features.record(adapters.footprints(spark, sf_dir).withColumn("scene", F.lit("s")), ["shot_number", "agbd", "lon", "gedi_date"])
+    return rows.withColumns({"agbd": F.col("agbd").cast("float"), "lon": r6("lon")})
+
+
+@query(using(sql.LAND) + "select shot_number, cast(k as int) k, lc as value from land, range(9) r(k)")
+def scalar_plane(spark, sf_dir):
+    return adapters.land_cover_points(spark, sf_dir).select("shot_number", F.posexplode(arrays.plane(F.col("lc"), 3)).alias("k", "value"))
 
 
 # --- windows -------------------------------------------------------------
@@ -341,17 +374,21 @@ def validity_filter(spark, sf_dir):
     return windows.valid_height(rows, "patch", PATCH).select("shot_number", "ch_score")
 
 
-@query(using(sql.FOOTPRINTS, sql.SCENES, sql.RASTER) + """select s.scene, cast(year(acq_date) as int) as year, a.n from scenes s join (select tile, count(*) n from raster where layer = 'ALOS' group by tile) a on s.tile = a.tile""")
+@query(using(sql.FOOTPRINTS, sql.SCENES, sql.RADAR, ASOF, """m as (select shot_number, tile, "row", col, substr(scene, 14, 2) yy from matched where scene is not null)""")
+    + """select m.shot_number, m.yy, coalesce(hh, 0) hh, coalesce(hv, 0) hv from m left join radar r on m.tile = r.tile and m.yy = r.yy and m."row" = r."row" and m.col = r.col""")
 def layer_year_match(spark, sf_dir):
-    radar = adapters.raster(spark, sf_dir).where("layer = 'ALOS'").groupBy("tile").agg(F.count("*").alias("n"))
-    return adapters.scenes(spark, sf_dir).join(radar, "tile").select("scene", F.year("acq_date").alias("year"), "n")
+    rows = _matched(spark, sf_dir).where("scene is not null")
+    found = matching.with_year_layer(rows, adapters.radar(spark, sf_dir), names.scene_parts(F.col("scene"))["acq_ts"], ["hh", "hv"])
+    return found.select("shot_number", "yy", "hh", "hv")
 
 
-@query(using(sql.RASTER) + """select tile, "row", col, max(value) filter (band = 'B02') b02, max(value) filter (band = 'SCL') scl, max(value) filter (band = 'ch') ch, coalesce(max(value) filter (band = 'HH'), 0) hh from raster group by 1, 2, 3""")
+_STACK = {"b02": "B02", "b03": "B03", "b04": "B04", "b08": "B08", "scl": "SCL", "ch": "ch", "ch_std": "std", "hh": "HH", "hv": "HV", "lc": "lc", "lc_prob": "prob", "dem": "dem"}
+
+
+@query(using(sql.MOSAIC_RASTER) + "select tile, \"row\", col, " + ", ".join(f"coalesce(max(value) filter (band = '{band}'), 0) {name}" for name, band in _STACK.items()) + " from raster group by 1, 2, 3")
 def layer_stack(spark, sf_dir):
-    bands = {"b02": "B02", "scl": "SCL", "ch": "ch", "hh": "HH"}
-    picked = [F.max(F.when(F.col("band") == band, F.col("value"))).alias(name) for name, band in bands.items()]
-    return adapters.raster(spark, sf_dir).groupBy("tile", "row", "col").agg(*picked).withColumn("hh", F.coalesce("hh", F.lit(0)))
+    picked = [F.coalesce(F.max(F.when(F.col("band") == band, F.col("value"))), F.lit(0)).alias(name) for name, band in _STACK.items()]
+    return adapters.raster(spark, sf_dir, adapters.mosaic_pixels(spark, sf_dir)).groupBy("tile", "row", "col").agg(*picked)
 
 
 # --- resampling ----------------------------------------------------------
@@ -405,6 +442,27 @@ def resample_bilinear(spark, sf_dir):
     return _resample(20, 1)(spark, sf_dir).withColumn("value", F.round("value", 4))
 
 
+@query(using(sql.PATCHES, "h as (select vec_id, k // 8 y, k % 8 x, k, case when dn % 4 = 0 then dn else 0 end v from patches)",
+    "n as (select a.vec_id, a.k, arg_min(b.v, ((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x), b.y, b.x)) near from h a join h b on a.vec_id = b.vec_id and a.v = 0 and b.v <> 0 group by 1, 2)")
+    + "select h.vec_id, h.k, case when v <> 0 then v else coalesce(near, 0) end as value from h left join n on h.vec_id = n.vec_id and h.k = n.k")
+def nearest_fill(spark, sf_dir):
+    rows = adapters.patches(spark, sf_dir).select("vec_id", F.transform("dn", lambda x: F.when(x % 4 == 0, x).otherwise(0)).alias("v"))
+    return rows.select("vec_id", F.posexplode(arrays.nearest_fill(F.col("v"), 8, F.lit(0))).alias("k", "value"))
+
+
+#: Patches of 20 m pixels at various places, on a scene of twelve by twelve pixels of 10 m.
+_ALIGNED = """g as (select distinct vec_id, (vec_id % 5 - 2) * 10 oy, (vec_id % 3 - 1) * 10 ox from patches),
+c as (select *, cast(floor((oy + 5) / cast(20 as double)) as int) t, cast(floor((oy + 115) / cast(20 as double)) as int) b, cast(floor((5 - ox) / cast(20 as double)) as int) l, cast(floor((115 - ox) / cast(20 as double)) as int) r from g),
+o as (select vec_id, k, t + least(greatest(cast(floor((k // 12 + cast(0.5 as double)) * ((b - t + 1) / cast(12 as double))) as int), 0), b - t) y, l + least(greatest(cast(floor((k % 12 + cast(0.5 as double)) * ((r - l + 1) / cast(12 as double))) as int), 0), r - l) x from c, range(144) q(k))"""
+
+
+@query(using(sql.PATCHES, _ALIGNED) + "select o.vec_id, cast(o.k as int) k, coalesce(p.dn, 0) as value from o left join patches p on p.vec_id = o.vec_id and y between 0 and 7 and x between 0 and 7 and p.k = y * 8 + x")
+def raster_align(spark, sf_dir):
+    top, left = ((F.col("vec_id") % 5 - 2) * 10.0), ((F.col("vec_id") % 3 - 1) * 10.0)
+    value = arrays.aligned(F.col("dn"), 8, 8, (left, top, 20.0), (0.0, 0.0, 10.0, 12, 12), F.lit(0))
+    return adapters.patches(spark, sf_dir).select("vec_id", F.posexplode(value).alias("k", "value"))
+
+
 @query(using(sql.PATCHES) + """select v.vec_id, cast(o.k as int) k, coalesce(p.dn, -1) as value from (select distinct vec_id from patches) v cross join range(100) o(k)
   left join patches p on p.vec_id = v.vec_id and o.k // 10 - 2 between 0 and 7 and o.k % 10 + 3 between 0 and 7 and p.k = (o.k // 10 - 2) * 8 + o.k % 10 + 3""")
 def crop_pad(spark, sf_dir):
@@ -412,9 +470,9 @@ def crop_pad(spark, sf_dir):
     return adapters.patches(spark, sf_dir).select("vec_id", F.posexplode(value).alias("k", "value"))
 
 
-@query(using(sql.PATCHES, """g as (select a.vec_id, a.k, (b.dem - t.dem) / ((b.k // 8 - t.k // 8) * cast(10 as double)) px, (r.dem - l.dem) / ((r.k % 8 - l.k % 8) * cast(10 as double)) py
-  from patches a join patches t on t.vec_id = a.vec_id and t.k = greatest(a.k // 8 - 1, 0) * 8 + a.k % 8 join patches b on b.vec_id = a.vec_id and b.k = least(a.k // 8 + 1, 7) * 8 + a.k % 8
-  join patches l on l.vec_id = a.vec_id and l.k = a.k // 8 * 8 + greatest(a.k % 8 - 1, 0) join patches r on r.vec_id = a.vec_id and r.k = a.k // 8 * 8 + least(a.k % 8 + 1, 7))""",
+@query(using(sql.PATCHES, "l as (select vec_id, list(dem order by k) d from patches group by vec_id)",
+    """g as (select vec_id, cast(k as int) k, (d[least(k // 8 + 1, 7) * 8 + k % 8 + 1] - d[greatest(k // 8 - 1, 0) * 8 + k % 8 + 1]) / ((least(k // 8 + 1, 7) - greatest(k // 8 - 1, 0)) * cast(10 as double)) px,
+  (d[k // 8 * 8 + least(k % 8 + 1, 7) + 1] - d[k // 8 * 8 + greatest(k % 8 - 1, 0) + 1]) / ((least(k % 8 + 1, 7) - greatest(k % 8 - 1, 0)) * cast(10 as double)) py from l, range(64) r(k))""",
     "h as (select *, pi() / 2 - atan2(py, px) turn from g)") + "select vec_id, k, round(sqrt(px * px + py * py), 6) slope, round((cos(turn) + 1) / 2, 6) aspect_cos, round((sin(turn) + 1) / 2, 6) aspect_sin from h")
 def slope_aspect(spark, sf_dir):
     rows = adapters.patches(spark, sf_dir).select("vec_id", F.posexplode(arrays.slope_aspect(F.col("dem"), 8)).alias("k", "p"))
@@ -455,9 +513,9 @@ def ordinal_address(spark, sf_dir):
     return statistics.locate(rows.select(F.col("shot_number").alias("ordinal")), statistics.tile_counts(rows))
 
 
-@query(using(sql.TILES) + "select tile, cast(ntile(7) over (order by tile) as int) shard from tiles")
+@query(using(sql.GRID) + "select tile, cast(ntile(7) over (order by tile) as int) shard from grid")
 def shard_tiles(spark, sf_dir):
-    return statistics.shards(adapters.tiles(spark, sf_dir), 7)
+    return statistics.shards(adapters.grid_tiles(spark, sf_dir), 7)
 
 
 @query(using(sql.LAND, "n as (select tile, lc biome, count(*) n from land group by 1, 2)", "q as (select tile, floor(sum(n) * cast(0.2 as double) + 0.5) quota from n group by tile)",
@@ -467,12 +525,12 @@ def shard_tiles(spark, sf_dir):
     + "select shot_number, r.tile, r.biome from r join t using (tile, biome) where k <= take")
 def representative_subset(spark, sf_dir):
     rows = adapters.land_cover_points(spark, sf_dir).select("shot_number", adapters.tile_of(F.col("ti")).alias("tile"), F.col("lc").alias("biome"))
-    return statistics.representative_subset(rows, 0.2, order=F.col("shot_number") * 7919 % 10007)
+    return statistics.representative_subset(rows, 0.2, order=F.col("shot_number") * 7919 % 10007, span=10007)
 
 
-@query(using(sql.FOOTPRINTS) + "select shot_number, agbd2 from (select shot_number, round(agbd, 8) agbd2, row_number() over (order by shot_number * 7919 % 1000003, shot_number) k from footprints where shot_number % 20 < 2) where k <= 500")
+@query(using(sql.FOOTPRINTS) + "select shot_number, agbd2 from (select shot_number, round(agbd, 8) agbd2, row_number() over (order by shot_number * 7919 % 1000003, shot_number) k from footprints) where k <= 500")
 def ordered_sample(spark, sf_dir):
-    rows = adapters.footprints(spark, sf_dir).where("shot_number % 20 < 2").select("shot_number")
+    rows = adapters.footprints(spark, sf_dir).select("shot_number")
     labels = adapters.footprints(spark, sf_dir).select("shot_number", F.round("agbd", 8).alias("agbd2"))
     return rows.orderBy(F.col("shot_number") * 7919 % 1000003, "shot_number").limit(500).join(labels, "shot_number")
 
@@ -483,36 +541,49 @@ def _features(spark, sf_dir):
     rows = adapters.patches(spark, sf_dir).select(F.col("vec_id").alias("shot_number"), *bands, r6(F.get("dem", F.lit(27))).alias("dem"))
     points = adapters.footprints(spark, sf_dir)
     code = geo.encode_lat_lon(F.col("lat"), F.col("lon"))
-    coords = points.select("shot_number", "tile", *[r6(code[c]).alias(c) for c in ("lat_cos", "lat_sin", "lon_cos", "lon_sin")], F.round("agbd", 8).alias("agbd"))
+    coords = points.select("shot_number", "tile", *[r6(code[c]).alias(c) for c in ("lat_cos", "lat_sin", "lon_cos", "lon_sin")], F.round("agbd", 8).alias("agbd"), "gedi_date")
+    orders = adapters.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("shot_number"), r6(features.gamma0(F.col("o_orderkey") % 5000)).alias("alos_hh"), r6(features.gamma0(F.col("o_custkey") % 3000)).alias("alos_hv"), (F.col("o_custkey") % 60).cast("double").alias("ch"), (F.col("o_custkey") % 7).cast("double").alias("ch_std"))
     turn = features.land_cover_cyclic(F.col("lc"))
     land = adapters.land_cover_points(spark, sf_dir).select("shot_number", r6(turn["lc_cos"]).alias("lc_cos"), r6(turn["lc_sin"]).alias("lc_sin"), r6(features.land_cover_probability(F.col("prob"))).alias("lc_prob"))
-    return rows.join(coords, "shot_number").join(land, "shot_number")
+    return rows.join(coords, "shot_number").join(land, "shot_number").join(orders, "shot_number")
 
 
 def _features_sql() -> str:
     bands = ", ".join(f"round(max(case when dn = 0 then 0 else greatest((dn - 1000 * boa) / cast(10000 as double), 0) end) filter (k = {k}), 6) \"{b}\"" for k, b in enumerate(PRESETS["all"]["bands"]))
     return f"""w as (select vec_id shot_number, {bands}, round(max(dem) filter (k = 27), 6) dem from patches group by vec_id),
 ft as (select w.*, f.tile, round((cos(pi() * lat / 90) + 1) / 2, 6) lat_cos, round((sin(pi() * lat / 90) + 1) / 2, 6) lat_sin, round((cos(pi() * lon / 180) + 1) / 2, 6) lon_cos, round((sin(pi() * lon / 180) + 1) / 2, 6) lon_sin,
-  round(agbd, 8) agbd, round((cos(2 * pi() * lc / 100) + 1) / 2, 6) lc_cos, round((sin(2 * pi() * lc / 100) + 1) / 2, 6) lc_sin, round(case when prob = 255 then 0 else prob / cast(100 as double) end, 6) lc_prob
-  from w join footprints f using (shot_number) join land using (shot_number))"""
+  round(agbd, 8) agbd, gedi_date, a.alos_hh, a.alos_hv, a.ch, a.ch_std, round((cos(2 * pi() * lc / 100) + 1) / 2, 6) lc_cos, round((sin(2 * pi() * lc / 100) + 1) / 2, 6) lc_sin, round(case when prob = 255 then 0 else prob / cast(100 as double) end, 6) lc_prob
+  from w join footprints f using (shot_number) join land using (shot_number)
+  join (select o_orderkey shot_number, round(case when o_orderkey % 5000 = 0 then -9999 else 10 * log10(cast(o_orderkey % 5000 as double) * (o_orderkey % 5000)) - 83 end, 6) alos_hh,
+    round(case when o_custkey % 3000 = 0 then -9999 else 10 * log10(cast(o_custkey % 3000 as double) * (o_custkey % 3000)) - 83 end, 6) alos_hv, cast(o_custkey % 60 as double) ch, cast(o_custkey % 7 as double) ch_std from orders) a using (shot_number))"""
 
 
-@query(using(sql.PATCHES, sql.FOOTPRINTS, sql.LAND, _features_sql()) + "select shot_number, agbd, " + ", ".join(f'"{c}"' for c in features.feature_names(PRESETS["all"]["bands"], latlon=True, lc=True, dem=True)) + " from ft")
+@query(using(sql.PATCHES, sql.FOOTPRINTS, sql.LAND, _features_sql()) + "select shot_number, agbd, " + ", ".join(f'"{c}"' for c in features.preset("all")) + " from ft")
 def feature_table(spark, sf_dir):
-    return _features(spark, sf_dir).select("shot_number", "agbd", *features.feature_names(PRESETS["all"]["bands"], latlon=True, lc=True, dem=True))
+    return _features(spark, sf_dir).select("shot_number", "agbd", *features.preset("all"))
 
 
 @query(using(sql.PATCHES, sql.FOOTPRINTS, sql.LAND, _features_sql()) + " union all ".join(
-    f"select shot_number, '{p}' preset, {len(features.preset(p))} n_features, round(" + " + ".join(f'"{c}"' for c in features.preset(p)) + ", 6) total from ft" for p in ("RGBN", "S2", "S2DEM", "S2LC")))
+    f"select shot_number, '{p}' preset, {len(features.preset(p))} n_features, round(" + " + ".join(f'"{c}"' for c in features.preset(p)) + ", 6) total from ft" for p in PRESETS))
 def feature_presets(spark, sf_dir):
     rows, out = _features(spark, sf_dir), None
-    for name in ("RGBN", "S2", "S2DEM", "S2LC"):
+    for name in PRESETS:
         columns = features.preset(name)
         part = rows.select("shot_number", F.lit(name).alias("preset"), F.lit(len(columns)).alias("n_features"), F.round(sum(map(F.col, columns)), 6).alias("total"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+@query(using(sql.PATCHES, sql.FOOTPRINTS, sql.LAND, sql.SPLITS, _features_sql()) + "select shot_number, mode, cast(year(gedi_date) as int) as year, agbd, " + ", ".join(f'"{c}"' for c in features.preset("S2LC")) + " from ft join splits using (tile)")
+def feature_files(spark, sf_dir):
+    """The feature table to files by split and year, and one preset's columns back."""
+    path, label = scratch.folder(spark), ["shot_number", "agbd"]
+    rows = _features(spark, sf_dir).join(adapters.splits(spark, sf_dir).drop("ti"), "tile").withColumn("year", F.year("gedi_date"))
+    rows = rows.select(*label, *features.preset("all"), "mode", "year")
+    chunks.write_features(rows, path, ["mode", "year"])
+    return chunks.read_features(spark, path, rows.schema, [*label, *features.preset("S2LC"), "mode", "year"])
+
+
 # --- metrics -------------------------------------------------------------
 
 _ERRORS = "count(*) n, round(sqrt(avg((prediction - target) * (prediction - target))), 6) rmse, round(avg(abs(prediction - target)), 6) mae, round(avg(prediction - target), 6) me, round(avg((prediction - target) * (prediction - target)), 6) mse"
@@ -545,64 +616,73 @@ def best_model(spark, sf_dir):
 
 # --- windows over tiles --------------------------------------------------
 
-SIZE, OVERLAP = 20, 8
-_STARTS = ", ".join(map(str, mosaic.axis_starts(64, SIZE, OVERLAP)))
-WINDOWS_SQL = f"""starts as (select k - 1 k, s from (select unnest(range(1, {len(mosaic.axis_starts(64, SIZE, OVERLAP)) + 1})) k, unnest([{_STARTS}]) s)),
-win as (select tile, ti, a.k wr, a.s top, b.k wc, b.s "left" from tiles, starts a, starts b)"""
-PREDICTED_SQL = f"""pred as (select w.tile, w.ti, m.model, w.wr, w.wc, w.top + y.k "row", w."left" + x.k col, (131 * (w.top + y.k) + 71 * (w."left" + x.k) + 17 * w.ti + 58) % 4096 / cast(10 as double) + w.wr * 3 + w.wc + m.model as value
-  from win w, range(1, 4) m(model), range({SIZE}) y(k), range({SIZE}) x(k) where (w.wr = 0 or y.k >= {OVERLAP // 2}) and (w.wc = 0 or x.k >= {OVERLAP // 2})),
+EDGE, SIZE, OVERLAP = 32, 12, 4
+_STARTS = ", ".join(map(str, mosaic.axis_starts(EDGE, SIZE, OVERLAP)))
+WINDOWS_SQL = f"""starts as (select k - 1 k, s from (select unnest(range(1, {len(mosaic.axis_starts(EDGE, SIZE, OVERLAP)) + 1})) k, unnest([{_STARTS}]) s)),
+win as (select tile, ti, a.k wr, a.s top, b.k wc, b.s "left" from (select distinct tile, ti from pixels), starts a, starts b)"""
+PREDICTED_SQL = f"""pred as (select p.tile, p.ti, m.model, w.wr, w.wc, p."row", p.col, p.dn / cast(10 as double) + w.wr * 3 + w.wc + m.model as value
+  from pixels p join win w on p.tile = w.tile and p."row" between w.top and w.top + {SIZE - 1} and p.col between w."left" and w."left" + {SIZE - 1}, range(1, 4) m(model)
+  where (w.wr = 0 or p."row" >= w.top + {OVERLAP // 2}) and (w.wc = 0 or p.col >= w."left" + {OVERLAP // 2})),
 mos as (select tile, ti, model, "row", col, value from (select *, row_number() over (partition by tile, model, "row", col order by wr desc, wc desc) k from pred) where k = 1)"""
 
 
+def _windows(spark, sf_dir):
+    return mosaic.windows_of(adapters.mosaic_pixels(spark, sf_dir), EDGE, EDGE, SIZE, OVERLAP)
+
+
 def _predicted(spark, sf_dir):
-    tiles = adapters.tiles(spark, sf_dir)
-    wins = mosaic.sliding_windows(tiles, 64, 64, SIZE, OVERLAP).join(F.broadcast(tiles.select("tile", "ti")), "tile")
-    rows = wins.withColumn("model", F.explode(F.sequence(F.lit(1), F.lit(3)))).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(SIZE * SIZE - 1))))
-    rows = rows.withColumns({"row": (F.col("top") + F.floor(F.col("k") / SIZE)).cast("int"), "col": (F.col("left") + F.col("k") % SIZE).cast("int")})
-    value = adapters.optical(F.col("row"), F.col("col"), F.col("ti"), 2) / 10.0 + F.col("wr") * 3 + F.col("wc") + F.col("model")
-    return rows.select("tile", "model", "wr", "wc", "row", "col", value.alias("value"))
+    rows = _windows(spark, sf_dir).withColumn("model", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    return rows.select("tile", "model", "wr", "wc", "row", "col", (F.col("dn") / 10.0 + F.col("wr") * 3 + F.col("wc") + F.col("model")).alias("value"))
 
 
 def _mosaic(spark, sf_dir):
-    return mosaic.mosaic(_predicted(spark, sf_dir), 64, 64, SIZE, OVERLAP)
+    return mosaic.mosaic(_predicted(spark, sf_dir), EDGE, EDGE, SIZE, OVERLAP)
 
 
-@query(using(sql.TILES, WINDOWS_SQL) + 'select tile, cast(wr as int) wr, cast(wc as int) wc, top, "left" from win')
+@query(using(sql.MOSAIC_PIXELS, WINDOWS_SQL) + 'select tile, cast(wr as int) wr, cast(wc as int) wc, top, "left" from win')
 def sliding_windows(spark, sf_dir):
-    return mosaic.sliding_windows(adapters.tiles(spark, sf_dir), 64, 64, SIZE, OVERLAP)
+    return mosaic.sliding_windows(adapters.mosaic_pixels(spark, sf_dir).select("tile").distinct(), EDGE, EDGE, SIZE, OVERLAP)
 
 
-@query(using(sql.TILES, WINDOWS_SQL, PREDICTED_SQL) + 'select tile, cast(model as int) model, cast("row" as int) "row", cast(col as int) col, round(value, 4) as value from mos')
+@query(using(sql.MOSAIC_PIXELS, WINDOWS_SQL, PREDICTED_SQL) + 'select tile, cast(model as int) model, "row", col, round(value, 4) as value from mos')
 def mosaic_last_writer(spark, sf_dir):
     return _mosaic(spark, sf_dir).withColumn("value", F.round("value", 4))
 
 
-@query(using(sql.TILES, WINDOWS_SQL, PREDICTED_SQL) + 'select tile, cast("row" as int) "row", cast(col as int) col, round(avg(value), 4) agb, round(stddev_pop(value), 4) std from mos group by 1, 2, 3')
+@query(using(sql.MOSAIC_PIXELS, WINDOWS_SQL, PREDICTED_SQL) + 'select tile, "row", col, round(avg(value), 4) agb, round(stddev_pop(value), 4) std from mos group by 1, 2, 3')
 def ensemble_pixels(spark, sf_dir):
     return mosaic.ensemble(_mosaic(spark, sf_dir)).withColumns({c: F.round(c, 4) for c in ("agb", "std")})
 
 
-@query(using(sql.TILES, WINDOWS_SQL, PREDICTED_SQL) + """select tile, cast("row" as int) "row", cast(col as int) col, cast(case when (7 * "row" + 13 * col + ti) % 10 >= 7 then 65535 when agb < 0 then 0 else trunc(agb) end as int) agb
+@query(using(sql.MOSAIC_PIXELS, WINDOWS_SQL, PREDICTED_SQL) + """select tile, "row", col, cast(case when (7 * "row" + 13 * col + ti) % 10 >= 7 then 65535 when agb < 0 then 0 else trunc(agb) end as int) agb
   from (select tile, ti, "row", col, round(avg(value), 4) - 20 agb from mos group by all)""")
 def mask_encode(spark, sf_dir):
-    rows = mosaic.ensemble(_mosaic(spark, sf_dir)).join(F.broadcast(adapters.tiles(spark, sf_dir).select("tile", "ti")), "tile")
-    rows = rows.withColumns({"scl": adapters.scene_class(F.col("row"), F.col("col"), F.col("ti")), "agb": F.round("agb", 4) - 20})
+    scl = adapters.mosaic_pixels(spark, sf_dir).select("tile", "row", "col", adapters.scene_class(F.col("row"), F.col("col"), F.col("ti")).alias("scl"))
+    rows = mosaic.ensemble(_mosaic(spark, sf_dir)).withColumn("agb", F.round("agb", 4) - 20).join(scl, ["tile", "row", "col"])
     return mosaic.masked(rows.drop("std")).select("tile", "row", "col", "agb")
 
 
+@query(using(sql.GRID, "w as (select k, case when k < 4 then k * 6 else 20 end place, case when k = 0 then 0 else 2 end margin from range(5) r(k))")
+    + """select tile, cast(p.pixel as int) pixel, cast(max(k) as int) wr from grid, range(30) p(pixel) join w on p.pixel between place + margin and place + 9 group by 1, 2""")
+def mosaic_shrunk(spark, sf_dir):
+    """The last writer of each pixel of an axis where predictions are five times coarser than the input of 150 pixels."""
+    rows = adapters.grid_tiles(spark, sf_dir).select("tile", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("pixel"))
+    return rows.withColumn("wr", mosaic.winner(F.col("pixel"), 150, 50, 20, 5)).where("wr is not null")
+
+
 @query(using(sql.PATCHES) + "select vec_id, round(avg(dn) * 2 + 1, 6) as value from patches group by vec_id")
 def predict_windows(spark, sf_dir):
-    rows = mosaic.predict_windows(adapters.patches(spark, sf_dir).select("vec_id", "dn"), lambda s: s.map(lambda a: sum(a) / len(a) * 2 + 1), "dn")
+    rows = mosaic.predict_windows(adapters.patches(spark, sf_dir).select("vec_id", "dn"), lambda a: a.mean(axis=1) * 2 + 1, "dn")
     return rows.select("vec_id", r6("value").alias("value"))
 
 
 # --- files, models, streams ----------------------------------------------
 
 
-@query(using(sql.RASTER) + 'select layer, band, tile, "row", col, value from raster where layer in (\'CH\', \'ALOS\')')
+@query(using(sql.MOSAIC_RASTER) + 'select layer, band, tile, "row", col, value from raster where layer in (\'CH\', \'ALOS\')')
 def patch_roundtrip(spark, sf_dir):
     path = scratch.folder(spark)
-    chunks.write_chunks(chunks.to_chunks(adapters.raster(spark, sf_dir).where("layer in ('CH', 'ALOS')"), CHUNK), path)
+    chunks.write_chunks(chunks.to_chunks(adapters.raster(spark, sf_dir, adapters.mosaic_pixels(spark, sf_dir)).where("layer in ('CH', 'ALOS')"), CHUNK), path)
     own = [chunks.to_pixels(chunks.read_chunks(spark, path, layer), CHUNK) for layer in ("CH", "ALOS")]
     return own[0].unionByName(own[1]).select("layer", "band", "tile", "row", "col", "value")
 
@@ -615,35 +695,66 @@ def metrics_sink(spark, sf_dir):
     return spark.read.parquet(path).select("model", "n", r6("rmse").alias("rmse"))
 
 
-@query(using(sql.PREDICTIONS) + "select tile, shot_number, cast(case when prediction < 0 then 0 else trunc(prediction) end as int) agb from predictions where model = 1")
+@query(using(sql.PREDICTIONS, "e as (select tile, shot_number, gedi_year, avg(prediction) agb, stddev_pop(prediction) std from (select p.*, cast(year(gedi_date) as int) gedi_year from predictions p join (select shot_number, gedi_date from footprints) using (shot_number)) group by 1, 2, 3)")
+    + "select tile, gedi_year as year, shot_number, cast(case when agb < 0 then 0 else trunc(round(agb, 6)) end as int) agb, cast(trunc(round(std, 6)) as int) std from e")
 def prediction_sink(spark, sf_dir):
+    """Mean and spread of five predictions, encoded, by tile and year."""
+    path = scratch.folder(spark)
+    years = adapters.footprints(spark, sf_dir).select("shot_number", F.year("gedi_date").alias("year"))
+    rows = adapters.predictions(spark, sf_dir).groupBy("tile", "shot_number").agg(F.avg("prediction").alias("agb"), F.stddev_pop("prediction").alias("std")).join(years, "shot_number")
+    coded = rows.select("tile", "year", "shot_number", *[features.encode_prediction(F.round(c, 6)).alias(c) for c in ("agb", "std")])
+    chunks.write_patches(coded, path, ["tile", "year"])
+    return chunks.read_patches(spark, path).select("tile", "year", "shot_number", "agb", "std")
+
+
+@query(using(sql.FOOTPRINTS) + """select shot_number, cast(year(gedi_date) as int) as year, ti % 20 shard, case when year(gedi_date) >= 2022 then 1 else 0 end boa_offset from footprints
+  where year(gedi_date) in (2021, 2022) and ti % 20 < 2""")
+def patch_shards(spark, sf_dir):
+    """Two shards of two years of a patch dataset whose earlier files lack the offset flag."""
     path = scratch.folder(spark)
-    rows = adapters.predictions(spark, sf_dir).where("model = 1").select("tile", "shot_number", features.encode_prediction(F.col("prediction")).alias("agb"))
-    chunks.write_patches(rows, path, ["tile"])
-    return chunks.read_patches(spark, path).select("tile", "shot_number", "agb")
+    rows = adapters.footprints(spark, sf_dir).select("shot_number", F.year("gedi_date").alias("year"), (F.col("ti") % 20).alias("shard"))
+    chunks.write_patches(rows.where("year < 2022"), path, ["year", "shard"])
+    chunks.write_patches(rows.where("year >= 2022").withColumn("boa_offset", F.lit(1)), path, ["year", "shard"])
+    return chunks.read_patches(spark, path, F.col("year").isin(2021, 2022) & (F.col("shard") < 2)).select("shot_number", "year", "shard", "boa_offset")
 
 
 def _training(spark, sf_dir):
-    """Footprints as a regression table: coordinates, season and the nearest synthetic pixel."""
+    """Footprints as a regression table: coordinates, season and the nearest synthetic pixel, with a biomass that depends on them."""
     code, turn = geo.encode_lat_lon(F.col("lat"), F.col("lon")), geo.day_of_year(F.col("gedi_date"))
-    rows = adapters.footprints(spark, sf_dir).join(adapters.splits(spark, sf_dir).drop("ti"), "tile")
-    return rows.select("shot_number", "mode", "agbd", code["lat_cos"].alias("lat_cos"), code["lon_sin"].alias("lon_sin"), turn["cos"].alias("doy_cos"), adapters.optical(F.col("row"), F.col("col"), F.col("ti"), 2).cast("double").alias("B02"))
+    rows = adapters.footprints(spark, sf_dir).join(F.broadcast(adapters.splits(spark, sf_dir).drop("ti")), "tile")
+    rows = rows.select("shot_number", "mode", "agbd", code["lat_cos"].alias("lat_cos"), code["lon_sin"].alias("lon_sin"), turn["cos"].alias("doy_cos"), adapters.optical(F.col("row"), F.col("col"), F.col("ti"), 2).cast("double").alias("B02"))
+    return rows.withColumn("biomass", 60 * F.col("lat_cos") + F.col("B02") / 40 + F.col("agbd") / 50)
 
 
 TRAINING_FEATURES = ["lat_cos", "lon_sin", "doy_cos", "B02"]
 
 
-@query()
+@query(using(sql.FOOTPRINTS, sql.SPLITS) + "select cast(seed as int) seed, mode, n, true better from (select mode, count(*) n from footprints join splits using (tile) group by mode), range(1, 6) r(seed)")
 def gbt_fit(spark, sf_dir):
-    rows = _training(spark, sf_dir)
-    fitted = models.fit_seeds(rows.where("mode = 'train'"), TRAINING_FEATURES, "agbd", seeds=2, rounds=5, depth=4)
-    return models.evaluate(fitted, rows, "agbd", ["mode"])
+    """Five seeds, stopped early on the validation split: rows of each split, and whether the error is below that of the split's mean."""
+    rows = _training(spark, sf_dir).withColumn("validation", F.col("mode") == "val")
+    fitted = models.fit_seeds(rows.where("mode in ('train', 'val')"), TRAINING_FEATURES, "biomass", seeds=5, rounds=12, depth=4, validation="validation")
+    errors = models.evaluate(fitted, rows, "biomass", ["mode"]).join(models.baseline(rows, "biomass", ["mode"]).drop("n"), "mode")
+    return errors.select("seed", "mode", "n", (F.col("rmse") < F.col("spread")).alias("better"))
 
 
-@query()
+@query(f"select unnest({sorted(TRAINING_FEATURES)}) feature, cast(1 as double) total")
 def feature_importance(spark, sf_dir):
+    """The features, and what their importances add up to."""
     rows = _training(spark, sf_dir).where("mode = 'train'")
-    return models.importance(spark, models.fit(rows, TRAINING_FEATURES, "agbd", 4, rounds=5, depth=4), TRAINING_FEATURES)
+    gains = models.importance(spark, models.fit(rows, TRAINING_FEATURES, "biomass", 4, rounds=5, depth=4), TRAINING_FEATURES)
+    total = gains.agg(F.sum("gain")).first()[0]
+    return gains.select("feature", F.round(F.lit(total), 6).alias("total"))
+
+
+@query(using(sql.MOSAIC_PIXELS) + "select tile, \"row\", col, true spread_known, true in_range from pixels")
+def predict_tiles(spark, sf_dir):
+    """Models of two seeds, fitted to the pixels of four tiles in five, applied to every pixel of every window; mosaicked and put together."""
+    rows = _windows(spark, sf_dir).withColumns({"x": F.col("dn").cast("double"), "biomass": F.col("dn") / 40 + F.col("dem") / 10})
+    fitted = models.fit_seeds(rows.where("ti % 5 < 4"), ["x", "dem"], "biomass", seeds=2, rounds=5, depth=4)
+    made = mosaic.ensemble(mosaic.mosaic(mosaic.predict_pixels(fitted, rows), EDGE, EDGE, SIZE, OVERLAP))
+    low, high = rows.agg(F.min("biomass"), F.max("biomass")).first() or (None, None)
+    return made.select("tile", "row", "col", F.col("std").isNotNull().alias("spread_known"), F.col("agb").between(F.lit(low) - 100, F.lit(high) + 100).alias("in_range"))
 
 
 @query("""with e as (select event_id, cast(user_id % 25 as int) ti, cast(ts as date) - 1200 gedi_date from events), """ + sql.SCENES + f""",

@@ -51,7 +51,7 @@ def footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((key * 7919 % 120000) / 1000.0 - 60.0).alias("lat"),
         (F.col("o_totalprice") / F.lit(800.0)).alias("agbd"),
         (31 * key % SIDE).cast("int").alias("row"),
-        (17 * key % SIDE).cast("int").alias("col"),
+        ((17 * key + cust) % SIDE).cast("int").alias("col"),
         pattern.alias("pattern"),
     )
 
@@ -60,7 +60,7 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``ti, tile, acq_date, cloud, scene`` from lineitem: one product for each tile and day."""
     ti = (F.col("l_suppkey") % 25).cast("int").alias("ti")
     day = F.date_add(F.to_date("l_shipdate"), SHIFT).alias("acq_date")
-    rows = table(spark, sf_dir, "lineitem").where("l_suppkey % 4 = 0 and l_linenumber = 1").select(ti, day, "l_discount")
+    rows = table(spark, sf_dir, "lineitem").select(ti, day, "l_discount")
     rows = rows.groupBy("ti", "acq_date").agg(F.min("l_discount").alias("cloud")).withColumn("tile", tile_of(F.col("ti")))
     ymd = F.date_format("acq_date", "yyyyMMdd")
     name = F.concat(F.lit("S2A_MSIL2A_"), ymd, F.lit("T100000_N0"), 200 + F.col("ti"), F.lit("_R"), 100 + F.col("ti"), F.lit("_T"), F.col("tile"), F.lit("_"), ymd, F.lit("T120000"))
@@ -84,27 +84,61 @@ def land_cover(row: Column, col: Column, ti: Column) -> Column:
 
 
 def pixels(spark: SparkSession, sf_dir: str, side: int = SIDE) -> DataFrame:
-    """``ti, tile, row, col`` of every pixel of every tile."""
+    """``ti, tile, row, col, dn`` of every pixel of every tile."""
     grid = F.explode(F.sequence(F.lit(0), F.lit(side * side - 1))).alias("k")
     rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ti"), tile_of(F.col("n_nationkey")).alias("tile"), grid)
-    return rows.select("ti", "tile", F.floor(F.col("k") / side).cast("int").alias("row"), (F.col("k") % side).cast("int").alias("col"))
+    rows = rows.select("ti", "tile", F.floor(F.col("k") / side).cast("int").alias("row"), (F.col("k") % side).cast("int").alias("col"))
+    return rows.withColumn("dn", optical(F.col("row"), F.col("col"), F.col("ti"), 2))
 
 
-def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``layer, band, tile, ti, row, col, value`` of the synthetic layers; radar is missing for every seventh tile."""
-    at = pixels(spark, sf_dir)
+def mosaic_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ti, tile, row, col, dn, dem``: squares of four by four patches beside each other, so tiles grow with embeddings."""
+    k, at = F.col("k"), (F.col("vec_id") % 16).cast("int")
+    rows = patches(spark, sf_dir).select("vec_id", "dem", F.posexplode("dn").alias("k", "dn"))
+    ti = F.floor(F.col("vec_id") / 16)
+    row, col = (F.floor(at / 4) * 8 + F.floor(k / 8)).cast("int"), ((at % 4) * 8 + k % 8).cast("int")
+    return rows.select(ti.alias("ti"), F.concat(F.lit("V"), ti.cast("string")).alias("tile"), row.alias("row"), col.alias("col"), "dn", F.get("dem", k).alias("dem"))
+
+
+def grid_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ti, tile, min_lon, max_lon, min_lat, max_lat``: one tile a supplier."""
+    ti = F.col("s_suppkey")
+    west, south = (ti * 37 % 356 - 180).cast("double"), (ti * 23 % 116 - 60).cast("double")
+    rows = table(spark, sf_dir, "supplier").select(ti.alias("ti"), F.concat(tile_of(F.col("s_nationkey")), F.lit("_"), ti.cast("string")).alias("tile"), west.alias("min_lon"), south.alias("min_lat"))
+    return rows.withColumns({"max_lon": F.col("min_lon") + 4.0, "max_lat": F.col("min_lat") + 4.0})
+
+
+def raster(spark: SparkSession, sf_dir: str, at: DataFrame | None = None) -> DataFrame:
+    """``layer, band, tile, ti, row, col, value`` of all layers over pixels ``at``; radar is missing for every seventh tile."""
+    at = pixels(spark, sf_dir) if at is None else at
     r, c, ti = F.col("row"), F.col("col"), F.col("ti")
     layers = F.array(
         *[F.struct(F.lit(layer).alias("layer"), F.lit(band).alias("band"), value.cast("int").alias("value")) for layer, band, value in (
-            ("S2", "B02", optical(r, c, ti, 2)),
+            ("S2", "B02", F.col("dn")),
+            *[("S2", band, optical(r, c, ti, k)) for k, band in ((3, "B03"), (4, "B04"), (8, "B08"))],
             ("S2", "SCL", scene_class(r, c, ti)),
             ("CH", "ch", canopy(r, c)),
+            ("CH", "std", F.when((r + c) % 9 == 0, 255).otherwise((r + 2 * c) % 12)),
             ("ALOS", "HH", F.when(ti % 7 != 0, (37 * r + 11 * c + ti) % 5000)),
+            ("ALOS", "HV", F.when(ti % 7 != 0, (13 * r + 29 * c + ti) % 3000)),
+            ("LC", "lc", land_cover(r, c, ti)),
+            ("LC", "prob", F.when((r * c + ti) % 20 == 0, 255).otherwise((r + c) % 101)),
+            ("DEM", "dem", (r * 3 + c * 5 + ti) % 900 - 50),
         )]
     )
     return at.select("tile", "ti", "row", "col", F.inline(layers)).where("value is not null")
 
 
+def radar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``tile, yy, row, col, hh, hv``: yearly radar mosaics from lineitem, none for every seventh tile and for 2021."""
+    ti = (F.col("l_suppkey") % 25).cast("int")
+    yy = F.date_format(F.date_add(F.to_date("l_shipdate"), SHIFT), "yy").alias("yy")
+    rows = table(spark, sf_dir, "lineitem").where("l_suppkey % 25 % 7 <> 0")
+    keys = [tile_of(ti).alias("tile"), yy, (F.col("l_orderkey") % SIDE).cast("int").alias("row"), (F.col("l_partkey") % SIDE).cast("int").alias("col")]
+    hh, hv = F.max(F.floor(F.col("l_quantity") * 90)).cast("int"), F.max(F.floor("l_extendedprice") % 5000).cast("int")
+    return rows.groupBy(*keys).agg(hh.alias("hh"), hv.alias("hv")).where("yy <> '21'")
+
+
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``vec_id, boa, dn array<int>, dem array<double>``: squares of eight by eight from embeddings."""
     values = F.transform("embedding", lambda x: x.cast("double"))

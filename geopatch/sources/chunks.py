@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Land-cover classes that a table of vectors may have; more are refused.
+MOST_CLASSES = 1000
+
+
 def to_chunks(pixels: DataFrame, side: int) -> DataFrame:
     """``layer, band, tile, crow, ccol, data`` of a long pixel table: one row-major array a chunk, null where a pixel is missing."""
     inner = (F.col("row") % side) * side + F.col("col") % side
@@ -55,7 +59,9 @@ def read_patches(spark: SparkSession, path: str, predicate: Column | None = None
 def read_embeddings(spark: SparkSession, path: str) -> dict[int, list[float]]:
     """The land-cover vectors of a CSV file of at most a few dozen classes, by class."""
     schema = T.StructType([*(T.StructField(f"dim{k}", T.DoubleType()) for k in range(5)), T.StructField("mapping", T.IntegerType())])
-    rows = spark.read.schema(schema).csv(path, header=True).limit(1000).collect()
+    rows = spark.read.schema(schema).csv(path, header=True).limit(MOST_CLASSES + 1).collect()
+    if len(rows) > MOST_CLASSES:
+        raise ValueError(f"{path} has more than {MOST_CLASSES} classes")
     return {r["mapping"]: [r[f"dim{k}"] for k in range(5)] for r in rows}
 
 

@@ -161,3 +161,74 @@ def test_shots_delivered_twice_are_appended_once(spark, tmp_path):
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     got = ingest.run_once(spark, stream, scenes, str(tmp_path / "out")).collect()
     assert sorted((r.shot_number, r.scene) for r in got) == [(1, "s"), (2, "s")]
+
+
+def test_quantiles_are_numpys(spark):
+    rng = np.random.default_rng(4)
+    values = {g: rng.integers(0, 30, n) for g, n in (("a", 1), ("b", 7), ("c", 400))}
+    df = spark.createDataFrame([(g, int(x)) for g, own in values.items() for x in own], "g string, x int")
+    got = {r.g: r for r in statistics.band_stats(df, ["g"], "x").collect()}
+    for g, own in values.items():
+        assert (got[g].p1, got[g].p99) == pytest.approx(tuple(np.percentile(own, [1, 99])))
+        assert (got[g].mean, got[g].std, got[g].min, got[g].max) == pytest.approx((own.mean(), own.std(), own.min(), own.max()))
+    assert statistics.band_stats(df.where("x < 0"), ["g"], "x").count() == 0
+
+
+@pytest.mark.parametrize("span", [1 << 40, 17])
+def test_subset_takes_the_first_of_each_biome(spark, span):
+    order = F.pmod(F.xxhash64("shot_number"), F.lit(span))
+    rows = spark.range(3000).select(F.col("id").alias("shot_number"), F.lit("t").alias("tile"), (F.col("id") % 3).alias("biome"), order.alias("o"))
+    ranked = sorted((r.biome, r.o, r.shot_number) for r in rows.collect())
+    got = {(r.biome, r.o, r.shot_number) for r in statistics.representative_subset(rows, 0.1, order=order, span=span).collect()}
+    assert got == {x for b in range(3) for x in [y for y in ranked if y[0] == b][:100]}
+
+
+def test_far_holes_take_the_nearest_value(spark):
+    rng = random.Random(9)
+    for _ in range(4):
+        a = [rng.choice([0, 0, 0, 0, rng.randint(1, 99)]) for _ in range(30)]
+        want = [v or min([((k // 6 - j // 6) ** 2 + (k % 6 - j % 6) ** 2, j // 6, j % 6, w) for j, w in enumerate(a) if w], default=(0, 0, 0, 0))[3] for k, v in enumerate(a)]
+        assert one(spark, arrays.nearest_fill(F.array(*map(F.lit, a)), 6, F.lit(0))).c0 == want
+
+
+@pytest.mark.parametrize("order", [0, 1])
+def test_rasters_are_aligned_by_their_corners(spark, order):
+    grid = np.arange(1, 65).reshape(8, 8)
+    for left, top, step in ((0, 0, 20), (-20, 10, 20), (15, -5, 30)):
+        got = one(spark, arrays.aligned(F.array(*map(F.lit, grid.ravel().tolist())), 8, 8, (F.lit(float(left)), F.lit(float(top)), float(step)), (0.0, 0.0, 10.0, 12, 12), F.lit(0), order)).c0
+        rows, cols = [math.floor((top - y) / step) for y in (-5, -115)], [math.floor((x - left) / step) for x in (5, 115)]
+        cut = np.array([[grid[r, c] if 0 <= r < 8 and 0 <= c < 8 else 0 for c in range(cols[0], cols[1] + 1)] for r in range(rows[0], rows[1] + 1)])
+        at = lambda n: np.clip(np.floor((np.arange(12) + 0.5) * n / 12).astype(int), 0, n - 1)
+        holes = cut[np.ix_(at(cut.shape[0]), at(cut.shape[1]))]
+        if not order:
+            assert got == holes.ravel().tolist()
+        else:
+            assert all((g == 0) == (h == 0) for g, h in zip(got, holes.ravel(), strict=True)) and max(got) <= cut.max()
+
+
+def test_infinite_values_are_not_resampled(spark):
+    a = F.array(F.lit(1.0), F.lit(math.inf), F.lit(2.0), F.lit(3.0))
+    with pytest.raises(Exception, match="infinite"):
+        one(spark, arrays.resampled(a, a, 2, 2, 4, 4, F.lit(0.0), 1))
+
+
+def test_windows_of_pixels(spark):
+    pixels = spark.createDataFrame([("t", r, c) for r in range(20) for c in (0, 9, 19)], "tile string, row int, col int")
+    got = sorted((r.row, r.col, r.wr, r.wc) for r in mosaic.windows_of(pixels, 20, 20, 8, 2).collect())
+    starts = mosaic.axis_starts(20, 8, 2)
+    assert got == sorted((r, c, i, j) for r in range(20) for c in (0, 9, 19) for i, s in enumerate(starts) if s <= r < s + 8 for j, z in enumerate(starts) if z <= c < z + 8)
+
+
+def test_too_many_classes_are_refused(spark, tmp_path, monkeypatch):
+    spark.range(5).selectExpr("0.5 dim0", "0.5 dim1", "0.5 dim2", "0.5 dim3", "0.5 dim4", "cast(id as int) mapping").write.csv(str(tmp_path / "e"), header=True)
+    assert len(chunks.read_embeddings(spark, str(tmp_path / "e"))) == 5
+    monkeypatch.setattr(chunks, "MOST_CLASSES", 4)
+    with pytest.raises(ValueError):
+        chunks.read_embeddings(spark, str(tmp_path / "e"))
+
+
+def test_radar_of_the_year(spark):
+    points = spark.createDataFrame([(1, "t", 0, 0, dt.date(2020, 5, 1)), (2, "t", 0, 0, dt.date(2021, 5, 1)), (3, "u", 0, 0, dt.date(2020, 5, 1))], "id int, tile string, row int, col int, day date")
+    layer = spark.createDataFrame([("t", "20", 0, 0, 7), ("t", "19", 0, 0, 8), ("u", "19", 0, 0, 9)], "tile string, yy string, row int, col int, hh int")
+    got = {r.id: r.hh for r in matching.with_year_layer(points, layer, F.col("day"), ["hh"]).collect()}
+    assert got == {1: 7, 2: 0, 3: 0}
