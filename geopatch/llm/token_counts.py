@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from geopatch.llm.common import source
 
-#: Characters above which a text is split, and characters encoded at once.
+#: Characters above which a text is split, and bytes encoded at once.
 LONG, BATCH = 1 << 14, 1 << 18
 
 
@@ -53,7 +53,7 @@ def count_tokens(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col
     """``doc_id, n_bytes, n_tokens`` for every row: UTF-8 bytes and tokens without special tokens.
 
     Null and empty texts count 0.  Only lengths leave the workers.  Parts of
-    texts are encoded in batches of about equal size, however the lengths of
+    texts are encoded in batches of about equal bytes, however the lengths of
     the rows are spread; a model without safe boundaries gets whole texts.
     """
     rows = source(docs, id_col, text_col)
@@ -73,7 +73,7 @@ def count_tokens(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col
                 for part in safe_pieces(text.as_py()) if can_split else [text.as_py()]:
                     parts.append(part)
                     owners.append(i)
-                    held += len(part)
+                    held += len(part.encode("utf-8", "surrogatepass"))
                     if held >= BATCH:
                         flush(parts, owners, counts)
                         parts, owners, held = [], [], 0
