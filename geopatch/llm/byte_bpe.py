@@ -30,8 +30,8 @@ from geopatch.llm.common import small_batches, source
 
 #: Characters of text in a chunk; bounds the memory of a task.
 CHUNK = 8 << 20
-#: Rows that are decoded at once.
-ROWS = 512
+#: Tokens that are decoded at once, if a row has no more.
+TOKENS = 1 << 22
 #: Distinct words whose ids a task remembers at a time.
 REMEMBER = 1 << 17
 
@@ -176,9 +176,15 @@ def decode(encoded: DataFrame, vocabulary: bytes, ids_col: str = "ids") -> DataF
     columns = [c for c in encoded.columns if c != "decoded"]
     fields = ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes if c != "decoded")
 
+    def cuts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        lengths = pc.list_value_length(batch.column(at)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        group = (np.cumsum(lengths) - lengths) // TOKENS
+        edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+        yield from (batch.slice(a, b - a) for a, b in itertools.pairwise(edges) if b > a)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.array(by_id, pa.binary())
-        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+        for batch in (part for whole in batches for part in cuts(whole)):
             ids = batch.column(at)
             tokens = table.take(ids.flatten())
             if tokens.null_count:
