@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geopatch.llm.common import cut, source
+from geopatch.llm.common import cut, few, kept, source
 from geopatch.llm.components import components
 
 BITS = 64
@@ -117,7 +117,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links(nodes.select("fp"), radius))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     classes = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("copies"))
-    return rows.join(rooted.select("fp", "root").join(classes, "root").drop("root"), "fp").select("doc_id", "fp", "component_id", "copies")
+    named = kept(rooted.select("fp", "root").join(classes, "root").drop("root"))
+    return rows.join(few(named), "fp").select("doc_id", "fp", "component_id", "copies")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 2) -> DataFrame:
