@@ -90,11 +90,12 @@ def chained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     The last document is followed by the first; a single one follows itself.
     Of repeated rows with one id, the one with the least text counts as the
-    next document.  Rows with a null id have the empty text as their next.
+    next document.  Rows with a null id, or one that is no whole number, have
+    the empty text as their next.
     Rows are placed by blocks of ids in one shuffle of the texts, and the first
     document of every block also goes to the block before it.
     """
-    rows = source(docs, id_col, text_col).withColumn("id", F.col("doc_id").cast("long"))
+    rows = source(docs, id_col, text_col).withColumn("id", F.col("doc_id").try_cast("long"))
     placed = rows.where("id is not null").withColumn("block", F.shiftright("id", BLOCK_BITS))
     blocks = cut(placed.groupBy("block").agg(F.min("id").alias("id")))
     order = successors(blocks.select(F.col("block").alias("key")))

@@ -168,3 +168,42 @@ def test_planted_keys_and_ordinary_names(spark):
     got = {x["token"] for r in found for x in r["random"]}
     assert len(got & set(keys)) >= 0.9 * len(set(keys))
     assert len(got - set(keys)) <= 0.02 * len(got)
+
+
+def test_fingerprints_and_likeness_against_a_plain_version(spark):
+    rng = random.Random(8)
+    vocabulary = ["the", "of", "a", "in", "and", "is", "to", *(f"w{k}" for k in range(40))]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 60))) for _ in range(25)] + [None, "", "the of and", "x", "The, CAT. sat; on the MAT!"]
+    ids = rng.sample(range(10**6), len(texts))
+    docs = spark.createDataFrame([(i, t, 1) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, sigs int")
+    got = {r["doc_id"]: r for r in spot_signatures.compare_with_next(docs).collect()}
+    order = sorted(zip(ids, texts, strict=True))
+    every = sorted({w for t in texts for w in re.split(r"[\W_]+", (t or "").lower()) if w})
+    stands_in = {r["w"]: r["s"] for r in spark.createDataFrame([(w,) for w in every], "w string").select("w", (F.pmod(F.hash("w"), F.lit(spot_signatures.STAND_IN)) == 0).alias("s")).collect()}
+
+    def chains(text):
+        words = [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
+        anchor = [w in spot_signatures.ANCHORS or stands_in[w] for w in words]
+        content = [k for k, a in enumerate(anchor) if not a]
+        out = set()
+        for k, a in enumerate(anchor):
+            after = [words[j] for j in content if j > k][: spot_signatures.CHAIN]
+            if a and after:
+                out.add((words[k], *after))
+        return out
+
+    def edited(k):
+        own, after = order[k][1] or "", order[(k + 1) % len(order)][1] or ""
+        part = len(own) // 4
+        return own[: len(own) - part] + after[:part]
+
+    alike = lambda a, b: 1.0 if not a and not b else len(a & b) / len(a | b)
+    for k, (i, text) in enumerate(order):
+        own, after = chains(text), chains(order[(k + 1) % len(order)][1])
+        assert len([x for x in got[i]["fingerprint"].split(",") if x]) == len(own)
+        assert got[i]["near_next"] == pytest.approx(alike(own, after))
+        if all(w in stands_in for w in re.split(r"[\W_]+", edited(k).lower()) if w):
+            assert got[i]["near_edited"] == pytest.approx(alike(own, chains(edited(k))))
+    names = spark.createDataFrame([("a", "one text of the kind"), ("7", "another text in the row"), ("9", "a third one")], "doc_id string, text string")
+    nexts = {r["doc_id"]: r["next_text"] for r in spot_signatures.chained(names).collect()}
+    assert nexts == {"a": "", "7": "a third one", "9": "another text in the row"}
