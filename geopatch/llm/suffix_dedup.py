@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,7 +78,9 @@ def anchors(data: np.ndarray, passage: int = PASSAGE, gram: int = GRAM) -> Itera
         least = sliding_min((hashes & ~np.uint64(0xFFFFFF)) | place, passage - gram + 1) & np.uint64(0xFFFFFF)
         first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
         last = np.append(first[1:], len(least))
-        yield hashes[least[first].astype(np.int64)], range_hashes(own, first, last + passage - 1), first + at, last + at
+        view = memoryview(own)
+        stretch = np.fromiter((xxhash.xxh3_64_intdigest(view[i:j]) for i, j in zip(first.tolist(), (last + passage - 1).tolist(), strict=True)), np.uint64, len(first))
+        yield hashes[least[first].astype(np.int64)], stretch, first + at, last + at
 
 
 def smaller_than_next(data: np.ndarray) -> np.ndarray:
@@ -218,8 +221,8 @@ def anchor_table(rows: DataFrame) -> DataFrame:
 
 
 def stretches(rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """``h, c, copy, bytes`` of the stretches at ``asked(h, c, copy, k1, k2, a, b)``."""
-    wanted = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "c", "copy", "a", "b")).alias("asked"))
+    """``h, c, single, bytes`` of the stretches at ``asked(h, c, single, k1, k2, a, b)``."""
+    wanted = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "c", "single", "a", "b")).alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,31 +230,30 @@ def stretches(rows: DataFrame, asked: DataFrame) -> DataFrame:
                 data, own = text.as_buffer().to_pybytes(), own.values
                 a, b = own.field("a").to_pylist(), own.field("b").to_pylist()
                 part = [data[x : y + PASSAGE - 1] for x, y in zip(a, b, strict=True)]
-                yield pa.RecordBatch.from_arrays([own.field("h"), own.field("c"), own.field("copy"), pa.array(part, pa.binary())], names=["h", "c", "copy", "bytes"])
+                yield pa.RecordBatch.from_arrays([own.field("h"), own.field("c"), own.field("single"), pa.array(part, pa.binary())], names=["h", "c", "single", "bytes"])
 
-    once = rows.join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
-    return once.select("text", "asked").mapInArrow(run, "h long, c long, copy int, bytes binary")
+    return rows.join(wanted, ["k1", "k2"]).select("text", "asked").mapInArrow(run, "h long, c long, single boolean, bytes binary")
 
 
 def by_suffixes(parts: DataFrame) -> DataFrame:
-    """``h, c, spans``: the starts of repeated passages in stretches ``parts(h, c, copy, bytes)``, by suffix arrays over whole anchors."""
+    """``h, c, spans``: the starts of repeated passages in stretches ``parts(h, c, single, bytes)``, by suffix arrays over whole anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, bytes]] = []
+        held: dict[tuple[int, int], tuple[bytes, bool]] = {}
         size, last = 0, None
 
         def flush() -> pa.RecordBatch:
-            flags = repeated([x[3] for x in held])
-            out = [(h, c, runs(f)) for (h, c, copy, _), f in zip(held, flags, strict=True) if not copy and f.any()]
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], SPANS)], names=["h", "c", "spans"])
+            flags = repeated([x[0] for x in held.values()])
+            out = [(k, runs(f)) for (k, (_, single)), f in zip(held.items(), flags, strict=True) if single and f.any()]
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in out], pa.int64()), pa.array([k[1] for k, _ in out], pa.int64()), pa.array([s for _, s in out], SPANS)], names=["h", "c", "spans"])
 
         for batch in batches:
-            for row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if size >= BATCH and row[0] != last:
+            for h, c, single, own in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if size >= BATCH and h != last:
                     yield flush()
-                    held, size = [], 0
-                held.append(row)
-                size, last = size + len(row[3]), row[0]
+                    held, size = {}, 0
+                held[h, c] = own, single
+                size, last = size + len(own), h
         if held:
             yield flush()
 
@@ -263,16 +265,16 @@ def by_hashes(parts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for h, c, copy, own in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for h, c, single, own in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 data = np.frombuffer(own, np.uint8)
                 s = np.arange(len(data) - PASSAGE + 1)
                 n = len(s)
                 one, two = (range_hashes(data, s, s + PASSAGE, base).view(np.int64) for base in (0x9FB21C651E98DF25, 0xD1342543DE82EF95))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, h)), pa.array(np.full(n, c)), pa.array(np.full(n, copy, np.int32)), pa.array(s.astype(np.int32)), pa.array(one), pa.array(two)], names=["h", "c", "copy", "s", "w1", "w2"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, h)), pa.array(np.full(n, c)), pa.array(np.full(n, single)), pa.array(s.astype(np.int32)), pa.array(one), pa.array(two)], names=["h", "c", "single", "s", "w1", "w2"])
 
-    every = parts.mapInArrow(run, "h long, c long, copy int, s int, w1 long, w2 long")
+    every = parts.mapInArrow(run, "h long, c long, single boolean, s int, w1 long, w2 long")
     shared = every.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    found = every.where("copy = 0").join(shared, ["w1", "w2"])
+    found = every.where("single").join(shared, ["w1", "w2"])
     return found.groupBy("h", "c").agg(F.collect_list(F.struct("s", (F.col("s") + 1).alias("e"))).alias("spans"))
 
 
@@ -280,20 +282,18 @@ def repeats(rows: DataFrame, hot: int = HOT) -> DataFrame:
     """``k1, k2, starts`` of ``rows(k1, k2, text)``: where repeated passages start, as an array of ranges ``s, e``.
 
     Every row is a document of its own, so passages of repeated rows repeat.
-    Of stretches that seem the same, two are fetched and compared byte by byte
-    like all others.
+    Stretches of one anchor with the same 64-bit hash are the same; one of them
+    is compared with the others of the anchor.
     """
     table = anchor_table(rows)
     again = kept(table.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     met = kept(table.join(again, "h"))
-    spot = ["k1", "k2", "a", "b"]
-    ends = [f(c).alias(f"{f.__name__}_{c}") for f in (F.first, F.last) for c in spot]
-    kinds = kept(met.groupBy("h", "c").agg(F.count("*").alias("n"), *ends))
-    several = kept(kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.max("n").alias("most")).where("kinds > 1 or most > 1").select("h", "kinds"))
-    place = lambda name, copy: F.struct(F.lit(copy).alias("copy"), *[F.col(f"{name}_{c}").alias(c) for c in spot])
-    places = F.filter(F.array(place("first", 0), F.when(F.col("n") > 1, place("last", 1))), lambda x: x.isNotNull())
-    asked = kept(kinds.join(several, "h").select("h", "c", "kinds", F.inline(places)))
-    spans = by_suffixes(stretches(rows, asked.where(F.col("kinds") <= hot)))
+    any_place = [F.first(c).alias(c) for c in ("k1", "k2", "a", "b")]
+    kinds = kept(met.groupBy("h", "c").agg(F.count("*").alias("n"), *any_place))
+    several = kept(kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"))
+    asked = kept(kinds.join(several, "h").select("h", "c", (F.col("n") == 1).alias("single"), "kinds", "k1", "k2", "a", "b"))
+    whole = kinds.where("n > 1").select("h", "c", F.array(F.struct(F.lit(0).alias("s"), (F.col("b") - F.col("a")).alias("e"))).alias("spans"))
+    spans = whole.unionByName(by_suffixes(stretches(rows, asked.where(F.col("kinds") <= hot))))
     hotter = asked.where(F.col("kinds") > hot)
     if not hotter.isEmpty():
         spans = spans.unionByName(by_hashes(stretches(rows, hotter)))
