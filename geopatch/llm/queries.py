@@ -22,47 +22,57 @@ def vocabulary(name: str) -> bytes:
 
 
 def op1_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document beside its edited text and the next document.  Null texts are empty, null ids have no next one, of repeated ids the least text is the next one."""
     return spot_signatures.compare_with_next(read(spark, sf_dir, "documents"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and their classes.  Null and blank texts have fingerprint 0 and are linked like others; repeated rows are one node and two rows."""
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, radius=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "copies")
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases and notices of each document.  Null texts have no words; ties of containment give all their labels; repeated rows give repeated rows."""
     return licenses.report(read(spark, sf_dir, "documents"))
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the bytes decoded from them.  Null texts have no tokens; repeated rows give repeated rows."""
     return byte_bpe.round_trip(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of bytes and tokens.  Null texts count 0; repeated rows give repeated rows."""
     counted = token_counts.count_tokens(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the benchmark items they hold.  Null texts hold none; rows with the same id and text give one row an item."""
     return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of removed lines, and the digest of what is left.  Null texts have no lines and a null digest; of equal lines the earliest stays, repeated rows keep the same ones."""
     left = line_dedup.dedup(read(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_lines", "n_exact", "n_near", sha256_of(F.col("text")).alias("kept_sha256"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents.  Null texts and those without letters are und; of equal scores the first label by name counts."""
     return language_id.identify(read(spark, sf_dir, "documents"))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of removed bytes, and the digest of what is left.  Null texts are empty; repeated rows repeat each other."""
     left = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"])
     return left.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of secrets.  Null texts have none; repeated rows give repeated rows."""
     found = secrets.scan(read(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda x: x["rank"] == secrets.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
     return found.select(
@@ -76,6 +86,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that are left after all stages of the pipeline, as token ids.  Empty tables give no rows."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)

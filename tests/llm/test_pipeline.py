@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from geopatch.llm import byte_bpe
@@ -16,6 +17,9 @@ def folder(spark, tmp_path_factory):
     question = "which of the seven old bridges over the river was the first to be built of stone and who paid for the work"
     rows = [(i, f"{prose(40)}\n{prose(30)}", "en") for i in range(60)]
     rows += [(100, rows[3][1], "en"), (101, rows[4][1] + "\nand one more line of words that stands nowhere else but here for all", "en"), (102, f"{prose(20)} {question} {prose(20)}", "en"), (103, None, "en"), (104, "", "en"), (105, "123 456", None)]
+    copy = " ".join(rows[7][1].split("\n")).split()
+    copy[20] = "there"
+    rows += [(106, " ".join(copy), "en"), (107, rows[9][1] + "\n" + prose(25), "en")]
     spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(1, question)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     return str(path)
@@ -33,6 +37,7 @@ def test_stages(spark, folder):
         docs = left
     assert gone[0] == {103, 104, 105}
     assert gone[1] == {100}
+    assert gone[2] == {106}
     assert gone[3] == {102}
     assert gone[4] == set()
 
@@ -43,3 +48,24 @@ def test_the_run_ends_in_ids_of_the_texts(spark, folder):
     text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     assert {r["doc_id"]: r["ids"] for r in rows}[7] == coder.encode_ordinary(text[7])
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_lines_and_lines_near_them_go_once(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    before = {r["doc_id"]: r["text"] for r in docs.collect()}
+    after = {r["doc_id"]: r for r in corpus_pipeline.without_repeated_lines(spark, docs, folder).collect()}
+    assert after[101]["text"] == before[101].split("\n")[2] and after[107]["text"] == before[107].split("\n")[2]
+    assert all(r["text"] == before[i] for i, r in after.items() if i < 100)
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in after.values())
+
+
+def test_empty_tables_repeated_rows_and_other_columns(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), folder).count() == 0
+    odd = docs.union(docs.where("doc_id = 5")).withColumns({"k1": F.lit("a"), "hash": F.lit(1), "lang_pred": F.lit("x")})
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        left = stage(spark, odd, folder)
+        assert left.columns == corpus_pipeline.COLUMNS
+        assert left.where("doc_id = 5").count() >= 1
+    assert corpus_pipeline.token_ids(spark, odd, folder).where("doc_id = 5").select("ids_sha256").distinct().count() == 1
