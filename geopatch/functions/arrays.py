@@ -16,6 +16,11 @@ from geopatch.functions.geo import unit
 from geopatch.schema import VEGETATION
 
 
+def once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), where the value is computed once, however often and in whatever loops ``of`` reads it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def cells(height: int | Column, width: int | Column, of: Callable[[Column, Column], Column]) -> Column:
     """A flattened array of of(row, column) over a grid."""
     height, width = (x if isinstance(x, Column) else F.lit(x) for x in (height, width))
@@ -113,12 +118,12 @@ def nearest_fill(a: Column, width: int | Column, nodata: Column) -> Column:
     spot = lambda k: (F.floor(k / width).cast("int"), (k % width).cast("int"))
     valid = F.filter(F.transform(a, lambda v, k: F.struct(spot(k)[0].alias("r"), spot(k)[1].alias("c"), v.alias("v"))), lambda x: x["v"] != nodata)
 
-    def of(v: Column, k: Column) -> Column:
+    def of(known: Column, v: Column, k: Column) -> Column:
         r, c = spot(k)
-        near = F.array_min(F.transform(valid, lambda x: F.struct(((x["r"] - r) * (x["r"] - r) + (x["c"] - c) * (x["c"] - c)).alias("d"), x["r"].alias("r"), x["c"].alias("c"), x["v"].alias("v"))))
+        near = F.array_min(F.transform(known, lambda x: F.struct(((x["r"] - r) * (x["r"] - r) + (x["c"] - c) * (x["c"] - c)).alias("d"), x["r"].alias("r"), x["c"].alias("c"), x["v"].alias("v"))))
         return F.when(v != nodata, v).otherwise(F.coalesce(near["v"], nodata))
 
-    return F.transform(a, of)
+    return once(valid, lambda known: F.transform(a, lambda v, k: of(known, v, k)))
 
 
 def _axis(n_in: int | Column, n_out: int) -> Column:
@@ -157,8 +162,8 @@ def bilinear(a: Column, h: int | Column, w: int | Column, to_h: int, to_w: int)
 def resampled(full: Column, a: Column, h: int, w: int, to_h: int, to_w: int, nodata: Column, order: int) -> Column:
     """``full`` (the array after ``filled``) resampled, with the no-data pixels of ``a`` put back by nearest resampling; infinite values are an error."""
     infinite = F.exists(full, lambda x: F.abs(x.cast("double")) == math.inf)
-    full = F.when(~infinite, full).otherwise(F.raise_error(F.lit("a raster to resample has infinite values")))
-    values = bilinear(full, h, w, to_h, to_w) if order else nearest(full, h, w, to_h, to_w)
+    checked = F.when(~infinite, full).otherwise(F.raise_error(F.lit("a raster to resample has infinite values")))
+    values = once(checked, lambda x: (bilinear if order else nearest)(x, h, w, to_h, to_w))
     holes = nearest(a, h, w, to_h, to_w)
     return F.zip_with(values, holes, lambda v, hole: F.when(hole == nodata, nodata).otherwise(v))
 
@@ -175,12 +180,16 @@ def aligned(a: Column, height: int, width: int, grid: tuple[Column, Column, floa
     col = lambda x: F.floor((x - left) / step).cast("int")
     t, b = row(to_top - to_step / 2), row(to_top - to_step * (to_h - 0.5))
     lo, hi = col(to_left + to_step / 2), col(to_left + to_step * (to_w - 0.5))
-    cut = crop_pad(a, height, width, t, b, lo, hi, nodata)
     h, w = b - t + 1, hi - lo + 1
-    if not order:
-        return nearest(cut, h, w, to_h, to_w)
-    holes = nearest(cut, h, w, to_h, to_w)
-    return F.zip_with(bilinear(nearest_fill(cut, w, nodata), h, w, to_h, to_w), holes, lambda v, hole: F.when(hole == nodata, nodata).otherwise(v))
+
+    def scaled(cut: Column) -> Column:
+        holes = nearest(cut, h, w, to_h, to_w)
+        if not order:
+            return holes
+        values = once(nearest_fill(cut, w, nodata), lambda x: bilinear(x, h, w, to_h, to_w))
+        return F.zip_with(values, holes, lambda v, hole: F.when(hole == nodata, nodata).otherwise(v))
+
+    return once(crop_pad(a, height, width, t, b, lo, hi, nodata), scaled)
 
 
 def _gradient(a: Column, r: Column, c: Column, size: int, by_row: bool, step: float) -> Column:

@@ -733,7 +733,7 @@ TRAINING_FEATURES = ["lat_cos", "lon_sin", "doy_cos", "B02"]
 def gbt_fit(spark, sf_dir):
     """Five seeds, stopped early on the validation split: rows of each split, and whether the error is below that of the split's mean."""
     rows = _training(spark, sf_dir).withColumn("validation", F.col("mode") == "val")
-    fitted = models.fit_seeds(rows.where("mode in ('train', 'val')"), TRAINING_FEATURES, "biomass", seeds=5, rounds=12, depth=4, validation="validation")
+    fitted = models.fit_seeds(rows.where("mode in ('train', 'val')"), TRAINING_FEATURES, "biomass", seeds=5, rounds=6, depth=4, validation="validation")
     errors = models.evaluate(fitted, rows, "biomass", ["mode"]).join(models.baseline(rows, "biomass", ["mode"]).drop("n"), "mode")
     return errors.select("seed", "mode", "n", (F.col("rmse") < F.col("spread")).alias("better"))
 
