@@ -223,31 +223,29 @@ def excess_of(centre: Column) -> Column:
     return (F.col("bits") - centre) / F.sqrt(1 / F.col("n_symbols") + 1 / 500)
 
 
-def calibrate(labelled: DataFrame, models: DataFrame, tail: float = 0.999, slack: float = 2.0) -> dict[str | None, tuple[float, float]]:
+def calibrate(labelled: DataFrame, models: DataFrame, tail: float = 0.999, slack: float = 2.0) -> dict[str, tuple[float, float]]:
     """``lang -> (centre, reach)``: a text is rejected if its excess over the centre exceeds reach.
 
     The centre is the median of the bits of a language's own texts in
     ``labelled``, which the models have not seen; the reach is the ``tail``
-    quantile of the excess, times ``slack``.  Under null stand the limits over
-    all languages, for those with fewer than OWN_LIMITS texts.
+    quantile of the excess, times ``slack``.  Languages with fewer than
+    OWN_LIMITS texts there have no limit.
     """
     scored = kept(score(labelled, models).where("bits is not null"))
-    both = scored.select(F.explode(F.array("lang_pred", F.lit(None))).alias("lang"), "bits", "n_symbols")
-    centres = both.groupBy("lang").agg(F.percentile_approx("bits", 0.5, 10000).alias("centre"), F.count("*").alias("n")).where(f"lang is null or n >= {OWN_LIMITS}")
-    centres = few(kept(centres.withColumnRenamed("lang", "own")))
-    rows = both.join(centres, both["lang"].eqNullSafe(centres["own"])).groupBy("own", "centre").agg(F.percentile_approx(excess_of(F.col("centre")), tail, 10000).alias("reach"))
-    return {r["own"]: (r["centre"], max(r["reach"], 1.0) * slack) for r in rows.collect()}
+    centres = few(kept(scored.groupBy("lang_pred").agg(F.percentile_approx("bits", 0.5, 10000).alias("centre"), F.count("*").alias("n")).where(F.col("n") >= OWN_LIMITS)))
+    rows = scored.join(centres, "lang_pred").groupBy("lang_pred", "centre").agg(F.percentile_approx(excess_of(F.col("centre")), tail, 10000).alias("reach"))
+    return {r["lang_pred"]: (r["centre"], max(r["reach"], 1.0) * slack) for r in rows.collect()}
 
 
-def accepted(limits: dict[str | None, tuple[float, float]]) -> Column:
+def accepted(limits: dict[str, tuple[float, float]]) -> Column:
     """Whether a scored row is within its language's calibrated limit; never for ``und``.
 
-    Without any limits, as where no text was set aside, all others are accepted.
+    Texts of languages without a limit, which had too few texts to set one,
+    are accepted.
     """
-    within = F.lit(True) if None not in limits else excess_of(F.lit(limits[None][0])) <= limits[None][1]
+    within = F.lit(True)
     for lang, (centre, reach) in limits.items():
-        if lang is not None:
-            within = F.when(F.col("lang_pred") == lang, excess_of(F.lit(centre)) <= reach).otherwise(within)
+        within = F.when(F.col("lang_pred") == lang, excess_of(F.lit(centre)) <= reach).otherwise(within)
     return (F.col("lang_pred") != UNKNOWN) & within
 
 

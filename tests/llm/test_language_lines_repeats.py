@@ -97,10 +97,12 @@ def test_models_against_the_definition(spark, shard):
         assert got[k]["score"] == pytest.approx(1 / sum(np.exp(-(x - min(cross.values())) * min(n, 64)) for x in cross.values()), rel=1e-6)
 
 
-def test_texts_of_other_scripts_are_rejected(spark, labelled):
-    odd = spark.createDataFrame([(5000, "qzxv kwqj xxqz vvkq " * 20, None, "s"), (5001, "²½① 12", None, "s")], "doc_id long, text string, lang string, score string")
-    got = {r["doc_id"]: r for r in language_id.identify(labelled.unionByName(odd)).where("doc_id >= 5000").collect()}
-    assert not got[5000]["accepted"] and got[5001]["lang_pred"] == "und"
+def test_texts_like_none_learnt_are_rejected(spark):
+    rng = random.Random(11)
+    rows = [(i, sentence(rng, lang, 30), lang) for i, lang in enumerate(["en", "de"] * 450)] + [(5000, "qzxv kwqj xxqz vvkq " * 20, None), (5001, "²½① 12", None)]
+    got = {r["doc_id"]: r for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not got[5000]["accepted"] and got[5001]["lang_pred"] == "und" and not got[5001]["accepted"]
+    assert sum(got[i]["accepted"] for i in range(900)) >= 895
 
 
 def test_no_labels(spark):
