@@ -10,8 +10,6 @@ DataFrame functions.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +17,8 @@ from geopatch.llm.common import few, kept, row_key, source
 
 #: Tokens in a window; an item of fewer tokens is one window of its own length.
 WINDOW = 8
+#: Kinds of window hashes: word for word, and with placeholders.
+KINDS = ("exact", "typed")
 #: Share of an item's windows that a document must hold, or as many windows of it as this in one passage.
 COVERAGE, RUN = 0.3, 24
 #: Marks a word that begins with a capital.
@@ -39,9 +39,9 @@ OPENERS = (
 
 
 def tokens_of(text: Column) -> Column:
-    """Runs of letters and digits in lower case, numbers with their points and commas; a mark stands before capitals."""
+    """Runs of letters and digits in lower case; a mark stands before capitals."""
     marked = F.regexp_replace(text, r"(?<![\p{L}\p{N}])(?=\p{Lu})", MARK)
-    return F.filter(F.split(F.lower(marked), r"(?:[^\p{L}\p{N}\x02.,]|[.,](?!\p{N})|(?<!\p{N})[.,])+"), lambda t: (t != "") & (t != MARK))
+    return F.filter(F.split(F.lower(marked), r"[^\p{L}\p{N}\x02]+"), lambda t: (t != "") & (t != MARK))
 
 
 def plain(token: Column) -> Column:
@@ -61,61 +61,74 @@ def is_slot(token: Column) -> Column:
 
 
 def coded(rows: DataFrame) -> DataFrame:
-    """Adds ``exact``, the hashes of a column of tokens, and ``typed``, the same with placeholders, which alone are odd."""
+    """Adds ``exact1``, odd hashes of a column of tokens, and ``typed1``, the same made even, with small odd numbers as placeholders; and both over runs of 2, 4 and 8."""
 
     def of(token: Column, i: Column) -> Column:
         unit = token.isin(UNITS) & F.coalesce(is_number(F.get("tokens", i - 1)), F.lit(False))
-        return F.when(is_number(token), 1).when(is_name(token), 3).when(unit, 5).otherwise(F.get("exact", i).bitwiseAND(F.lit(-2).cast("long")))
-
-    rows = rows.withColumn("exact", F.transform("tokens", lambda t: F.xxhash64(plain(t))))
-    return rows.withColumn("typed", F.transform("tokens", of))
+        return F.when(is_number(token), 1).when(is_name(token), 3).when(unit, 5).otherwise(F.get("exact1", i) - 1)
 
+    rows = rows.withColumn("exact1", F.transform("tokens", lambda t: F.xxhash64(plain(t)).bitwiseOR(F.lit(1).cast("long"))))
+    rows = rows.withColumn("typed1", F.transform("tokens", of))
+    for size in (1, 2, 4):
+        for kind in KINDS:
+            rows = rows.withColumn(f"{kind}{2 * size}", doubled(f"{kind}{size}", size))
+    return rows
 
-def windows(size: int) -> Column:
-    """An array of ``pos, key`` of every run of ``size`` tokens; none if there are fewer.
-
-    Each has a key word for word.  Runs with placeholders have another one with
-    these, if at least half of the tokens are literal.
-    """
 
-    def of(i: Column) -> Column:
-        exact, typed = ([F.get(c, i + k) for k in range(size)] for c in ("exact", "typed"))
-        slots = reduce(lambda a, b: a + b, [x.bitwiseAND(F.lit(1).cast("long")) for x in typed])
-        whole = F.struct(i.alias("pos"), F.xxhash64(F.lit(0), *exact).alias("key"))
-        return F.when((slots > 0) & (2 * slots <= size), F.array(whole, F.struct(i.alias("pos"), F.xxhash64(F.lit(1), *typed).alias("key")))).otherwise(F.array(whole))
+def doubled(hashes: str, size: int) -> Column:
+    return F.transform(hashes, lambda x, i: F.xxhash64(x, F.get(hashes, i + size)))
 
-    found = F.flatten(F.transform(F.sequence(F.lit(0), F.size("tokens") - size), of))
-    return F.when(F.size("tokens") >= size, found)
 
-
-def sized_windows(size: int) -> Column:
-    """The same as ``pos, key, size``, empty where there are none."""
-    marked = F.transform(windows(size), lambda w: F.struct(w["pos"].alias("pos"), w["key"].alias("key"), F.lit(size).alias("size")))
-    return F.coalesce(marked, F.array().cast("array<struct<pos:int,key:bigint,size:int>>"))
+def windows(kind: str, size: int) -> Column:
+    """The hash of every run of ``size`` tokens, up to 8, from the hashes of runs of powers of two; none if there are fewer."""
+    parts = [k for k in (8, 4, 2, 1) if size & k]
+    starts = [sum(parts[:n]) for n in range(len(parts))]
+    first = f"{kind}{parts[0]}"
+    whole = F.col(first) if len(parts) == 1 else F.transform(first, lambda x, i: F.xxhash64(x, *[F.get(f"{kind}{k}", i + at) for k, at in zip(parts[1:], starts[1:], strict=True)]))
+    return F.slice(whole, F.lit(1), F.greatest(F.size("tokens") - (size - 1), F.lit(0)))
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``key, word_for_word, size, item, item_id, item_pos, item_tokens, n_windows`` of a benchmark's items; items without words have none."""
+    """``key, kind, size, item, item_id, item_pos, item_tokens, n_windows`` of a benchmark's items; items without words have none.
+
+    Every window is there word for word; those with placeholders are there with
+    these, too, if at least half of their tokens are literal.
+    """
     items = benchmark.select(benchmark[id_col].alias("item_id"), F.coalesce(benchmark[text_col], F.lit("")).alias("text")).distinct()
     items = items.select(F.xxhash64("item_id", "text").alias("item"), "item_id", tokens_of(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
     items = coded(items).withColumn("size", F.least(F.size("tokens"), F.lit(WINDOW)))
-    sized = F.coalesce(*[F.when(F.col("size") == k, windows(k)) for k in range(1, WINDOW + 1)])
-    rows = items.select("item", "item_id", "tokens", "exact", "size", F.inline(sized)).withColumnRenamed("pos", "item_pos")
-    own = F.coalesce(*[F.when(F.col("size") == k, F.xxhash64(F.lit(0), *[F.get("exact", F.col("item_pos") + i) for i in range(k)])) for k in range(1, WINDOW + 1)])
+    of = lambda kind: F.coalesce(*[F.when(F.col("size") == k, windows(kind, k)) for k in range(1, WINDOW + 1)])
+    columns = ["item", "item_id", "tokens", "typed1", "size"]
+    rows = [items.select(*columns, F.lit(kind).alias("kind"), F.posexplode(of(kind)).alias("item_pos", "key")) for kind in KINDS]
+    slots = F.size(F.filter(F.slice("typed1", F.col("item_pos") + 1, F.col("size")), lambda x: x.bitwiseAND(F.lit(1).cast("long")) == 1))
+    both = rows[0].unionByName(rows[1].where((slots > 0) & (2 * slots <= F.col("size"))))
     total = (F.size("tokens") - F.col("size") + 1).cast("long")
-    return kept(rows.select("key", (F.col("key") == own).alias("word_for_word"), "size", "item", "item_id", "item_pos", F.slice("tokens", F.col("item_pos") + 1, F.col("size")).alias("item_tokens"), total.alias("n_windows")))
+    return kept(both.select("key", "kind", "size", "item", "item_id", "item_pos", F.slice("tokens", F.col("item_pos") + 1, F.col("size")).alias("item_tokens"), total.alias("n_windows")))
+
+
+def matches(rows: DataFrame, right: DataFrame) -> DataFrame:
+    """``k1, k2, doc_id, pos, size, item, item_pos, n_windows, word_for_word`` of the windows of ``rows(k1, k2, doc_id, text)`` that stand in the benchmark.
+
+    All window hashes of a row are one array, family after family (one for each
+    size and kind), so that only places and hashes are spread out.
+    """
+    found = right.select("size", "kind").distinct().collect()
+    families = sorted((r["size"], r["kind"]) for r in found) or [(WINDOW, KINDS[0])]
+    hashed = coded(rows.select("k1", "k2", "doc_id", tokens_of(F.col("text")).alias("tokens")))
+    spread = hashed.select("k1", "k2", "doc_id", F.size("tokens").alias("n"), F.posexplode(F.concat(*[windows(kind, size) for size, kind in families])).alias("i", "key"))
+    numbers = F.coalesce(*[F.when((F.col("size") == size) & (F.col("kind") == kind), F.lit(k)) for k, (size, kind) in enumerate(families)])
+    met = spread.join(few(right.drop("item_tokens", "item_id")), "key").withColumn("family", numbers)
+    counts = [F.greatest(F.col("n") - (size - 1), F.lit(0)) for size, _ in families]
+    before = F.get(F.array(*[sum(counts[:k], F.lit(0)) for k in range(len(families))]), F.col("family"))
+    placed = met.withColumn("pos", F.col("i") - before).where((F.col("pos") >= 0) & (F.col("pos") <= F.col("n") - F.col("size")))
+    return kept(placed.select("k1", "k2", "doc_id", "pos", "size", "item", "item_pos", "n_windows", (F.col("kind") == KINDS[0]).alias("word_for_word")).distinct())
 
 
 def found_items(docs: DataFrame, benchmark: DataFrame, coverage: float, run: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``contaminated`` with ``k1, k2``, 128 bits that stand for a document's id and text."""
     rows = source(docs, id_col, text_col).select(*row_key(F.col("doc_id"), F.col("text")), "doc_id", "text")
     right = benchmark_windows(benchmark)
-    sizes = sorted(r["size"] for r in right.select("size").distinct().collect())
-    hashed = coded(rows.select("k1", "k2", "doc_id", tokens_of(F.col("text")).alias("tokens")))
-    every = F.concat(*[sized_windows(k) for k in sizes or [WINDOW]])
-    own = hashed.select("k1", "k2", "doc_id", F.inline(every))
-    hits = kept(own.join(few(right.drop("item_tokens", "item_id")), ["key", "size"]).select("k1", "k2", "doc_id", "pos", "size", "item", "item_pos", "word_for_word", "n_windows").distinct())
-
+    hits = matches(rows, right)
     spots = ["k1", "k2", "item", "shift"]
     hits = hits.withColumn("shift", F.col("pos") - F.col("item_pos"))
     alike = hits.where("not word_for_word")
@@ -123,7 +136,7 @@ def found_items(docs: DataFrame, benchmark: DataFrame, coverage: float, run: int
     texts = rows.select("k1", "k2", "text").join(few(kept(asked)), ["k1", "k2"]).select("k1", "k2", "asked", tokens_of(F.col("text")).alias("tokens"))
     slices = F.transform("asked", lambda a: F.struct(a["pos"].alias("pos"), a["size"].alias("size"), F.slice("tokens", a["pos"] + 1, a["size"]).alias("here")))
     there = texts.select("k1", "k2", F.inline(slices)).distinct()
-    items = right.where("not word_for_word").select("item", "item_pos", "item_tokens")
+    items = right.where(F.col("kind") != KINDS[0]).select("item", "item_pos", "item_tokens")
     both = alike.join(there, ["k1", "k2", "pos", "size"]).join(few(items), ["item", "item_pos"])
     pairs = F.filter(F.zip_with("item_tokens", "here", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: is_slot(x["a"]))
     slots = both.select(*spots, pairs.alias("pairs")).groupBy(*spots).agg(F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))

@@ -12,7 +12,7 @@ ITEM = "If Maria buys 12 apples and gives 5 apples to Peter on the market, how m
 
 def plain_tokens(text):
     """Words as (lower case, placeholder or None)."""
-    found = [m for m in re.findall(r"(?:(?<=\d)[.,](?=\d)|[^\W_])+", text or "")]
+    found = [m for m in re.findall(r"[^\W_]+", text or "")]
     words = [(w.lower(), w[0].isupper() and not w[0].isdigit()) for w in found]
     out = []
     for i, (w, capital) in enumerate(words):
