@@ -137,10 +137,11 @@ def plain_battery(token):
     same = sum((of.count(g) / m) ** 2 for g in set(of))
     p = lambda z: math.erfc(abs(z) / math.sqrt(2))
     chi = sum((v.count(s) - n / m) ** 2 / (n / m) for s in range(m))
-    runs, mean = sum(a != b for a, b in zip(group, group[1:])), sum(v) / n
+    runs, codes = sum(a != b for a, b in zip(group, group[1:])), list(map(ord, token))
+    mean = sum(codes) / n
     spread = math.sqrt((n - 1) * same * (1 - same))
-    var = sum((x - mean) ** 2 for x in v)
-    serial = sum((a - mean) * (b - mean) for a, b in zip(v, v[1:])) / var + 1 / n if var else None
+    var = sum((x - mean) ** 2 for x in codes)
+    serial = sum((a - mean) * (b - mean) for a, b in zip(codes, codes[1:])) / var + 1 / n if var else None
     return name, p((chi - (m - 1)) / math.sqrt(2 * (m - 1) * (n - 1) / n)), p((runs - (n - 1) * (1 - same)) / spread) if spread else 1, p(serial * math.sqrt(n)) if var else 0
 
 
