@@ -99,17 +99,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def licenses_sql() -> str:
     """The license report, with every run of words against every notice."""
     word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
-    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
-    spots = [f"list_transform(list_filter(range(len(ws)), lambda i: ws[i + 1:i + {len(p.split())}] = {quoted(p.split())}), lambda i: {{'at': i, 'label': '{label}'}})" for p, label in licenses.PHRASES.items()]
-    places = spots[0]
-    for spot in spots[1:]:
-        places = f"list_concat({places}, {spot})"
+    longest = max(len(p.split()) for p in licenses.PHRASES)
+    follow = ", ".join(f"lead(word, {k}) over (partition by r order by pos) w{k}" for k in range(1, longest))
+    cases = " ".join("when " + " and ".join(f"w{k} = '{w}'" for k, w in enumerate(p.split())) + f" then '{label}'" for p, label in licenses.PHRASES.items())
     notices = ", ".join(f"({k}, '{label}', '{w}', {len(set(t.split()))}, {licenses.block_words(t)})" for k, (t, label) in enumerate(licenses.TEMPLATES.items()) for w in sorted(set(t.split())))
     return f"""with d as (select row_number() over () r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents),
 w as (select r, doc_id, regexp_extract_all(t, {word}) ws from d),
-p as (select r, doc_id, len(ws) n_words, {places} places from w),
 n(notice, label, word, size, reach) as (values {notices}),
 e as (select r, unnest(ws) word, unnest(range(len(ws))) pos from w),
+x as (select r, pos, word w0, {follow} from e),
+y as (select r, list({{'at': pos, 'label': label}}) places from (select r, pos, case {cases} end label from x) where label is not null group by r),
+p as (select w.r, doc_id, len(ws) n_words, coalesce(places, []) places from w left join y on w.r = y.r),
 v as (select distinct r, word from e),
 u as (select r, notice from v join n using (word) group by r, notice, size having count(*) >= ceil({licenses.THRESHOLD} * size - 1e-9)),
 g as (select u.r, n.* from u join n using (notice)),
