@@ -14,7 +14,8 @@ def folder(spark: SparkSession) -> str:
     It goes when the session's JVM ends.  A session without a checkpoint folder
     gets a temporary one if it is local, else an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    base = current.get() if current.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
