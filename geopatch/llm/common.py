@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,14 +47,24 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Lowers the rows of an Arrow batch from Spark's own 10,000, which are many for long texts; a session's other choice stays."""
+    """Lowers the rows of an Arrow batch from Spark's own 10,000, which are many for long texts; a session's other choice stays.
+
+    Operators with Arrow functions set this for the session, since it is read
+    when a query runs, not when it is written down.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == "10000":
         spark.conf.set(name, str(rows))
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 250) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most so many rows, which bounds what a worker holds of long texts at a time."""
+    for batch in batches:
+        yield from (batch.slice(k, rows) for k in range(0, batch.num_rows, rows))
+
+
 #: Bytes of computed rows up to which they are broadcast; beyond, both sides of a join are shuffled.
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 8 << 20
 
 
 def few(df: DataFrame) -> DataFrame:

@@ -24,13 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from geopatch.llm.common import few, kept, row_key
+from geopatch.llm.common import few, kept, row_key, sliced, small_batches
 
 ORDER, START, END = 4, 1, 2
 WORD = regex.compile(r"\p{L}+")
 UNKNOWN = "und"
 #: Characters of text whose words a task counts before it passes them on.
-TEXT_HELD = 32 << 20
+TEXT_HELD = 8 << 20
 #: Entries of a shard, of 16 bytes each; bounds what is sent to the driver and the workers at a time.
 SHARD = 1 << 24
 #: Labelled rows of which one is set aside to calibrate the rejection, and rows that a language needs for limits of its own.
@@ -140,7 +140,7 @@ def count_ngrams(labelled: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(n)], names=["lang", "code", "n"])
             words.clear()
 
-        for batch in batches:
+        for batch in sliced(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words.setdefault(lang, Counter()).update(letters(text))
                 held += len(text)
@@ -165,7 +165,7 @@ def sums_of(rows: DataFrame, part: pa.Table, names: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = held.value
-        for batch in batches:
+        for batch in sliced(batches):
             slots: dict[str, int] = {}
             owned = [np.fromiter((slots.setdefault(w, len(slots)) for w in letters(t or "")), np.int64) for t in batch.column(0).to_pylist()]
             size = np.fromiter(map(len, owned), np.int64, len(owned))
@@ -258,6 +258,7 @@ def fitted(docs: DataFrame) -> tuple[DataFrame, Column]:
 
     One row in ASIDE of these is not learnt from but sets the rejection limits.
     """
+    small_batches(docs.sparkSession)
     labelled = docs.where((fold(docs["doc_id"]) != 1) & docs["lang"].isNotNull() & docs["text"].isNotNull()).select("doc_id", "lang", "text")
     aside = F.pmod(F.xxhash64(F.lit("aside"), "doc_id"), F.lit(ASIDE)) == 0
     models = fit(labelled.where(~aside))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geopatch.llm.common import few, kept, row_key
+from geopatch.llm.common import few, kept, row_key, sliced, small_batches
 
 #: Words from which a line may differ in one word; characters from which a shorter one may differ in one character.
 WORDS, CHARS = 10, 20
@@ -87,7 +87,7 @@ def line_table(rows: DataFrame, words: int, chars: int) -> DataFrame:
     kind = rows.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             of, numbers, classes, keys = [], [], [], []
             for i, text in enumerate(batch.column(3)):
                 for number, line in enumerate(text.as_py().encode("utf-8", "surrogatepass").split(b"\n")):
@@ -169,6 +169,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     stays null, with no lines.  Columns of the names of the three counts are
     replaced; the others are kept.
     """
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).select(*row_key(F.col("doc_id"), F.col("text")), "doc_id", "text")
     place = F.struct("doc_id", "line", "k1", "k2").alias("place")
