@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geopatch.llm import byte_bpe, decontamination, language_id, licenses, line_dedup, secrets, simhash, spot_signatures, suffix_dedup, token_counts
+from geopatch.llm import byte_bpe, collocations, decontamination, divergence, language_id, licenses, line_dedup, secrets, simhash, spot_signatures, suffix_dedup, token_counts, warc
 from geopatch.llm.common import read, sha256_of
 
 #: Documents of more tokens than this are reported as over the limit.
@@ -85,6 +85,21 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of each language.  Null texts have no words, a null language is und; ties go by phrase, repeated rows count as often as they stand."""
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as read back from their archives.  A null html is the empty payload; rows with the id and payload of a response are responses too."""
+    return warc.report(read(spark, sf_dir, "pages"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of the sources of each language, and their terms.  Nulls are empty strings, ties go by item, repeated rows count as often as they stand."""
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that are left after all stages of the pipeline, as token ids.  Empty tables give no rows."""
     import corpus_pipeline
@@ -93,7 +108,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_spot_signatures, op2_simhash, op3_licenses, op4_byte_bpe, op5_token_counts, op6_decontamination, op7_line_dedup, op8_language_id, op9_suffix_dedup, op10_secrets, pipeline)}
+    return {f.__name__: f for f in (op1_spot_signatures, op2_simhash, op3_licenses, op4_byte_bpe, op5_token_counts, op6_decontamination, op7_line_dedup, op8_language_id, op9_suffix_dedup, op10_secrets, op11_collocations, op12_warc, op13_source_divergence, pipeline)}
 
 
 def licenses_sql() -> str:
@@ -123,6 +138,45 @@ select doc_id, cast(n_words as bigint) n_words, cast(len(places) as bigint) n_ba
 from p left join m using (r)"""
 
 
+LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+COLLOCATIONS_SQL = rf"""with d as (select row_number() over () r, coalesce(lang, 'und') lang, {LOWER.format("coalesce(text, '')")} t from documents),
+p as (select r, lang, unnest(ps) piece, unnest(range(len(ps))) p from (select r, lang, regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]') ps from d)),
+w as (select r, lang, p, unnest(ws) w, unnest(range(len(ws))) k from (select r, lang, p, regexp_extract_all(piece, '[^\x20\x09]+') ws from p)),
+g as (select lang, w, lead(w, 1) over q w1, lead(w, 2) over q w2 from w window q as (partition by r, p order by k)),
+f1 as (select lang, w, count(*) f from g group by all),
+f2 as (select lang, w, w1, count(*) f from g where w1 is not null group by all),
+f3 as (select lang, w, w1, w2, count(*) f from g where w2 is not null group by all having count(*) >= 10),
+n as (select lang, count(*) n from w group by lang),
+c3 as (select t.lang, t.w || ' ' || t.w1 || ' ' || t.w2 phrase, t.f a, a.f la, b.f ra, c.f lb, e.f rb, cast(1000000 as hugeint) * t.f * t.f // (cast(a.f as hugeint) * b.f) sa, cast(1000000 as hugeint) * t.f * t.f // (cast(c.f as hugeint) * e.f) sb
+  from f3 t join f1 a on a.lang = t.lang and a.w = t.w join f2 b on b.lang = t.lang and b.w = t.w1 and b.w1 = t.w2 join f2 c on c.lang = t.lang and c.w = t.w and c.w1 = t.w1 join f1 e on e.lang = t.lang and e.w = t.w2),
+x as (select lang, w, w1, max(f) longer from (select lang, w, w1, f from f3 union all select lang, w1, w2, f from f3) group by all),
+c2 as (select t.lang, t.w || ' ' || t.w1 phrase, t.f a, a.f l, b.f r, cast(1000000 as hugeint) * t.f * t.f // (cast(a.f as hugeint) * b.f) score
+  from f2 t join f1 a on a.lang = t.lang and a.w = t.w join f1 b on b.lang = t.lang and b.w = t.w1 left join x on x.lang = t.lang and x.w = t.w and x.w1 = t.w1 where t.f >= 10 and (longer is null or 100 * longer < 50 * t.f)),
+c as (select * from c2 union all select lang, phrase, a, case when sb < sa then lb else la end, case when sb < sa then rb else ra end, least(sa, sb) from c3),
+o as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) k from c)
+select lang, k as rank, phrase, a, l, r, n, cast(score as bigint) score from o join n using (lang) where k <= 2000"""
+
+WARC_SQL = """with p as (select page_id, encode(coalesce(html, '')) b from pages),
+d as (select page_id, octet_length(b) payload_bytes, sha256(b) payload_digest from p),
+f as (select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) end least from d)
+select page_id, cast(payload_bytes as bigint) payload_bytes, payload_digest, case when least is null or page_id = least then 'response' else 'revisit' end record_type, case when page_id <> least then least end refers_to from f"""
+
+DIVERGENCE_SQL = rf"""with d as (select row_number() over () r, coalesce(lang, '') lang, coalesce(source, '') source, {LOWER.format("coalesce(text, '')")} t from documents),
+w as (select r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) term from d),
+k as (select lang, term from w group by all having count(distinct r) >= 30),
+v as (select lang, count(*) v from k group by lang),
+c as (select lang, source, term, count(*) n from w join k using (lang, term) group by all),
+g as (select g.lang, g.source, coalesce(v, 0) v, coalesce(s, 0) s from (select distinct lang, source from d) g left join v using (lang) left join (select lang, source, sum(n) s from c group by all) using (lang, source)),
+m as (select g.lang, g.source, k.term, coalesce(n, 0) n, cast(1 + cast(1000000000 as hugeint) * (coalesce(n, 0) + 5) // (s + 5 * v) as bigint) p from g join k on k.lang = g.lang left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+q as (select lang, term, cast(1 + cast(1000000000 as hugeint) * (sum(n) + 5) // (sum(sum(n)) over (partition by lang) + 5 * max(v)) as bigint) q from m join v using (lang) group by lang, term),
+t as (select lang, source, 'term' part, term item, p - q as value from m join q using (lang, term) where n > 0 and p > q),
+z as (select a.lang, a.source, b.source other, sum(abs(a.p - b.p)) as value from m a join m b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+o as (select a.lang, a.source, 'pair' part, b.source item, coalesce(z.value, 0) as value from g a join g b on a.lang = b.lang and a.source <> b.source left join z on z.lang = a.lang and z.source = a.source and z.other = b.source),
+x as (select *, row_number() over (partition by lang, source, part order by value desc, item) k from (select * from t union all select * from o))
+select lang, source, part, item, cast(value as bigint) as value, cast(k as int) as rank from x where part = 'pair' or k <= 50"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express a query; the others are held against plain versions in the tests."""
-    return {"op3_licenses": licenses_sql()}
+    return {"op3_licenses": licenses_sql(), "op11_collocations": COLLOCATIONS_SQL, "op12_warc": WARC_SQL, "op13_source_divergence": DIVERGENCE_SQL}
