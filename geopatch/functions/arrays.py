@@ -92,7 +92,7 @@ def one_hot(value: Column, classes: list[int]) -> Column:
     return F.transform(F.array(*map(F.lit, classes)), lambda c, i: F.when(known, c == value).otherwise(i == 0).cast("int"))
 
 
-def filled(a: Column, height: int, width: int, nodata: Column, reach: int = 1) -> Column:
+def filled(a: Column, height: int | Column, width: int | Column, nodata: Column, reach: int = 1) -> Column:
     """No-data pixels with the nearest valid value within ``reach`` pixels, by distance, then row, then column.
 
     Pixels without a valid neighbour stay.  Resampling needs a reach of one only:
@@ -113,19 +113,6 @@ def filled(a: Column, height: int, width: int, nodata: Column, reach: int = 1) -
     return cells(height, width, of)
 
 
-def nearest_fill(a: Column, width: int | Column, nodata: Column) -> Column:
-    """No-data pixels with the nearest valid value of the whole array, by distance, then row, then column; all no-data stays."""
-    spot = lambda k: (F.floor(k / width).cast("int"), (k % width).cast("int"))
-    valid = F.filter(F.transform(a, lambda v, k: F.struct(spot(k)[0].alias("r"), spot(k)[1].alias("c"), v.alias("v"))), lambda x: x["v"] != nodata)
-
-    def of(known: Column, v: Column, k: Column) -> Column:
-        r, c = spot(k)
-        near = F.array_min(F.transform(known, lambda x: F.struct(((x["r"] - r) * (x["r"] - r) + (x["c"] - c) * (x["c"] - c)).alias("d"), x["r"].alias("r"), x["c"].alias("c"), x["v"].alias("v"))))
-        return F.when(v != nodata, v).otherwise(F.coalesce(near["v"], nodata))
-
-    return once(valid, lambda known: F.transform(a, lambda v, k: of(known, v, k)))
-
-
 def _axis(n_in: int | Column, n_out: int) -> Column:
     """For each output pixel of an axis, the input pixels before and after its centre, the weight of the latter, and the one that holds the centre; edges are repeated."""
     last = n_in - 1
@@ -186,7 +173,7 @@ def aligned(a: Column, height: int, width: int, grid: tuple[Column, Column, floa
         holes = nearest(cut, h, w, to_h, to_w)
         if not order:
             return holes
-        values = once(nearest_fill(cut, w, nodata), lambda x: bilinear(x, h, w, to_h, to_w))
+        values = once(filled(cut, h, w, nodata), lambda x: bilinear(x, h, w, to_h, to_w))
         return F.zip_with(values, holes, lambda v, hole: F.when(hole == nodata, nodata).otherwise(v))
 
     return once(crop_pad(a, height, width, t, b, lo, hi, nodata), scaled)

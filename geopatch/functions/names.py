@@ -58,11 +58,6 @@ def mission_date(days: Column) -> Column:
     return F.date_add(F.lit(MISSION_START).cast("date"), days.cast("int"))
 
 
-def month_back(date: Column, months: int) -> Column:
-    """The first day of the calendar month so many months earlier."""
-    return F.add_months(F.trunc(date, "MM"), -months)
-
-
 def offset_flag(ts: Column) -> Column:
     """1 from the day on which products carry a radiometric offset, else 0."""
     return (F.to_date(ts) >= F.lit(OFFSET_START).cast("date")).cast("int")

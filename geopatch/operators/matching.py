@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geopatch.functions.names import month_back
-
 #: Calendar months before the current one in which a scene may lie.
 LOOK_BACK = 5
-#: Tile rows up to which tiles are broadcast (some 10 MB); beyond, both sides are shuffled by cell.
-BROADCAST_TILES = 50_000
+#: Bytes of tiles spread over their cells up to which they are broadcast; beyond, both sides are shuffled by cell.
+BROADCAST_BYTES = 8 << 20
+#: Cells that a tile's box is wide or high at most, on its level.
+CELLS_ACROSS = 8
 
 
 def in_ring(lon: Column, lat: Column, ring: Column) -> Column:
@@ -29,26 +29,57 @@ def in_ring(lon: Column, lat: Column, ring: Column) -> Column:
     return F.exists(edges, lambda e: e["on"]) | odd
 
 
+def covered(tiles: DataFrame, base: float) -> DataFrame:
+    """``tile, ring, box, level, cell_x, cell_y, inner``: the cells of each tile, on the level that suits its size.
+
+    A level's cells are twice as wide as those of the one below.  A tile is put
+    on the first level where its box is at most CELLS_ACROSS cells wide and
+    high, so a huge tile has no more cells than a small one.  ``inner`` cells
+    are those that no edge's box touches and whose centre is in the polygon;
+    cells that no edge's box touches with their centre outside are left out.
+    """
+    extent = F.greatest(F.col("max_lon") - F.col("min_lon"), F.col("max_lat") - F.col("min_lat"))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(extent, F.lit(base)) / (base * CELLS_ACROSS)))).cast("int")
+    sized = tiles.select("tile", "ring", "min_lon", "max_lon", "min_lat", "max_lat", level.alias("level")).withColumn("wide", F.pow(F.lit(2.0), "level") * base)
+    cells = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / F.col("wide")), F.floor(F.col(high) / F.col("wide"))))
+    spread = sized.withColumn("cell_x", cells("min_lon", "max_lon")).withColumn("cell_y", cells("min_lat", "max_lat"))
+    west, south = F.col("cell_x") * F.col("wide"), F.col("cell_y") * F.col("wide")
+    n = F.size("ring")
+
+    def touches(k: Column) -> Column:
+        a, b = F.get("ring", k), F.get("ring", (k + 1) % n)
+        over = lambda c, low: (F.least(a[c], b[c]) <= low + F.col("wide")) & (F.greatest(a[c], b[c]) >= low)
+        return over("lon", west) & over("lat", south)
+
+    border = F.exists(F.sequence(F.lit(0), n - 1), touches)
+    centre = in_ring(west + F.col("wide") / 2, south + F.col("wide") / 2, F.col("ring"))
+    return spread.withColumn("border", border).where(F.col("border") | centre).select("tile", "ring", "min_lon", "max_lon", "min_lat", "max_lat", "level", "cell_x", "cell_y", (~F.col("border")).alias("inner"))
+
+
 def spatial_join(points: DataFrame, tiles: DataFrame, cell: float | None = None) -> DataFrame:
     """Points with every tile whose polygon holds them.
 
-    Both sides are put on a grid of cells (a tile on all the cells its box
-    touches), joined on the cell, and then tested against box and polygon, so
-    that no point meets a tile that is not near.  ``points(lon, lat, ..)``;
-    ``tiles(tile, ring, min_lon, max_lon, min_lat, max_lat)``; other columns of
-    the points are kept.  Cells are as wide as the tiles are on average, unless
-    given.
+    Tiles are put on cells of the level that suits their size (``covered``),
+    points on one cell of each level in use, and both are joined on the cell.
+    In cells inside a polygon that is all; in those on its border points are
+    tested against box and polygon.  ``points(lon, lat, ..)``; ``tiles(tile,
+    ring, min_lon, max_lon, min_lat, max_lat)``; other columns of the points are
+    kept.  The lowest level's cells are as wide as the smallest tiles are on
+    average, unless given.  What is broadcast is measured after it is spread
+    over cells; beyond BROADCAST_BYTES both sides are shuffled.
     """
-    if cell is None:
-        cell = tiles.agg(F.avg(F.least(F.col("max_lon") - F.col("min_lon"), F.col("max_lat") - F.col("min_lat")))).first()[0] or 1.0
-    cells = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell)))
-    spread = tiles.select("tile", "ring", "min_lon", "max_lon", "min_lat", "max_lat", cells("min_lon", "max_lon").alias("cell_x"))
-    spread = spread.withColumn("cell_y", cells("min_lat", "max_lat"))
-    if tiles.limit(BROADCAST_TILES + 1).count() <= BROADCAST_TILES:
+    narrow = F.least(F.col("max_lon") - F.col("min_lon"), F.col("max_lat") - F.col("min_lat"))
+    base = cell or tiles.agg(F.percentile_approx(narrow, 0.1)).first()[0] or 1.0
+    spread = covered(tiles, base).withColumnRenamed("tile", "_tile")
+    sizes = spread.groupBy("level").agg(F.sum(F.lit(96) + 24 * F.size("ring")).alias("bytes")).collect()
+    if sum(r["bytes"] for r in sizes) <= BROADCAST_BYTES:
         spread = F.broadcast(spread)
-    placed = points.withColumns({"cell_x": F.floor(F.col("lon") / cell), "cell_y": F.floor(F.col("lat") / cell)})
-    near = placed.join(spread, ["cell_x", "cell_y"]).where("lon between min_lon and max_lon and lat between min_lat and max_lat")
-    return near.where(in_ring(F.col("lon"), F.col("lat"), F.col("ring"))).select(*points.columns, "tile")
+    levels = sorted(r["level"] for r in sizes) or [0]
+    on = lambda c, k: F.floor(F.col(c) / (2.0**k * base))
+    placed = points.withColumn("_cell", F.explode(F.array(*[F.struct(F.lit(k).alias("level"), on("lon", k).alias("cell_x"), on("lat", k).alias("cell_y")) for k in levels])))
+    placed = placed.withColumns({c: F.col(f"_cell.{c}") for c in ("level", "cell_x", "cell_y")}).drop("_cell") if len(levels) > 1 else points.withColumns({"level": F.lit(levels[0]), "cell_x": on("lon", levels[0]), "cell_y": on("lat", levels[0])})
+    near = placed.join(spread, ["level", "cell_x", "cell_y"]).where("inner or (lon between min_lon and max_lon and lat between min_lat and max_lat)")
+    return near.where(F.col("inner") | in_ring(F.col("lon"), F.col("lat"), F.col("ring"))).select(*points.columns, F.col("_tile").alias("tile"))
 
 
 def asof_join(points: DataFrame, scenes: DataFrame, look_back: int = LOOK_BACK) -> DataFrame:
@@ -56,19 +87,24 @@ def asof_join(points: DataFrame, scenes: DataFrame, look_back: int = LOOK_BACK)
 
     Scenes count from the first day of the month ``look_back`` months earlier;
     of scenes on one day the greatest name wins.  ``points(tile, gedi_date,
-    ..)``, ``scenes(tile, acq_date, scene)``.  Only distinct tiles and dates are
-    matched; the result goes back to the points by a join on these.  A date is
-    spread over the calendar months it may look into, so that the match is an
-    equi-join on tile and month, and no tile's whole history meets all its
-    dates.
+    ..)``, ``scenes(tile, acq_date, scene)``.  Each tile and month has one row
+    with the month's own days, at most 31, and the last scene of the months
+    before it, so a point meets one row; null tiles and dates meet none.
     """
-    days = points.select("tile", "gedi_date").where("tile is not null and gedi_date is not null").distinct()
-    months = F.explode(F.array(*[month_back(F.col("gedi_date"), k) for k in range(look_back + 1)])).alias("month")
-    dated = scenes.select("tile", "acq_date", "scene", F.trunc("acq_date", "MM").alias("month"))
-    met = days.select("tile", "gedi_date", months).join(dated, ["tile", "month"]).where("acq_date <= gedi_date")
-    latest = met.groupBy("tile", "gedi_date").agg(F.max(F.struct("acq_date", "scene")).alias("match"))
-    matched = latest.select("tile", "gedi_date", F.col("match.scene").alias("scene"), F.col("match.acq_date").alias("acq_date"))
-    return points.join(matched, ["tile", "gedi_date"], "left")
+    months = scene_months(scenes, look_back)
+    own = F.array_max(F.filter("_days", lambda d: d["acq_date"] <= F.col("gedi_date")))
+    met = points.withColumn("_month", F.trunc("gedi_date", "MM")).join(months.withColumnsRenamed({"month": "_month", "days": "_days", "before": "_before"}), ["tile", "_month"], "left")
+    match = met.withColumn("_match", F.coalesce(own, "_before"))
+    kept = [F.col(c) for c in points.columns if c not in ("tile", "gedi_date")]
+    return match.select("tile", "gedi_date", *kept, F.col("_match.scene").alias("scene"), F.col("_match.acq_date").alias("acq_date"))
+
+
+def scene_months(scenes: DataFrame, look_back: int = LOOK_BACK) -> DataFrame:
+    """``tile, month, days, before``: the scenes of each day of a month, and the last one of the ``look_back`` months before it."""
+    daily = scenes.where("scene is not null").groupBy("tile", "acq_date").agg(F.max("scene").alias("scene"))
+    ahead = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(look_back)), lambda k: F.add_months(F.trunc("acq_date", "MM"), k))).alias("ahead", "month")
+    rows = daily.select("tile", F.struct("acq_date", "scene").alias("day"), "acq_date", ahead)
+    return rows.groupBy("tile", "month").agg(F.collect_list(F.when(F.col("ahead") == 0, F.col("day"))).alias("days"), F.max(F.when(F.col("ahead") > 0, F.col("day"))).alias("before"))
 
 
 def match_loss(matched: DataFrame) -> DataFrame:

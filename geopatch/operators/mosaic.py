@@ -41,12 +41,12 @@ def windows_of(pixels: DataFrame, height: int, width: int, size: int, overlap: i
     return pixels.withColumn("wr", F.explode(holding("row", height))).withColumn("wc", F.explode(holding("col", width)))
 
 
-def winner(pixel: Column, length: int, size: int, overlap: int, shrink: int = 1) -> Column:
-    """The number of the window that last writes a pixel of an axis, null if none does.
+def writes(length: int, size: int, overlap: int, shrink: int = 1) -> list[tuple[int, int, int, int]]:
+    """``window, place, first, end`` of what each window of an axis writes, in the order of writing.
 
     Each window writes all but a margin of half the overlap, except that the
-    first one has none.  Windows later in the list win.  ``shrink`` is the
-    factor by which predictions are coarser than the input.
+    first one has none.  ``shrink`` is the factor by which predictions are
+    coarser than the input; place is where the window's own prediction begins.
     """
     to, small = -(-size // shrink), -(-overlap // shrink)
     starts = axis_starts(length, size, overlap)
@@ -58,8 +58,23 @@ def winner(pixel: Column, length: int, size: int, overlap: int, shrink: int = 1)
     offsets = [0 if i == 0 else margin for i in range(len(places))]
     if flush and len(places) > 1:
         offsets[-1] = margin if len(places) > 2 else 0
-    windows = [(i, p + o, p + to) for i, (p, o) in enumerate(zip(places, offsets, strict=True))]
-    return F.coalesce(*[F.when((pixel >= low) & (pixel < high), F.lit(i)) for i, low, high in reversed(windows)])
+    return [(i, p, p + o, p + to) for i, (p, o) in enumerate(zip(places, offsets, strict=True))]
+
+
+def winner(pixel: Column, length: int, size: int, overlap: int, shrink: int = 1) -> Column:
+    """The number of the window that last writes a pixel of an axis, null if none does.  Windows later in the list win."""
+    return F.coalesce(*[F.when((pixel >= low) & (pixel < high), F.lit(i)) for i, _, low, high in reversed(writes(length, size, overlap, shrink))])
+
+
+def last_writers(length: int, size: int, overlap: int, shrink: int = 1) -> list[tuple[int, list[tuple[int, int]]]]:
+    """For each window of an axis its place, and the runs ``first, end`` of pixels that it writes last (one, or two around a later window)."""
+    windows = writes(length, size, overlap, shrink)
+    out = []
+    for i, place, low, high in windows:
+        own = [k for k in range(max(low, 0), high) if not any(a <= k < b for j, _, a, b in windows if j > i)]
+        edges = [k for k in own if k - 1 not in own]
+        out.append((place, [(k, next(e for e in range(k, high + 1) if e not in own)) for k in edges]))
+    return out
 
 
 def mosaic(predicted: DataFrame, height: int, width: int, size: int, overlap: int) -> DataFrame:
@@ -75,7 +90,7 @@ def mosaic(predicted: DataFrame, height: int, width: int, size: int, overlap: in
 def ensemble(rows: DataFrame) -> DataFrame:
     """``tile, row, col, agb, std``: mean and population deviation over the models, undefined values aside; std only for more than one model."""
     value = F.when(~F.isnan("value"), F.col("value"))
-    return rows.groupBy("tile", "row", "col").agg(F.avg(value).alias("agb"), F.when(F.countDistinct("model") > 1, F.stddev_pop(value)).alias("std"))
+    return rows.groupBy("tile", "row", "col").agg(F.avg(value).alias("agb"), F.when(F.min("model") < F.max("model"), F.stddev_pop(value)).alias("std"))
 
 
 def masked(rows: DataFrame, scl: str = "scl") -> DataFrame:

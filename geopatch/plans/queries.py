@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geopatch.functions import arrays, features, geo, names
-from geopatch.operators import matching, models, mosaic, statistics, windows
+from geopatch.operators import matching, models, mosaic, prediction, raster, statistics, windows
 from geopatch.plans import sql
 from geopatch.plans.sql import using
 from geopatch.schema import BAND_OF_ID, BIOMES, PRESETS
@@ -442,12 +443,32 @@ def resample_bilinear(spark, sf_dir):
     return _resample(20, 1)(spark, sf_dir).withColumn("value", F.round("value", 4))
 
 
-@query(using(sql.PATCHES, "h as (select vec_id, k // 8 y, k % 8 x, k, case when dn % 4 = 0 then dn else 0 end v from patches)",
-    "n as (select a.vec_id, a.k, arg_min(b.v, ((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x), b.y, b.x)) near from h a join h b on a.vec_id = b.vec_id and a.v = 0 and b.v <> 0 group by 1, 2)")
-    + "select h.vec_id, h.k, case when v <> 0 then v else coalesce(near, 0) end as value from h left join n on h.vec_id = n.vec_id and h.k = n.k")
+@query(using(sql.PATCHES, "h as (select vec_id, list(case when dn % 4 = 0 then dn else 0 end order by k) v from patches group by vec_id)",
+    "n as (select vec_id, v, list_filter(range(64), lambda k: v[k + 1] <> 0) known from h)")
+    + """select vec_id, cast(k as int) k, case when v[k + 1] <> 0 or len(known) = 0 then v[k + 1] else v[list_min(list_transform(known, lambda j: ((j // 8 - k // 8) * (j // 8 - k // 8) + (j % 8 - k % 8) * (j % 8 - k % 8)) * 64 + j)) % 64 + 1] end as value
+  from n, range(64) r(k)""")
 def nearest_fill(spark, sf_dir):
     rows = adapters.patches(spark, sf_dir).select("vec_id", F.transform("dn", lambda x: F.when(x % 4 == 0, x).otherwise(0)).alias("v"))
-    return rows.select("vec_id", F.posexplode(arrays.nearest_fill(F.col("v"), 8, F.lit(0))).alias("k", "value"))
+    return raster.nearest_fill(rows, "v", 8, 0).select("vec_id", F.posexplode("v").alias("k", "value"))
+
+
+#: Wide holes of a mosaic: most pixels of most tiles are unknown.
+_WIDE = "cast(case when (dn + ti) % 41 = 0 then dn + 1 else 0 end as int)"
+
+
+@query(using(sql.MOSAIC_PIXELS, f"t as (select tile, list({_WIDE} order by \"row\", col) v, list(\"row\" * 32 + col order by \"row\", col) place from pixels group by tile)",
+    "n as (select tile, v, place, list_filter(range(len(v)), lambda i: v[i + 1] <> 0) known from t)")
+    + """select tile, cast(place[i + 1] // 32 as int) "row", cast(place[i + 1] % 32 as int) col, case when v[i + 1] <> 0 or len(known) = 0 then v[i + 1] else v[1 + cast(list_min(list_transform(known, lambda j:
+  ((place[j + 1] // 32 - place[i + 1] // 32) * (place[j + 1] // 32 - place[i + 1] // 32) + (place[j + 1] % 32 - place[i + 1] % 32) * (place[j + 1] % 32 - place[i + 1] % 32)) * 1024 + j)) % 1024 as int)] end as value
+  from (select *, unnest(range(len(v))) i from n)""")
+def wide_fill(spark, sf_dir):
+    """Holes of whole tiles, filled from anywhere in the tile; pixels that the tile has not are left out."""
+    pixels = adapters.mosaic_pixels(spark, sf_dir)
+    value = F.when((F.col("dn") + F.col("ti")) % 41 == 0, F.col("dn") + 1).otherwise(0).cast("int")
+    holes = pixels.select(F.lit("S2").alias("layer"), F.lit("B02").alias("band"), "tile", "row", "col", value.alias("value"))
+    whole = chunks.to_chunks(holes, EDGE).withColumn("there", F.col("data")).withColumn("data", F.transform("data", lambda x: F.coalesce(x, F.lit(0))))
+    full = raster.nearest_fill(whole, "data", EDGE, 0).select("tile", F.posexplode(F.arrays_zip("data", "there")).alias("k", "p")).where("p.there is not null")
+    return full.select("tile", F.floor(F.col("k") / EDGE).cast("int").alias("row"), (F.col("k") % EDGE).cast("int").alias("col"), F.col("p.data").alias("value"))
 
 
 #: Patches of 20 m pixels at various places, on a scene of twelve by twelve pixels of 10 m.
@@ -463,6 +484,42 @@ def raster_align(spark, sf_dir):
     return adapters.patches(spark, sf_dir).select("vec_id", F.posexplode(value).alias("k", "value"))
 
 
+#: Mosaics of 32 pixels of 20 m at various places, brought to scenes of 48 by 48 pixels of 10 m.
+SCENE, TO_CHUNK = 48, 20
+_STRETCHED = f"""t as (select tile, any_value(ti) ti from pixels group by tile),
+g as (select *, (ti % 5 - 2) * 10 oy, (ti % 3 - 1) * 10 ox from t),
+c as (select tile, cast(floor((oy + 5) / cast(20 as double)) as int) t, cast(floor((oy + 475) / cast(20 as double)) as int) b, cast(floor((5 - ox) / cast(20 as double)) as int) l, cast(floor((475 - ox) / cast(20 as double)) as int) r from g),
+cut as (select c.tile, y, x, coalesce(case when dn % 7 = 0 then 0 else dn end, 0) v from c, range(60) a(y), range(60) z(x) left join pixels p on p.tile = c.tile and p."row" = y + t and p.col = x + l where y <= b - t and x <= r - l),
+near as (select a.tile, a.y, a.x, arg_min(n.v, (a.y - n.y) * (a.y - n.y) * 100 + (a.x - n.x) * (a.x - n.x) * 100 + (n.y - a.y + 1) * 3 + n.x - a.x + 1) v from cut a join cut n on a.tile = n.tile and a.v = 0 and n.v <> 0 and abs(a.y - n.y) <= 1 and abs(a.x - n.x) <= 1 group by 1, 2, 3),
+f as (select tile, y, x, cut.v as hole, case when cut.v <> 0 then cut.v else coalesce(near.v, 0) end v from cut left join near using (tile, y, x)),
+p as (select tile, i, j, (i + cast(0.5 as double)) * ((b - t + 1) / cast({SCENE} as double)) - 0.5 sy, (j + cast(0.5 as double)) * ((r - l + 1) / cast({SCENE} as double)) - 0.5 sx, b - t ly, r - l lx from c, range({SCENE}) a(i), range({SCENE}) z(j)),
+q as (select *, sy - floor(sy) fy, sx - floor(sx) fx, cast(least(greatest(floor(sy), 0), ly) as int) y0, cast(least(greatest(floor(sy + 1), 0), ly) as int) y1, cast(least(greatest(floor(sx), 0), lx) as int) x0, cast(least(greatest(floor(sx + 1), 0), lx) as int) x1,
+  cast(least(greatest(floor(sy + 0.5), 0), ly) as int) yk, cast(least(greatest(floor(sx + 0.5), 0), lx) as int) xk from p)"""
+
+
+def _stretched(spark, sf_dir, order: int) -> DataFrame:
+    pixels = adapters.mosaic_pixels(spark, sf_dir)
+    value = F.when(F.col("dn") % 7 == 0, 0).otherwise(F.col("dn"))
+    own = chunks.to_chunks(pixels.select(F.lit("ALOS").alias("layer"), F.lit("HH").alias("band"), "tile", "row", "col", value.alias("value")), 12)
+    tiles = pixels.select("tile", "ti").distinct()
+    source = raster.Grid((F.col("ti") % 3 - 1) * 10.0, (F.col("ti") % 5 - 2) * 10.0, 20.0)
+    made = raster.align(own, 12, tiles, source, raster.Grid(0.0, 0.0, 10.0), SCENE, SCENE, TO_CHUNK, 0, order)
+    return chunks.to_pixels(made, TO_CHUNK).select("tile", "row", "col", "value")
+
+
+@query(using(sql.MOSAIC_PIXELS, _STRETCHED) + """select q.tile, cast(i as int) "row", cast(j as int) col, round(case when k.hole = 0 then 0 else (1 - fy) * ((1 - fx) * a.v + fx * b.v) + fy * ((1 - fx) * c.v + fx * d.v) end, 4) as value
+  from q join f a on a.tile = q.tile and a.y = y0 and a.x = x0 join f b on b.tile = q.tile and b.y = y0 and b.x = x1 join f c on c.tile = q.tile and c.y = y1 and c.x = x0 join f d on d.tile = q.tile and d.y = y1 and d.x = x1
+  join f k on k.tile = q.tile and k.y = yk and k.x = xk""")
+def align_chunks_bilinear(spark, sf_dir):
+    """Rasters in chunks brought to other chunks of another grid; holes stay, and are filled before their neighbours are weighted."""
+    return _stretched(spark, sf_dir, 1).withColumn("value", F.round("value", 4))
+
+
+@query(using(sql.MOSAIC_PIXELS, _STRETCHED) + 'select q.tile, cast(i as int) "row", cast(j as int) col, k.hole as value from q join f k on k.tile = q.tile and k.y = yk and k.x = xk')
+def align_chunks_nearest(spark, sf_dir):
+    return _stretched(spark, sf_dir, 0)
+
+
 @query(using(sql.PATCHES) + """select v.vec_id, cast(o.k as int) k, coalesce(p.dn, -1) as value from (select distinct vec_id from patches) v cross join range(100) o(k)
   left join patches p on p.vec_id = v.vec_id and o.k // 10 - 2 between 0 and 7 and o.k % 10 + 3 between 0 and 7 and p.k = (o.k // 10 - 2) * 8 + o.k % 10 + 3""")
 def crop_pad(spark, sf_dir):
@@ -566,12 +623,10 @@ def feature_table(spark, sf_dir):
 @query(using(sql.PATCHES, sql.FOOTPRINTS, sql.LAND, _features_sql()) + " union all ".join(
     f"select shot_number, '{p}' preset, {len(features.preset(p))} n_features, round(" + " + ".join(f'"{c}"' for c in features.preset(p)) + ", 6) total from ft" for p in PRESETS))
 def feature_presets(spark, sf_dir):
-    rows, out = _features(spark, sf_dir), None
-    for name in PRESETS:
-        columns = features.preset(name)
-        part = rows.select("shot_number", F.lit(name).alias("preset"), F.lit(len(columns)).alias("n_features"), F.round(sum(map(F.col, columns)), 6).alias("total"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Each feature list's size and sum, all lists in one pass."""
+    lists = {name: features.preset(name) for name in PRESETS}
+    parts = [F.struct(F.lit(name).alias("preset"), F.lit(len(c)).alias("n_features"), F.round(sum(map(F.col, c)), 6).alias("total")) for name, c in lists.items()]
+    return _features(spark, sf_dir).select("shot_number", F.inline(F.array(*parts)))
 
 
 @query(using(sql.PATCHES, sql.FOOTPRINTS, sql.LAND, sql.SPLITS, _features_sql()) + "select shot_number, mode, cast(year(gedi_date) as int) as year, agbd, " + ", ".join(f'"{c}"' for c in features.preset("S2LC")) + " from ft join splits using (tile)")
@@ -662,6 +717,63 @@ def mask_encode(spark, sf_dir):
     return mosaic.masked(rows.drop("std")).select("tile", "row", "col", "agb")
 
 
+#: Kernels of two models over bands dn and dem, each with nothing beyond the window's edge.
+_SMOOTH = np.array([[1, 2, 1], [2, 4, 2], [1, 2, 1]]) / 16
+_EDGES = np.array([[0, 1, 0], [1, -4, 1], [0, 1, 0]])
+_STACK_OF_TWO = [("S2", "B02"), ("DEM", "dem")]
+
+
+def _convolved(plane: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    around = np.pad(plane, 1)
+    h, w = plane.shape
+    return sum(kernel[i, j] * around[i : i + h, j : j + w] for i in range(3) for j in range(3))
+
+
+def smooth_model(x: np.ndarray) -> np.ndarray:
+    return _convolved(x[0], _SMOOTH) + x[1] / 2
+
+
+def edge_model(x: np.ndarray) -> np.ndarray:
+    return _convolved(x[1], _EDGES) + x[0] / 10
+
+
+def block_model(x: np.ndarray) -> np.ndarray:
+    """A plane five times coarser: the mean of dn and half the greatest dem of each block."""
+    blocks = x.reshape(2, x.shape[1] // 5, 5, x.shape[2] // 5, 5)
+    return blocks[0].mean((1, 3)) + blocks[1].max((1, 3)) / 2
+
+
+def _two_bands(spark, sf_dir) -> DataFrame:
+    pair = F.inline(F.array(*[F.struct(F.lit(layer).alias("layer"), F.lit(band).alias("band"), F.col(c).cast("double").alias("value")) for (layer, band), c in zip(_STACK_OF_TWO, ("dn", "dem"), strict=True)]))
+    return chunks.to_chunks(adapters.mosaic_pixels(spark, sf_dir).select("tile", "row", "col", pair), CHUNK)
+
+
+_WHOLE = f"""cells as (select tile, cast(i as int) "row", cast(j as int) col from (select distinct tile from pixels), range({EDGE}) a(i), range({EDGE}) b(j))"""
+_LAST = f"""lastw as (select * from (select c.*, w.top, w."left", row_number() over (partition by c.tile, c."row", c.col order by wr desc, wc desc) k from cells c join win w on c.tile = w.tile
+  and c."row" between w.top and w.top + {SIZE - 1} and c.col between w."left" and w."left" + {SIZE - 1} where (w.wr = 0 or c."row" >= w.top + {OVERLAP // 2}) and (w.wc = 0 or c.col >= w."left" + {OVERLAP // 2})) where k = 1),
+conv as (select l.tile, l."row", l.col, coalesce(sum(dn * (2 - abs(p."row" - l."row")) * (2 - abs(p.col - l.col))), 0) / cast(16 as double) smooth, coalesce(sum(dem * case abs(p."row" - l."row") + abs(p.col - l.col) when 0 then -4 when 1 then 1 else 0 end), 0) edges,
+  coalesce(max(dn) filter (p."row" = l."row" and p.col = l.col), 0) dn, coalesce(max(dem) filter (p."row" = l."row" and p.col = l.col), 0) dem
+  from lastw l left join pixels p on p.tile = l.tile and p."row" between greatest(l."row" - 1, l.top) and least(l."row" + 1, l.top + {SIZE - 1}) and p.col between greatest(l.col - 1, l."left") and least(l.col + 1, l."left" + {SIZE - 1}) group by 1, 2, 3)"""
+
+
+@query(using(sql.MOSAIC_PIXELS, WINDOWS_SQL, _WHOLE, _LAST) + """select tile, "row", col, agb, std, cast(case when agb < 0 then 0 else trunc(agb) end as int) code from (
+  select tile, "row", col, round((smooth + dem / 2 + edges + dn / cast(10 as double)) / 2, 4) agb, round(abs(smooth + dem / 2 - edges - dn / cast(10 as double)) / 2, 4) std from conv)""")
+def predict_planes(spark, sf_dir):
+    """Two convolutions over the windows of a stack of two bands; planes mosaicked, put together and encoded."""
+    planes = prediction.predict_planes(_two_bands(spark, sf_dir), _STACK_OF_TWO, [smooth_model, edge_model], CHUNK, EDGE, EDGE, SIZE, OVERLAP)
+    made = prediction.ensemble_pixels(planes).withColumns({c: F.round(c, 4) for c in ("agb", "std")})
+    return made.withColumn("code", features.encode_prediction(F.col("agb")))
+
+
+@query(using(sql.MOSAIC_PIXELS, "g as (select tile, cast(i as int) \"row\", cast(j as int) col, case when i < 3 then i * 5 else 12 + (i - 2) * 5 end y, case when j < 3 then j * 5 else 12 + (j - 2) * 5 end x from (select distinct tile from pixels), range(6) a(i), range(6) b(j))")
+    + """select g.tile, g."row", g.col, round(coalesce(sum(dn), 0) / cast(25 as double) + case when count(*) filter (p.tile is not null) < 25 then greatest(coalesce(max(dem), 0), 0) else max(dem) end / 2, 4) as value
+  from g left join pixels p on p.tile = g.tile and p."row" between y and y + 4 and p.col between x and x + 4 group by 1, 2, 3""")
+def predict_planes_shrunk(spark, sf_dir):
+    """A model whose planes are five times coarser than its windows, on both axes."""
+    planes = prediction.predict_planes(_two_bands(spark, sf_dir), _STACK_OF_TWO, [block_model], CHUNK, EDGE, EDGE, 20, 10, shrink=5)
+    return prediction.pixels_of(planes).select("tile", "row", "col", F.round("value", 4).alias("value"))
+
+
 @query(using(sql.GRID, "w as (select k, case when k < 4 then k * 6 else 20 end place, case when k = 0 then 0 else 2 end margin from range(5) r(k))")
     + """select tile, cast(p.pixel as int) pixel, cast(max(k) as int) wr from grid, range(30) p(pixel) join w on p.pixel between place + margin and place + 9 group by 1, 2""")
 def mosaic_shrunk(spark, sf_dir):

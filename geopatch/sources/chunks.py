@@ -16,12 +16,23 @@ MOST_CLASSES = 1000
 
 
 def to_chunks(pixels: DataFrame, side: int) -> DataFrame:
-    """``layer, band, tile, crow, ccol, data`` of a long pixel table: one row-major array a chunk, null where a pixel is missing."""
+    """``layer, band, tile, crow, ccol, data`` of a long pixel table: one row-major array a chunk, null where a pixel is missing.
+
+    A chunk's pixels are put in order once, and nulls go into the gaps between
+    neighbours, so the work is linear in the pixels.  Of several values of a
+    pixel the greatest counts.
+    """
     inner = (F.col("row") % side) * side + F.col("col") % side
     keys = ["layer", "band", "tile", F.floor(F.col("row") / side).cast("int").alias("crow"), F.floor(F.col("col") / side).cast("int").alias("ccol")]
     rows = pixels.select(*keys, inner.cast("int").alias("k"), "value")
-    lists = rows.groupBy("layer", "band", "tile", "crow", "ccol").agg(F.map_from_entries(F.collect_list(F.struct("k", "value"))).alias("by_place"))
-    data = F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda k: F.try_element_at(F.col("by_place"), k))
+    lists = rows.groupBy("layer", "band", "tile", "crow", "ccol").agg(F.array_sort(F.collect_list(F.struct("k", "value"))).alias("own"))
+    place = lambda i: F.get("own", i)["k"]
+    lists = lists.withColumn("own", F.filter("own", lambda x, i: F.coalesce(place(i + 1) != x["k"], F.lit(True))))
+    null = F.lit(None).cast(pixels.schema["value"].dataType)
+    gap = lambda low, high: F.array_repeat(null, high - low - 1)
+    runs = F.transform("own", lambda x, i: F.concat(gap(F.when(i > 0, place(i - 1)).otherwise(-1), x["k"]), F.array(x["value"])))
+    full = F.transform("own", lambda x: x["value"])
+    data = F.when(F.size("own") == side * side, full).otherwise(F.concat(F.flatten(runs), gap(place(F.size("own") - 1), F.lit(side * side))))
     return lists.select("layer", "band", "tile", "crow", "ccol", data.alias("data"))
 
 

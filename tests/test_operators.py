@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geopatch.functions import arrays, features, geo, names
-from geopatch.operators import matching, mosaic, statistics, windows
+from geopatch.operators import matching, mosaic, raster, statistics, windows
 from geopatch.sources import chunks
 from geopatch.streaming import ingest
 
@@ -188,7 +188,7 @@ def test_far_holes_take_the_nearest_value(spark):
     for _ in range(4):
         a = [rng.choice([0, 0, 0, 0, rng.randint(1, 99)]) for _ in range(30)]
         want = [v or min([((k // 6 - j // 6) ** 2 + (k % 6 - j % 6) ** 2, j // 6, j % 6, w) for j, w in enumerate(a) if w], default=(0, 0, 0, 0))[3] for k, v in enumerate(a)]
-        assert one(spark, arrays.nearest_fill(F.array(*map(F.lit, a)), 6, F.lit(0))).c0 == want
+        assert raster.nearest_fill(spark.createDataFrame([(a,)], "a array<int>"), "a", 6, 0).first().a == want
 
 
 @pytest.mark.parametrize("order", [0, 1])
