@@ -26,9 +26,15 @@ TEMPLATES = {
     "licensed under cc by 4 0": "cc-by-4.0",
     "licensed under cc by nc 4 0": "cc-by-nc-4.0",
     "licensed under cc by sa 4 0": "cc-by-sa-4.0",
+    "licensed under cc by nd 4 0": "cc-by-nd-4.0",
+    "licensed under cc by nc sa 4 0": "cc-by-nc-sa-4.0",
+    "licensed under cc by nc nd 4 0": "cc-by-nc-nd-4.0",
     "this work is licensed under a creative commons attribution 4 0 international license": "cc-by-4.0",
     "this work is licensed under a creative commons attribution sharealike 4 0 international license": "cc-by-sa-4.0",
     "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "cc-by-nc-4.0",
+    "this work is licensed under a creative commons attribution noderivatives 4 0 international license": "cc-by-nd-4.0",
+    "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license": "cc-by-nc-sa-4.0",
+    "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license": "cc-by-nc-nd-4.0",
     "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work": "cc0-1.0",
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files": "mit",
     "released under the mit license": "mit",
@@ -76,22 +82,34 @@ def block_words(template: str, threshold: float = THRESHOLD) -> int:
     return math.ceil(len(template.split()) / threshold - 1e-9)
 
 
-def notices(rows: DataFrame, templates: dict[str, str], threshold: float = THRESHOLD) -> DataFrame:
-    """``k1, k2, label, containment``: the notices that a block of a text holds to at least the threshold, with the best block of each.
-
-    A block is any run of ``block_words`` words, whatever the line breaks; it
-    and the notice are compared as sets of words.  Words are ordered by how
-    many texts hold them, rarest first.  A block that shares enough words with
-    a notice shares one of its rarest, as many as may be missing and one more.
-    So the places of these words are joined with their notices; there, the
-    runs around a place are pruned by how many different words of the notice
-    they hold (size), then by those left from the place of each start
-    (position), and the sets that remain are compared.
+def needed(words: set[str], threshold: float = THRESHOLD) -> int:
+    """Distinct words of a notice that a block must hold."""
+    return max(1, math.ceil(threshold * len(words) - 1e-9))
+
+
+def telling(template: str, templates: dict[str, str], threshold: float = THRESHOLD) -> list[str]:
+    """The words that tell a notice from those of other labels that hold enough of its words to be taken for it."""
+    own = set(template.split())
+    others = [set(t.split()) for t, label in templates.items() if label != templates[template]]
+    return sorted(set().union(*[own - o for o in others if len(own & o) >= needed(own, threshold)]))
+
+
+def blocks(rows: DataFrame, templates: dict[str, str], threshold: float = THRESHOLD) -> DataFrame:
+    """``k1, k2, notice, label, first, last, shared, size``: every block of a text that holds a notice to at least the threshold.
+
+    A block is a run of ``block_words`` words, whatever the line breaks, that
+    begins with a word of the notice; it and the notice are compared as sets of
+    words, and it must hold all words that tell the notice from others.  last is
+    the place of its last word of the notice.  Words are ordered by how many
+    texts hold them, rarest first.  A block that shares enough words with a
+    notice shares one of its rarest, as many as may be missing and one more.
+    So the places of these words are joined with their notices; there, the runs
+    around a place are pruned by how many different words of the notice they
+    hold (size), then by those left from the place of each start (position),
+    and the sets that remain are compared.
     """
-    sets = {t: sorted(set(t.split())) for t in templates}
-    if not sets:
-        return rows.select("k1", "k2", F.lit("").alias("label"), F.lit(0.0).alias("containment")).limit(0)
-    need = {t: max(1, math.ceil(threshold * len(s) - 1e-9)) for t, s in sets.items()}
+    sets = {t: set(t.split()) for t in templates}
+    need = {t: needed(s, threshold) for t, s in sets.items()}
     vocabulary, fewest = sorted({w for s in sets.values() for w in s}), min(need.values())
     number = {w: i + 1 for i, w in enumerate(vocabulary)}
     listed = F.array(*map(F.lit, vocabulary))
@@ -105,21 +123,40 @@ def notices(rows: DataFrame, templates: dict[str, str], threshold: float = THRES
     spark, most = rows.sparkSession, max(reach.values())
     firsts = F.broadcast(
         spark.createDataFrame(
-            [(number[w], templates[t], [number[x] for x in s], need[t], reach[t]) for t, s in sets.items() for w in rarest[t]],
-            "word int, label string, members array<int>, need int, reach int",
+            [(number[w], k, templates[t], [number[x] for x in sorted(s)], [number[x] for x in telling(t, templates, threshold)], need[t], reach[t]) for k, (t, s) in enumerate(sets.items()) for w in rarest[t]],
+            "word int, notice int, label string, members array<int>, telling array<int>, need int, reach int",
         )
     )
     marks = sorted({number[w] for own in rarest.values() for w in own})
     at = F.filter(F.transform("own", lambda w, i: F.when(w.isin(marks), i)), lambda i: i.isNotNull())
     around = lambda i: F.slice("own", F.greatest(i - most + 2, F.lit(1)), i - F.greatest(i - most + 1, F.lit(0)) + most)
-    spots = F.transform(at, lambda i: F.struct(F.get("own", i).alias("word"), F.least(i, F.lit(most - 1)).alias("place"), around(i).alias("run")))
+    spots = F.transform(at, lambda i: F.struct(F.get("own", i).alias("word"), i.alias("i"), F.least(i, F.lit(most - 1)).alias("place"), around(i).alias("run")))
     spots = F.filter(spots, lambda x: F.size(F.array_distinct(F.filter(x["run"], lambda w: w > 0))) >= fewest)
     met = texts.select("k1", "k2", F.inline(spots)).join(firsts, "word")
     met = met.where(F.size(F.array_intersect("run", "members")) >= F.col("need"))
-    starts = F.sequence(F.greatest(F.col("place") - F.col("reach") + 1, F.lit(0)), F.col("place"))
-    shared = F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("run", i + 1, F.col("reach")), F.col("members"))))
-    found = met.select("k1", "k2", "label", "need", F.size("members").alias("size"), F.array_max(shared).alias("shared")).where("shared >= need")
-    return found.groupBy("k1", "k2", "label").agg(F.max(F.col("shared") / F.col("size")).alias("containment"))
+    starts = F.filter(F.sequence(F.greatest(F.col("place") - F.col("reach") + 1, F.lit(0)), F.col("place")), lambda s: F.array_contains("members", F.get("run", s)))
+    cut = F.transform(starts, lambda s: F.struct((F.col("i") - F.col("place") + s).alias("first"), F.slice("run", s + 1, F.col("reach")).alias("block")))
+    cut = F.filter(cut, lambda x: F.size(F.array_intersect(x["block"], F.col("members"))) >= F.col("need"))
+    found = met.select("k1", "k2", "notice", "label", "members", "telling", F.inline(cut)).where(F.size(F.array_except("telling", "block")) == 0)
+    last = F.array_max(F.transform("block", lambda w, j: F.when(F.array_contains("members", w), j)))
+    shared = F.size(F.array_intersect("block", "members"))
+    return found.select("k1", "k2", "notice", "label", "first", (F.col("first") + last).alias("last"), shared.alias("shared"), F.size("members").alias("size")).distinct()
+
+
+def notices(rows: DataFrame, templates: dict[str, str], threshold: float = THRESHOLD) -> DataFrame:
+    """``k1, k2, label, containment``: the notices of each text, with the best block of each.
+
+    Of blocks in one place only the best stays: a block is left out if its
+    middle lies in a block of a higher containment or, of equal ones, of a
+    longer notice or one that is listed earlier.
+    """
+    if not templates:
+        return rows.select("k1", "k2", F.lit("").alias("label"), F.lit(0.0).alias("containment")).limit(0)
+    rank = F.expr("(shared * 1000000000L div size) * 1000000L + size * 1000L + 999 - notice")
+    found = kept(blocks(rows, templates, threshold).withColumns({"rank": rank, "middle": F.floor((F.col("first") + F.col("last")) / 2).cast("int")}))
+    best = found.select("k1", "k2", "rank", F.explode(F.sequence("first", "last")).alias("middle")).groupBy("k1", "k2", "middle").agg(F.max("rank").alias("best"))
+    alone = found.join(best, ["k1", "k2", "middle"]).where("rank >= best")
+    return alone.groupBy("k1", "k2", "label").agg(F.max(F.col("shared") / F.col("size")).alias("containment"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:

@@ -117,10 +117,10 @@ def licenses_sql() -> str:
     longest = max(len(p.split()) for p in licenses.PHRASES)
     follow = ", ".join(f"lead(word, {k}) over (partition by r order by pos) w{k}" for k in range(1, longest))
     cases = " ".join("when " + " and ".join(f"w{k} = '{w}'" for k, w in enumerate(p.split())) + f" then '{label}'" for p, label in licenses.PHRASES.items())
-    notices = ", ".join(f"({k}, '{label}', '{w}', {len(set(t.split()))}, {licenses.block_words(t)})" for k, (t, label) in enumerate(licenses.TEMPLATES.items()) for w in sorted(set(t.split())))
+    notices = ", ".join(f"({k}, '{label}', '{w}', {len(set(t.split()))}, {licenses.block_words(t)}, {w in licenses.telling(t, licenses.TEMPLATES)}, {len(licenses.telling(t, licenses.TEMPLATES))})" for k, (t, label) in enumerate(licenses.TEMPLATES.items()) for w in sorted(set(t.split())))
     return f"""with d as (select row_number() over () r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents),
 w as (select r, doc_id, regexp_extract_all(t, {word}) ws from d),
-n(notice, label, word, size, reach) as (values {notices}),
+n(notice, label, word, size, reach, tells, telling) as (values {notices}),
 e as (select r, unnest(ws) word, unnest(range(len(ws))) pos from w),
 x as (select r, pos, word w0, {follow} from e),
 y as (select r, list({{'at': pos, 'label': label}}) places from (select r, pos, case {cases} end label from x) where label is not null group by r),
@@ -129,8 +129,11 @@ v as (select distinct r, word from e),
 u as (select r, notice from v join n using (word) group by r, notice, size having count(*) >= ceil({licenses.THRESHOLD} * size - 1e-9)),
 g as (select u.r, n.* from u join n using (notice)),
 c as (select g.*, e.pos from g join e on g.r = e.r and g.word = e.word),
-b as (select a.r, a.label, a.pos, a.size, count(distinct z.word) shared from c a join c z on a.r = z.r and a.notice = z.notice and z.pos between a.pos and a.pos + a.reach - 1 group by a.r, a.notice, a.label, a.pos, a.size),
-m as (select r, list(distinct label) labels, max(shared / cast(size as double)) best from b where shared >= ceil({licenses.THRESHOLD} * size - 1e-9) group by r)
+b as (select a.r, a.notice, a.label, a.pos, a.size, max(z.pos) last, count(distinct z.word) shared from c a join c z on a.r = z.r and a.notice = z.notice and z.pos between a.pos and a.pos + a.reach - 1
+  group by a.r, a.notice, a.label, a.pos, a.size, a.telling having count(distinct z.word) filter (z.tells) = a.telling and count(distinct z.word) >= ceil({licenses.THRESHOLD} * a.size - 1e-9)),
+k as (select *, (shared * 1000000000 // size) * 1000000 + size * 1000 + 999 - notice as rank, (pos + last) // 2 middle from b),
+o as (select r, spot, max(rank) best from (select r, rank, unnest(range(pos, last + 1)) spot from k) group by r, spot),
+m as (select k.r, list(distinct label) labels, max(shared / cast(size as double)) best from k join o on k.r = o.r and k.middle = o.spot and k.rank >= o.best group by k.r)
 select doc_id, cast(n_words as bigint) n_words, cast(len(places) as bigint) n_base, cast(list_min(list_transform(places, lambda x: x['at'])) as bigint) first_word, cast(list_max(list_transform(places, lambda x: x['at'])) as bigint) last_word,
   array_to_string(list_sort(list_distinct(list_transform(places, lambda x: x['label']))), ',') base_labels,
   array_to_string(list_sort(list_distinct(list_concat(list_transform(places, lambda x: x['label']), coalesce(labels, [])))), ',') labels,

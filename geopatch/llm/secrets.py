@@ -13,8 +13,9 @@ ordinary tokens among those reported stays below the false discovery rate.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geopatch.llm.common import few, kept, source, text_key
@@ -47,34 +48,43 @@ ALPHABETS = {
 SPAN = "array<struct<start:int,rank:int,end:int,token:string>>"
 
 
-def located(matches: Column, gaps: Column, rank: int) -> Column:
-    """The matches with their positions, from the lengths of the pieces around them."""
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    step = lambda done, i: F.struct(
-        (done["at"] + F.get(gaps, i) + F.length(F.get(matches, i))).alias("at"),
-        F.array_append(
-            done["out"],
-            F.struct(
-                (done["at"] + F.get(gaps, i)).alias("start"),
-                F.lit(rank).alias("rank"),
-                (done["at"] + F.get(gaps, i) + F.length(F.get(matches, i))).alias("end"),
-                F.get(matches, i).alias("token"),
-            ),
-        ).alias("out"),
-    )
-    found = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), empty, step, lambda done: done["out"])
-    return F.when(F.size(matches) > 0, found).otherwise(F.array().cast(SPAN))
+def _matches(rank: int, pattern: str, good: Callable[[Column], Column]) -> Column:
+    """An array of ``rank, i, gap, size, good, token`` of every match of a pattern in ``text``; gap is the length of the piece before it."""
+    pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("m"), F.split("text", pattern, -1).alias("piece"))
+    of = lambda x, i: F.struct(F.lit(rank).alias("rank"), i.alias("i"), F.length(x["piece"]).alias("gap"), F.length(x["m"]).alias("size"), good(x["m"]).alias("good"), x["m"].alias("token"))
+    none = F.array().cast("array<struct<rank:int,i:int,gap:int,size:int,good:boolean,token:string>>")
+    return F.when(F.col("text").rlike(pattern), F.filter(F.transform(pairs, of), lambda x: x["token"].isNotNull())).otherwise(none)
 
 
-def matched(rows: DataFrame, name: str, pattern: str) -> DataFrame:
-    """Adds the matches of a pattern and the lengths of the pieces between them."""
-    hit, no = F.col("text").rlike(pattern), F.array()
-    return rows.withColumns(
-        {
-            f"{name}_match": F.when(hit, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(no.cast("array<string>")),
-            f"{name}_gaps": F.when(hit, F.transform(F.split("text", pattern, -1), F.length)).otherwise(no.cast("array<int>")),
-        }
-    )
+def found_spans(texts: DataFrame) -> DataFrame:
+    """``k1, k2, start, rank, end, token`` of the good matches of all kinds in each distinct text of ``texts(k1, k2, text)``.
+
+    A match's place is the sum of all pieces and matches before it, over a
+    window in the order of the matches, so the work is linear in them.  Copies
+    of a text are put together before anything is summed.
+    """
+    good = {"assign": lambda m: F.length(F.regexp_extract(m, PATTERNS["assign"], 1)) >= 8, "access": lambda m: F.length(m) >= 16, "hex": lambda m: F.lit(True), "random": lambda m: m.rlike(MIXED)}
+    each = F.concat(*[_matches(k, {**PATTERNS, "random": TOKEN}[kind], good[kind]) for k, kind in enumerate(KINDS)])
+    rows = texts.select("k1", "k2", F.inline(each))
+    keys = ["k1", "k2", "rank", "i"]
+    once = rows.groupBy(*keys).agg(*[F.first(c).alias(c) for c in ("gap", "size", "good", "token")])
+    before = Window.partitionBy("k1", "k2", "rank").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    placed = once.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(before).cast("int"))
+    return placed.where("good").select("k1", "k2", (F.col("end") - F.col("size")).alias("start"), "rank", "end", "token")
+
+
+def apart(spans: DataFrame) -> DataFrame:
+    """The spans of the last kind that overlap none of the others of their text.
+
+    With all spans in order, the furthest end of the others that begin before
+    and the nearest begin of those that begin after are running values.
+    """
+    text = Window.partitionBy("k1", "k2")
+    own = F.col("rank") < len(PATTERNS)
+    reach = F.max(F.when(own, F.col("end"))).over(text.orderBy("start", "rank").rowsBetween(Window.unboundedPreceding, 0))
+    following = F.min(F.when(own, F.col("start"))).over(text.orderBy(F.desc("start"), F.asc("rank")).rowsBetween(Window.unboundedPreceding, 0))
+    rows = spans.withColumns({"reach": reach, "following": following}).where(~own)
+    return rows.where(~(F.coalesce(F.col("reach") > F.col("start"), F.lit(False)) | F.coalesce(F.col("following") < F.col("end"), F.lit(False)))).select("k1", "k2", "start", "rank", "end", "token")
 
 
 def erfc(x: Column) -> Column:
@@ -169,21 +179,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate:
     """
     texts = source(docs, id_col, text_col)
     rows = texts.select("doc_id", "text", *text_key(F.col("text")))
-    for kind, pattern in PATTERNS.items():
-        rows = matched(rows, kind, pattern)
-    rows = matched(rows, "token", TOKEN)
-    kinds = {kind: located(F.col(f"{kind}_match"), F.col(f"{kind}_gaps"), i) for i, kind in enumerate(PATTERNS)}
-    kinds["assign"] = F.filter(kinds["assign"], lambda x: F.length(F.regexp_extract(x["token"], PATTERNS["assign"], 1)) >= 8)
-    kinds["access"] = F.filter(kinds["access"], lambda x: x["end"] - x["start"] >= 16)
-    rows = rows.select("doc_id", "k1", "k2", F.concat(*kinds.values()).alias("base"), "token_match", "token_gaps")
-    apart = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    tokens = F.filter(located(F.col("token_match"), F.col("token_gaps"), len(PATTERNS)), lambda x: x["token"].rlike(MIXED) & apart(x))
-    rows = kept(rows.select("doc_id", "k1", "k2", F.array_sort("base").alias("base"), tokens.alias("tokens")))
-    spans = kept(rows.where(F.size("tokens") > 0).select("k1", "k2", F.explode("tokens").alias("span")).distinct())
-    tested = kept(battery(spans.select("span.token").distinct()))
+    found = kept(found_spans(rows))
+    alone = kept(apart(found))
+    tested = kept(battery(alone.select("token").distinct()))
     left = few(kept(random_tokens(tested, battery(decoys(texts)), rate)))
-    found = spans.withColumn("token", F.col("span.token")).join(left, "token").groupBy("k1", "k2").agg(F.array_sort(F.collect_list("span")).alias("random"))
-    return rows.join(few(kept(found)), ["k1", "k2"], "left").select("doc_id", "base", F.coalesce("random", F.array().cast(SPAN)).alias("random"))
+    held = found.where(F.col("rank") < len(PATTERNS)).unionByName(alone.join(left, "token", "left_semi"))
+    span, own = F.struct("start", "rank", "end", "token"), F.col("rank") < len(PATTERNS)
+    lists = held.groupBy("k1", "k2").agg(*[F.array_sort(F.collect_list(F.when(of, span))).alias(name) for name, of in (("base", own), ("random", ~own))])
+    none = F.array().cast(SPAN)
+    joined = kept(rows.select("doc_id", "k1", "k2")).join(few(kept(lists)), ["k1", "k2"], "left")
+    return joined.select("doc_id", F.coalesce("base", none).alias("base"), F.coalesce("random", none).alias("random"))
 
 
 def named(spans: Column) -> Column:

@@ -4,11 +4,13 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from geopatch.llm import licenses, secrets, spot_signatures
+from geopatch.llm.common import text_key
 
 KEY = "q7ZbT0vKx3LwR9nYc5HfJ2mUeG8sDaP4iVoWt6Xk"
 
@@ -69,12 +71,24 @@ def brute_licenses(text):
     text = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)
     places = [(k, label) for phrase, label in licenses.PHRASES.items() for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split()]
-    found = {}
-    for template, label in licenses.TEMPLATES.items():
+    blocks, templates = [], list(licenses.TEMPLATES.items())
+    for k, (template, label) in enumerate(templates):
         whole, size = set(template.split()), licenses.block_words(template)
-        best = max((len(whole & set(words[k : k + size])) for k in range(len(words))), default=0) / len(whole)
-        if best >= licenses.THRESHOLD:
-            found[label] = max(found.get(label, 0), best)
+        tells = set()
+        for other, name in templates:
+            if name != label and len(whole & set(other.split())) >= math.ceil(licenses.THRESHOLD * len(whole) - 1e-9):
+                tells |= whole - set(other.split())
+        for i, w in enumerate(words):
+            block = words[i : i + size]
+            shared = len(whole & set(block))
+            if w in whole and shared >= licenses.THRESHOLD * len(whole) - 1e-9 and tells <= set(block):
+                last = i + max(j for j, x in enumerate(block) if x in whole)
+                blocks.append((shared / len(whole), len(whole), -k, i, last, label))
+    found = {}
+    for b in blocks:
+        middle = (b[3] + b[4]) // 2
+        if not any(o[:3] > b[:3] and o[3] <= middle <= o[4] for o in blocks):
+            found[b[5]] = max(found.get(b[5], 0), b[0])
     return len(words), len(places), ",".join(sorted({x for _, x in places})), ",".join(sorted({x for _, x in places} | set(found))), 1.0 if places else max(found.values(), default=0.0)
 
 
@@ -103,6 +117,33 @@ def test_licenses_against_every_template(spark, odd):
     assert licenses.report(docs.limit(0)).count() == 0
 
 
+NOTICES = {
+    "agpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "gpl": "This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3",
+    "cc-by,cc-by-4.0": "Licensed under CC BY 4.0.",
+    "cc-by,cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
+    "cc-by,cc-by-sa-4.0": "This text is licensed under CC BY-SA 4.0",
+    "cc-by,cc-by-nd-4.0": "licensed under CC BY-ND 4.0",
+    "cc-by,cc-by-nc-sa-4.0": "licensed under CC BY-NC-SA 4.0",
+    "cc-by,cc-by-nc-nd-4.0": "licensed under CC BY-NC-ND 4.0",
+    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-nc-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by-nc-sa-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "agpl,gpl": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation " + "x " * 50 + "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "mit": "Released under the MIT license",
+}
+
+
+def test_each_notice_has_its_own_label_only(spark):
+    docs = spark.createDataFrame([(k, f"word {t} and more words") for k, t in enumerate(NOTICES.values())], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in licenses.report(docs).collect()}
+    assert [rows[k]["labels"] for k in range(len(rows))] == list(NOTICES)
+    for k, text in enumerate(NOTICES.values()):
+        assert rows[k]["labels"] == brute_licenses(text)[3]
+
+
 def brute_secrets(text):
     text = text or ""
     out = [(m.start(), 0, m.end()) for m in re.finditer(secrets.PATTERNS["assign"], text) if len(m[1]) >= 8]
@@ -145,6 +186,64 @@ def plain_battery(token):
     return name, p((chi - (m - 1)) / math.sqrt(2 * (m - 1) * (n - 1) / n)), p((runs - (n - 1) * (1 - same)) / spread) if spread else 1, p(serial * math.sqrt(n)) if var else 0
 
 
+def test_a_text_of_very_many_matches(spark):
+    rng = random.Random(4)
+    parts = []
+    for _ in range(40_000):
+        parts += [f"{rng.getrandbits(128):032x}", "AKIA" + "Q2" * 8, f"token={rng.getrandbits(60):015x}", "é words-of_prose0123456789abcdef", f"tok {rng.getrandbits(200):050x}Z"]
+    text = " ".join(parts)
+    began = time.time()
+    r = secrets.scan(spark.createDataFrame([(1, text), (2, "short"), (1, text)], "doc_id long, text string")).where("doc_id = 1").collect()
+    assert len(r) == 2 and [(x["start"], x["rank"], x["end"]) for x in r[0]["base"]] == brute_secrets(text)
+    assert len(r[0]["base"]) >= 120_000 and time.time() - began < 120
+
+
+def overlapping_plainly(text):
+    base = brute_secrets(text)
+    tokens = [(m.start(), m.end()) for m in re.finditer(secrets.TOKEN, text) if re.search(secrets.MIXED, m[0])]
+    return [t for t in tokens if not any(s < t[1] and t[0] < e for s, _, e in base)]
+
+
+def test_tokens_apart_from_patterns(spark):
+    rng = random.Random(6)
+    bits = ["token=", "AKIA", "ABCDEFGHIJKLMNOP12", "0123456789abcdef" * 2, "/", "+x9", " ", "secret: ", "Zz9_" * 6, "-", "api_key='", "é"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(1, 25))) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = docs.select("doc_id", "text", *text_key(F.col("text")))
+    ids = {(r["k1"], r["k2"]): r["text"] for r in rows.collect()}
+    got = {}
+    for r in secrets.apart(secrets.found_spans(rows)).collect():
+        got.setdefault(ids[r["k1"], r["k2"]], []).append((r["start"], r["end"]))
+    for text in set(texts):
+        assert sorted(got.get(text, [])) == overlapping_plainly(text)
+    assert sum(map(len, got.values())) > 20
+
+
+def random_plainly(tested, ordinary, rate):
+    place = lambda x: (int(math.log2(x["n"])), min(40, math.floor(-10 * math.log10(max(x["p"], 1e-30)))))
+    out = set()
+    for size in {place(x)[0] for x in tested}:
+        own, decoys = ([place(x)[1] for x in rows if place(x)[0] == size] for rows in (tested, ordinary))
+        good = []
+        for limit in sorted(set(own)):
+            t, d = sum(b <= limit for b in own), sum(b <= limit for b in decoys)
+            if decoys and t and (d + 1) / len(decoys) * len(own) <= rate * t and limit <= -10 * math.log10(secrets.LEVEL):
+                good.append(limit)
+        out |= {x["token"] for x in tested if place(x)[0] == size and good and place(x)[1] <= max(good)}
+    return out
+
+
+def test_reported_tokens_against_a_plain_version(spark):
+    rng = random.Random(7)
+    tested = [{"token": f"t{k}", "n": rng.choice([20, 30, 40, 70]), "p": 10 ** -rng.choice([0.1, 0.5, 1.2, 2.5, 3.4, 9.0])} for k in range(400)]
+    ordinary = [{"token": f"d{k}", "n": rng.choice([25, 33, 90]), "p": 10 ** -rng.choice([2.6, 3.2, 5.0, 8.0, 12.0])} for k in range(900)]
+    frame = lambda rows: spark.createDataFrame([(x["token"], x["n"], x["p"]) for x in rows], "token string, n int, p double")
+    for rate in (0.001, 0.05, 0.3):
+        got = {r["token"] for r in secrets.random_tokens(frame(tested), frame(ordinary), rate).collect()}
+        assert got == random_plainly(tested, ordinary, rate)
+    assert got
+
+
 def test_battery_against_a_plain_version(spark):
     rng = random.Random(2)
     tokens = ["".join(rng.choice(a) for _ in range(rng.randint(20, 70))) for a in secrets.ALPHABETS.values() for _ in range(6)] + ["a" * 30, "getCustomerAddressById2Async", "invoice_number_0012345678_final", "0123456789" * 3]
