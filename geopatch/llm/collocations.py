@@ -2,9 +2,10 @@
 
 Tasks build stripes from whole texts: a word's stripe counts the words that
 follow it and, under the empty word, the pieces it ends, so its total is the
-word's own count.  Merged element by element, the stripes of words give pairs
-and totals, those of pairs give phrases of three words and, by the largest
-entry, what subsumes a pair.
+word's own count.  Merged element by element, they give pairs and totals.  Second
+stripes count the two words that follow a word, where both pairs are frequent;
+they give phrases of three words and, by the largest entry, what subsumes a
+pair.
 """
 
 from __future__ import annotations
@@ -139,7 +140,7 @@ def pair_filter(pairs: DataFrame, bits: int) -> np.ndarray:
 
 
 def pair_stripes(known: Callable[[], np.ndarray], bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Stripes of pairs of words, for places where both the pair and the pair one word on pass the filter."""
+    """Stripes of the pairs of words that follow a word, for places where both the pair and the one that begins a word later pass the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_known = known()
@@ -156,11 +157,11 @@ def pair_stripes(known: Callable[[], np.ndarray], bits: int) -> Callable[[Iterat
             at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
             pair[at] = may_be(hashes[ids[at]], hashes[ids[at + 1]])
             at = np.flatnonzero(pair[:-1] & pair[1:])
-            pairs, number = np.unique(ids[at] << 32 | ids[at + 1], return_inverse=True)
-            code, count = np.unique(number << 32 | ids[at + 2], return_counts=True)
+            pairs, number = np.unique(ids[at + 1] << 32 | ids[at + 2], return_inverse=True)
+            code, count = np.unique(ids[at] << 32 | number, return_counts=True)
             names = pa.array([b"", *words[1:]], pa.binary()).cast(pa.string())
             joined = pa.array([words[p >> 32] + b" " + words[p & 0xFFFFFFFF] for p in pairs.tolist()], pa.binary()).cast(pa.string())
-            yield from as_stripes(lang, joined, code >> 32, code & 0xFFFFFFFF, count, names)
+            yield from as_stripes(lang, names, code >> 32, code & 0xFFFFFFFF, count, joined)
 
     return run
 
@@ -207,8 +208,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     hot = max(HOT_LEAST, (sizes.agg(F.sum("n")).first()[0] or 0) / HOT_SHARES)
     pairs = kept(merged(stripes, words, hot).where((F.col("next") != "") & (F.col("n") >= least)))
     shared = spark.sparkContext.broadcast(pair_filter(pairs, FILTER_BITS))
-    counted = pairs.select("lang", F.concat_ws(" ", "prefix", "next").alias("prefix"), F.col("n").alias("f"))
-    triples = kept(merged(kept(rows.mapInArrow(pair_stripes(lambda: shared.value, FILTER_BITS), STRIPE)), counted, hot).where(F.col("n") >= least))
+    triples = kept(merged(kept(rows.mapInArrow(pair_stripes(lambda: shared.value, FILTER_BITS), STRIPE)), words, hot).where(F.col("n") >= least))
     shared.unpersist()
     best = kept(scored(words, pairs, triples, share))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
@@ -224,7 +224,8 @@ def scored(words: DataFrame, pairs: DataFrame, triples: DataFrame, share: int) -
     at = lambda name, frame, key, value: few(kept(frame.select("lang", F.col(key).alias(name), F.col(value).alias(f"f_{name}"))))
     phrase = F.concat_ws(" ", "prefix", "next")
     two = pairs.select("lang", "prefix", "next", phrase.alias("phrase"), F.col("n").alias("a"))
-    three = triples.select("lang", "prefix", "next", phrase.alias("phrase"), F.substring_index("prefix", " ", 1).alias("one"), F.concat_ws(" ", F.substring_index("prefix", " ", -1), "next").alias("rest"), F.col("n").alias("a"))
+    pair = F.concat_ws(" ", "prefix", F.substring_index("next", " ", 1))
+    three = triples.select("lang", F.col("prefix").alias("one"), pair.alias("prefix"), F.col("next").alias("rest"), F.substring_index("next", " ", -1).alias("next"), phrase.alias("phrase"), F.col("n").alias("a"))
     longest = three.select("lang", F.explode(F.array("prefix", "rest")).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
     two = two.join(few(kept(longest)), ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < share * F.col("a")))
     two = two.join(at("prefix", words, "prefix", "f"), ["lang", "prefix"]).join(at("next", words, "prefix", "f"), ["lang", "next"])
