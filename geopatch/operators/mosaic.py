@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geopatch.functions.features import encode_prediction
+from geopatch.operators.boosting import Model, predict
 from geopatch.schema import SNOW, WATER
 
 
@@ -99,11 +98,12 @@ def masked(rows: DataFrame, scl: str = "scl") -> DataFrame:
     return rows.withColumns({c: encode_prediction(F.when(clear, F.col(c))) for c in ("agb", "std") if c in rows.columns})
 
 
-def predict_pixels(models: list[PipelineModel], pixels: DataFrame) -> DataFrame:
-    """``tile, model, wr, wc, row, col, value``: every pixel of every window by every fitted model (models from 1), without Python workers."""
-    keys = ["tile", "wr", "wc", "row", "col"]
-    parts = [m.transform(pixels).select(*keys, F.lit(k).alias("model"), F.col("prediction").alias("value")) for k, m in enumerate(models, 1)]
-    return functools.reduce(DataFrame.unionByName, parts)
+def predict_pixels(models: list[Model], pixels: DataFrame) -> DataFrame:
+    """``tile, model, wr, wc, row, col, value``: every pixel of every window by every fitted model (models from 1)."""
+    names = [f"_p{k}" for k in range(1, len(models) + 1)]
+    made = predict(models, pixels, names)
+    each = F.inline(F.array(*[F.struct(F.lit(k).alias("model"), F.col(c).alias("value")) for k, c in enumerate(names, 1)]))
+    return made.select("tile", "wr", "wc", "row", "col", each)
 
 
 def predict_windows(windows: DataFrame, fn: Callable[[np.ndarray], np.ndarray], column: str, name: str = "value") -> DataFrame:

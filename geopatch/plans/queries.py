@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geopatch.functions import arrays, features, geo, names
-from geopatch.operators import matching, models, mosaic, prediction, raster, statistics, windows
+from geopatch.operators import boosting, matching, mosaic, prediction, raster, statistics, windows
 from geopatch.plans import sql
 from geopatch.plans.sql import using
 from geopatch.schema import BAND_OF_ID, BIOMES, PRESETS
@@ -839,34 +839,130 @@ def _training(spark, sf_dir):
 
 
 TRAINING_FEATURES = ["lat_cos", "lon_sin", "doy_cos", "B02"]
+SEEDS = [4, 5, 6, 7, 8]
 
 
-@query(using(sql.FOOTPRINTS, sql.SPLITS) + "select cast(seed as int) seed, mode, n, true better from (select mode, count(*) n from footprints join splits using (tile) group by mode), range(1, 6) r(seed)")
-def gbt_fit(spark, sf_dir):
-    """Five seeds, stopped early on the validation split: rows of each split, and whether the error is below that of the split's mean."""
-    rows = _training(spark, sf_dir).withColumn("validation", F.col("mode") == "val")
-    fitted = models.fit_seeds(rows.where("mode in ('train', 'val')"), TRAINING_FEATURES, "biomass", seeds=5, rounds=6, depth=4, validation="validation")
-    errors = models.evaluate(fitted, rows, "biomass", ["mode"]).join(models.baseline(rows, "biomass", ["mode"]).drop("n"), "mode")
-    return errors.select("seed", "mode", "n", (F.col("rmse") < F.col("spread")).alias("better"))
+def _edges(step: float, count: int, first: float = 0.0) -> list[float]:
+    return [first + step * k for k in range(1, count + 1)]
+
+
+TRAINING_EDGES = [_edges(1 / 17, 16), _edges(1 / 17, 16), _edges(1 / 17, 16), _edges(250.5, 15)]
+STUMP = boosting.Options(leaves=2, rounds=1)
+
+
+def _half(key: np.ndarray, seed: int, number: int) -> np.ndarray:
+    """About half of the rows, by a rule that SQL can state."""
+    return key * (37 + seed) % 101 < 51
+
+
+def _stump_sql(rows: str, columns: list[str], edges: list[list[float]], seeds: list[int], label: str = "y") -> str:
+    """The first split of each seed over ``rows(key, y, *columns)`` that are learned from: base, ``split`` and its leaves."""
+    listed = ", ".join(f"({f}, '{c}', {b}, cast({e!r} as double))" for f, (c, own) in enumerate(zip(columns, edges, strict=True)) for b, e in enumerate(own))
+    picked = " ".join(f"when {f} then \"{c}\"" for f, c in enumerate(columns))
+    values = ", ".join(f'({s})' for s in seeds)
+    return f"""base as (select cast(round(avg({label})) as bigint) base from {rows}),
+edges(f, feature, b, edge) as (values {listed}),
+own as (select seed, {rows}.*, base - {label} g from {rows}, base, (values {values}) s(seed) where key * (37 + seed) % 101 < 51),
+long as (select seed, f, case f {picked} end x, sum(g) g, count(*) n from own, (select distinct f from edges) group by all),
+whole as (select seed, sum(g) g, count(*) n from own group by seed),
+cuts as (select seed, f, feature, b, edge, sum(long.g) filter (x <= edge) gl, sum(long.n) filter (x <= edge) nl from long join edges using (f) group by all),
+gains as (select c.*, w.g, w.n, (gl / cast(1048576 as double)) * (gl / cast(1048576 as double)) / (nl + 5) + ((w.g - gl) / cast(1048576 as double)) * ((w.g - gl) / cast(1048576 as double)) / (w.n - nl + 5) - (w.g / cast(1048576 as double)) * (w.g / cast(1048576 as double)) / (w.n + 5) gain
+  from cuts c join whole w using (seed) where nl >= 20 and w.n - nl >= 20),
+split as (select *, round(-gl / cast(nl + 5 as double) * cast(0.1 as double)) left_value, round(-(g - gl) / cast(n - nl + 5 as double) * cast(0.1 as double)) right_value from (select *, row_number() over (partition by seed order by gain desc, f, b) k from gains) where k = 1 and gain > 0)"""
+
+
+_TRAINING_SQL = f"""training as (select shot_number as key, mode, lat_cos, lon_sin, doy_cos, "B02", cast(round((60 * lat_cos + "B02" / cast(40 as double) + agbd / 50) * 1048576) as bigint) y from (
+  select shot_number, mode, agbd, (cos(pi() * lat / 90) + 1) / 2 lat_cos, (sin(pi() * lon / 180) + 1) / 2 lon_sin, (cos(2 * pi() * (dayofyear(gedi_date) - 1) / 365) + 1) / 2 doy_cos, cast((131 * "row" + 71 * col + 17 * f.ti + 58) % 4096 as double) "B02"
+  from footprints f join splits using (tile))),
+learn as (select * from training where mode = 'train'),
+{_stump_sql('learn', TRAINING_FEATURES, TRAINING_EDGES, SEEDS)}"""
+_PICKED = "case f " + " ".join(f'when {k} then "{c}"' for k, c in enumerate(TRAINING_FEATURES)) + " end"
+
+
+def _stumps(spark, sf_dir) -> list[boosting.Model]:
+    rows = _training(spark, sf_dir).where("mode in ('train', 'val')").withColumn("held", F.col("mode") == "val")
+    return boosting.fit(rows.where("not held"), TRAINING_FEATURES, "biomass", "shot_number", SEEDS, STUMP, None, TRAINING_EDGES, _half)
 
 
-@query(f"select unnest({sorted(TRAINING_FEATURES)}) feature, cast(1 as double) total")
+@query(using(sql.FOOTPRINTS, sql.SPLITS, _TRAINING_SQL) + """select cast(seed as int) seed, feature, round(edge, 6) edge, round(gain, 3) gain, cast(nl as bigint) n_left, cast(n - nl as bigint) n_right, round(left_value / 1048576, 6) value_left, round(right_value / 1048576, 6) value_right from split""")
+def gbt_first_split(spark, sf_dir):
+    """The first split of five seeds, each on its own half of the training rows."""
+    nodes = boosting.nodes_of(spark, _stumps(spark, sf_dir))
+    leaf = nodes.where("feature is null").select("seed", "round", "node", "n", F.round("value", 6).alias("value"))
+    side = lambda k: leaf.select("seed", "round", F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("value").alias(f"value_{k}"))
+    roots = nodes.where("feature is not null").drop("value", "n").join(side("left"), ["seed", "round", "left"]).join(side("right"), ["seed", "round", "right"])
+    return roots.select("seed", "feature", r6("edge").alias("edge"), F.round("gain", 3).alias("gain"), "n_left", "n_right", "value_left", "value_right")
+
+
+@query(using(sql.FOOTPRINTS, sql.SPLITS, _TRAINING_SQL) + f"""select mode, count(*) n_seeds, round(avg(rmse), 6) mean, round(stddev_pop(rmse), 6) std from (
+  select seed, mode, sqrt(avg(pow((base + case when {_PICKED} <= edge then left_value else right_value end - y) / 1048576, 2))) rmse from training, base, split group by seed, mode) group by mode""")
+def gbt_fit(spark, sf_dir):
+    """Mean and spread over the seeds of each split's errors."""
+    models = _stumps(spark, sf_dir)
+    names = [f"p{m.seed}" for m in models]
+    made = boosting.predict(models, _training(spark, sf_dir), names)
+    each = made.select("mode", F.col("biomass").alias("target"), F.inline(F.array(*[F.struct(F.lit(m.seed).alias("seed"), F.col(c).alias("prediction")) for m, c in zip(models, names, strict=True)])))
+    errors = each.groupBy("mode", "seed").agg(*statistics.error_aggregates(F.col("prediction"), F.col("target")))
+    return _rounded(statistics.seed_summary(errors, ["mode"], "rmse"), "mean", "std")
+
+
+@query()
+def gbt_leafwise(spark, sf_dir):
+    """Trees of up to 15 leaves of two seeds, stopped on the validation split: rounds, leaves and errors, from the model table written to files."""
+    rows = _training(spark, sf_dir).where("mode in ('train', 'val')").withColumn("held", F.col("mode") == "val")
+    models = boosting.fit(rows, TRAINING_FEATURES, "biomass", "shot_number", SEEDS[:2], boosting.Options(leaves=15, rounds=6, patience=3), "held", TRAINING_EDGES)
+    nodes = scratch.stored(boosting.nodes_of(spark, models))
+    sizes = nodes.groupBy("seed").agg(F.max("round").alias("rounds"), F.count_if(F.col("feature").isNull()).alias("leaves"))
+    errors = spark.createDataFrame([(m.seed, min(m.errors), m.errors[0]) for m in models if m.errors], "seed int, val_rmse double, first_rmse double")
+    return sizes.join(errors, "seed").select("seed", "rounds", "leaves", r6("val_rmse").alias("val_rmse"), r6("first_rmse").alias("first_rmse"))
+
+
+@query(using(sql.FOOTPRINTS, sql.SPLITS, _TRAINING_SQL) + f"""select cast(s.seed as int) seed, f.feature, round(coalesce(gain, 0), 3) gain from (values {', '.join(f'({s})' for s in SEEDS)}) s(seed) cross join (select distinct feature from edges) f left join split on split.seed = s.seed and split.feature = f.feature""")
 def feature_importance(spark, sf_dir):
-    """The features, and what their importances add up to."""
-    rows = _training(spark, sf_dir).where("mode = 'train'")
-    gains = models.importance(spark, models.fit(rows, TRAINING_FEATURES, "biomass", 4, rounds=5, depth=4), TRAINING_FEATURES)
-    total = gains.agg(F.sum("gain")).first()[0]
-    return gains.select("feature", F.round(F.lit(total), 6).alias("total"))
+    """What the splits on each feature gain, by seed, from the table written to files."""
+    gains = boosting.importance(scratch.stored(boosting.nodes_of(spark, _stumps(spark, sf_dir))), TRAINING_FEATURES)
+    return gains.withColumn("gain", F.round("gain", 3))
+
+
+#: Edges that suit all columns of a feature table.
+PRESET_EDGES = [-60.5, -40.5, -20.5, -5.5, 0.0205, 0.0505, 0.1005, 0.2005, 0.3005, 0.5005, 0.7005, 0.9005, 1.5005, 3.5, 10.5, 20.5, 40.5]
+
+
+def _preset_sql(name: str) -> str:
+    """One preset's first split, as a query of its own."""
+    columns = features.preset(name)
+    return f"""select '{name}' preset, feature, edge, gain, n_left from (with rows_{name} as (select shot_number as key, cast(round(agbd * 1048576) as bigint) y, {', '.join(f'"{c}"' for c in columns)} from ft),
+{_stump_sql(f'rows_{name}', columns, [PRESET_EDGES] * len(columns), [4])} select feature, round(edge, 6) edge, round(gain, 3) gain, cast(nl as bigint) n_left from split)"""
+
+
+@query(using(sql.PATCHES, sql.FOOTPRINTS, sql.LAND, _features_sql()) + " union all ".join(map(_preset_sql, PRESETS)))
+def gbt_presets(spark, sf_dir):
+    """The first split of a model fitted to each preset's columns of the feature table."""
+    rows, out = scratch.stored(_features(spark, sf_dir)), None
+    for name in PRESETS:
+        columns = features.preset(name)
+        fitted = boosting.fit(rows, columns, "agbd", "shot_number", [4], STUMP, None, [PRESET_EDGES] * len(columns), _half)
+        nodes = boosting.nodes_of(spark, fitted)
+        left = nodes.select(F.col("node").alias("left"), F.col("n").alias("n_left"))
+        part = nodes.where("feature is not null").join(left, "left").select(F.lit(name).alias("preset"), "feature", r6("edge").alias("edge"), F.round("gain", 3).alias("gain"), "n_left")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+_PIXEL_EDGES = [_edges(250.5, 15), _edges(3.703, 16, -31.1)]
 
 
-@query(using(sql.MOSAIC_PIXELS) + "select tile, \"row\", col, true spread_known, true in_range from pixels")
+@query(using(sql.MOSAIC_PIXELS, "labelled as (select ti * 1024 + \"row\" * 32 + col as key, ti, tile, \"row\", col, cast(dn as double) x, dem, cast(round((dn / cast(40 as double) + dem / 10) * 1048576) as bigint) y from pixels)",
+    "learn as (select * from labelled where ti % 5 < 4)", _stump_sql("learn", ["x", "dem"], _PIXEL_EDGES, [4, 5]))
+    + """select tile, "row", col, round(avg(value), 4) agb, round(stddev_pop(value), 4) std from (
+  select tile, "row", col, (base + coalesce(case when case f when 0 then x when 1 then dem end <= edge then left_value when f is not null then right_value end, 0)) / 1048576 as value from labelled, base, (values (4), (5)) s(seed) left join split on split.seed = s.seed) group by 1, 2, 3""")
 def predict_tiles(spark, sf_dir):
     """Models of two seeds, fitted to the pixels of four tiles in five, applied to every pixel of every window; mosaicked and put together."""
-    rows = _windows(spark, sf_dir).withColumns({"x": F.col("dn").cast("double"), "biomass": F.col("dn") / 40 + F.col("dem") / 10})
-    fitted = models.fit_seeds(rows.where("ti % 5 < 4"), ["x", "dem"], "biomass", seeds=2, rounds=5, depth=4)
+    pixels = adapters.mosaic_pixels(spark, sf_dir).withColumns({"x": F.col("dn").cast("double"), "biomass": F.col("dn") / 40 + F.col("dem") / 10, "key": F.col("ti") * 1024 + F.col("row") * 32 + F.col("col")})
+    fitted = boosting.fit(pixels.where("ti % 5 < 4"), ["x", "dem"], "biomass", "key", [4, 5], STUMP, None, _PIXEL_EDGES, _half)
+    rows = mosaic.windows_of(pixels, EDGE, EDGE, SIZE, OVERLAP)
     made = mosaic.ensemble(mosaic.mosaic(mosaic.predict_pixels(fitted, rows), EDGE, EDGE, SIZE, OVERLAP))
-    low, high = rows.agg(F.min("biomass"), F.max("biomass")).first() or (None, None)
-    return made.select("tile", "row", "col", F.col("std").isNotNull().alias("spread_known"), F.col("agb").between(F.lit(low) - 100, F.lit(high) + 100).alias("in_range"))
+    return made.select("tile", "row", "col", *[F.round(c, 4).alias(c) for c in ("agb", "std")])
 
 
 @query("""with e as (select event_id, cast(user_id % 25 as int) ti, cast(ts as date) - 1200 gedi_date from events), """ + sql.SCENES + f""",
