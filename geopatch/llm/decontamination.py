@@ -21,8 +21,6 @@ WINDOW = 8
 KINDS = ("exact", "typed")
 #: Share of an item's windows that a document must hold, or as many windows of it as this in one passage.
 COVERAGE, RUN = 0.3, 24
-#: Marks a word that begins with a capital.
-MARK = "\x02"
 #: Words that are units when they follow a number.
 UNITS = (
     "mm cm m km mg g kg t ml cl l s ms min h hour hours minute minutes second seconds day days week weeks month months year years "
@@ -38,22 +36,29 @@ OPENERS = (
 ).split()
 
 
+#: A number with its sign and separators; a run of capitalised words that are no openers; any other word.
+NUMBER = r"(?<![\p{L}\p{N}])[+-]?[0-9]+(?:[.,'][0-9]+)*(?![\p{L}\p{N}])"
+CAPITAL = r"(?=\p{Lu})(?!(?i:" + "|".join(OPENERS) + r")(?![\p{L}\p{N}]))[\p{L}\p{N}]+"
+TYPED = rf"{NUMBER}|(?<![\p{{L}}\p{{N}}]){CAPITAL}(?: {CAPITAL})*|[\p{{L}}\p{{N}}]+"
+
+
 def tokens_of(text: Column) -> Column:
-    """Runs of letters and digits in lower case; a mark stands before capitals."""
-    marked = F.regexp_replace(text, r"(?<![\p{L}\p{N}])(?=\p{Lu})", MARK)
-    return F.filter(F.split(F.lower(marked), r"[^\p{L}\p{N}\x02]+"), lambda t: (t != "") & (t != MARK))
+    """Runs of letters and digits in lower case."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def plain(token: Column) -> Column:
-    return F.when(F.ascii(token) == 2, F.substring(token, 2, 1 << 30)).otherwise(token)
+def typed_of(text: Column) -> Column:
+    """Numbers, names of one or more words, and other words, as they stand."""
+    return F.regexp_extract_all(text, F.lit(TYPED), F.lit(0))
 
 
 def is_number(token: Column) -> Column:
-    return F.ascii(token).between(48, 57)
+    return F.ascii(F.ltrim(token, F.lit("+-"))).between(48, 57)
 
 
 def is_name(token: Column) -> Column:
-    return (F.ascii(token) == 2) & ~F.substring(token, 2, 1 << 30).isin(OPENERS)
+    first = F.substring(token, 1, 1)
+    return (F.lower(first) != first) & ~F.lower(token).isin(OPENERS)
 
 
 def is_slot(token: Column) -> Column:
@@ -61,14 +66,14 @@ def is_slot(token: Column) -> Column:
 
 
 def coded(rows: DataFrame) -> DataFrame:
-    """Adds ``exact1``, odd hashes of a column of tokens, and ``typed1``, the same made even, with small odd numbers as placeholders; and both over runs of 2, 4 and 8."""
+    """Adds ``exact1``, odd hashes of the column ``tokens``, and ``typed1``, even ones of ``typed``, with small odd numbers as placeholders; and both over runs of 2, 4 and 8."""
 
     def of(token: Column, i: Column) -> Column:
-        unit = token.isin(UNITS) & F.coalesce(is_number(F.get("tokens", i - 1)), F.lit(False))
-        return F.when(is_number(token), 1).when(is_name(token), 3).when(unit, 5).otherwise(F.get("exact1", i) - 1)
+        unit = token.isin(UNITS) & F.coalesce(is_number(F.get("typed", i - 1)), F.lit(False))
+        return F.when(is_number(token), 1).when(is_name(token), 3).when(unit, 5).otherwise(F.xxhash64(F.lower(token)).bitwiseOR(F.lit(1).cast("long")) - 1)
 
-    rows = rows.withColumn("exact1", F.transform("tokens", lambda t: F.xxhash64(plain(t)).bitwiseOR(F.lit(1).cast("long"))))
-    rows = rows.withColumn("typed1", F.transform("tokens", of))
+    rows = rows.withColumn("exact1", F.transform("tokens", lambda t: F.xxhash64(t).bitwiseOR(F.lit(1).cast("long"))))
+    rows = rows.withColumn("typed1", F.transform("typed", of))
     for size in (1, 2, 4):
         for kind in KINDS:
             rows = rows.withColumn(f"{kind}{2 * size}", doubled(f"{kind}{size}", size))
@@ -85,25 +90,28 @@ def windows(kind: str, size: int) -> Column:
     starts = [sum(parts[:n]) for n in range(len(parts))]
     first = f"{kind}{parts[0]}"
     whole = F.col(first) if len(parts) == 1 else F.transform(first, lambda x, i: F.xxhash64(x, *[F.get(f"{kind}{k}", i + at) for k, at in zip(parts[1:], starts[1:], strict=True)]))
-    return F.slice(whole, F.lit(1), F.greatest(F.size("tokens") - (size - 1), F.lit(0)))
+    return F.slice(whole, F.lit(1), F.greatest(F.size(f"{kind}1") - (size - 1), F.lit(0)))
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """``key, kind, size, item, item_id, item_pos, item_tokens, n_windows`` of a benchmark's items; items without words have none.
 
-    Every window is there word for word; those with placeholders are there with
-    these, too, if at least half of their tokens are literal.
+    Words and typed tokens have windows of their own.  Those of typed tokens
+    are there if at least half of their tokens are literal.
     """
     items = benchmark.select(benchmark[id_col].alias("item_id"), F.coalesce(benchmark[text_col], F.lit("")).alias("text")).distinct()
-    items = items.select(F.xxhash64("item_id", "text").alias("item"), "item_id", tokens_of(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
-    items = coded(items).withColumn("size", F.least(F.size("tokens"), F.lit(WINDOW)))
-    of = lambda kind: F.coalesce(*[F.when(F.col("size") == k, windows(kind, k)) for k in range(1, WINDOW + 1)])
-    columns = ["item", "item_id", "tokens", "typed1", "size"]
-    rows = [items.select(*columns, F.lit(kind).alias("kind"), F.posexplode(of(kind)).alias("item_pos", "key")) for kind in KINDS]
-    slots = F.size(F.filter(F.slice("typed1", F.col("item_pos") + 1, F.col("size")), lambda x: x.bitwiseAND(F.lit(1).cast("long")) == 1))
-    both = rows[0].unionByName(rows[1].where((slots > 0) & (2 * slots <= F.col("size"))))
-    total = (F.size("tokens") - F.col("size") + 1).cast("long")
-    return kept(both.select("key", "kind", "size", "item", "item_id", "item_pos", F.slice("tokens", F.col("item_pos") + 1, F.col("size")).alias("item_tokens"), total.alias("n_windows")))
+    items = items.select(F.xxhash64("item_id", "text").alias("item"), "item_id", tokens_of(F.col("text")).alias("tokens"), typed_of(F.col("text")).alias("typed")).where(F.size("tokens") > 0)
+    rows = []
+    for kind, own in zip(KINDS, ("tokens", "typed"), strict=True):
+        sized = coded(items).withColumn("size", F.least(F.size(own), F.lit(WINDOW)))
+        hashes = F.coalesce(*[F.when(F.col("size") == k, windows(kind, k)) for k in range(1, WINDOW + 1)])
+        each = sized.select("item", "item_id", own, "typed1", "size", F.posexplode(hashes).alias("item_pos", "key"))
+        if kind != KINDS[0]:
+            slots = F.size(F.filter(F.slice("typed1", F.col("item_pos") + 1, F.col("size")), lambda x: x.bitwiseAND(F.lit(1).cast("long")) == 1))
+            each = each.where(2 * slots <= F.col("size"))
+        total = (F.size(own) - F.col("size") + 1).cast("long")
+        rows.append(each.select("key", F.lit(kind).alias("kind"), "size", "item", "item_id", "item_pos", F.slice(own, F.col("item_pos") + 1, F.col("size")).alias("item_tokens"), total.alias("n_windows")))
+    return kept(rows[0].unionByName(rows[1]))
 
 
 def matches(rows: DataFrame, right: DataFrame) -> DataFrame:
@@ -114,13 +122,15 @@ def matches(rows: DataFrame, right: DataFrame) -> DataFrame:
     """
     found = right.select("size", "kind").distinct().collect()
     families = sorted((r["size"], r["kind"]) for r in found) or [(WINDOW, KINDS[0])]
-    hashed = coded(rows.select("k1", "k2", "doc_id", tokens_of(F.col("text")).alias("tokens")))
-    spread = hashed.select("k1", "k2", "doc_id", F.size("tokens").alias("n"), F.posexplode(F.concat(*[windows(kind, size) for size, kind in families])).alias("i", "key"))
+    hashed = coded(rows.select("k1", "k2", "doc_id", tokens_of(F.col("text")).alias("tokens"), typed_of(F.col("text")).alias("typed")))
+    sizes = F.struct(*[F.size(f"{kind}1").alias(kind) for kind in KINDS]).alias("n")
+    spread = hashed.select("k1", "k2", "doc_id", sizes, F.posexplode(F.concat(*[windows(kind, size) for size, kind in families])).alias("i", "key"))
     numbers = F.coalesce(*[F.when((F.col("size") == size) & (F.col("kind") == kind), F.lit(k)) for k, (size, kind) in enumerate(families)])
     met = spread.join(few(right.drop("item_tokens", "item_id")), "key").withColumn("family", numbers)
-    counts = [F.greatest(F.col("n") - (size - 1), F.lit(0)) for size, _ in families]
+    counts = [F.greatest(F.col("n")[kind] - (size - 1), F.lit(0)) for size, kind in families]
     before = F.get(F.array(*[sum(counts[:k], F.lit(0)) for k in range(len(families))]), F.col("family"))
-    placed = met.withColumn("pos", F.col("i") - before).where((F.col("pos") >= 0) & (F.col("pos") <= F.col("n") - F.col("size")))
+    own = F.get(F.array(*counts), F.col("family"))
+    placed = met.withColumn("pos", F.col("i") - before).where((F.col("pos") >= 0) & (F.col("pos") < own))
     return kept(placed.select("k1", "k2", "doc_id", "pos", "size", "item", "item_pos", "n_windows", (F.col("kind") == KINDS[0]).alias("word_for_word")).distinct())
 
 
@@ -133,40 +143,45 @@ def found_items(docs: DataFrame, benchmark: DataFrame, coverage: float, run: int
     hits = hits.withColumn("shift", F.col("pos") - F.col("item_pos"))
     alike = hits.where("not word_for_word")
     asked = alike.groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "size")).alias("asked"))
-    texts = rows.select("k1", "k2", "text").join(few(kept(asked)), ["k1", "k2"]).select("k1", "k2", "asked", tokens_of(F.col("text")).alias("tokens"))
-    slices = F.transform("asked", lambda a: F.struct(a["pos"].alias("pos"), a["size"].alias("size"), F.slice("tokens", a["pos"] + 1, a["size"]).alias("here")))
+    texts = rows.select("k1", "k2", "text").join(few(kept(asked)), ["k1", "k2"]).select("k1", "k2", "asked", typed_of(F.col("text")).alias("typed"))
+    slices = F.transform("asked", lambda a: F.struct(a["pos"].alias("pos"), a["size"].alias("size"), F.slice("typed", a["pos"] + 1, a["size"]).alias("here")))
     there = texts.select("k1", "k2", F.inline(slices)).distinct()
     items = right.where(F.col("kind") != KINDS[0]).select("item", "item_pos", "item_tokens")
     both = alike.join(there, ["k1", "k2", "pos", "size"]).join(few(items), ["item", "item_pos"])
-    pairs = F.filter(F.zip_with("item_tokens", "here", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: is_slot(x["a"]))
+    pairs = F.filter(F.zip_with("item_tokens", "here", lambda a, b: F.struct(F.lower(a).alias("a"), F.lower(b).alias("b"), is_slot(a).alias("slot"))), lambda x: x["slot"])
     slots = both.select(*spots, pairs.alias("pairs")).groupBy(*spots).agg(F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     kinds = lambda side: F.size(F.array_distinct(F.col("pairs")[side]))
     one_to_one = slots.where((kinds("a") == F.size("pairs")) & (kinds("b") == F.size("pairs"))).select(*spots)
-    held = ["k1", "k2", "doc_id", "item", "n_windows", "shift", "item_pos", "word_for_word"]
+    held = ["k1", "k2", "doc_id", "item", "shift", "item_pos", "word_for_word"]
     marks = hits.where("word_for_word").select(*held).unionByName(alike.join(one_to_one, spots).select(*held))
 
-    of_item = ["k1", "k2", "doc_id", "item", "n_windows"]
-    places = marks.groupBy(*of_item, "item_pos").agg(F.max("word_for_word").alias("exact")).groupBy(*of_item).agg(F.count_if("exact").alias("n_exact"), F.count("*").alias("n_matched"))
-    longest = marks.select("k1", "k2", "item", "shift", "item_pos").distinct().groupBy("k1", "k2", "item", "shift").count().groupBy("k1", "k2", "item").agg(F.max("count").alias("n_run"))
-    enough = (F.col("n_matched") >= F.greatest(F.lit(1), F.ceil(coverage * F.col("n_windows") - 1e-9))) | (F.col("n_run") >= run)
-    result = places.join(longest, ["k1", "k2", "item"]).where(enough)
-    named = result.join(few(right.select("item", "item_id").distinct()), "item")
-    return named.select("k1", "k2", "doc_id", "item_id", "n_windows", "n_exact", "n_matched", "n_run")
+    passage = ["k1", "k2", "item", "word_for_word"]
+    marks = kept(marks)
+    longest = marks.select(*passage, "shift", "item_pos").distinct().groupBy(*passage, "shift").count().groupBy(*passage).agg(F.max("count").alias("run"))
+    places = marks.select(*passage, "item_pos").distinct().groupBy(*passage).agg(F.count("*").alias("n")).join(longest, passage)
+    counts = places.groupBy("k1", "k2", "item").agg(*[F.coalesce(F.max(F.when(F.col("word_for_word") == exact, F.col("n"))), F.lit(0).cast("long")).alias(name) for exact, name in ((True, "n_exact"), (False, "n_typed"))], F.max("run").alias("n_run"))
+    totals = right.groupBy("item", "item_id").agg(*[F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("n_windows"))), F.lit(0).cast("long")).alias(name) for kind, name in zip(KINDS, ("n_windows", "n_typed_windows"), strict=True)])
+    named = counts.join(few(totals), "item").join(marks.select("k1", "k2", "doc_id").distinct(), ["k1", "k2"])
+    enough = lambda n, total: F.col(n) >= F.greatest(F.lit(1), F.ceil(coverage * F.col(total) - 1e-9))
+    result = named.where(enough("n_exact", "n_windows") | enough("n_typed", "n_typed_windows") | (F.col("n_run") >= run))
+    return result.select("k1", "k2", "doc_id", "item_id", "n_windows", "n_exact", "n_typed_windows", "n_typed", "n_run")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, run: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document and benchmark item it holds: ``doc_id, item_id, n_windows, n_exact, n_matched, n_run``.
-
-    n_windows counts the item's windows; n_exact those that stand in the
-    document word for word, whatever their case; n_matched also those with
-    other numbers, names or units.  A passage is what stands at one distance
-    from the item's words: within a passage, every value of the item must have
-    one counterpart in the document and the other way round, else only its
-    exact windows count; so two copies of an item with different values do not
-    spoil each other.  n_run is the most windows of one passage.  A document
-    holds an item if n_matched reaches ``coverage`` of n_windows, or n_run
-    reaches ``run``.  An item of fewer than WINDOW words is one window.
-    Windows of which less than half is literal are found word for word only.
+    """A row for each document and benchmark item it holds: ``doc_id, item_id, n_windows, n_exact, n_typed_windows, n_typed, n_run``.
+
+    n_windows counts the windows of an item's words, n_exact those of them that
+    stand in the document, whatever their case.  For n_typed_windows and
+    n_typed a number with its sign and separators is one token and so is a run
+    of capitalised words, and other numbers, names and units may stand in their
+    place.  A passage is what stands at one distance from the item's tokens:
+    within a passage, every value of the item must have one counterpart in the
+    document and the other way round, else its typed windows do not count; so
+    two copies of an item with different values do not spoil each other.  n_run
+    is the most windows of one kind in one passage.  A document holds an item if
+    n_exact or n_typed reaches ``coverage`` of its windows, or n_run reaches
+    ``run``.  An item of fewer than WINDOW tokens is one window.  Windows of
+    which less than half is literal are found word for word only.
 
     Null and empty texts, items without words and an empty benchmark match
     nothing; null ids are reported as null; rows with the same id and text

@@ -10,48 +10,66 @@ from geopatch.llm.decontamination import COVERAGE, OPENERS, RUN, UNITS, WINDOW
 ITEM = "If Maria buys 12 apples and gives 5 apples to Peter on the market, how many of the 12 apples does Maria still have in her basket then?"
 
 
+def plain_words(text):
+    """Lower-case words, none of which is a slot."""
+    return [(w.lower(), None, False) for w in re.findall(r"[^\W_]+", text or "")]
+
+
 def plain_tokens(text):
-    """Words as (lower case, placeholder or None)."""
-    found = [m for m in re.findall(r"[^\W_]+", text or "")]
-    words = [(w.lower(), w[0].isupper() and not w[0].isdigit()) for w in found]
-    out = []
-    for i, (w, capital) in enumerate(words):
-        number = w[0] in "0123456789"
-        unit = w in UNITS and not capital and i > 0 and words[i - 1][0][0] in "0123456789"
-        out.append((w, "n" if number else "m" if capital and w not in OPENERS else "u" if unit else None, number or (capital and w not in OPENERS) or (w in UNITS and not capital)))
-    return out
+    """Words, numbers and names as (lower case, placeholder or None, whether it is a slot)."""
+    out, rest = [], re.findall(r"[^\W_]+|[^\w]|_", text or "")
+    while rest:
+        part = rest.pop(0)
+        sign = part in "+-" and rest and rest[0].isdigit() and rest[0].isascii() and not (out and out[-1] == "")
+        if sign or (part.isdigit() and part.isascii()):
+            number = part + (rest.pop(0) if sign else "")
+            while len(rest) > 1 and rest[0] in ".,'" and rest[1].isdigit() and rest[1].isascii():
+                number += rest.pop(0) + rest.pop(0)
+            out.append((number, "n", True))
+        elif part[0].isalnum():
+            name = part[0].isupper() and part.lower() not in OPENERS
+            while name and len(rest) > 1 and rest[0] == " " and rest[1][0].isupper() and rest[1].lower() not in OPENERS:
+                part += rest.pop(0) + rest.pop(0)
+            number = part[0] in "0123456789"
+            before = next((x for x in reversed(out) if x), None)
+            unit = part in UNITS and before is not None and before[0].lstrip("+-")[0] in "0123456789"
+            out.append((part.lower(), "n" if number else "m" if name else "u" if unit else None, number or name or part in UNITS))
+        if rest and out and out[-1] != "":
+            out.append("")
+        if part and not part[0].isalnum() and not sign and out and out[-1] == "":
+            out.pop()
+    return [x for x in out if x]
 
 
 def brute(docs, items):
     """Every window of every item against every window of every document."""
     found = set()
     for doc_id, text in set(docs):
-        own = plain_tokens(text)
         for item_id, item_text in set(items):
-            item = plain_tokens(item_text)
-            if not item:
-                continue
-            size = min(WINDOW, len(item))
-            total, exact, passages = len(item) - size + 1, {}, {}
-            for i in range(total):
-                there = item[i : i + size]
-                slots = sum(t[1] is not None for t in there)
-                for p in range(len(own) - size + 1):
-                    here = own[p : p + size]
-                    if [w for w, *_ in here] == [w for w, *_ in there]:
-                        exact.setdefault(p - i, set()).add(i)
-                    form = [x or w for w, x, _ in here], [x or w for w, x, _ in there]
-                    if slots and 2 * slots <= size and form[0] == form[1]:
-                        passages.setdefault(p - i, []).append((i, {(a[0], b[0]) for a, b in zip(there, here) if a[2]}))
-            marks = {s: set(x) for s, x in exact.items()}
-            for shift, hits in passages.items():
-                pairs = set().union(*(p for _, p in hits))
-                if len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs}):
-                    marks.setdefault(shift, set()).update(i for i, _ in hits)
-            matched = set().union(*marks.values()) if marks else set()
-            run = max(map(len, marks.values()), default=0)
-            if len(matched) >= max(1, math.ceil(COVERAGE * total - 1e-9)) or run >= RUN:
-                found.add((doc_id, item_id, total, len(set().union(*exact.values())) if exact else 0, len(matched), run))
+            counts, longest = [], 0
+            for tokens in (plain_words, plain_tokens):
+                own, item, typed = tokens(text), tokens(item_text), tokens is plain_tokens
+                size = min(WINDOW, len(item))
+                total, passages = len(item) - size + 1 if item else 0, {}
+                for i in range(total):
+                    there = item[i : i + size]
+                    if 2 * sum(t[1] is not None for t in there) > size:
+                        continue
+                    for p in range(len(own) - size + 1):
+                        here = own[p : p + size]
+                        if [x or w for w, x, _ in here] == [x or w for w, x, _ in there]:
+                            passages.setdefault(p - i, []).append((i, {(a[0], b[0]) for a, b in zip(there, here) if a[2]}))
+                marks = {}
+                for shift, hits in passages.items():
+                    pairs = set().union(*(p for _, p in hits))
+                    if not typed or len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs}):
+                        marks[shift] = {i for i, _ in hits}
+                eligible = total if not typed or any(2 * sum(t[1] is not None for t in item[i : i + size]) <= size for i in range(total)) else 0
+                counts += [eligible, len(set().union(*marks.values())) if marks else 0]
+                longest = max(longest, max(map(len, marks.values()), default=0))
+            enough = lambda n, total: n >= max(1, math.ceil(COVERAGE * total - 1e-9))
+            if enough(counts[1], counts[0]) or enough(counts[3], counts[2]) or longest >= RUN:
+                found.add((doc_id, item_id, *counts, longest))
     return found
 
 
@@ -79,6 +97,8 @@ ITEMS = [
     (7, "?!"),
     (8, "one word after another " * 40),
     (None, "an item without an id of its own, about 14 km of road"),
+    (10, "A shop sells 12.50 kg of rice for 1,200 dollars to Maria Lopez and the rest to Tom for -3 dollars less."),
+    (11, "Mary Ann Smith walks 3 km to town. How long does Mary Ann Smith walk?"),
 ]
 ANNA = changed(ITEM, {"Maria": "Anna", "Peter": "Paul"})
 OLGA = changed(ITEM.replace("12", "44"), {"Maria": "Olga", "Peter": "Igor"})
@@ -99,6 +119,9 @@ DOCS = [
     (None, "no id but " + ITEM),
     (23, " ".join(["filler"] * 1000) + " " + ITEM + " filler" * 1000),
     (24, f"{ITEM} {ITEM} " * 20),
+    (25, "A shop sells 9 kg of rice for 800 dollars to Ann and the rest to Karl Otto Braun for +1,7 dollars less."),
+    (26, "Bob walks 10.5 km to town. How long does Bob walk?"),
+    (27, "A shop sells 9 kg of rice for 9 dollars to Ann and the rest to Ann for 9 dollars less."),
 ]
 
 
@@ -115,7 +138,7 @@ def test_every_window_against_every_window(spark):
     held = {(r[0], r[1]) for r in got}
     assert {(10, 1), (11, 1), (16, 2), (17, 1), (18, 4), (19, 5), (20, 6), (22, None), (None, 1), (23, 1), (24, 1)} <= held
     assert not {12, 13, 14, 15} & {a for a, _ in held if a != 12}
-    assert all(n == m for d, i, _, n, m, _ in got if d == 12)
+    assert (25, 10) in held and (26, 11) in held and (27, 10) not in held
 
 
 def test_without_broadcasts(spark, monkeypatch):
@@ -138,14 +161,30 @@ def test_clean_judges_each_row_and_keeps_columns(spark):
 def test_recall_on_other_parameters(spark):
     rng = random.Random(1)
     words = [a + b for a in "ba de fi go lu mer nos pal rin tus".split() for b in "ka lo mi net rus".split()]
-    names = ["Maria", "Peter", "Olga", "Tom", "Ann", "Karl", "Eve", "Bob"]
+    names = ["Maria", "Peter Lund", "Olga", "Tom", "Ann Mary Bell", "Karl", "Eve Roth", "Bob"]
+    shapes = ["{}", "{}.5", "1,{}00", "-{}", "2.{}25", "{},000,000"]
 
-    def question():
-        return " ".join(rng.choices(words, k=4) + sum(([rng.choice(names[:4]), rng.choice(words), str(rng.randrange(2, 99)), *rng.choices(words, k=rng.randrange(3, 6))] for _ in range(rng.randrange(2, 5))), [])) + "?"
+    def number():
+        return rng.choice(shapes).format(rng.randrange(2, 99))
 
-    items = [(k, question()) for k in range(60)]
-    other = dict(zip(names[:4], names[4:], strict=True))
-    docs = [(k, " ".join(rng.choices(words, k=50)) + ". " + changed(t, other) + " " + changed(t.replace("1", "3"), {k: "X" + k.lower() for k in other})) for k, t in items]
+    def fill(parts, who):
+        values = {}
+        return " ".join(values.setdefault(p, number()) if p.startswith("#") else who.get(p, p) for p in parts) + "?"
+
+    def question():
+        return rng.choices(words, k=4) + sum(([f"@{rng.randrange(4)}", rng.choice(words), f"#{rng.randrange(6)}", *rng.choices(words, k=rng.randrange(3, 6))] for _ in range(rng.randrange(2, 5))), [])
+
+    def distinct(parts, who):
+        while True:
+            text = fill(parts, who)
+            found = re.findall(r"[+-]?\d[\d.,]*", text)
+            if len(set(found)) == len({p for p in parts if p.startswith("#")}):
+                return text
+
+    first, second = ({f"@{k}": n for k, n in enumerate(own)} for own in (names[:4], names[4:]))
+    parts = [question() for _ in range(80)]
+    items = [(k, distinct(p, first)) for k, p in enumerate(parts)]
+    docs = [(k, " ".join(rng.choices(words, k=50)) + ". " + distinct(p, second) + " " + distinct(p, {**second, "@0": "Xenia"})) for k, p in enumerate(parts)]
     docs += [(1000 + k, " ".join(rng.choices(words + names, k=120))) for k in range(60)]
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(*frames(spark, docs, items)).collect()}
     assert len({(k, k) for k, _ in items} & got) >= 0.9 * len(items)
