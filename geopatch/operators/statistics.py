@@ -45,6 +45,26 @@ def band_stats(rows: DataFrame, by: list[str], value: str, nodata: Column | None
     return rows.groupBy(*by).agg(*plain, *ends).join(quantiles, by).select(*by, "mean", "std", "p1", "p99", "min", "max")
 
 
+#: Items that a quantile sketch keeps a level; sketches of up to so many values are exact.
+SKETCH = 4096
+
+
+def sketches(rows: DataFrame, by: list[str], value: str, k: int = SKETCH) -> DataFrame:
+    """``by, n, total, squares, low, high, sketch``: what the statistics of any union of groups can be merged from; null and undefined values are left out."""
+    x = F.col(value).cast("double")
+    known = rows.where(x.isNotNull() & ~F.isnan(x))
+    return known.groupBy(*by).agg(F.count("*").alias("n"), F.sum(x).alias("total"), F.sum(x * x).alias("squares"), F.min(x).alias("low"), F.max(x).alias("high"), F.kll_sketch_agg_double(x, k).alias("sketch"))
+
+
+def merged_stats(parts: DataFrame, by: list[str], shares: dict[str, float], k: int = SKETCH) -> DataFrame:
+    """``by, n, mean, std, min, max`` and quantiles by name from the rows of ``sketches``; no value is read again."""
+    sums = [F.sum(c).alias(c) for c in ("n", "total", "squares")]
+    whole = parts.groupBy(*by).agg(*sums, F.min("low").alias("min"), F.max("high").alias("max"), F.kll_merge_agg_double("sketch", k).alias("sketch"))
+    mean = F.col("total") / F.col("n")
+    spread = F.sqrt(F.greatest(F.col("squares") / F.col("n") - mean * mean, F.lit(0.0)))
+    return whole.select(*by, "n", mean.alias("mean"), spread.alias("std"), "min", "max", *[F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias(name) for name, p in shares.items()])
+
+
 def error_aggregates(prediction: Column, target: Column, weight: Column | None = None, normalize_weights: bool = False) -> list[Column]:
     """n, rmse, mae, me, mse.  Weighted means divide by the number of rows, or by the weights' sum if asked."""
     error = prediction - target

@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geopatch.functions import arrays, features, geo, names
-from geopatch.operators import boosting, matching, mosaic, prediction, raster, statistics, windows
+from geopatch.operators import boosting, losses, matching, mosaic, prediction, raster, statistics, windows
 from geopatch.plans import sql
 from geopatch.plans.sql import using
 from geopatch.schema import BAND_OF_ID, BIOMES, PRESETS
-from geopatch.sources import adapters, chunks, scratch
-from geopatch.streaming import ingest
+from geopatch.sources import adapters, catalog, chunks, scratch
+from geopatch.streaming import ingest, waiting
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -193,6 +193,42 @@ def metadata_violations(spark, sf_dir):
     return matching.metadata_violations(meta, 10000, 1000)
 
 
+@query(SQL["metadata_violations"])
+def metadata_from_xml(spark, sf_dir):
+    """The same rules over metadata read from XML files."""
+    path, scenes = scratch.folder(spark), adapters.scenes(spark, sf_dir)
+    flagged = names.offset_flag(F.col("acq_date")) == 1
+    ids = F.sequence(F.lit(0), F.lit(len(BAND_OF_ID) - 1))
+    physical = F.array(*[F.lit(b.replace("B0", "B")) for b in BAND_OF_ID])
+    wrong = lambda k: (F.col("ti") == 5) & (F.get(physical, k) == "B2")
+    bands = F.transform(ids, lambda k: F.struct(k.alias("id"), F.get(physical, k).alias("band"), F.when(flagged, F.when(wrong(k), -1000).otherwise(1000)).cast("long").alias("offset")))
+    catalog.write_metadata(scenes.select("scene", F.when(F.col("ti") == 3, 1000).otherwise(10000).alias("quantification"), bands.alias("bands")), path)
+    rows = catalog.read_metadata(spark, path)
+    return matching.metadata_violations(rows.withColumn("boa_offset", F.col("offset").isNotNull().cast("int")), 10000, 1000)
+
+
+@query(using(sql.SCENES) + """select strftime(acq_date, '%Y-%m') as month, tile, scene from (select *, row_number() over (partition by tile, year(acq_date) order by cloud, scene) k from scenes)
+  where k = 1 and strftime(acq_date, '%m') in ('01', '02', '03', '04', '05', '06') and ti < 12""")
+def scene_catalog(spark, sf_dir):
+    """The best product of each tile and year as files below month and tile; those of half the months and tiles are listed, and the tile list is a file."""
+    path, scenes = scratch.folder(spark), adapters.scenes(spark, sf_dir)
+    best = matching.scene_of_year(scenes).select("scene").join(scenes, "scene")
+    catalog.write_products(best.select("scene", F.date_format("acq_date", "yyyy-MM").alias("month"), "tile"), f"{path}/products")
+    adapters.tiles(spark, sf_dir).where("ti < 12").select(F.concat("tile", F.lit(".zip"))).write.text(f"{path}/tiles")
+    tiles = [r["tile"] for r in chunks.read_tile_list(spark, f"{path}/tiles").collect()]
+    return catalog.list_products(spark, f"{path}/products", ["*-01", "*-02", "*-03", "*-04", "*-05", "*-06"], tiles)
+
+
+@query(SQL["footprint_scan"])
+def footprint_scan_ordered(spark, sf_dir):
+    """The same box from files in spatial order, of which only the row groups in the box are read."""
+    path = scratch.folder(spark)
+    catalog.write_footprints(adapters.footprints(spark, sf_dir).select("shot_number", "lon", "lat", "tile", "agbd"), path, 8, 1 << 16)
+    wanted = adapters.tiles(spark, sf_dir).where("ti < 12").select("tile")
+    rows = catalog.read_box(spark, path, -10.0, 40.0, -20.0, 20.0).join(wanted, "tile", "left_semi")
+    return rows.select("shot_number", r6("lon").alias("lon"), r6("lat").alias("lat"), "tile", F.round("agbd", 8).alias("agbd"))
+
+
 # --- coordinates ---------------------------------------------------------
 
 
@@ -585,6 +621,28 @@ def representative_subset(spark, sf_dir):
     return statistics.representative_subset(rows, 0.2, order=F.col("shot_number") * 7919 % 10007, span=10007)
 
 
+@query(using(sql.LAND, "n as (select tile, lc biome, count(*) n from land group by 1, 2)", "q as (select tile, floor(sum(n) * cast(0.2 as double) + 0.5) quota from n group by tile)",
+    "e as (select n.*, quota, floor(n * cast(0.2 as double)) base, n * cast(0.2 as double) - floor(n * cast(0.2 as double)) rest from n join q using (tile))",
+    "t as (select tile, biome, n, base + case when row_number() over (partition by tile order by rest desc, biome) <= quota - sum(base) over (partition by tile) then 1 else 0 end take from e)",
+    "c as (select tile, abs(sum(n) over w / sum(n) over (partition by tile) - sum(take) over w / sum(take) over (partition by tile)) gap from t window w as (partition by tile order by biome rows between unbounded preceding and current row))")
+    + "select tile, round(sum(gap), 6) distance from c group by tile")
+def subset_distance(spark, sf_dir):
+    """How far the subset's distribution of classes is from that of all rows, by tile."""
+    rows = adapters.land_cover_points(spark, sf_dir).select("shot_number", adapters.tile_of(F.col("ti")).alias("tile"), F.col("lc").alias("biome"))
+    return statistics.subset_distance(rows, representative_subset(spark, sf_dir)).withColumn("distance", r6("distance"))
+
+
+@query(using(sql.FOOTPRINTS, sql.SPLITS) + """select mode, count(*) n, round(avg(agbd), 6) mean, round(stddev_pop(agbd), 6) std, round(min(agbd), 6) min, round(max(agbd), 6) max, round(quantile_disc(agbd, 0.01), 6) p1, round(quantile_disc(agbd, 0.99), 6) p99
+  from footprints join splits using (tile) where year(gedi_date) in (2020, 2021, 2022) group by mode""")
+def merged_stats(spark, sf_dir):
+    """Statistics of three years of each split, merged from a table of sketches by year and tile that is written once."""
+    path = scratch.folder(spark)
+    rows = adapters.footprints(spark, sf_dir).withColumn("year", F.year("gedi_date"))
+    statistics.sketches(rows, ["year", "tile"], "agbd", 32768).write.partitionBy("year").parquet(path)
+    parts = spark.read.parquet(path).where(F.col("year").isin(2020, 2021, 2022)).join(adapters.splits(spark, sf_dir).drop("ti"), "tile")
+    return _rounded(statistics.merged_stats(parts, ["mode"], {"p1": 0.01, "p99": 0.99}, 32768), "mean", "std", "min", "max", "p1", "p99")
+
+
 @query(using(sql.FOOTPRINTS) + "select shot_number, agbd2 from (select shot_number, round(agbd, 8) agbd2, row_number() over (order by shot_number * 7919 % 1000003, shot_number) k from footprints) where k <= 500")
 def ordered_sample(spark, sf_dir):
     rows = adapters.footprints(spark, sf_dir).select("shot_number")
@@ -661,6 +719,11 @@ def seed_summary(spark, sf_dir):
     return _rounded(statistics.seed_summary(errors, [], "rmse"), "mean", "std")
 
 
+@query(using(sql.PREDICTIONS) + """select model, round(avg((prediction - target) * (prediction - target)), 6) loss, round(sqrt(avg((prediction - target) * (prediction - target))), 6) RMSE, round(avg(abs(prediction - target)), 6) MAE, round(avg(prediction - target), 6) ME from predictions group by model""")
+def validation_losses(spark, sf_dir):
+    return _rounded(losses.validation_losses(adapters.predictions(spark, sf_dir), ["model"]), "loss", "RMSE", "MAE", "ME")
+
+
 @query(using(sql.PREDICTIONS, "e as (select model, cast(shot_number % 10 as int) epoch, round(sqrt(avg((prediction - target) * (prediction - target)) filter (ti % 2 = 0)), 6) val_rmse, round(sqrt(avg((prediction - target) * (prediction - target)) filter (ti % 2 = 1)), 6) test_rmse from predictions group by 1, 2)")
     + "select model, min(val_rmse) val_rmse, arg_min(epoch, (val_rmse, epoch)) epoch, arg_min(test_rmse, (val_rmse, epoch)) test_rmse from e group by model")
 def best_model(spark, sf_dir):
@@ -970,4 +1033,27 @@ def predict_tiles(spark, sf_dir):
   select event_id shot_number, f.tile, s.scene from (select *, {sql.tile('ti')} tile from e) f asof join s on f.tile = s.tile and f.gedi_date >= s.acq_date
   where s.acq_date >= cast(date_trunc('month', gedi_date) - interval 5 month as date)""")
 def stream_patch_append(spark, sf_dir):
-    return ingest.run_once(spark, ingest.footprint_stream(spark, sf_dir), adapters.scenes(spark, sf_dir), scratch.folder(spark))
+    return ingest.run_once(spark, ingest.footprint_stream(spark, sf_dir), scratch.stored(adapters.scenes(spark, sf_dir)), scratch.folder(spark))
+
+
+#: Days that a footprint of the stream waits for scenes, and days that both streams may be late.
+WAIT, LATE = 5, 7
+
+
+@query("with " + sql.SCENES + f""", e as (select event_id shot_number, cast(user_id % 25 as int) ti, cast(ts as date) - 1200 gedi_date, cast(event_id * 31 % 64 as int) r, cast(event_id * 17 % 64 as int) c from events),
+  w as (select least((select max(gedi_date) from e), (select max(acq_date) from scenes)) - {LATE} wm),
+  s as (select tile, acq_date, max(scene) scene from scenes group by 1, 2),
+  m as (select f.*, s.scene, s.acq_date from (select *, {sql.tile('ti')} tile from e, w where gedi_date + {WAIT} < wm) f asof join s on f.tile = s.tile and f.gedi_date >= s.acq_date where s.acq_date >= cast(date_trunc('month', gedi_date) - interval 5 month as date)),
+  v as (select shot_number, tile, scene, acq_date, (7 * r + 13 * c + ti) % 10 < 7 as centre, count(*) filter ((7 * (r + i) + 13 * (c + j) + ti) % 10 < 7) veg from m, range(-2, 3) a(i), range(-2, 3) b(j) where r between 2 and 61 and c between 2 and 61 group by all)
+  select shot_number, tile, scene, acq_date, cast(100 * veg // 25 as int) vegetation_score from v where centre and 100 * veg // 25 >= 20""")
+def stream_chain(spark, sf_dir):
+    """Footprints and scenes as streams: footprints wait for late scenes in keyed state, then windows are cut, judged and written batch by batch."""
+    path = scratch.folder(spark)
+    adapters.scenes(spark, sf_dir).select("tile", "acq_date", "scene").write.parquet(f"{path}/scenes")
+    layers = scratch.stored(chunks.to_chunks(adapters.raster(spark, sf_dir).where("band = 'SCL'"), CHUNK))
+    shot = F.col("shot_number")
+    footprints = ingest.footprint_stream(spark, sf_dir).select("shot_number", "tile", "gedi_date", (shot * 31 % 64).cast("int").alias("row"), (shot * 17 % 64).cast("int").alias("col"))
+    scenes = spark.readStream.schema("tile string, acq_date date, scene string").parquet(f"{path}/scenes")
+    matched = waiting.matched_stream(footprints, scenes, f"{LATE} days", WAIT, parts=4)
+    waiting.run(matched, waiting.batch_writer(layers, f"{path}/table", CHUNK, PATCH, 64, 64), f"{path}/state")
+    return spark.read.parquet(f"{path}/table").select("shot_number", "tile", "scene", "acq_date", "vegetation_score")
