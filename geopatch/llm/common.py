@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -91,11 +93,33 @@ def sha256_of(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """Computes the rows once and cuts the lineage with a table in the shared folder, which goes when the session's JVM ends."""
+    """Computes the rows once and cuts the lineage with a table in the shared folder, which goes when the session's JVM ends, or with ``drop``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    if (made := _made.get()) is not None:
+        made.append(path)
     return spark.read.parquet(path)
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """A list of the tables that this thread keeps meanwhile, in order."""
+    before = _made.set(made := [])
+    try:
+        yield made
+    finally:
+        _made.reset(before)
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Removes tables that no rows are read from any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -32,7 +32,7 @@ UNKNOWN = "und"
 #: Characters of text whose words a task counts before it passes them on.
 TEXT_HELD = 8 << 20
 #: Entries of a shard, of 16 bytes each; bounds what is sent to the driver and the workers at a time.
-SHARD = 1 << 24
+SHARD = 1 << 22
 #: Labelled rows of which one is set aside to calibrate the rejection, and rows that a language needs for limits of its own.
 ASIDE, OWN_LIMITS = 16, 20
 

@@ -1,10 +1,11 @@
+import glob
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from geopatch.llm import byte_bpe
+from geopatch.llm import byte_bpe, common
 from geopatch.llm.queries import vocabulary
 
 
@@ -50,6 +51,13 @@ def test_the_run_ends_in_ids_of_the_texts(spark, folder):
     assert corpus_pipeline.ORACLE_SQL is None
 
 
+def test_tables_on_the_way_are_dropped(spark, folder):
+    at = common.shared_dir(spark).removeprefix("file:")
+    before = set(glob.glob(f"{at}/table-*"))
+    rows = corpus_pipeline.run(spark, folder)
+    assert len(set(glob.glob(f"{at}/table-*")) - before) == 1 and rows.count() > 50
+
+
 def test_lines_and_lines_near_them_go_once(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     before = {r["doc_id"]: r["text"] for r in docs.collect()}
