@@ -378,14 +378,14 @@ WINDOW_SQL = f"""wins as (
   group by all)"""
 
 
-def _patches(spark, sf_dir):
+def _patches(spark, sf_dir, band: str):
     points = adapters.footprints(spark, sf_dir)
-    return windows.extract_patches(points, chunks.to_chunks(adapters.raster(spark, sf_dir), CHUNK), CHUNK, PATCH, 64, 64)
+    return windows.extract_patches(points, chunks.to_chunks(adapters.raster(spark, sf_dir, bands=[band]), CHUNK), CHUNK, PATCH, 64, 64)
 
 
 @query(using(sql.FOOTPRINTS, sql.RASTER, WINDOW_SQL) + "select shot_number, patch from footprints f join wins w on f.tile = w.tile and f.row = r0 and f.col = c0 and band = 'B02'")
 def extract_patches(spark, sf_dir):
-    rows = adapters.footprints(spark, sf_dir).join(_patches(spark, sf_dir).where("band = 'B02'"), ["tile", "row", "col"])
+    rows = adapters.footprints(spark, sf_dir).join(_patches(spark, sf_dir, "B02"), ["tile", "row", "col"])
     return rows.select("shot_number", joined("patch").alias("patch"))
 
 
@@ -394,20 +394,20 @@ def extract_patches(spark, sf_dir):
   left join wins w on f.tile = w.tile and f.row = r0 and f.col = c0 and band = 'HH'""")
 def extract_patches_missing_layer(spark, sf_dir):
     points = adapters.footprints(spark, sf_dir).where(arrays.fits(F.col("row"), F.col("col"), 64, 64, PATCH))
-    return windows.with_layer(points, _patches(spark, sf_dir), "ALOS", "HH", "hh", PATCH, 0).select("shot_number", joined("hh").alias("patch"))
+    return windows.with_layer(points, _patches(spark, sf_dir, "HH"), "ALOS", "HH", "hh", PATCH, 0).select("shot_number", joined("hh").alias("patch"))
 
 
 @query(using(sql.FOOTPRINTS, sql.RASTER, WINDOW_SQL) + f"""select shot_number, cast(100 * veg // {PATCH * PATCH} as int) vegetation_score from footprints f join wins w on f.tile = w.tile and f.row = r0 and f.col = c0 and band = 'SCL'
   where centre = 4 and 100 * veg // {PATCH * PATCH} >= 20""")
 def vegetation_filter(spark, sf_dir):
-    rows = adapters.footprints(spark, sf_dir).join(_patches(spark, sf_dir).where("band = 'SCL'"), ["tile", "row", "col"])
+    rows = adapters.footprints(spark, sf_dir).join(_patches(spark, sf_dir, "SCL"), ["tile", "row", "col"])
     return windows.vegetated(rows, "patch", PATCH).select("shot_number", "vegetation_score")
 
 
 @query(using(sql.FOOTPRINTS, sql.RASTER, WINDOW_SQL) + f"""select shot_number, cast(100 * known // {PATCH * PATCH} as int) ch_score from footprints f join wins w on f.tile = w.tile and f.row = r0 and f.col = c0 and band = 'ch'
   where centre <> 255 and 100 * known // {PATCH * PATCH} >= 20""")
 def validity_filter(spark, sf_dir):
-    rows = adapters.footprints(spark, sf_dir).join(_patches(spark, sf_dir).where("band = 'ch'"), ["tile", "row", "col"])
+    rows = adapters.footprints(spark, sf_dir).join(_patches(spark, sf_dir, "ch"), ["tile", "row", "col"])
     return windows.valid_height(rows, "patch", PATCH).select("shot_number", "ch_score")
 
 
@@ -419,6 +419,13 @@ def layer_year_match(spark, sf_dir):
     return found.select("shot_number", "yy", "hh", "hv")
 
 
+@query(using(sql.FOOTPRINTS, sql.CANOPY) + """select shot_number, strftime(gedi_date, '%y') yy, coalesce(ch, 255) ch, coalesce(std, 255) std from footprints f
+  left join canopy c on c.tile = f.tile and c.yy = strftime(gedi_date, '%y') and c."row" = f."row" and c.col = f.col""")
+def canopy_year_match(spark, sf_dir):
+    found = matching.with_year_layer(adapters.footprints(spark, sf_dir), adapters.yearly_canopy(spark, sf_dir), F.col("gedi_date"), ["ch", "std"], 255)
+    return found.select("shot_number", "yy", "ch", "std")
+
+
 _STACK = {"b02": "B02", "b03": "B03", "b04": "B04", "b08": "B08", "scl": "SCL", "ch": "ch", "ch_std": "std", "hh": "HH", "hv": "HV", "lc": "lc", "lc_prob": "prob", "dem": "dem"}
 
 
@@ -556,6 +563,25 @@ def align_chunks_nearest(spark, sf_dir):
     return _stretched(spark, sf_dir, 0)
 
 
+#: Pixels a side of a tile of 600 m by resolution, and a band of each.
+GRIDS = {10: (60, "B02"), 20: (30, "B05"), 60: (10, "B09")}
+
+
+@query(using(sql.MOSAIC_PIXELS, "s as (select *, unnest([20, 60]) step from (select distinct tile from pixels))",
+    "g as (select tile, step, case step when 20 then 'B05' else 'B09' end band, cast(i as int) i, cast(j as int) j from s, range(60) a(i), range(60) b(j))")
+    + """select g.tile, band, i as "row", j as col, coalesce(dn + step, 0) as value from g left join pixels p on p.tile = g.tile and p."row" = i // (step // 10) and p.col = j // (step // 10)""")
+def optical_grids(spark, sf_dir):
+    """Bands of 20 m and 60 m on the scene's grid of 10 m, chunk by chunk."""
+    pixels, out = adapters.mosaic_pixels(spark, sf_dir), None
+    tiles = pixels.select("tile").distinct()
+    for step in (20, 60):
+        n, band = GRIDS[step]
+        own = pixels.where((F.col("row") < n) & (F.col("col") < n)).select(F.lit("S2").alias("layer"), F.lit(band).alias("band"), "tile", "row", "col", (F.col("dn") + step).alias("value"))
+        made = chunks.to_pixels(raster.align(chunks.to_chunks(own, 12), 12, tiles, raster.Grid(0.0, 0.0, float(step)), raster.Grid(0.0, 0.0, 10.0), 60, 60, 25, 0), 25)
+        out = made if out is None else out.unionByName(made)
+    return out.select("tile", "band", "row", "col", "value")
+
+
 @query(using(sql.PATCHES) + """select v.vec_id, cast(o.k as int) k, coalesce(p.dn, -1) as value from (select distinct vec_id from patches) v cross join range(100) o(k)
   left join patches p on p.vec_id = v.vec_id and o.k // 10 - 2 between 0 and 7 and o.k % 10 + 3 between 0 and 7 and p.k = (o.k // 10 - 2) * 8 + o.k % 10 + 3""")
 def crop_pad(spark, sf_dir):
@@ -854,12 +880,15 @@ def predict_windows(spark, sf_dir):
 # --- files, models, streams ----------------------------------------------
 
 
-@query(using(sql.MOSAIC_RASTER) + 'select layer, band, tile, "row", col, value from raster where layer in (\'CH\', \'ALOS\')')
+@query(using(sql.MOSAIC_RASTER) + 'select layer, band, tile, "row", col, value from raster')
 def patch_roundtrip(spark, sf_dir):
-    path = scratch.folder(spark)
-    chunks.write_chunks(chunks.to_chunks(adapters.raster(spark, sf_dir, adapters.mosaic_pixels(spark, sf_dir)).where("layer in ('CH', 'ALOS')"), CHUNK), path)
-    own = [chunks.to_pixels(chunks.read_chunks(spark, path, layer), CHUNK) for layer in ("CH", "ALOS")]
-    return own[0].unionByName(own[1]).select("layer", "band", "tile", "row", "col", "value")
+    """All layers to files of chunks and back, layer by layer."""
+    path, out = scratch.folder(spark), None
+    chunks.write_chunks(chunks.to_chunks(adapters.raster(spark, sf_dir, adapters.mosaic_pixels(spark, sf_dir)), CHUNK), path)
+    for layer in ("S2", "CH", "ALOS", "LC", "DEM"):
+        own = chunks.to_pixels(chunks.read_chunks(spark, path, layer), CHUNK)
+        out = own if out is None else out.unionByName(own)
+    return out.select("layer", "band", "tile", "row", "col", "value")
 
 
 @query(using(sql.PREDICTIONS) + "select model, count(*) n, round(sqrt(avg((prediction - target) * (prediction - target))), 6) rmse from predictions group by model")

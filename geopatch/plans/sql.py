@@ -52,6 +52,9 @@ RASTER = f"""{PIXELS},
 RADAR = f"""radar as (
   select * from (select {tile('l_suppkey % 25')} tile, strftime(cast(l_shipdate as date) + 8766, '%y') yy, cast(l_orderkey % 64 as int) "row", cast(l_partkey % 64 as int) col,
     cast(max(floor(l_quantity * 90)) as int) hh, cast(max(floor(l_extendedprice) % 5000) as int) hv from lineitem where l_suppkey % 25 % 7 <> 0 group by 1, 2, 3, 4) where yy <> '21')"""
+CANOPY = f"""canopy as (
+  select * from (select {tile('l_suppkey % 25')} tile, strftime(cast(l_shipdate as date) + 8766, '%y') yy, cast(l_partkey % 64 as int) "row", cast(l_orderkey % 64 as int) col,
+    cast(max(floor(l_quantity)) as int) ch, cast(min(floor(l_discount * 100)) as int) std from lineitem group by 1, 2, 3, 4) where yy <> '22')"""
 PATCHES = """patches as (
   select vec_id, cast(vec_id % 2 as int) boa, cast(k as int) k, cast(floor(abs(cast(embedding[k + 1] as double)) * 10000) as int) dn, cast(embedding[k + 1] as double) * 100 dem
   from embeddings, range(64) r(k))"""

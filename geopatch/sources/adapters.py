@@ -108,8 +108,8 @@ def grid_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"max_lon": F.col("min_lon") + 4.0, "max_lat": F.col("min_lat") + 4.0})
 
 
-def raster(spark: SparkSession, sf_dir: str, at: DataFrame | None = None) -> DataFrame:
-    """``layer, band, tile, ti, row, col, value`` of all layers over pixels ``at``; radar is missing for every seventh tile."""
+def raster(spark: SparkSession, sf_dir: str, at: DataFrame | None = None, bands: list[str] | None = None) -> DataFrame:
+    """``layer, band, tile, ti, row, col, value`` of all layers, or of some bands, over pixels ``at``; radar is missing for every seventh tile."""
     at = pixels(spark, sf_dir) if at is None else at
     r, c, ti = F.col("row"), F.col("col"), F.col("ti")
     layers = F.array(
@@ -124,7 +124,7 @@ def raster(spark: SparkSession, sf_dir: str, at: DataFrame | None = None) -> Dat
             ("LC", "lc", land_cover(r, c, ti)),
             ("LC", "prob", F.when((r * c + ti) % 20 == 0, 255).otherwise((r + c) % 101)),
             ("DEM", "dem", (r * 3 + c * 5 + ti) % 900 - 50),
-        )]
+        ) if bands is None or band in bands]
     )
     return at.select("tile", "ti", "row", "col", F.inline(layers)).where("value is not null")
 
@@ -139,6 +139,14 @@ def radar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(*keys).agg(hh.alias("hh"), hv.alias("hv")).where("yy <> '21'")
 
 
+def yearly_canopy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``tile, yy, row, col, ch, std``: yearly canopy heights from lineitem, none for 2022."""
+    yy = F.date_format(F.date_add(F.to_date("l_shipdate"), SHIFT), "yy").alias("yy")
+    keys = [tile_of((F.col("l_suppkey") % 25).cast("int")).alias("tile"), yy, (F.col("l_partkey") % SIDE).cast("int").alias("row"), (F.col("l_orderkey") % SIDE).cast("int").alias("col")]
+    ch, std = F.max(F.floor("l_quantity")).cast("int"), F.min(F.floor(F.col("l_discount") * 100)).cast("int")
+    return table(spark, sf_dir, "lineitem").groupBy(*keys).agg(ch.alias("ch"), std.alias("std")).where("yy <> '22'")
+
+
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``vec_id, boa, dn array<int>, dem array<double>``: squares of eight by eight from embeddings."""
     values = F.transform("embedding", lambda x: x.cast("double"))
