@@ -44,10 +44,6 @@ def fits(row: Column, col: Column, height: int | Column, width: int | Column, si
     return (row - half >= 0) & (row + half + 1 <= height) & (col - half >= 0) & (col + half + 1 <= width)
 
 
-def centre_crop(a: Column, size: int, to: int) -> Column:
-    return window(a, F.lit(size // 2), F.lit(size // 2), size, to)
-
-
 def centre(a: Column, size: int) -> Column:
     return F.get(a, F.lit((size * size) // 2))
 

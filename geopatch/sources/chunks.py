@@ -90,9 +90,3 @@ def read_tile_list(spark: SparkSession, path: str) -> DataFrame:
     from geopatch.functions.names import tile_name
 
     return spark.read.text(path).select(tile_name(F.col("value")).alias("tile")).where("tile <> ''")
-
-
-def list_scenes(spark: SparkSession, path: str, pattern: str = "*MSI*.zip") -> DataFrame:
-    """``scene`` of the product files below a folder; only names are read."""
-    names = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path")
-    return names.select(F.regexp_extract("path", r"([^/]+)\.zip$", 1).alias("scene"))

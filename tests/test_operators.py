@@ -148,9 +148,7 @@ def test_patch_dataset_without_the_optional_flag(spark, tmp_path):
 
 def test_list_files(spark, tmp_path):
     (tmp_path / "tiles.txt").write_text("30NXM\n 31UDQ.zip \n\n")
-    (tmp_path / "S2A_MSIL2A_x.zip").write_bytes(b"1")
     assert sorted(r.tile for r in chunks.read_tile_list(spark, str(tmp_path / "tiles.txt")).collect()) == ["30NXM", "31UDQ"]
-    assert [r.scene for r in chunks.list_scenes(spark, str(tmp_path)).collect()] == ["S2A_MSIL2A_x"]
 
 
 def test_shots_delivered_twice_are_appended_once(spark, tmp_path):
