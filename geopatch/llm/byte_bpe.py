@@ -31,9 +31,9 @@ from geopatch.llm.common import small_batches, source
 #: Characters of text in a chunk; bounds the memory of a task.
 CHUNK = 8 << 20
 #: Tokens that are decoded at once, if a row has no more.
-TOKENS = 1 << 22
+TOKENS = 1 << 19
 #: Distinct words whose ids a task remembers at a time.
-REMEMBER = 1 << 17
+REMEMBER = 1 << 16
 
 
 def ranks_of(vocabulary: bytes) -> dict[bytes, int]:
