@@ -44,8 +44,11 @@ def to_pixels(chunks: DataFrame, side: int) -> DataFrame:
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Partitioned by layer and tile, so that a read of one of them prunes the files."""
-    chunks.write.mode("overwrite").partitionBy("layer", "tile").parquet(path)
+    """Partitioned by layer and sorted by tile, so that a read of a layer prunes the files and one of a tile their pages.
+
+    Files are as many as tasks and layers, however many tiles there are.
+    """
+    chunks.sortWithinPartitions("layer", "tile").write.mode("overwrite").partitionBy("layer").parquet(path)
 
 
 def read_chunks(spark: SparkSession, path: str, layer: str, bands: list[str] | None = None) -> DataFrame:

@@ -164,3 +164,13 @@ def test_a_batch_written_again_replaces_itself(spark, tmp_path):
         write(batch, 7)
     rows = spark.read.parquet(str(tmp_path / "table")).collect()
     assert sorted((r.shot_number, r.vegetation_score, r.batch) for r in rows) == [(1, 100, 7), (4, 80, 7)]
+
+
+def test_chunk_files_do_not_grow_with_tiles(spark, tmp_path):
+    pixels = spark.range(200).select(F.explode(F.array(F.lit("S2"), F.lit("CH"))).alias("layer"), F.lit("b").alias("band"), F.concat(F.lit("V"), "id").alias("tile"), F.lit(0).alias("row"), (F.col("id") % 4).cast("int").alias("col"), F.col("id").cast("int").alias("value"))
+    chunks.write_chunks(chunks.to_chunks(pixels, 4), str(tmp_path / "chunks"))
+    assert len(list((tmp_path / "chunks").rglob("*.parquet"))) <= 2 * 4
+    own = chunks.read_chunks(spark, str(tmp_path / "chunks"), "CH")
+    assert own.where("tile = 'V7'").count() == 1
+    back = chunks.to_pixels(own, 4)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, pixels.where("layer = 'CH'").select(*back.columns).collect()))
