@@ -39,12 +39,13 @@ OPENERS = (
 #: A number with its sign and separators; a run of capitalised words that are no openers; any other word.
 NUMBER = r"(?<![\p{L}\p{N}])[+-]?[0-9]+(?:[.,'][0-9]+)*(?![\p{L}\p{N}])"
 CAPITAL = r"(?=\p{Lu})(?!(?i:" + "|".join(OPENERS) + r")(?![\p{L}\p{N}]))[\p{L}\p{N}]+"
-TYPED = rf"{NUMBER}|(?<![\p{{L}}\p{{N}}]){CAPITAL}(?: {CAPITAL})*|[\p{{L}}\p{{N}}]+"
+#: What begins with a small letter of ASCII is neither number nor name and is taken first, as most words are such; the looks ahead only save time.
+TYPED = rf"[a-z]++[\p{{L}}\p{{N}}]*+|(?=[+\-0-9]){NUMBER}|(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}]){CAPITAL}(?: {CAPITAL})*|[\p{{L}}\p{{N}}]+"
 
 
 def tokens_of(text: Column) -> Column:
     """Runs of letters and digits in lower case."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), r"[^a-z\p{L}\p{N}]+"), "")
 
 
 def typed_of(text: Column) -> Column:
@@ -53,12 +54,15 @@ def typed_of(text: Column) -> Column:
 
 
 def is_number(token: Column) -> Column:
-    return F.ascii(F.ltrim(token, F.lit("+-"))).between(48, 57)
+    """Whether it begins with a digit, after a sign or none.  Strings are compared by bytes, so two comparisons settle most words."""
+    digit = lambda x: (x >= "0") & (x < ":")
+    return digit(token) | ((token < ".") & (token >= "+") & digit(F.substring(token, 2, 1)))
 
 
 def is_name(token: Column) -> Column:
     first = F.substring(token, 1, 1)
-    return (F.lower(first) != first) & ~F.lower(token).isin(OPENERS)
+    capital = ((token >= "A") & (token < "[")) | ((token >= "\u0080") & (F.lower(first) != first))
+    return capital & ~F.lower(token).isin(OPENERS)
 
 
 def is_slot(token: Column) -> Column:
@@ -70,7 +74,8 @@ def coded(rows: DataFrame) -> DataFrame:
 
     def of(token: Column, i: Column) -> Column:
         unit = token.isin(UNITS) & F.coalesce(is_number(F.get("typed", i - 1)), F.lit(False))
-        return F.when(is_number(token), 1).when(is_name(token), 3).when(unit, 5).otherwise(F.xxhash64(F.lower(token)).bitwiseOR(F.lit(1).cast("long")) - 1)
+        word = F.when(unit, 5).otherwise(F.xxhash64(F.lower(token)).bitwiseAND(F.lit(-2).cast("long")))
+        return F.when((token >= "a") & (token < "\u0080"), word).when(is_number(token), 1).when(is_name(token), 3).otherwise(word)
 
     rows = rows.withColumn("exact1", F.transform("tokens", lambda t: F.xxhash64(t).bitwiseOR(F.lit(1).cast("long"))))
     rows = rows.withColumn("typed1", F.transform("typed", of))
@@ -81,7 +86,7 @@ def coded(rows: DataFrame) -> DataFrame:
 
 
 def doubled(hashes: str, size: int) -> Column:
-    return F.transform(hashes, lambda x, i: F.xxhash64(x, F.get(hashes, i + size)))
+    return F.zip_with(hashes, F.slice(hashes, F.lit(size + 1), F.size(hashes)), lambda x, y: F.xxhash64(x, y))
 
 
 def windows(kind: str, size: int) -> Column:

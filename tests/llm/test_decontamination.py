@@ -4,6 +4,8 @@ import math
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from geopatch.llm import common, decontamination
 from geopatch.llm.decontamination import COVERAGE, OPENERS, RUN, UNITS, WINDOW
 
@@ -189,3 +191,17 @@ def test_recall_on_other_parameters(spark):
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(*frames(spark, docs, items)).collect()}
     assert len({(k, k) for k, _ in items} & got) >= 0.9 * len(items)
     assert not [d for d, _ in got if d >= 1000]
+
+
+def test_tokens_and_kinds_of_odd_words(spark):
+    text = "-3.5 of iPhone +12,000 Ärger Anna Maria The x-1 3rd ... Ǆ ߀ß 5 kg, "
+    row = spark.createDataFrame([(text,)], "text string").select(decontamination.tokens_of(F.col("text")).alias("tokens"), decontamination.typed_of(F.col("text")).alias("typed"))
+    typed = ["-3.5", "of", "iPhone", "+12,000", "Ärger Anna Maria", "The", "x", "1", "3rd", "Ǆ", "߀ß", "5", "kg"]
+    kinds = row.select(F.explode("typed").alias("t")).select("t", decontamination.is_number(F.col("t")).alias("number"), decontamination.is_name(F.col("t")).alias("name")).collect()
+    assert [r["t"] for r in kinds] == typed
+    assert {r["t"] for r in kinds if r["number"]} == {"-3.5", "+12,000", "1", "3rd", "5"}
+    assert {r["t"] for r in kinds if r["name"]} == {"Ärger Anna Maria", "Ǆ"}
+    assert row.first()["tokens"][:5] == ["3", "5", "of", "iphone", "12"] and "" not in row.first()["tokens"]
+    hashed = decontamination.coded(row).first()
+    assert [h for h in hashed["typed1"] if h % 2] == [1, 1, 3, 1, 1, 3, 1, 5]
+    assert len(hashed["typed8"]) == len(typed)
