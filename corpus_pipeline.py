@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geopatch.llm import byte_bpe, decontamination, language_id, line_dedup, near_copies
+from geopatch.llm import byte_bpe, decontamination, language_id, line_dedup, near_copies, simhash
 from geopatch.llm.common import drop, kept, noted, read
 from geopatch.llm.queries import vocabulary
 
@@ -34,8 +34,13 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share less than 0.8 of their five-word shingles with any earlier one; of equal texts the smallest id stays."""
-    return near_copies.keep_first(docs).select(*COLUMNS)
+    """The first document of each SimHash class; of those, the ones that share less than 0.8 of their five-word shingles with any earlier one.
+
+    Fingerprints at 2 bits link what is equal or almost so; the exact join
+    after them finds the pairs whose fingerprints lie further apart.
+    """
+    once = kept(simhash.keep_one(docs.select(*COLUMNS), shingle=3, radius=2))
+    return near_copies.keep_first(once).select(*COLUMNS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -121,14 +121,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(few(named), "fp").select("doc_id", "fp", "component_id", "copies")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each component the row with the smallest id stays.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the first row stays.
 
-    Of repeated rows with that id one stays; rows with a null id all stay.
+    The order is by id; between rows of one id it is by a hash of the text.  Of
+    repeated rows one stays; rows with a null id all stay and take no part.
     Columns are those of ``docs``.
     """
-    found = cut(near_duplicates(docs, shingle=shingle, radius=radius).where("doc_id = component_id").select("doc_id"))
-    once = docs.join(found.distinct(), "doc_id", "left_semi")
+    of = lambda c: F.col(f"doc.`{c}`")
+    own = docs.where(docs[id_col].isNotNull()).select(F.struct(*docs.columns).alias("doc"))
+    own = own.withColumn("node", F.struct(of(id_col).alias("id"), F.xxhash64(F.coalesce(of(text_col), F.lit(""))).alias("hash")))
+    found = cut(near_duplicates(own.select("node", of(text_col).alias("text")), "node", "text", shingle, radius))
+    gone = few(kept(found.where("doc_id != component_id").select(F.col("doc_id").alias("node")).distinct()))
+    once = own.join(gone, "node", "left_anti")
     if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        once = once.dropDuplicates(["doc_id"])
-    return once.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+        once = once.dropDuplicates(["node"])
+    return once.select("doc.*").unionByName(docs.where(docs[id_col].isNull()))

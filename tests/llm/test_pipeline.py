@@ -77,3 +77,14 @@ def test_empty_tables_repeated_rows_and_other_columns(spark, folder):
         assert left.columns == corpus_pipeline.COLUMNS
         assert left.where("doc_id = 5").count() >= 1
     assert corpus_pipeline.token_ids(spark, odd, folder).where("doc_id = 5").select("ids_sha256").distinct().count() == 1
+
+
+def test_fingerprints_choose_before_the_exact_join(spark, monkeypatch):
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(5000)}" for _ in range(40)]
+    # the same passage over and over with one word changed: few shingles, most of them lost, but nearly all of their weight is kept
+    texts = [" ".join(words[:5] * 400), " ".join([*words[:5] * 399, *words[:3], "other", words[4]]), " ".join(words), " ".join(reversed(words))]
+    docs = spark.createDataFrame([*((i, t, "en", "s", len(t)) for i, t in enumerate(texts)), (2, texts[3] + " end", "en", "s", 1), (None, texts[0], "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert len(corpus_pipeline.near_copies.keep_first(docs).collect()) == 5
+    left = corpus_pipeline.without_near_copies(spark, docs, "").collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in left) == sorted([("0", texts[0]), ("2", texts[2]), ("2", texts[3] + " end"), ("None", texts[0])])
