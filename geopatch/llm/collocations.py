@@ -35,6 +35,9 @@ FILTER_BITS = 1 << 26
 HOT_SHARES = 4096
 HOT_LEAST = 16_384
 STRIPE = "lang string, prefix string, total long, next array<string>, count array<long>"
+#: Parts into which a task's second stripes of a language are dealt, by a hash of the prefix, or of the phrase if the prefix is hot; a row holds the stripes of one part.
+PARTS = 256
+PACKED = "lang string, part int, prefix array<string>, next array<array<string>>, count array<array<long>>"
 
 
 def words_of(text: bytes) -> Iterator[list[bytes]]:
@@ -139,8 +142,28 @@ def pair_filter(pairs: DataFrame, bits: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def pair_stripes(known: Callable[[], np.ndarray], bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Stripes of the pairs of words that follow a word, for places where both the pair and the one that begins a word later pass the filter."""
+def packed_stripes(lang: str, prefixes: pa.Array, prefix: np.ndarray, follower: np.ndarray, count: np.ndarray, part: np.ndarray, words: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Stripes of entries, one row a part: its prefixes, and each one's followers and counts.  So rows are at most PARTS a chunk, however many prefixes it has."""
+    order = np.lexsort((prefix, part))
+    prefix, follower, count, part = prefix[order], follower[order], count[order], part[order]
+    starts = np.flatnonzero(np.r_[True, (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1])]) if len(prefix) else np.zeros(0, np.int64)
+    rows = np.flatnonzero(np.r_[True, np.diff(part[starts]) != 0]) if len(starts) else starts
+    ends, row_ends = np.r_[starts, len(prefix)], np.r_[rows, len(starts)]
+    for a in range(0, len(rows), 32):
+        b = min(a + 32, len(rows))
+        lists = starts[rows[a] : row_ends[b]]
+        low, high = lists[0], ends[row_ends[b]]
+        inner, outer = pa.array(np.r_[lists, high] - low, pa.int32()), pa.array(row_ends[a : b + 1] - rows[a], pa.int32())
+        nested = [pa.ListArray.from_arrays(inner, values) for values in (words.take(pa.array(follower[low:high])), pa.array(count[low:high], pa.int64()))]
+        own = [prefixes.take(pa.array(prefix[lists])), *nested]
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * (b - a), pa.string()), pa.array(part[starts[rows[a:b]]], pa.int32()), *[pa.ListArray.from_arrays(outer, x) for x in own]], names=["lang", "part", "prefix", "next", "count"])
+
+
+def pair_stripes(known: Callable[[], np.ndarray], bits: int, hot: dict[str, set[bytes]] | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Stripes of the pairs of words that follow a word, for places where both the pair and the one that begins a word later pass the filter, packed by part.
+
+    A prefix lies in one part of all tasks, unless it is ``hot`` in its language: then its phrases are dealt out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_known = known()
@@ -161,11 +184,24 @@ def pair_stripes(known: Callable[[], np.ndarray], bits: int) -> Callable[[Iterat
             code, count = np.unique(ids[at] << 32 | number, return_counts=True)
             names = pa.array([b"", *words[1:]], pa.binary()).cast(pa.string())
             joined = pa.array([words[p >> 32] + b" " + words[p & 0xFFFFFFFF] for p in pairs.tolist()], pa.binary()).cast(pa.string())
-            yield from as_stripes(lang, names, code >> 32, code & 0xFFFFFFFF, count, joined)
+            first, second = code >> 32, code & 0xFFFFFFFF
+            often = (hot or {}).get(lang, set())
+            is_hot = np.fromiter((w in often for w in words), bool, len(words))
+            # a follower's two hashes, mixed; those of a prefix that is not hot do not count
+            follower = hashes[pairs >> 32] * np.uint64(0x9E3779B97F4A7C15) + hashes[pairs & 0xFFFFFFFF]
+            mixed = hashes[first] ^ np.where(is_hot[first], follower[second], np.uint64(0))
+            yield from packed_stripes(lang, names, first, second, count, ((mixed >> np.uint64(32)) % np.uint64(PARTS)).astype(np.int32), joined)
 
     return run
 
 
+def unpacked(stripes: DataFrame) -> DataFrame:
+    """``lang, prefix, next, n``: the packed stripes of each part added up element by element.  A phrase lies in one part."""
+    dealt = stripes.repartition("lang", "part")
+    each = dealt.select("lang", "part", F.inline(F.arrays_zip("prefix", "next", "count"))).select("lang", "part", "prefix", F.inline(F.arrays_zip("next", "count")))
+    return each.groupBy("lang", "part", "prefix", "next").agg(F.sum("count").alias("n")).drop("part")
+
+
 def merged(stripes: DataFrame, totals: DataFrame, hot: float) -> DataFrame:
     """``lang, prefix, next, n``: stripes added up element by element.
 
@@ -208,7 +244,10 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     hot = max(HOT_LEAST, (sizes.agg(F.sum("n")).first()[0] or 0) / HOT_SHARES)
     pairs = kept(merged(stripes, words, hot).where((F.col("next") != "") & (F.col("n") >= least)))
     shared = spark.sparkContext.broadcast(pair_filter(pairs, FILTER_BITS))
-    triples = kept(merged(kept(rows.mapInArrow(pair_stripes(lambda: shared.value, FILTER_BITS), STRIPE)), words, hot).where(F.col("n") >= least))
+    many: dict[str, set[bytes]] = defaultdict(set)
+    for r in words.where(F.col("f") > hot).select("lang", "prefix").collect():  # at most HOT_SHARES
+        many[r["lang"]].add(r["prefix"].encode("utf-8", "surrogatepass"))
+    triples = kept(unpacked(rows.mapInArrow(pair_stripes(lambda: shared.value, FILTER_BITS, dict(many)), PACKED)).where(F.col("n") >= least))
     shared.unpersist()
     best = kept(scored(words, pairs, triples, share))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
