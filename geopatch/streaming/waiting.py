@@ -16,6 +16,8 @@ from geopatch.operators.windows import extract_patches, vegetated
 
 #: Parts into which a tile's footprints are dealt; its scenes go to all of them.
 PARTS = 8
+#: Footprints of a tile and part, about; what a task holds of them at a time does not grow with the input.
+HELD = 50_000
 MATCHED = "shot_number long, tile string, row int, col int, gedi_date date, scene string, acq_date date"
 DAY = np.timedelta64(1, "D")
 
@@ -24,12 +26,18 @@ def joint_stream(footprints: DataFrame, scenes: DataFrame, delay: str, parts: in
     """Both streams under one schema, with event times and watermarks by their own dates; the slower one holds the watermark."""
     own = footprints.select("tile", F.pmod(F.xxhash64("shot_number"), F.lit(parts)).cast("int").alias("part"), F.col("gedi_date").cast("timestamp").alias("ts"), "shot_number", "row", "col", F.lit(None).cast("string").alias("scene"))
     every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("shot_number", "long"), ("row", "int"), ("col", "int"))]
+    # no nulls, which would make the numbers floats
+    none = [F.lit(-1).cast(t).alias(c) for c, t in (("shot_number", "long"), ("row", "int"), ("col", "int"))]
     theirs = scenes.select("tile", every, F.col("acq_date").cast("timestamp").alias("ts"), *none, "scene")
     rows = [x.where("tile is not null and ts is not null").withWatermark("ts", delay) for x in (own, theirs)]
     return rows[0].unionByName(rows[1])
 
 
+def parts_of(footprints: int, tiles: int, least: int) -> int:
+    """Parts to a tile, so that one holds about HELD of so many footprints."""
+    return max(least, -(-footprints // (tiles * HELD)))
+
+
 def month_floor(days: np.ndarray, back: int) -> np.ndarray:
     """The first day of the month so many months before that of each day."""
     return (days.astype("datetime64[M]") - back).astype("datetime64[D]")
@@ -45,37 +53,41 @@ def matcher(wait: int, look_back: int = LOOK_BACK) -> Callable[[tuple, Iterator[
     more.  Footprints without a scene are dropped.
     """
 
+    nobody = (np.zeros(0, np.int64), np.zeros(0, "datetime64[D]"), np.zeros(0, np.int32), np.zeros(0, np.int32))
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        scenes, waiting = pickle.loads(state.get[0]) if state.exists else ({}, {})
+        scenes, waiting = pickle.loads(state.get[0]) if state.exists else ({}, nobody)
+        parts = [waiting]
         for batch in [] if state.hasTimedOut else batches:
-            days = batch["ts"].to_numpy().astype("datetime64[D]")
-            for day, shot, row, col, scene in zip(days, batch["shot_number"], batch["row"], batch["col"], batch["scene"], strict=True):
-                if scene is not None:
-                    scenes[day] = max(scene, scenes.get(day, ""))
-                else:
-                    waiting[int(shot)] = (day, int(row), int(col))
+            days, names = batch["ts"].to_numpy().astype("datetime64[D]"), batch["scene"]
+            shot = names.isna().to_numpy()
+            for day, scene in zip(days[~shot], names[~shot], strict=True):
+                scenes[day] = max(scene, scenes.get(day, ""))
+            parts.append((batch["shot_number"].to_numpy()[shot].astype(np.int64), days[shot], batch["row"].to_numpy()[shot].astype(np.int32), batch["col"].to_numpy()[shot].astype(np.int32)))
+        waiting = tuple(map(np.concatenate, zip(*parts, strict=True)))
+        # of a footprint delivered again, the last
+        last = len(waiting[0]) - 1 - np.unique(waiting[0][::-1], return_index=True)[1]
+        waiting = tuple(x[last] for x in waiting)
         now = np.datetime64(state.getCurrentWatermarkMs(), "ms")
-        due = {s: w for s, w in waiting.items() if w[0] + wait * DAY < now}
-        if due:
+        due = waiting[1] + wait * DAY < now
+        if due.any():
             days = np.array(sorted(scenes), "datetime64[D]")
-            shots = np.array([w[0] for w in due.values()], "datetime64[D]")
-            at = np.searchsorted(days, shots, "right") - 1
-            good = (at >= 0) & (days[at] >= month_floor(shots, look_back)) if len(days) else np.zeros(len(shots), bool)
-            out = [(s, key[0], w[1], w[2], w[0], scenes[days[k]], days[k]) for (s, w), k, ok in zip(due.items(), at, good, strict=True) if ok]
-            made = pd.DataFrame(out, columns=[c.split()[0] for c in MATCHED.split(", ")])
-            for c in ("gedi_date", "acq_date"):
-                made[c] = made[c].astype("datetime64[s]").dt.date
-            yield made
-        waiting = {s: w for s, w in waiting.items() if s not in due}
+            shots, given, rows, cols = (x[due] for x in waiting)
+            at = np.searchsorted(days, given, "right") - 1
+            good = (at >= 0) & (days[at] >= month_floor(given, look_back)) if len(days) else np.zeros(len(shots), bool)
+            found = at[good]
+            dates = lambda x: pd.Series(x.astype("datetime64[s]")).dt.date
+            yield pd.DataFrame({"shot_number": shots[good], "tile": key[0], "row": rows[good], "col": cols[good], "gedi_date": dates(given[good]), "scene": np.array([scenes[d] for d in days], object)[found], "acq_date": dates(days[found])})
+        waiting = tuple(x[~due] for x in waiting)
         oldest = month_floor(now.astype("datetime64[D]") - wait * DAY, look_back)
         scenes = {d: s for d, s in scenes.items() if d >= oldest}
-        if not waiting and not scenes:
+        if not len(waiting[0]) and not scenes:
             state.remove()
             return
         state.update((pickle.dumps((scenes, waiting)),))
-        if waiting:
+        if len(waiting[0]):
             # a timeout must lie after the watermark, and fires once the watermark has passed it
-            first = (min(w[0] for w in waiting.values()) + wait * DAY).astype("datetime64[ms]").astype(np.int64)
+            first = (waiting[1].min() + wait * DAY).astype("datetime64[ms]").astype(np.int64)
             state.setTimeoutTimestamp(int(max(first, state.getCurrentWatermarkMs() + 1)))
 
     return step

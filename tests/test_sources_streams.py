@@ -174,3 +174,26 @@ def test_chunk_files_do_not_grow_with_tiles(spark, tmp_path):
     assert own.where("tile = 'V7'").count() == 1
     back = chunks.to_pixels(own, 4)
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, pixels.where("layer = 'CH'").select(*back.columns).collect()))
+
+
+def test_waiting_footprints_are_held_in_few_bytes_and_parts_grow(spark):
+    import pandas as pd
+
+    class State:
+        exists, hasTimedOut, held = False, False, None
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+        def update(self, value):
+            self.held = value[0]
+
+        def setTimeoutTimestamp(self, at):
+            pass
+
+    n = 20000
+    shots = pd.DataFrame({"ts": pd.Timestamp("2021-05-01"), "shot_number": np.arange(n) + 2**60, "row": np.arange(n, dtype="int32") % 64, "col": 3, "scene": None})
+    state = State()
+    assert not list(waiting.matcher(5)(("31AAA", 0), iter([shots, shots]), state))
+    assert len(state.held) < 32 * n
+    assert waiting.parts_of(100_000, 25, 4) == 4 and waiting.parts_of(36_000_000, 25, 4) == 29
