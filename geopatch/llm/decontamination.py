@@ -37,10 +37,11 @@ OPENERS = (
 
 
 #: A number with its sign and separators; a run of capitalised words that are no openers; any other word.
-NUMBER = r"(?<![\p{L}\p{N}])[+-]?[0-9]+(?:[.,'][0-9]+)*(?![\p{L}\p{N}])"
+#: Groups repeat without going back: Java's matcher calls itself for every turn of a group that may, so long runs would overflow its stack.
+NUMBER = r"(?<![\p{L}\p{N}])[+-]?[0-9]++(?![\p{L}\p{N}])(?:[.,'][0-9]++(?![\p{L}\p{N}]))*+"
 CAPITAL = r"(?=\p{Lu})(?!(?i:" + "|".join(OPENERS) + r")(?![\p{L}\p{N}]))[\p{L}\p{N}]+"
 #: What begins with a small letter of ASCII is neither number nor name and is taken first, as most words are such; the looks ahead only save time.
-TYPED = rf"[a-z]++[\p{{L}}\p{{N}}]*+|(?=[+\-0-9]){NUMBER}|(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}]){CAPITAL}(?: {CAPITAL})*|[\p{{L}}\p{{N}}]+"
+TYPED = rf"[a-z]++[\p{{L}}\p{{N}}]*+|(?=[+\-0-9]){NUMBER}|(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}]){CAPITAL}(?: {CAPITAL})*+|[\p{{L}}\p{{N}}]+"
 
 
 def tokens_of(text: Column) -> Column:

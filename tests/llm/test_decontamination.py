@@ -205,3 +205,13 @@ def test_tokens_and_kinds_of_odd_words(spark):
     hashed = decontamination.coded(row).first()
     assert [h for h in hashed["typed1"] if h % 2] == [1, 1, 3, 1, 1, 3, 1, 5]
     assert len(hashed["typed8"]) == len(typed)
+
+
+def test_long_runs_of_names_and_numbers(spark):
+    names, numbers = " ".join(["Anna", "Åsa", "Ǆ"] * 20_000), ",".join(["12", "3"] * 30_000)
+    texts = {1: f"of {names} The {names}", 2: f"{numbers} and -{numbers}.5abc 1,2x 7x", 3: f"{names} {ITEM} {numbers}", 4: f"{numbers}\n{names}"}
+    docs, items = frames(spark, list(texts.items()), [(1, ITEM)])
+    typed = {r["doc_id"]: r["typed"] for r in docs.select("doc_id", decontamination.typed_of(F.col("text")).alias("typed")).collect()}
+    assert typed[1] == ["of", names, "The", names]
+    assert typed[2] == [numbers, "and", f"-{numbers}", "5abc", "1", "2x", "7x"]
+    assert sorted(r["doc_id"] for r in decontamination.clean(docs, items).collect()) == [1, 2, 4]
