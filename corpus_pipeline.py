@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geopatch.llm import byte_bpe, decontamination, language_id, line_dedup, near_copies, simhash
-from geopatch.llm.common import drop, kept, noted, read
+from geopatch.llm.common import drop, kept, noted, read, settled
 from geopatch.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -39,8 +39,11 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     Fingerprints at 2 bits link what is equal or almost so; the exact join
     after them finds the pairs whose fingerprints lie further apart.
     """
-    once = kept(simhash.keep_one(docs.select(*COLUMNS), shingle=3, radius=2))
-    return near_copies.keep_first(once).select(*COLUMNS)
+    own = docs.select(*COLUMNS)
+    with settled(spark):
+        later = simhash.later(own, shingle=3, radius=2)
+        left = near_copies.keep_first(own, without=later)
+    return left.select(*COLUMNS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

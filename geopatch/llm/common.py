@@ -118,6 +118,16 @@ def noted() -> Iterator[list[str]]:
         _made.reset(before)
 
 
+@contextmanager
+def settled(spark: SparkSession) -> Iterator[None]:
+    """Of the tables that this thread keeps meanwhile, only the last stays; the others go at the end."""
+    with noted() as made:
+        yield
+    drop(spark, made[:-1])
+    if (before := _made.get()) is not None:
+        before.extend(made[-1:])
+
+
 def drop(spark: SparkSession, paths: list[str]) -> None:
     """Removes tables that no rows are read from any more."""
     for path in paths:

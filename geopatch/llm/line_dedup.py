@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geopatch.llm.common import few, kept, row_key, sliced, small_batches
+from geopatch.llm.common import few, kept, row_key, settled, sliced, small_batches
 
 #: Words from which a line may differ in one word; characters from which a shorter one may differ in one character.
 WORDS, CHARS = 10, 20
@@ -173,18 +173,19 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).select(*row_key(F.col("doc_id"), F.col("text")), "doc_id", "text")
     place = F.struct("doc_id", "line", "k1", "k2").alias("place")
-    table = kept(line_table(rows, words, chars))
-    parts_of = table.select(F.explode("parts").alias("part"), "c1")
-    twice = kept(parts_of.groupBy("part").agg(F.min("c1").alias("least"), F.max("c1").alias("most")).where("least < most").select("part"))
-    candidates = parts_of.join(few(twice), "part").select("c1").distinct()
-    classes = kept(table.groupBy("c1", "c2").agg(F.min(place).alias("first"), F.count("*").alias("n")))
-    asked = classes.join(few(kept(candidates)), "c1", "left_semi").select(F.col("first").alias("place"))
-    near = near_lines(kept(lines_at(rows, asked)), words, chars).withColumnRenamed("place", "first").withColumn("near", F.lit(True))
-    decided = few(kept(classes.join(few(kept(near)), "first", "left").where("near or n > 1").select("c1", "c2", "first", F.coalesce("near", F.lit(False)).alias("near"))))
-    out = table.select("c1", "c2", place).join(decided, ["c1", "c2"]).where("near or first < place")
-    exact = (F.col("first") < F.col("place")).alias("exact")
-    removed = out.select("place.k1", "place.k2", "place.line", exact).distinct().groupBy(F.col("k1").alias("own_k1"), F.col("k2").alias("own_k2"))
-    removed = removed.agg(F.collect_list("line").alias("gone"), F.count_if("exact").alias("n_exact"), F.count_if(~F.col("exact")).alias("n_near"))
+    with settled(docs.sparkSession):
+        table = kept(line_table(rows, words, chars))
+        parts_of = table.select(F.explode("parts").alias("part"), "c1")
+        twice = kept(parts_of.groupBy("part").agg(F.min("c1").alias("least"), F.max("c1").alias("most")).where("least < most").select("part"))
+        candidates = parts_of.join(few(twice), "part").select("c1").distinct()
+        classes = kept(table.groupBy("c1", "c2").agg(F.min(place).alias("first"), F.count("*").alias("n")))
+        asked = classes.join(few(kept(candidates)), "c1", "left_semi").select(F.col("first").alias("place"))
+        near = near_lines(kept(lines_at(rows, asked)), words, chars).withColumnRenamed("place", "first").withColumn("near", F.lit(True))
+        decided = few(kept(classes.join(few(kept(near)), "first", "left").where("near or n > 1").select("c1", "c2", "first", F.coalesce("near", F.lit(False)).alias("near"))))
+        out = table.select("c1", "c2", place).join(decided, ["c1", "c2"]).where("near or first < place")
+        exact = (F.col("first") < F.col("place")).alias("exact")
+        removed = out.select("place.k1", "place.k2", "place.line", exact).distinct().groupBy(F.col("k1").alias("own_k1"), F.col("k2").alias("own_k2"))
+        removed = kept(removed.agg(F.collect_list("line").alias("gone"), F.count_if("exact").alias("n_exact"), F.count_if(~F.col("exact")).alias("n_near")))
     columns = [c for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")]
     whole = docs.select(F.struct(*columns).alias("doc"))
     key = row_key(F.col("doc")[id_col], F.coalesce(F.col("doc")[text_col], F.lit("")))

@@ -15,10 +15,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geopatch.llm.common import few, kept, sliced, small_batches
+from geopatch.llm.common import few, kept, settled, sliced, small_batches
 
 #: Words in a shingle, and the least Jaccard similarity of near copies.
 SHINGLE, SIMILARITY = 5, 0.8
@@ -143,28 +143,40 @@ def later_copies(rows: DataFrame, members: DataFrame, shingle: int, similarity:
     return found.union(near_of(rows, counted.where(F.col("common") + after >= needed).select("node", "other"), shingle, similarity))
 
 
-def keep_first(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def keep_first(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, without: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` that are no near copy of an earlier row.
 
     The order is by id; between rows of one id it is by a hash of the text.  Of
     two rows at a Jaccard similarity of at least ``similarity`` the later one
     goes, whether or not the earlier one stays, so no two of those left are
     near.  Of rows with the same shingles, or with no words, the first stays.
-    Rows with a null id all stay and take no part.  Columns are those of
+    Rows with a null id all stay and take no part.  The rows at
+    ``without(doc_id, k1)``, where k1 is the XXH64 of the text, go first and
+    take no part either; it is read more than once.  Columns are those of
     ``docs``.
+
+    Of the rows that meet under a key, one a class of equal sets, the keys are
+    shuffled once; no copy of the texts is written.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     text = F.coalesce(docs["text"], F.lit(""))
     rows = docs.where("doc_id is not null").select("doc_id", F.xxhash64(text).alias("k1"), text.alias("text"))
-    table = kept(prefixes(rows, shingle, similarity))
-    classes = kept(table.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "k1")).alias("node"), F.max("size").alias("size")))
-    every = table.select(F.explode("keys").alias("key"), "c1")
-    shared = few(kept(every.groupBy("key").agg(F.min("c1").alias("least"), F.max("c1").alias("most")).where("least < most").select("key")))
-    members = every.join(shared, "key").distinct().join(classes, "c1").select("key", "node", "size")
-    copies = table.select(F.struct("doc_id", "k1").alias("node")).join(classes, "node", "left_anti")
-    gone = few(kept(copies.union(later_copies(rows, members, shingle, similarity)).select(F.col("node.doc_id").alias("own_id"), F.col("node.k1").alias("own_k1")).distinct()))
+    with settled(spark):
+        firsts = prefixes(rows, shingle, similarity)
+        table = kept(firsts if without is None else firsts.join(few(without), ["doc_id", "k1"], "left_anti"))
+        repeated = not table.groupBy("doc_id", "k1").count().where("count > 1").isEmpty()
+        classes = kept(table.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "k1")).alias("node"), F.max("size").alias("size")))
+        copies = kept(table.select(F.struct("doc_id", "k1").alias("node")).join(classes, "node", "left_anti").distinct())
+        own = table.select(F.struct("doc_id", "k1").alias("node"), "c1", "keys").join(few(copies), "node", "left_anti")
+        same = Window.partitionBy("key")
+        every = own.select(F.explode("keys").alias("key"), "c1").select("key", "c1", F.min("c1").over(same).alias("least"), F.max("c1").over(same).alias("most"))
+        members = every.where("least < most").select("key", "c1").distinct().join(classes, "c1").select("key", "node", "size")
+        found = copies.union(later_copies(rows, members, shingle, similarity)).select("node.doc_id", "node.k1")
+        gone = kept((found if without is None else found.union(without.select("doc_id", "k1"))).distinct())
+    gone = few(gone.select(F.col("doc_id").alias("own_id"), F.col("k1").alias("own_k1")))
     hashed = docs.where("doc_id is not null").select(F.struct(*docs.columns).alias("doc"), F.xxhash64(text).alias("own_hash"))
     once = hashed.join(gone, (F.col("doc.doc_id") == gone["own_id"]) & (hashed["own_hash"] == gone["own_k1"]), "left_anti")
-    if not table.groupBy("doc_id", "k1").count().where("count > 1").isEmpty():
+    if repeated:
         once = once.withColumn("own_id", F.col("doc.doc_id")).dropDuplicates(["own_id", "own_hash"])
     return once.select("doc.*").unionByName(docs.where("doc_id is null"))

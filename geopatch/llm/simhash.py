@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geopatch.llm.common import cut, few, kept, source
+from geopatch.llm.common import cut, few, kept, settled, source
 from geopatch.llm.components import components
 
 BITS = 64
@@ -121,6 +121,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(few(named), "fp").select("doc_id", "fp", "component_id", "copies")
 
 
+def later(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
+    """``doc_id, k1`` of the rows of ``docs`` that are not the first of their component; k1 is a hash of the text.
+
+    The order is by id; between rows of one id it is by k1.  Rows with a null
+    id take no part.
+    """
+    node = F.struct(docs[id_col].alias("doc_id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("k1"))
+    own = docs.where(docs[id_col].isNotNull()).select(node.alias("node"), docs[text_col].alias("text"))
+    with settled(docs.sparkSession):
+        found = near_duplicates(own, "node", "text", shingle, radius)
+        return kept(found.where("doc_id != component_id").select("doc_id.*").distinct())
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the first row stays.
 
@@ -130,10 +143,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """
     of = lambda c: F.col(f"doc.`{c}`")
     own = docs.where(docs[id_col].isNotNull()).select(F.struct(*docs.columns).alias("doc"))
-    own = own.withColumn("node", F.struct(of(id_col).alias("id"), F.xxhash64(F.coalesce(of(text_col), F.lit(""))).alias("hash")))
-    found = cut(near_duplicates(own.select("node", of(text_col).alias("text")), "node", "text", shingle, radius))
-    gone = few(kept(found.where("doc_id != component_id").select(F.col("doc_id").alias("node")).distinct()))
-    once = own.join(gone, "node", "left_anti")
-    if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
+    own = own.withColumn("node", F.struct(of(id_col).alias("doc_id"), F.xxhash64(F.coalesce(of(text_col), F.lit(""))).alias("k1")))
+    gone = later(docs, id_col, text_col, shingle, radius).select(F.struct("doc_id", "k1").alias("node"))
+    once = own.join(few(gone), "node", "left_anti")
+    if not own.groupBy("node").count().where("count > 1").isEmpty():
         once = once.dropDuplicates(["node"])
     return once.select("doc.*").unionByName(docs.where(docs[id_col].isNull()))

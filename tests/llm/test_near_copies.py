@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from geopatch.llm import near_copies
@@ -61,3 +62,21 @@ def test_the_pipeline_drops_copies_at_085(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     left = corpus_pipeline.without_near_copies(spark, docs, "")
     assert sorted(r["doc_id"] for r in left.collect()) == [0, 2]
+
+
+def test_rows_left_out_from_the_start(spark, rows):
+    twice = [*rows, *((i, t) for i, t in rows if i % 7 == 0), (None, rows[0][1])]
+    docs = spark.createDataFrame(twice, "doc_id long, text string")
+    out = docs.where("doc_id % 3 = 0")
+    expected = sorted(plain([(i, t) for i, t in rows if i % 3]))
+    without = out.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("k1"))
+    left = [r["doc_id"] for r in near_copies.keep_first(docs, without=without).collect()]
+    assert left.count(None) == 1 and sorted(i for i in left if i is not None) == expected
+
+
+def test_keys_are_shuffled_once(spark, rows, monkeypatch):
+    seen = []
+    monkeypatch.setattr(near_copies, "later_copies", lambda rows, members, *a: seen.append(members) or members.select("node").limit(0))
+    near_copies.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode(keys") == 1

@@ -58,6 +58,16 @@ def test_tables_on_the_way_are_dropped(spark, folder):
     assert len(set(glob.glob(f"{at}/table-*")) - before) == 1 and rows.count() > 50
 
 
+def test_stages_leave_one_small_table(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for stage in (corpus_pipeline.without_repeated_lines, corpus_pipeline.without_near_copies, corpus_pipeline.without_benchmark):
+        with common.noted() as made:
+            left = stage(spark, docs, folder)
+        there = [p for p in made if glob.glob(f"{p.removeprefix('file:')}/part-*")]
+        assert len(there) == 1 and not {"text", "parts", "keys", "grams"} & set(spark.read.parquet(*there).columns)
+        assert left.count() > 50
+
+
 def test_lines_and_lines_near_them_go_once(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     before = {r["doc_id"]: r["text"] for r in docs.collect()}
